@@ -33,7 +33,7 @@ def sanitize_residues(sequence: Column) -> Column:
 def n_fraction(sequence: Column) -> Column:
     """Share of N bases; an empty sequence counts as all N."""
     size = F.length(sequence)
-    missing = size - F.length(F.replace(F.upper(sequence), F.lit("N"), F.lit("")))
+    missing = size - F.length(F.translate(sequence, "Nn", ""))
     return F.when(size > 0, missing / size).otherwise(F.lit(1.0))
 
 

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestor.operators.auroc import (
@@ -368,6 +371,7 @@ def multivariate_auroc(
     *,
     regularization: float = 0.01,
     max_iter: int = 500,
+    parallelism: int = 4,
 ) -> DataFrame:
     """L2 logistic fit on standardized features, scored on the test part.
 
@@ -385,44 +389,47 @@ def multivariate_auroc(
     )
     keys = ["concept_id"]
     fractions = {"test_fraction": config.test_fraction, "held_out_fraction": config.held_out_fraction}
-    wanted = spark.createDataFrame([(c,) for c in concepts], labels.select("concept_id").schema)
+    concept_type = labels.schema["concept_id"].dataType.simpleString()
+    wanted = spark.createDataFrame([(c,) for c in concepts], f"concept_id {concept_type}")
     positives = labels.select("concept_id", "unit_id").distinct().join(wanted, "concept_id", "left_semi")
     parts, cuts = split_positives(positives, ranked, pool, keys=keys, **fractions)
-    table = vectors.join(ranked, "unit_id").withColumn("vector", array_to_vector(F.col("vec").cast("array<double>")))
+    table = materialize(vectors.join(ranked, "unit_id"))
     test_cuts = {r["concept_id"]: r["test_cut"] for r in cuts.collect()}
-    out = None
-    for concept in concepts:
-        if concept not in test_cuts:
-            continue
+    fitted = [c for c in concepts if c in test_cuts]
+
+    def fit(concept) -> DataFrame:
         mine = parts.where(F.col("concept_id") == F.lit(concept)).select("unit_id", "part")
         rows = table.join(mine, "unit_id", "left").select(
-            "unit_id",
-            "vector",
+            array_to_vector(F.col("vec").cast("array<double>")).alias("vector"),
             F.col("part").isNotNull().cast("double").alias("label"),
             F.coalesce(F.col("part") != "train", F.col("unit_rank") <= test_cuts[concept]).alias("is_test"),
-        )
-        train = rows.where(~F.col("is_test")).persist()
+        ).persist()
         try:
-            n = train.count()
+            train = rows.where(~F.col("is_test"))
             scaler = StandardScaler(inputCol="vector", outputCol="features", withMean=True, withStd=True).fit(train)
+            scaled = scaler.transform(train).select("features", "label")
             model = LogisticRegression(
-                maxIter=max_iter, regParam=1.0 / (regularization * n), elasticNetParam=0.0, standardization=False
-            ).fit(scaler.transform(train))
+                maxIter=max_iter,
+                regParam=1.0 / (regularization * train.count()),
+                elasticNetParam=0.0,
+                standardization=False,
+            ).fit(scaled)
             scored = model.transform(scaler.transform(rows.where("is_test"))).select(
                 F.lit(concept).alias("concept_id"),
                 vector_to_array("probability")[1].alias("score"),
                 F.col("label").cast("bigint").alias("pos"),
                 (1 - F.col("label")).cast("bigint").alias("neg"),
             )
-            one = explicit_auroc(scored, keys).select("concept_id", F.col("raw_auroc").alias("multivariate_auroc"))
-        except Exception:  # noqa: BLE001 - a failed fit is a NaN row, as in the report
-            one = spark.createDataFrame([(concept, float("nan"))], "concept_id string, multivariate_auroc double")
-            one = one.select(F.lit(concept).alias("concept_id"), "multivariate_auroc")
+            return materialize(
+                explicit_auroc(scored, keys).select("concept_id", F.col("raw_auroc").alias("multivariate_auroc"))
+            )
+        except Exception:  # noqa: BLE001 - a failed fit is reported as NaN, not dropped
+            return spark.createDataFrame([(concept, float("nan"))], f"concept_id {concept_type}, multivariate_auroc double")
         finally:
-            train.unpersist()
-        out = one if out is None else out.unionByName(one)
-    if out is None:
-        return wanted.limit(0).withColumn("multivariate_auroc", F.lit(None).cast("double"))
-    return out
-
+            rows.unpersist()
 
+    with ThreadPool(processes=min(parallelism, max(1, len(fitted)))) as threads:
+        results = threads.map(inheritable_thread_target(spark)(fit), fitted)
+    if not results:
+        return wanted.limit(0).withColumn("multivariate_auroc", F.lit(None).cast("double"))
+    return reduce(DataFrame.unionByName, results)

@@ -408,5 +408,5 @@ def d23(spark, sf):
 @query("d13_multivariate_auroc")
 def d13(spark, sf):
     labels = unit_labels(spark, sf)
-    concepts = [r[0] for r in P.eligible_concepts(labels, min_positives=10, max_concepts=3).collect()]
+    concepts = [r[0] for r in P.eligible_concepts(labels, min_positives=10, max_concepts=500).collect()]
     return P.multivariate_auroc(vectors(spark, sf).select("unit_id", "vec"), labels, concepts, CONFIG)
