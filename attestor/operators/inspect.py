@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestor.operators.ordering import hash_rank, stable_rank
+from attestor.session import materialize
 
 
 def feature_profile(features: DataFrame, dictionary: DataFrame, n_units: int) -> DataFrame:
@@ -115,6 +116,7 @@ def fresh_candidates(
             "concept_id",
             "single_feature_auroc",
         )
+        fresh = materialize(fresh)  # at most per_point rows; keeps the next point's plan short
         out = fresh if out is None else out.unionByName(fresh)
         taken = taken.unionByName(fresh.select("feature_idx"))
     return out
