@@ -182,17 +182,18 @@ def hard_negative_auroc(
     )
 
 
-def siblings_of(edges: DataFrame) -> DataFrame:
-    """(concept_id, sibling_id): concepts sharing at least one direct parent."""
-    other = edges.select(F.col("child_id").alias("sibling_id"), "parent_id").distinct()
-    return (
-        edges.select(F.col("child_id").alias("concept_id"), "parent_id")
-        .distinct()
-        .join(other, "parent_id")
-        .where(F.col("concept_id") != F.col("sibling_id"))
-        .select("concept_id", "sibling_id")
-        .distinct()
-    )
+def siblings_of(edges: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """(concept_id, sibling_id): concepts sharing at least one direct parent.
+
+    ``aliases`` (alt_id, concept_id) inherit their concept's parents but are nobody's child.
+    """
+    child = edges.select(F.col("child_id").alias("sibling_id"), "parent_id").distinct()
+    own = edges.select(F.col("child_id").alias("concept_id"), "parent_id")
+    if aliases is not None:
+        named = aliases.select("alt_id", F.col("concept_id").alias("child_id"))
+        own = own.unionByName(edges.join(named, "child_id").select(F.col("alt_id").alias("concept_id"), "parent_id"))
+    shared = own.distinct().join(child, "parent_id").where(F.col("concept_id") != F.col("sibling_id"))
+    return shared.select("concept_id", "sibling_id").distinct()
 
 
 def hard_negatives(labels: DataFrame, siblings: DataFrame, positives: DataFrame) -> DataFrame:
