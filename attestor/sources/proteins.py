@@ -83,7 +83,7 @@ def read_annotations(
 
 
 def _terms(spark: SparkSession, path: str) -> DataFrame:
-    stanza = F.regexp_replace("value", "\r", "")
+    stanza = F.regexp_replace(F.regexp_replace("value", "\r", ""), r"^\[", "")
     rows = spark.read.option("lineSep", "\n[").text(path).select(stanza.alias("s"), *file_order())
     rows = rows.where(F.col("s").startswith("Term]"))
     return rows.select(

@@ -49,14 +49,17 @@ GENOMIC_REGISTRY = T.StructType(
 SHEET = "feature_idx INT, status STRING, confidence STRING, justification STRING"
 
 
-def read_sweep(spark: SparkSession, root: str, *, model: str | None = None) -> DataFrame:
-    """Every ``mp<N>`` directory of stored results; unparsable files yield no rows."""
+def read_sweep(spark: SparkSession, root: str, *, model: str | None = None, multi_line: bool = True) -> DataFrame:
+    """Every ``mp<N>`` directory of stored results; unparsable files yield no rows.
+
+    ``multi_line=False`` reads one JSON object per line, which splits across tasks.
+    """
     inverse = {v: k for k, v in STORED_NAMES.items()}
     stored = T.StructType([T.StructField(inverse.get(f.name, f.name), f.dataType) for f in PROBE_RESULT])
     stored = stored.add("_corrupt", T.StringType())
     rows = (
         spark.read.schema(stored)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt")
         .option("pathGlobFilter", "*.json")
