@@ -96,3 +96,26 @@ def stable_rank(df: DataFrame, *, by: list[str], key: str, rank: str, bucket: Co
     staged = df.withColumn("_kb", score_bucket(F.col(key), per_octave=16384) if bucket is None else bucket)
     ranked = running_totals(staged, by=by, bucket="_kb", order=[key], totals={rank: F.lit(1).cast("bigint")})
     return ranked.withColumn(rank, F.col(rank) + 1).drop("_kb")
+
+
+def average_ranks(rows: DataFrame, *, by: list[str], score: str, rank: str = "rank") -> DataFrame:
+    """Average-tie rank of every row within ``by``.
+
+    Ties are combined before ranking, so a value shared by very many rows is one row in
+    the window; the lookup back is an equi-join on the value.
+    """
+    blocks = rows.groupBy(*by, F.col(score).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    blocks = blocks.withColumn("_b", score_bucket(F.col("_v")))
+    placed = running_totals(blocks, by=by, bucket="_b", order=["_v"], totals={"_below": F.col("_n")})
+    ranked = placed.select(*by, "_v", (F.col("_below") + (F.col("_n") + 1) / 2).alias(rank))
+    return rows.withColumn("_v", F.col(score)).join(ranked, [*by, "_v"]).drop("_v")
+
+
+def running_positives(rows: DataFrame, *, by: list[str], score: str, positive: str) -> DataFrame:
+    """Positives and rows at or above each distinct score, best score first."""
+    blocks = rows.groupBy(*by, score).agg(F.sum(positive).alias("_p"), F.count(F.lit(1)).alias("_n"))
+    blocks = blocks.withColumn("_b", score_bucket(F.col(score)))
+    placed = running_totals(
+        blocks, by=by, bucket="_b", order=[score], totals={"_pa": F.col("_p"), "_na": F.col("_n")}, descending=True
+    )
+    return placed.select(*by, score, (F.col("_pa") + F.col("_p")).alias("n_positive"), (F.col("_na") + F.col("_n")).alias("n_rows"))

@@ -47,12 +47,13 @@ def norm_stats(vectors: DataFrame) -> DataFrame:
 def normalize(vectors: DataFrame, stats: DataFrame) -> DataFrame:
     """(vec - mean) / max(scale, 1e-8); the one-row stats arrive as scalar subqueries."""
     scaled = vectors.withColumns({"_mean": stats.select("mean").scalar(), "_scale": stats.select("scale").scalar()})
-    missing = F.raise_error(F.lit("no normalization stats; compute norm_stats first")).cast("double")
-    floor = F.when(F.col("_scale").isNull(), missing).otherwise(F.greatest(F.col("_scale"), F.lit(FLOOR)))
-    centered = difference(F.col("vec"), F.col("_mean"))
-    return scaled.withColumn("_scale", floor).withColumn(
-        "vec", F.transform(centered, lambda x: x / F.col("_scale"))
-    ).drop("_mean", "_scale")
+    missing = F.raise_error(F.lit("no normalization stats; compute norm_stats first")).cast("array<double>")
+    floored = F.greatest(F.col("_scale"), F.lit(FLOOR))
+    ready = scaled.withColumn("_floor", floored).withColumn("_centered", difference(F.col("vec"), F.col("_mean")))
+    value = F.transform("_centered", lambda x: x / F.col("_floor"))
+    return ready.withColumn("vec", F.when(F.col("_scale").isNull(), missing).otherwise(value)).drop(
+        "_mean", "_scale", "_floor", "_centered"
+    )
 
 
 def unit_rows(dictionary: DataFrame) -> DataFrame:

@@ -307,26 +307,94 @@ def _fit_input(spark, sf, *keys):
     return rows.select(*keys, F.col("min_positives").alias("x"), F.col("target").alias("y"), F.col("feature_idx").alias("cluster"))
 
 
-@query("d26_logistic_cluster_fit")
+def newton_sql(source: str, keys: list[str], steps: int = 9) -> str:
+    """Unrolled Newton steps of ``y ~ 1 + ln(x)`` per group; ``source`` has (keys, x, y, w)."""
+    k = "".join(f"{c}, " for c in keys)
+    on = f"USING ({', '.join(keys)})" if keys else "ON true"
+    group = f"GROUP BY {', '.join(keys)}" if keys else ""
+    out = [f"suf AS (SELECT {k} ln(x::DOUBLE) AS lx, sum(w) AS n, sum(w * y) AS sy FROM {source} GROUP BY {k} x)"]
+    out.append(f"nb0 AS (SELECT {k} 0::DOUBLE AS b0, 0::DOUBLE AS b1 FROM suf {group or 'LIMIT 1'})")
+    for i in range(steps):
+        out.append(
+            f"""nt{i} AS (SELECT {k} first(b0) AS b0, first(b1) AS b1, sum(n * mu * (1 - mu)) AS s0, sum(n * mu * (1 - mu) * lx) AS s1,
+              sum(n * mu * (1 - mu) * lx * lx) AS s2, sum(sy - n * mu) AS r0, sum((sy - n * mu) * lx) AS r1
+              FROM (SELECT *, 1 / (1 + exp(-(b0 + b1 * lx))) AS mu FROM suf JOIN nb{i} {on}) {group}),
+            nb{i + 1} AS (SELECT {k} b0 + (s2 * r0 - s1 * r1) / (s0 * s2 - s1 * s1) AS b0, b1 + (s0 * r1 - s1 * r0) / (s0 * s2 - s1 * s1) AS b1 FROM nt{i})"""
+        )
+    out.append(f"fit AS (SELECT * FROM nb{steps})")
+    return ", ".join(out)
+
+
+FIT_ROWS = VERIFIED + ", fr AS (SELECT model, min_positives AS x, target AS y, feature_idx AS cluster, 1 AS w FROM vr)"
+
+
+def sandwich_sql(keys: list[str], n_params: str) -> str:
+    k = "".join(f"{c}, " for c in keys)
+    on = f"USING ({', '.join(keys)})" if keys else "ON true"
+    group = f"GROUP BY {', '.join(keys)}" if keys else ""
+    return f"""
+    rr AS (SELECT fr.*, ln(x::DOUBLE) AS lx, 1 / (1 + exp(-(b0 + b1 * ln(x::DOUBLE)))) AS mu FROM fr JOIN fit {on}),
+    inf AS (SELECT {k} sum(mu * (1 - mu)) AS s0, sum(mu * (1 - mu) * lx) AS s1, sum(mu * (1 - mu) * lx * lx) AS s2 FROM rr {group}),
+    sco AS (SELECT {k} cluster, sum(y - mu) AS u0, sum((y - mu) * lx) AS u1, count(*) AS n FROM rr GROUP BY {k} cluster),
+    mt AS (SELECT {k} sum(u0 * u0) AS m00, sum(u0 * u1) AS m01, sum(u1 * u1) AS m11, count(*) AS g, sum(n) AS n FROM sco {group}),
+    fac AS (SELECT sum(g) / (sum(g) - 1.0::DOUBLE) * (sum(n) - 1) / (sum(n) - {n_params}) AS f FROM mt),
+    vv AS (SELECT {k} g, n, f * (s1 * s1 * m00 - 2 * s0 * s1 * m01 + s0 * s0 * m11) / ((s0 * s2 - s1 * s1) * (s0 * s2 - s1 * s1)) AS var1 FROM inf JOIN mt {on}, fac)"""
+
+
+@query(
+    "d26_logistic_cluster_fit",
+    FIT_ROWS + "," + newton_sql("fr", []) + "," + sandwich_sql([], "2") + """ SELECT round(b0, 5) + 0.0 AS intercept, round(b1, 5) + 0.0 AS slope, round(sqrt(var1), 5) AS slope_se,
+    round(b1 - 1.959963984540054::DOUBLE * sqrt(var1), 5) + 0.0 AS slope_lo, round(b1 + 1.959963984540054::DOUBLE * sqrt(var1), 5) + 0.0 AS slope_hi, n::BIGINT AS n_rows, g AS n_clusters FROM fit, vv""",
+)
 def d26(spark, sf):
-    return N.fit_verified_rate(_fit_input(spark, sf), draws=0)
+    out = N.fit_verified_rate(_fit_input(spark, sf), draws=0)
+    return out.select(*[(F.round(c, 5) + 0.0).alias(c) for c in ("intercept", "slope", "slope_se", "slope_lo", "slope_hi")], "n_rows", "n_clusters")
+
+
+BOOT_FITS = """
+cw AS (SELECT {k} cluster, x, y, count(*) AS w FROM fr GROUP BY ALL),
+ids AS (SELECT DISTINCT {k} cluster FROM fr),
+num AS (SELECT *, row_number() OVER ({p} ORDER BY cluster) - 1 AS no, count(*) OVER ({p}) AS kk FROM ids),
+dr AS (SELECT {k} b, ('0x' || substr(md5('42:' || b || ':' || no), 1, 8))::BIGINT % kk AS no FROM num, (SELECT unnest(range(0, {draws})) AS b)),
+tm AS (SELECT {k} b, no, count(*) AS times FROM dr GROUP BY ALL),
+bs AS (SELECT {k2} b, x, y, cw.w * times AS w FROM tm JOIN num USING ({k} no) JOIN cw USING ({k} cluster))
+"""
 
 
-@query("d27_logistic_bootstrap")
+@query(
+    "d27_logistic_bootstrap",
+    FIT_ROWS + "," + BOOT_FITS.format(k="", k2="", p="", draws=100) + "," + newton_sql("bs", ["b"])
+    + " SELECT round(quantile_cont(b1, 0.025), 5) + 0.0 AS bootstrap_lo, round(quantile_cont(b1, 0.975), 5) + 0.0 AS bootstrap_hi, count(*)::INT AS n_bootstrap FROM fit",
+)
 def d27(spark, sf):
-    return N.fit_verified_rate(_fit_input(spark, sf), draws=100).select("slope", "bootstrap_lo", "bootstrap_hi", "n_bootstrap", "n_clusters")
+    out = N.fit_verified_rate(_fit_input(spark, sf), draws=100)
+    return out.select(*[(F.round(c, 5) + 0.0).alias(c) for c in ("bootstrap_lo", "bootstrap_hi")], "n_bootstrap")
 
 
-@query("d28_pooled_interaction")
+@query(
+    "d28_pooled_interaction",
+    FIT_ROWS + "," + newton_sql("fr", ["model"]) + "," + sandwich_sql(["model"], "2 * count(*)") + """ SELECT model, round(b1, 5) + 0.0 AS slope, round(sqrt(var1), 5) AS slope_se,
+    round(b1 - 1.959963984540054::DOUBLE * sqrt(var1), 5) + 0.0 AS slope_lo, round(b1 + 1.959963984540054::DOUBLE * sqrt(var1), 5) + 0.0 AS slope_hi, g AS n_clusters FROM fit JOIN vv USING (model)""",
+)
 def d28(spark, sf):
-    return N.fit_pooled_interaction(_fit_input(spark, sf, "model"), draws=0)[0]
+    slopes, _ = N.fit_pooled_interaction(_fit_input(spark, sf, "model"), draws=0)
+    return slopes.select("model", *[(F.round(c, 5) + 0.0).alias(c) for c in ("slope", "slope_se", "slope_lo", "slope_hi")], "n_clusters")
 
 
-@query("d29_pooled_bootstrap_trend")
+@query(
+    "d29_pooled_bootstrap",
+    FIT_ROWS + "," + BOOT_FITS.format(k="model, ", k2="model, ", p="PARTITION BY model", draws=60) + "," + newton_sql("bs", ["model", "b"])
+    + " SELECT model, round(quantile_cont(b1, 0.025), 5) + 0.0 AS bootstrap_lo, round(quantile_cont(b1, 0.975), 5) + 0.0 AS bootstrap_hi FROM fit GROUP BY model",
+)
 def d29(spark, sf):
-    return N.fit_pooled_interaction(
-        _fit_input(spark, sf, "model"), draws=60, model_sizes={"A": 8e6, "N": 35e6, "R": 150e6}
-    )[1]
+    slopes, _ = N.fit_pooled_interaction(_fit_input(spark, sf, "model"), draws=60)
+    return slopes.select("model", *[(F.round(c, 5) + 0.0).alias(c) for c in ("bootstrap_lo", "bootstrap_hi")])
+
+
+@query("d29_size_trend")
+def d29_trend(spark, sf):
+    sizes = {"A": 8e6, "N": 35e6, "R": 150e6}
+    return N.fit_pooled_interaction(_fit_input(spark, sf, "model"), draws=60, model_sizes=sizes)[1]
 
 
 @query(
