@@ -1,9 +1,11 @@
 """Interval joins, window generation, gene claims.
 
-Overlap is an equi-join on bins. Right intervals are assigned a *level* by length, so
-that each spans at most two bins of its level; a left interval looks up its bins at the
-levels that occur. A two-megabase gene therefore costs two rows, not hundreds, and
-short regulatory elements keep small bins. A pair is emitted only in the bin where its
+Overlap is an equi-join on bins. Every interval has a *level* by its length, so that it
+spans at most two bins of that level. A pair meets at the coarser of its two levels:
+either the left interval stands at its own level and the right one is looked up there
+(role A), or the other way round (role B). Both sides therefore explode to at most two
+rows per level that occurs on the other side; a two-megabase gene or window costs a few
+rows, and short elements keep small bins. A pair is emitted only in the bin where its
 overlap starts, so no DISTINCT is needed and each overlapping pair appears once.
 """
 
@@ -14,24 +16,40 @@ from pyspark.sql import functions as F
 
 from attestor.functions.text import parse_window_id, stable_gene_id, window_id
 
-LEVEL_FACTOR_BITS = 3  # bins of the next level are 8 times wider
+LEVEL_BITS = 2  # bins of the next level are 4 times wider
 
 
 def _level(length: Column, bin_size: int) -> Column:
     """Smallest level whose bins are at least as long as the interval."""
     ratio = F.greatest(length, F.lit(1)) / F.lit(float(bin_size))
-    return F.greatest(F.lit(0), F.ceil(F.log2(ratio) / LEVEL_FACTOR_BITS)).cast("int")
+    return F.greatest(F.lit(0), F.ceil(F.log2(ratio) / LEVEL_BITS)).cast("int")
 
 
 def _width(level: Column, bin_size: int) -> Column:
-    return (F.lit(bin_size) * F.pow(F.lit(2.0), level * LEVEL_FACTOR_BITS)).cast("bigint")
+    return (F.lit(bin_size) * F.pow(F.lit(2.0), level * LEVEL_BITS)).cast("bigint")
+
+
+def _bins(df: DataFrame, other_levels: DataFrame, bin_size: int, *, own_role: str, strict: bool) -> DataFrame:
+    """One row per (level, role, bin) an interval ``_s.._e`` of level ``_own`` takes part in."""
+    role = "B" if own_role == "A" else "A"
+    staged = df.withColumn("_levels", other_levels.select("levels").scalar())
+    coarser = F.filter(
+        F.coalesce("_levels", F.array().cast("array<int>")),
+        lambda x: (x > F.col("_own")) if strict else (x >= F.col("_own")),
+    )
+    stands = F.array(F.struct(F.col("_own").alias("level"), F.lit(own_role).alias("role")))
+    visits = F.transform(coarser, lambda x: F.struct(x.alias("level"), F.lit(role).alias("role")))
+    placed = staged.withColumn("_at", F.explode(F.concat(stands, visits))).drop("_levels")
+    placed = placed.withColumn("_w", _width(F.col("_at.level"), bin_size))
+    first, last = F.floor(F.col("_s") / F.col("_w")), F.floor((F.col("_e") - 1) / F.col("_w"))
+    return placed.withColumn("_bin", F.explode(F.sequence(first, last)))
 
 
 def overlap_join(
     left: DataFrame,
     right: DataFrame,
     *,
-    bin_size: int = 4096,
+    bin_size: int = 256,
     left_cols: tuple[str, str, str] = ("chrom", "start", "end"),
     right_cols: tuple[str, str, str] = ("chrom", "start", "end"),
 ) -> DataFrame:
@@ -39,45 +57,45 @@ def overlap_join(
 
     Columns of ``right`` other than its interval must not clash with ``left``; its
     interval comes back as ``r_start``, ``r_end``. Empty or reversed intervals never
-    overlap. Crowded bins are split at run time by AQE's skew join: the join output feeds
-    an aggregation on other keys, which leaves it free to do so.
+    overlap. The join is asked for as a sort-merge join: size estimates do not see the
+    exploded bins, so a broadcast would not rest on a checked size, and AQE splits
+    crowded bins of a sort-merge join at run time.
     """
     lc, ls, le = left_cols
     rc, rs, re_ = right_cols
     extra = [c for c in right.columns if c not in right_cols]
-    sound = right.where(F.col(rs) < F.col(re_)).select(
-        F.col(rc).alias("_chrom"), F.col(rs).cast("bigint").alias("r_start"), F.col(re_).cast("bigint").alias("r_end"), *extra
-    )
-    sound = sound.withColumn("_level", _level(F.col("r_end") - F.col("r_start"), bin_size))
-    sound = sound.withColumn("_w", _width(F.col("_level"), bin_size))
-    right_bins = sound.withColumn(
-        "_bin", F.explode(F.sequence(F.floor(F.col("r_start") / F.col("_w")), F.floor((F.col("r_end") - 1) / F.col("_w"))))
-    )
-    # at most about twelve levels exist for any chromosome length
-    levels = sound.agg(F.array_sort(F.collect_set("_level")).alias("levels"))
-    candidates = left.where(F.col(ls) < F.col(le)).withColumn("_levels", levels.scalar())
-    candidates = candidates.withColumn("_level", F.explode("_levels")).drop("_levels")
-    candidates = candidates.withColumn("_lw", _width(F.col("_level"), bin_size))
-    candidates = candidates.withColumn(
-        "_bin", F.explode(F.sequence(F.floor(F.col(ls) / F.col("_lw")), F.floor((F.col(le) - 1) / F.col("_lw"))))
-    )
-    joined = candidates.join(
-        right_bins,
-        (F.col(lc) == F.col("_chrom")) & (candidates["_level"] == right_bins["_level"]) & (candidates["_bin"] == right_bins["_bin"]),
+    lf = left.where(F.col(ls) < F.col(le)).withColumns(
+        {"_chrom": F.col(lc), "_s": F.col(ls).cast("bigint"), "_e": F.col(le).cast("bigint")}
+    )
+    rf = right.where(F.col(rs) < F.col(re_)).select(
+        F.col(rc).alias("_chrom"), F.col(rs).cast("bigint").alias("_s"), F.col(re_).cast("bigint").alias("_e"), *extra
+    )
+    own = _level(F.col("_e") - F.col("_s"), bin_size)
+    lf, rf = lf.withColumn("_own", own), rf.withColumn("_own", own)
+    # a few levels per side, whatever the number of intervals
+    lf_levels = lf.agg(F.collect_set("_own").alias("levels"))
+    rf_levels = rf.agg(F.collect_set("_own").alias("levels"))
+    lb = _bins(lf, rf_levels, bin_size, own_role="A", strict=True).select(
+        *left.columns, "_chrom", "_s", "_e", "_w", "_bin", F.col("_at.level").alias("_level"), F.col("_at.role").alias("_role")
+    )
+    rb = _bins(rf, lf_levels, bin_size, own_role="B", strict=False).select(
+        *extra, "_chrom", F.col("_s").alias("r_start"), F.col("_e").alias("r_end"), "_bin",
+        F.col("_at.level").alias("_level"), F.col("_at.role").alias("_role"),
     )
+    joined = lb.hint("merge").join(rb, ["_chrom", "_level", "_role", "_bin"])
     hit = (
-        (F.col(ls) < F.col("r_end"))
-        & (F.col(le) > F.col("r_start"))
-        & (candidates["_bin"] == F.floor(F.greatest(F.col(ls), F.col("r_start")) / F.col("_w")))
+        (F.col("_s") < F.col("r_end"))
+        & (F.col("_e") > F.col("r_start"))
+        & (F.col("_bin") == F.floor(F.greatest(F.col("_s"), F.col("r_start")) / F.col("_w")))
     )
-    return joined.where(hit).select(*[F.col(c) for c in left.columns], "r_start", "r_end", *extra)
+    return joined.where(hit).select(*left.columns, "r_start", "r_end", *extra)
 
 
-def label_windows(windows: DataFrame, elements: DataFrame, *, bin_size: int = 1024) -> DataFrame:
+def label_windows(windows: DataFrame, elements: DataFrame) -> DataFrame:
     """``windows`` plus the union of classes of all overlapping elements; empty set kept."""
     flat = elements.select("chrom", "start", "end", F.explode("classes").alias("_class")).distinct()
     spans = windows.select("window_id", "chrom", "start", "end")
-    hits = overlap_join(spans, flat, bin_size=bin_size).groupBy("window_id").agg(
+    hits = overlap_join(spans, flat).groupBy("window_id").agg(
         F.array_sort(F.collect_set("_class")).alias("classes")
     )
     return windows.join(hits, "window_id", "left").withColumn(
@@ -85,24 +103,24 @@ def label_windows(windows: DataFrame, elements: DataFrame, *, bin_size: int = 10
     )
 
 
-def window_labels(windows: DataFrame, elements: DataFrame, *, bin_size: int = 1024) -> DataFrame:
+def window_labels(windows: DataFrame, elements: DataFrame) -> DataFrame:
     """Normalized (unit_id, concept_id) labels for the probing operators."""
     flat = elements.select("chrom", "start", "end", F.explode("classes").alias("concept_id")).distinct()
     spans = windows.select(F.col("window_id").alias("unit_id"), "chrom", "start", "end")
-    return overlap_join(spans, flat, bin_size=bin_size).select("unit_id", "concept_id").distinct()
+    return overlap_join(spans, flat).select("unit_id", "concept_id").distinct()
 
 
-def overlapping_genes(windows: DataFrame, genes: DataFrame, *, bin_size: int = 16384) -> DataFrame:
+def overlapping_genes(windows: DataFrame, genes: DataFrame) -> DataFrame:
     """One row per (window, overlapping gene); windows without a gene keep a NULL row."""
     spans = windows.select("window_id", "chrom", "start", "end")
-    hits = overlap_join(spans, genes.select("gene_id", "chrom", "start", "end"), bin_size=bin_size)
+    hits = overlap_join(spans, genes.select("gene_id", "chrom", "start", "end"))
     return windows.select("window_id").join(hits.select("window_id", "gene_id"), "window_id", "left")
 
 
-def points_in_windows(points: DataFrame, windows: DataFrame, *, bin_size: int = 16384) -> DataFrame:
+def points_in_windows(points: DataFrame, windows: DataFrame) -> DataFrame:
     """Points ``(chrom, pos, ...)`` (1-based) inside half-open windows; overlapping windows all match."""
     placed = points.withColumn("_s", F.col("pos") - 1).withColumn("_e", F.col("pos"))
-    out = overlap_join(placed, windows, bin_size=bin_size, left_cols=("chrom", "_s", "_e"))
+    out = overlap_join(placed, windows, left_cols=("chrom", "_s", "_e"))
     return out.drop("_s", "_e", "r_start", "r_end")
 
 
@@ -165,7 +183,7 @@ def genomic_verdicts(
         "feature_idx", stable_gene_id(F.col("_g")).alias("_stable")
     ).distinct()
     hits = overlap_join(
-        spans, genes.select(stable_gene_id(F.col("gene_id")).alias("_stable"), "chrom", "start", "end"), bin_size=16384
+        spans, genes.select(stable_gene_id(F.col("gene_id")).alias("_stable"), "chrom", "start", "end")
     )
     matched = hits.join(wanted, ["feature_idx", "_stable"], "left_semi").select("feature_idx", "window_id").distinct()
     per_feature = spans.groupBy("feature_idx").agg(F.count(F.lit(1)).alias("n_windows"))
@@ -235,4 +253,4 @@ def lift_positions(positions: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def points_in_windows_with_bounds(points: DataFrame, spans: DataFrame) -> DataFrame:
     placed = points.withColumn("_s", F.col("pos") - 1).withColumn("_e", F.col("pos"))
-    return overlap_join(placed, spans, bin_size=65536, left_cols=("chrom", "_s", "_e")).drop("_s", "_e")
+    return overlap_join(placed, spans, left_cols=("chrom", "_s", "_e")).drop("_s", "_e")
