@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, replace
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
@@ -58,33 +59,70 @@ def eligible_concepts(labels: DataFrame, *, min_positives: int, max_concepts: in
     )
 
 
+@dataclass(frozen=True)
+class ProbeContext:
+    """What every probe over the same units shares: unit order, pool and pool tie blocks."""
+
+    features: DataFrame
+    ranked: DataFrame
+    pool: Pool
+    pooled: DataFrame
+    config: ProbeConfig
+
+    @property
+    def fractions(self) -> dict[str, float]:
+        return {"test_fraction": self.config.test_fraction, "held_out_fraction": self.config.held_out_fraction}
+
+
+def prepare(features: DataFrame, units: DataFrame, config: ProbeConfig) -> ProbeContext:
+    """Rank the units and count the pool's tie blocks: the only full pass over features.
+
+    Real labels, every permutation draw and every sweep point reuse the result.
+    """
+    ranked = rank_units(units, config.seed)
+    pool = make_pool(
+        ranked, seed=config.seed, test_fraction=config.test_fraction, held_out_fraction=config.held_out_fraction
+    )
+    part = pool.part(F.col("unit_id"))
+    return ProbeContext(features, ranked, pool, pool_counts(features, {a: part == a for a in ARMS}), config)
+
+
 def probe_positives(
-    features: DataFrame,
-    units: DataFrame,
+    context: ProbeContext,
     positives: DataFrame,
-    config: ProbeConfig,
     *,
     keys: list[str] | None = None,
     min_positives: int | None = None,
-    ranked: DataFrame | None = None,
-    pool: Pool | None = None,
+    split: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """Select on one part of the test split, evaluate the choice on the other.
 
-    One pass over the pool's stored values serves every concept in ``keys`` and both
-    arms; the held-out score is read from the same pair row the selection was made on.
+    All concepts in ``keys`` and both arms share one ranking; the held-out score is read
+    from the same pair row the selection was made on.
     """
     keys = keys or ["concept_id"]
-    floor = config.min_positives if min_positives is None else min_positives
-    ranked = rank_units(units, config.seed) if ranked is None else ranked
-    pool = pool or make_pool(
-        ranked, seed=config.seed, test_fraction=config.test_fraction, held_out_fraction=config.held_out_fraction
-    )
-    fractions = {"test_fraction": config.test_fraction, "held_out_fraction": config.held_out_fraction}
-    parts, cuts = split_positives(positives, ranked, pool, keys=keys, **fractions)
+    pool, pooled, test = context.pool, context.pooled, context.config.test_fraction
+    floor = context.config.min_positives if min_positives is None else min_positives
+    parts, cuts = split or split_positives(positives, context.ranked, pool, keys=keys, **context.fractions)
     cuts = cuts.where((F.col("n_pos") >= floor) & (F.col("n_pos") < pool.n_units - floor))
+    best = _select_and_hold(context, pool, pooled, parts, cuts.where(F.col("held_neg") > 0), keys)
+    if math.floor(test * floor + 0.5) < 2:
+        # concepts too small for a held-out part select on the whole test part
+        whole = pooled.select(
+            "feature_idx", "score", (F.col("pool_select") + F.col("pool_held")).alias("pool_select"),
+            F.lit(0).cast("bigint").alias("pool_held"),
+        )
+        undivided = replace(pool, held_cut=0, held_key="")
+        small = _select_and_hold(context, undivided, whole, parts, cuts.where(F.col("held_neg") == 0), keys)
+        best = best.unionByName(small)
+    return best
+
+
+def _select_and_hold(
+    context: ProbeContext, pool: Pool, pooled: DataFrame, parts: DataFrame, cuts: DataFrame, keys: list[str]
+) -> DataFrame:
     parts = parts.join(cuts.select(*keys), keys, "left_semi")
-    members = split_members(parts, cuts, ranked, pool, keys)
+    members = split_members(parts, cuts, context.ranked, pool, keys)
     sizes = cuts.select(
         *keys,
         F.col("n_pos").alias("n_positives"),
@@ -94,9 +132,7 @@ def probe_positives(
         F.col("held_pos").alias("n_pos_held"),
         F.col("held_neg").alias("n_neg_held"),
     )
-    part = pool.part(F.col("unit_id"))
-    pooled = pool_counts(features, {a: part == a for a in ARMS})
-    pairs = materialize(feature_auroc(features, pooled, members, sizes, keys=keys, arms=ARMS))
+    pairs = materialize(feature_auroc(context.features, pooled, members, sizes, keys=keys, arms=ARMS))
     others = untouched_best(pairs, pooled, sizes, keys=keys, arms=ARMS, select_arm="select")
     return best_feature(pairs.unionByName(others), keys)
 
@@ -136,26 +172,28 @@ def auroc_inflation(selected: Column, held_out: Column) -> Column:
 
 
 def hard_negative_auroc(
-    features: DataFrame,
+    context: ProbeContext,
     positives: DataFrame,
+    split: tuple[DataFrame, DataFrame],
     best: DataFrame,
     siblings: DataFrame,
     labels: DataFrame,
-    ranked: DataFrame,
-    pool: Pool,
-    config: ProbeConfig,
 ) -> DataFrame:
     """Held-out score of the chosen feature against units that carry a sibling concept.
 
-    ``siblings`` has (concept_id, sibling_id). Only held-out units count; the score is
-    NULL below ``min_hard_negatives`` but the count is always reported.
+    ``siblings`` has (concept_id, sibling_id). Only held-out units count, so labels are
+    cut to them before they are joined to siblings; the score is NULL below
+    ``min_hard_negatives`` but the count is always reported.
     """
     keys = ["concept_id"]
-    fractions = {"test_fraction": config.test_fraction, "held_out_fraction": config.held_out_fraction}
-    parts, cuts = split_positives(positives, ranked, pool, keys=keys, **fractions)
-    carriers = hard_negatives(labels, siblings, positives)
+    features, config = context.features, context.config
+    parts, cuts = split
+    widest = cuts.agg(F.max("held_cut").alias("c")).scalar()
+    held_units = context.ranked.where(F.col("unit_rank") <= widest)
+    held_labels = labels.select("unit_id", "concept_id").join(held_units, "unit_id")
+    carriers = hard_negatives(held_labels, siblings, positives)
     held_carriers = (
-        carriers.join(ranked, "unit_id")
+        carriers.join(held_units, "unit_id")
         .join(cuts.select("concept_id", "held_cut"), keys)
         .where(F.col("unit_rank") <= F.col("held_cut"))
     )
@@ -212,24 +250,23 @@ def probe_concepts(
     *,
     names: DataFrame | None = None,
     edges: DataFrame | None = None,
+    aliases: DataFrame | None = None,
+    context: ProbeContext | None = None,
 ) -> DataFrame:
     """Full report: eligible concepts, best feature, held-out and hard-negative scores.
 
     The label source is an argument: proteins, windows and texts use the same call.
     """
-    config = config or ProbeConfig()
+    context = context or prepare(features, units, config or ProbeConfig())
+    config = context.config
     labels = labels.select("unit_id", "concept_id").distinct()
     wanted = eligible_concepts(labels, min_positives=config.min_positives, max_concepts=config.max_concepts)
     positives = labels.join(wanted.select("concept_id"), "concept_id", "left_semi")
-    ranked = rank_units(units, config.seed)
-    pool = make_pool(
-        ranked, seed=config.seed, test_fraction=config.test_fraction, held_out_fraction=config.held_out_fraction
-    )
-    report = probe_positives(features, units, positives, config, ranked=ranked, pool=pool)
+    split = split_positives(positives, context.ranked, context.pool, keys=["concept_id"], **context.fractions)
+    report = probe_positives(context, positives, split=split)
     if edges is not None:
-        hard = hard_negative_auroc(
-            features, positives, report, siblings_of(edges), labels, ranked, pool, config
-        )
+        report = materialize(report)
+        hard = hard_negative_auroc(context, positives, split, report, siblings_of(edges, aliases), labels)
         report = report.join(hard, "concept_id", "left")
     else:
         report = report.withColumns(
@@ -262,15 +299,14 @@ def top_results(report: DataFrame, n: int) -> DataFrame:
     return report.orderBy(F.col("single_feature_auroc").desc(), F.col("concept_id").asc()).limit(n)
 
 
-def permuted_probe(
-    features: DataFrame, units: DataFrame, labels: DataFrame, config: ProbeConfig, *, draws: int
-) -> DataFrame:
-    """Probe every permutation draw in one job; the draw is a key, the pool is shared."""
-    labels = labels.select("unit_id", "concept_id").distinct().join(units.select("unit_id"), "unit_id", "left_semi")
+def permuted_probe(context: ProbeContext, labels: DataFrame, *, draws: int) -> DataFrame:
+    """Probe every permutation draw in one job; the draw is a key, the ranking is shared."""
+    config = context.config
+    labels = labels.select("unit_id", "concept_id").distinct().join(context.ranked.select("unit_id"), "unit_id", "left_semi")
     moved = permute_labels(labels, draws=draws, seed=config.seed)
     wanted = eligible_concepts(labels, min_positives=config.min_positives, max_concepts=config.max_concepts)
     moved = moved.join(wanted.select("concept_id"), "concept_id", "left_semi")
-    return probe_positives(features, units, moved, config, keys=["draw", "concept_id"])
+    return probe_positives(context, moved, keys=["draw", "concept_id"])
 
 
 def decompose(real: DataFrame, permuted: DataFrame) -> DataFrame:
@@ -325,12 +361,10 @@ def controlled_subsampling(
     for repeat in range(repeats):
         seeded = ProbeConfig(**{**config.__dict__, "seed": f"{config.seed}:{repeat}"})
         one = probe_positives(
-            features,
-            units,
+            prepare(features, units, seeded),
             drawn.where(F.col("repeat") == repeat),
-            seeded,
             keys=["concept_id", "target", "repeat"],
-            min_positives=1,
+            min_positives=min(targets),  # every draw has exactly its target's positives
         )
         probed = one if probed is None else probed.unionByName(one)
     tail = (1.0 - confidence) / 2

@@ -43,10 +43,11 @@ def evaluate(
     n_permutations: int = 0,
 ) -> dict[str, DataFrame]:
     """Report, summary, and the permuted-label decomposition when asked for."""
-    report = materialize(P.probe_concepts(features, units, labels, config, names=names, edges=edges))
+    context = P.prepare(features, units, config)
+    report = materialize(P.probe_concepts(features, units, labels, names=names, edges=edges, context=context))
     out = {"report": report, "summary": P.report_summary(report)}
     if n_permutations > 0:
-        null = P.permuted_probe(features, units, labels, config, draws=n_permutations)
+        null = P.permuted_probe(context, labels, draws=n_permutations)
         out["decomposition"] = P.decompose_draws(report, null)
     return out
 

@@ -265,9 +265,9 @@ def _perm_report(draws: int) -> str:
 
 def _real_and_permuted(spark, sf, draws):
     features, labels = dense_features(spark, sf), unit_labels(spark, sf)
-    real = P.probe_concepts(features, labels.select("unit_id"), labels, CONFIG)
-    permuted = P.permuted_probe(features, labels.select("unit_id"), labels, CONFIG, draws=draws)
-    return real, permuted
+    context = P.prepare(features, labels.select("unit_id"), CONFIG)
+    real = P.probe_concepts(features, labels.select("unit_id"), labels, context=context)
+    return real, P.permuted_probe(context, labels, draws=draws)
 
 
 @query(

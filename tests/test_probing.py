@@ -267,3 +267,21 @@ def test_plans_scan_once_and_stay_bounded(spark, sf):
     pairs = A.whole_set_auroc(features, labels, 100)
     text = pairs._jdf.queryExecution().toString()
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_small_concepts_select_on_the_whole_test_part(spark):
+    rng = random.Random(12)
+    n, d = 120, 6
+    acts = sparse_world(rng, n, d, 0.3)
+    features = spark.createDataFrame([(u, f, v) for (u, f), v in acts.items()], "unit_id long, feature_idx int, act double")
+    positives = {f"c{c}": set(rng.sample(range(n), size)) for c, size in enumerate((3, 5, 7, 9, 30))}
+    labels = spark.createDataFrame([(u, c) for c, us in positives.items() for u in us], "unit_id long, concept_id string")
+    units = spark.range(n).withColumnRenamed("id", "unit_id")
+    report = {r["concept_id"]: r for r in P.probe_concepts(features, units, labels, P.ProbeConfig(min_positives=2)).collect()}
+    assert set(report) == set(positives)
+    for concept, mine in positives.items():
+        part = brute_split(range(n), mine)
+        pick = [u for u in range(n) if part[u] == "select"]
+        raws = [brute_auroc([acts.get((u, f), 0.0) for u in pick], [u in mine for u in pick]) for f in range(d)]
+        assert report[concept]["single_feature_auroc"] == pytest.approx(max(max(r, 1 - r) for r in raws), abs=1e-9)
+        assert (report[concept]["held_out_auroc"] is None) == (len(mine) < 8)
