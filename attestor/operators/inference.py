@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from attestor.functions import stats as ST
 from attestor.functions import tails
-from attestor.operators.ordering import hash_int, order_hash, running_totals, score_bucket, stable_rank
+from attestor.operators.ordering import hash_int, hash_rank, order_hash, running_totals, score_bucket, stable_rank
 from attestor.session import materialize
 
 Z95 = 1.959963984540054
@@ -34,8 +34,11 @@ def cluster_draws(clusters: DataFrame, *, keys: list[str], draws: int, seed) ->
 
 
 def number_clusters(clusters: DataFrame, *, keys: list[str]) -> DataFrame:
-    """Add ``cluster_no`` (0-based, by cluster id) and the group's cluster count ``k``."""
-    numbered = stable_rank(clusters, by=keys, key="cluster", rank="cluster_no")
+    """Add ``cluster_no`` (0-based, by numeric id or hash order) and the group's cluster count ``k``."""
+    if clusters.schema["cluster"].dataType.simpleString() == "string":
+        numbered = hash_rank(clusters, by=keys, seed="cluster", parts=["cluster"], rank="cluster_no")
+    else:
+        numbered = stable_rank(clusters, by=keys, key="cluster", rank="cluster_no")
     numbered = numbered.withColumn("cluster_no", F.col("cluster_no") - 1)
     counts = clusters.groupBy(*keys).agg(F.count(F.lit(1)).alias("k"))
     return numbered.join(counts, keys) if keys else numbered.withColumn("k", counts.select("k").scalar())

@@ -173,25 +173,25 @@ def genomic_verdicts(
 ) -> DataFrame:
     """Verdict per feature: do its top windows fall inside a claimed gene?
 
-    ``claims`` has (feature_idx, claimed ARRAY<STRING>), duplicates counted as passed;
-    ``evidence`` has (feature_idx, window_id). Unparsable window ids are dropped.
+    ``claims`` has one (feature_idx, gene_id) row per claim, duplicates counted as passed,
+    and a NULL gene for a feature without claims; ``evidence`` has the top windows
+    (feature_idx, window_id). Unparsable window ids are dropped.
     """
     place = parse_window_id(F.col("window_id"))
     spans = evidence.select("feature_idx", "window_id", place.alias("p")).where(F.col("p").isNotNull())
     spans = spans.select("feature_idx", "window_id", F.element_at(F.split("p.chrom", ":"), -1).alias("chrom"), "p.start", "p.end")
-    wanted = claims.select("feature_idx", F.explode("claimed").alias("_g")).select(
-        "feature_idx", stable_gene_id(F.col("_g")).alias("_stable")
+    counts = claims.groupBy("feature_idx").agg(F.count("gene_id").alias("n_claims"))
+    wanted = claims.where(F.col("gene_id").isNotNull()).select(
+        "feature_idx", stable_gene_id(F.col("gene_id")).alias("_stable")
     ).distinct()
-    hits = overlap_join(
-        spans, genes.select(stable_gene_id(F.col("gene_id")).alias("_stable"), "chrom", "start", "end")
-    )
+    hits = overlap_join(spans, genes.select(stable_gene_id(F.col("gene_id")).alias("_stable"), "chrom", "start", "end"))
     matched = hits.join(wanted, ["feature_idx", "_stable"], "left_semi").select("feature_idx", "window_id").distinct()
     per_feature = spans.groupBy("feature_idx").agg(F.count(F.lit(1)).alias("n_windows"))
     matches = matched.groupBy("feature_idx").agg(
         F.count(F.lit(1)).alias("_m"), F.array_sort(F.collect_list("window_id")).alias("_matched")
     )
-    rows = claims.join(per_feature, "feature_idx", "left").join(matches, "feature_idx", "left")
-    n_claims = F.coalesce(F.size("claimed"), F.lit(0))
+    rows = counts.join(per_feature, "feature_idx", "left").join(matches, "feature_idx", "left")
+    n_claims = F.col("n_claims")
     m, n = F.coalesce("_m", F.lit(0)), F.coalesce("n_windows", F.lit(0))
     rate = F.coalesce(F.try_divide(m, n), F.lit(0.0))
     promiscuous = n_claims > max_claims
@@ -208,17 +208,15 @@ def genomic_verdicts(
         .otherwise(F.format_string("%d of %d top windows lie in a claimed gene", m, n))
     )
     unchecked = (n_claims == 0) | promiscuous
+    none = F.array().cast("array<string>")
     return rows.select(
         "feature_idx",
         status.alias("status"),
         reason.alias("reason"),
-        "claimed",
-        n_claims.alias("n_claims"),
+        "n_claims",
         F.when(unchecked, F.lit(0.0)).otherwise(rate).alias("match_rate"),
         m.alias("n_windows_matched"),
-        F.when(unchecked, F.array().cast("array<string>"))
-        .otherwise(F.coalesce("_matched", F.array().cast("array<string>")))
-        .alias("matched_windows"),
+        F.when(unchecked, none).otherwise(F.coalesce("_matched", none)).alias("matched_windows"),
     )
 
 

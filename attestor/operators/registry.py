@@ -16,8 +16,11 @@ def sweep_rows(sweep: DataFrame, registry: DataFrame, *, keys: list[str] | None
     without a status on the scale are excluded, never counted as zero.
     """
     keys = keys or []
-    verdicts = registry.select(*keys, F.col("feature_idx").alias("best_feature_idx"), "status", "claimed")
-    joined = sweep.join(verdicts, [*keys, "best_feature_idx"]).where(F.array_contains("claimed", F.col("concept_id")))
+    # one row per claim, so the claim is part of the join key and no list travels with the rows
+    claims = registry.select(
+        *keys, F.col("feature_idx").alias("best_feature_idx"), "status", F.explode("claimed").alias("concept_id")
+    ).distinct()
+    joined = sweep.join(claims, [*keys, "best_feature_idx", "concept_id"])
     out = joined.withColumn("target", status_target(F.col("status"))).where(F.col("target").isNotNull())
     return out.select(*keys, "min_positives", "concept_id", F.col("best_feature_idx").alias("feature_idx"), "target")
 

@@ -391,10 +391,26 @@ def d29(spark, sf):
     return slopes.select("model", *[(F.round(c, 5) + 0.0).alias(c) for c in ("bootstrap_lo", "bootstrap_hi")])
 
 
-@query("d29_size_trend")
+SIZES = {"A": 8e6, "N": 35e6, "R": 150e6}
+
+
+@query(
+    "d29_size_trend",
+    FIT_ROWS + "," + newton_sql("fr", ["model"]) + "," + sandwich_sql(["model"], "2 * count(*)")
+    + """, sl AS (SELECT model, b1, 1 / var1 AS w, log10(CASE model WHEN 'A' THEN 8e6 WHEN 'N' THEN 35e6 ELSE 150e6 END::DOUBLE) AS sz, n, g FROM fit JOIN vv USING (model)),
+    ct AS (SELECT *, sz - sum(w * sz) OVER () / sum(w) OVER () AS cz, sum(w * b1) OVER () / sum(w) OVER () AS pb FROM sl),
+    aa AS (SELECT *, w * cz / sum(w * cz * cz) OVER () AS a FROM ct), """
+    + BOOT_FITS.format(k="model, ", k2="model, ", p="PARTITION BY model", draws=60)
+    + "," + newton_sql("bs", ["model", "b"]).replace("suf ", "suf2 ").replace("nb", "mb").replace("nt", "mt_").replace("fit AS", "fit2 AS")
+    + """, td AS (SELECT b, sum(a * fit2.b1) AS t FROM fit2 JOIN aa USING (model) GROUP BY b)
+    SELECT round(sum(w * (b1 - pb) * (b1 - pb)), 4) AS wald, sum(n)::BIGINT AS n_rows, sum(g)::BIGINT AS n_clusters, round(sum(a * b1), 5) + 0.0 AS trend_slope,
+      (SELECT round(quantile_cont(t, 0.025), 5) + 0.0 FROM td) AS trend_lo, (SELECT round(quantile_cont(t, 0.975), 5) + 0.0 FROM td) AS trend_hi,
+      (SELECT round(least(1, greatest(2 * least(avg((t <= 0)::INT), avg((t >= 0)::INT)), 1 / count(*)::DOUBLE)), 6) FROM td) AS trend_p FROM aa""",
+)
 def d29_trend(spark, sf):
-    sizes = {"A": 8e6, "N": 35e6, "R": 150e6}
-    return N.fit_pooled_interaction(_fit_input(spark, sf, "model"), draws=60, model_sizes=sizes)[1]
+    out = N.fit_pooled_interaction(_fit_input(spark, sf, "model"), draws=60, model_sizes=SIZES)[1]
+    five = [(F.round(c, 5) + 0.0).alias(c) for c in ("trend_slope", "trend_lo", "trend_hi")]
+    return out.select(F.round("wald", 4).alias("wald"), "n_rows", "n_clusters", *five, r6(F.col("trend_p"), "trend_p"))
 
 
 @query(
@@ -475,15 +491,28 @@ def b28(spark, sf):
 
 @query("d47_power")
 def d47(spark, sf):
+    ratio = N.inflation_ratio(F.col("n"), 2 * F.col("n"))
+    return _arm_power(spark, sf).select("model", "n", r6(F.col("power"), "power"), r6(ratio, "ratio_doubled"))
+
+
+@query(
+    "d47_required_clusters",
+    "WITH " + SWEEP + """, pc AS (SELECT model, best_feature_idx, avg(auroc_inflation) AS m FROM sweep WHERE auroc_inflation IS NOT NULL GROUP BY ALL),
+    ar AS (SELECT model, avg(m) * 0.05 AS effect, stddev_samp(m) AS sd, count(*) AS n FROM pc GROUP BY 1)
+    SELECT model, n, round(2 * pow(sd * (1.959963984540054::DOUBLE + 0.8416212335729143::DOUBLE) / effect, 2), 4) AS required_clusters FROM ar""",
+)
+def d47_required(spark, sf):
+    return _arm_power(spark, sf).select("model", "n", F.round("required_clusters", 4).alias("required_clusters"))
+
+
+def _arm_power(spark, sf):
     per_cluster = sweep(spark, sf).where(F.col("auroc_inflation").isNotNull()).groupBy("model", "best_feature_idx").agg(
         F.avg("auroc_inflation").alias("m")
     )
     arms = per_cluster.groupBy("model").agg(
         (F.avg("m") * 0.05).alias("effect"), F.stddev_samp("m").alias("sd"), F.count(F.lit(1)).alias("n")
     )
-    columns = N.power_columns(F.col("effect"), F.col("sd"), F.col("n"))
-    return arms.select("model", "n", *[r6(c, name) for name, c in columns.items()],
-                       r6(N.inflation_ratio(F.col("n"), 2 * F.col("n")), "ratio_doubled"))
+    return arms.withColumns(N.power_columns(F.col("effect"), F.col("sd"), F.col("n")))
 
 
 @query(

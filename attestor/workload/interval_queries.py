@@ -147,15 +147,13 @@ def _claims_and_evidence(spark, sf):
     evidence = counted.withColumn("r", F.row_number().over(order)).where(F.col("r") <= 10).select(
         F.col("chrom").alias("feature_idx"), "window_id"
     )
-    claims = genes(spark, sf).where(F.col("start") % 5 == 0).groupBy(F.col("chrom").alias("feature_idx")).agg(
-        F.collect_list("gene_id").alias("claimed")
-    )
+    claims = genes(spark, sf).where(F.col("start") % 5 == 0).select(F.col("chrom").alias("feature_idx"), "gene_id")
     return claims, evidence
 
 
 @query(
     "d37_genomic_verdicts",
-    "WITH " + EV + GENE + CLAIM + """SELECT feature_idx, n_claims::INT AS n_claims, k AS n_windows_matched,
+    "WITH " + EV + GENE + CLAIM + """SELECT feature_idx, n_claims, k AS n_windows_matched,
       CASE WHEN n_claims > 5 THEN 'spurious' WHEN k / n::DOUBLE >= 0.5 THEN 'confirmed' WHEN k > 0 THEN 'plausible' ELSE 'spurious' END AS status,
       round(CASE WHEN n_claims > 5 THEN 0 ELSE coalesce(k / n::DOUBLE, 0) END, 6) + 0.0 AS match_rate FROM v""",
 )

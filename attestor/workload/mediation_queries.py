@@ -12,7 +12,7 @@ from attestor.operators import mediation as M
 from attestor.workload.catalog import query, r6, table
 
 MED = """
-r AS (SELECT p_brand AS locus, l_orderkey || ':' || l_linenumber || ':' || l_partkey AS sample_id, (l_suppkey % 3)::DOUBLE AS t,
+r AS (SELECT p_brand AS locus, l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey || ':' || l_quantity::BIGINT AS sample_id, (l_suppkey % 3)::DOUBLE AS t,
    l_quantity + 4 * (l_suppkey % 3) AS m, l_extendedprice / 1000 + (l_suppkey % 3) AS y, l_returnflag AS superpopulation
    FROM lineitem JOIN part ON p_partkey = l_partkey),
 c AS (SELECT locus, count(*) AS n, covar_pop(t, m) AS tm, covar_pop(t, y) AS ty, covar_pop(m, y) AS my, var_pop(t) AS tt, var_pop(m) AS mm, var_pop(y) AS yy FROM r GROUP BY 1),
@@ -26,7 +26,7 @@ def rows(spark, sf):
     t = (F.col("l_suppkey") % 3).cast("double")
     return table(spark, sf, "lineitem").join(parts, "l_partkey").select(
         "locus",
-        F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey").alias("sample_id"),
+        F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("bigint")).alias("sample_id"),
         t.alias("t"),
         (F.col("l_quantity") + 4 * t).alias("m"),
         (F.col("l_extendedprice") / 1000 + t).alias("y"),
@@ -45,14 +45,39 @@ def d49(spark, sf):
     return out.select("locus", "n_obs", *five, (F.round("proportion", 4) + 0.0).alias("proportion"))
 
 
-@query("d49_mediation_covariates")
+# with one categorical covariate, regression on its dummies is regression on values centered within it
+CENTERED = """
+z AS (SELECT locus, superpopulation, sample_id, t - avg(t) OVER g AS t, {m} - avg({m}) OVER g AS m, y - avg(y) OVER g AS y, y AS y_raw FROM r WINDOW g AS (PARTITION BY locus, superpopulation)),
+cc AS (SELECT locus, count(*) AS n, sum(t * m) AS tm, sum(t * y) AS ty, sum(m * y) AS my, sum(t * t) AS tt, sum(m * m) AS mm, sum(y * y) AS yy, var_pop(y_raw) * count(*) AS tss FROM z GROUP BY 1),
+ce AS (SELECT *, tm / tt * (my * tt - tm * ty) / (tt * mm - tm * tm) AS acme, (ty * mm - tm * my) / (tt * mm - tm * tm) AS ade FROM cc)
+"""
+
+
+@query(
+    "d49_mediation_covariates",
+    "WITH " + MED + "," + CENTERED.format(m="m") + " SELECT locus, n AS n_obs, round(acme, 5) + 0.0 AS acme, round(ade, 5) + 0.0 AS ade, round(acme + ade, 5) + 0.0 AS total FROM ce",
+)
 def d49_covariates(spark, sf):
-    return M.mediation(rows(spark, sf), keys=["locus"], category="superpopulation", n_rep=1000)
+    out = M.mediation(rows(spark, sf), keys=["locus"], category="superpopulation", n_rep=10)
+    return out.select("locus", "n_obs", *[(F.round(c, 5) + 0.0).alias(c) for c in ("acme", "ade", "total")])
+
+
+@query("d49_mediation_intervals")
+def d49_intervals(spark, sf):
+    out = M.mediation(rows(spark, sf), keys=["locus"], category="superpopulation", n_rep=1000)
+    return out.select("locus", "acme_lo", "acme_hi", "acme_p", "total_lo", "total_hi", "acme_reportable", "proportion_reportable")
 
 
-@query("d50_negative_control")
+NOISE = "noisy AS (SELECT * REPLACE (sqrt(-2 * ln((('0x' || substr(md5('42:u:' || locus || ':' || sample_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)) * cos(2 * pi() * ((('0x' || substr(md5('42:v:' || locus || ':' || sample_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)) AS m) FROM r)"
+
+
+@query(
+    "d50_negative_control",
+    "WITH " + MED + "," + NOISE + "," + CENTERED.format(m="m").replace("FROM r WINDOW", "FROM noisy WINDOW") + " SELECT locus, round(acme, 5) + 0.0 AS acme, round(ade, 5) + 0.0 AS ade FROM ce",
+)
 def d50(spark, sf):
-    return M.negative_control(rows(spark, sf), keys=["locus"], category="superpopulation").select("locus", "acme", "acme_p")
+    out = M.negative_control(rows(spark, sf), keys=["locus"], category="superpopulation", n_rep=10)
+    return out.select("locus", *[(F.round(c, 5) + 0.0).alias(c) for c in ("acme", "ade")])
 
 
 @query(
@@ -284,7 +309,11 @@ def c19(spark, sf):
     return M.attach_features(loci, naive, verdicts).select("locus", "gene_id", "feature_idx", "status")
 
 
-@query("d57_locus_study")
+@query(
+    "d57_locus_study",
+    "WITH " + MED + "," + CENTERED.format(m="m") + """ SELECT locus, 'naive' AS arm, regexp_extract(locus, '(\\d+)', 1)::INT % 7 AS feature_idx, n AS n_obs, round(acme, 5) + 0.0 AS acme,
+    round(1 - (yy - ty * ty / tt) / tss, 5) + 0.0 AS twas_r_squared, 'spurious' AS status FROM ce""",
+)
 def d57(spark, sf):
     from attestor.plans.locus_study import run_locus_study
 
@@ -299,4 +328,6 @@ def d57(spark, sf):
     verdicts = naive.select("feature_idx").distinct().select(
         "feature_idx", F.lit("spurious").alias("status"), F.lit("no window").alias("reason"), F.lit(0.0).alias("match_rate")
     )
-    return run_locus_study(loci, dosage, expression, panel, features, naive, verdicts, n_rep=200)
+    out = run_locus_study(loci, dosage, expression, panel, features, naive, verdicts, n_rep=200)
+    five = [(F.round(c, 5) + 0.0).alias(c) for c in ("acme", "twas_r_squared")]
+    return out.select("locus", "arm", "feature_idx", "n_obs", *five, "status")

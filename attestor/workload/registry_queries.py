@@ -218,12 +218,13 @@ def a23(spark, sf):
 
 @query(
     "a25_verdict_evidence",
-    "WITH " + JUDGE + """, m AS (SELECT feature_idx, round(avg((status = 'confirmed')::INT), 4) AS match_rate, string_agg(event_id, ',' ORDER BY event_id) AS windows FROM j GROUP BY 1)
+    "WITH " + JUDGE + """, m AS (SELECT event_id // 20 AS feature_idx, round(avg((status = 'confirmed')::INT), 4) AS match_rate, string_agg(event_id, ',' ORDER BY event_id) AS windows FROM j GROUP BY 1)
     SELECT feature_idx, match_rate, windows FROM m""",
 )
 def a25(spark, sf):
     path = f"{shared_folder(spark)}/evidence-{spark.sparkContext.applicationId}-{abs(hash(sf))}"
-    verdicts = judgments(spark, sf).groupBy("feature_idx").agg(
+    # twenty evidence rows per feature, as in a top-k list
+    verdicts = judgments(spark, sf).groupBy(F.floor(F.col("event_id") / 20).alias("feature_idx")).agg(
         F.avg((F.col("status") == "confirmed").cast("int")).alias("match_rate"),
         F.array_sort(F.collect_list("event_id")).alias("evidence"),
     )
@@ -319,12 +320,17 @@ def f11(spark, sf):
 
 @query(
     "b26_feature_annotations",
-    """SELECT l_suppkey AS feature_idx, string_agg(l_partkey || ' ' || p_name || ' (auroc=' || printf('%.3f', 0.5::DOUBLE + l_quantity / 100) || ')', '; '
+    """SELECT l_orderkey AS feature_idx, string_agg(l_partkey || ' ' || p_name || ' (auroc=' || printf('%.3f', 0.5::DOUBLE + l_quantity / 100) || ')', '; '
       ORDER BY l_quantity DESC, l_partkey || ' ' || p_name || ' (auroc=' || printf('%.3f', 0.5::DOUBLE + l_quantity / 100) || ')') AS annotations
     FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1""",
 )
 def b26(spark, sf):
-    named = sweep(spark, sf).join(
+    rows = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("best_feature_idx"),
+        F.col("l_partkey").alias("concept_id"),
+        (F.lit(0.5) + F.col("l_quantity") / 100).alias("single_feature_auroc"),
+    )
+    named = rows.join(
         table(spark, sf, "part").select(F.col("p_partkey").alias("concept_id"), F.col("p_name").alias("concept_name")), "concept_id"
     )
     out = I.annotations_by_feature(named)
@@ -353,6 +359,24 @@ def b19(spark, sf):
     return out.select("feature_idx", F.md5("prompt").alias("digest"))
 
 
+@query(
+    "b19_text_prompts",
+    """WITH l AS (SELECT doc_id // 10 AS feature_idx, doc_id, '- Example ' || doc_id || ': documented profession(s): ' || CASE WHEN lang = 'fr' THEN 'NONE' ELSE lang || ', ' || source END
+        || chr(10) || '  Biography text: "' || text || '"' AS line FROM documents),
+    b AS (SELECT feature_idx, string_agg(line, chr(10) ORDER BY doc_id) AS block FROM l GROUP BY 1)
+    SELECT feature_idx, md5('R' || chr(10) || 'CLAIM:' || chr(10) || 'feature ' || feature_idx || chr(10) || chr(10) || 'EVIDENCE:' || chr(10) || block || chr(10)) AS digest FROM b""",
+)
+def b19_text(spark, sf):
+    docs = table(spark, sf, "documents").withColumn("feature_idx", F.floor(F.col("doc_id") / 10))
+    listed = F.when(F.col("lang") == "fr", F.array().cast("array<string>")).otherwise(F.array("lang", "source"))
+    lines = docs.select(
+        "feature_idx", F.col("doc_id").alias("rank"), PR.text_line(F.col("doc_id").cast("string"), listed, F.col("text")).alias("line")
+    )
+    claims = docs.select("feature_idx").distinct()
+    out = PR.assemble_prompts(claims, lines, claim=F.concat(F.lit("feature "), F.col("feature_idx")), rules="R")
+    return out.select("feature_idx", F.md5("prompt").alias("digest"))
+
+
 @query(
     "b20_verdict_parsing",
     """SELECT event_id, CASE event_type WHEN 'view' THEN 'confirmed' WHEN 'click' THEN 'plausible' END AS status,
@@ -375,7 +399,7 @@ def b20(spark, sf):
 
 @query(
     "f10_candidate_evidence",
-    "WITH " + SWEEP + """, claims AS (SELECT best_feature_idx AS feature_idx, count(DISTINCT concept_id) AS n_claims FROM sweep WHERE min_positives = 300 GROUP BY 1),
+    """WITH claims AS (SELECT l_suppkey AS feature_idx, count(DISTINCT l_returnflag) AS n_claims FROM lineitem WHERE l_linenumber = 7 GROUP BY 1),
     fx AS (SELECT l_suppkey AS feature_idx, l_orderkey AS unit_id, max(l_quantity) AS act FROM lineitem GROUP BY ALL)
     SELECT feature_idx, unit_id, act, (row_number() OVER w)::INT AS rank, n_claims FROM fx JOIN claims USING (feature_idx)
     WINDOW w AS (PARTITION BY feature_idx ORDER BY act DESC, unit_id) QUALIFY row_number() OVER w <= 5""",
@@ -386,7 +410,9 @@ def f10(spark, sf):
         F.max("l_quantity").alias("act")
     )
     units = table(spark, sf, "orders").select(F.col("o_orderkey").alias("unit_id"))
-    report = sweep(spark, sf).where(F.col("min_positives") == 300)
+    report = lines.where(F.col("l_linenumber") == 7).select(
+        F.col("l_suppkey").alias("best_feature_idx"), F.col("l_returnflag").alias("concept_id")
+    )
     out = I.candidate_evidence(features, units, report, k=5)
     return out.select("feature_idx", "unit_id", "act", "rank", F.size("claimed").cast("bigint").alias("n_claims"))
 
@@ -403,4 +429,4 @@ def g5(spark, sf):
 
 @query("d5_claims_per_feature", "SELECT l_suppkey AS feature_idx, count(DISTINCT l_partkey) AS n_claims FROM lineitem WHERE l_linenumber = 1 AND l_suppkey IN (SELECT s_suppkey FROM supplier) GROUP BY 1")
 def d5_claims(spark, sf):
-    return claimed_registry(spark, sf).select("feature_idx", F.size("claimed").cast("bigint").alias("n_claims"))
+    return claimed_registry(spark, sf).groupBy("feature_idx").agg(F.count(F.lit(1)).alias("n_claims"))

@@ -57,13 +57,14 @@ CLAIMED = """claimed AS (SELECT DISTINCT l_suppkey AS feature_idx, l_partkey AS
 
 
 def claimed_registry(spark, sf):
-    claimed = (
+    """One row per claim; the list column holds that claim alone."""
+    claims = (
         table(spark, sf, "lineitem")
         .where(F.col("l_linenumber") == 1)
-        .groupBy(F.col("l_suppkey").alias("feature_idx"))
-        .agg(F.collect_set("l_partkey").alias("claimed"))
+        .select(F.col("l_suppkey").alias("feature_idx"), F.array("l_partkey").alias("claimed"))
+        .distinct()
     )
-    return registry(spark, sf).join(claimed, "feature_idx")
+    return registry(spark, sf).join(claims, "feature_idx")
 
 
 def with_duplicate_point(rows):

@@ -45,7 +45,7 @@ def test_window_labels_boundaries(spark):
 def test_genomic_verdicts(spark):
     genes = spark.createDataFrame([("G1.1", "c", 0, 10000), ("G2.1", "c", 50000, 60000)], "gene_id string, chrom string, start long, end long")
     claims = spark.createDataFrame(
-        [(1, ["G1.9"]), (2, ["G1.9"]), (3, ["G9"]), (4, []), (5, ["G1.1", "G1.1", "G2", "G3", "G4", "G5"])], "feature_idx int, claimed array<string>"
+        [(1, "G1.9"), (2, "G1.9"), (3, "G9"), (4, None), *[(5, g) for g in ("G1.1", "G1.1", "G2", "G3", "G4", "G5")]], "feature_idx int, gene_id string"
     )
     windows = {1: ["c:0-100", "c:200-300", "c:900-1000"], 2: ["c:0-100", "c:20000-20100", "c:30000-30100"], 3: ["c:0-100"], 5: ["c:0-100", "bad"]}
     evidence = spark.createDataFrame([(f, w) for f, ws in windows.items() for w in ws], "feature_idx int, window_id string")
