@@ -8,7 +8,7 @@ from attestor.operators import intervals as IV
 from attestor.operators import probing as P
 from attestor.workload.catalog import query, r6, table
 
-DAY, ORIGIN = 86400, 1704067200  # seconds; 2024-01-01T00:00:00Z
+DAY = 86400  # seconds; the origin is 2024-01-01
 
 EV = """
 ev AS (SELECT event_id, 'u' || user_id AS chrom, floor(epoch(ts))::BIGINT - 1704067200 AS s,
@@ -20,7 +20,7 @@ win AS (SELECT chrom || ':' || s || '-' || (s + 86400) AS window_id, chrom, s, s
 
 
 def spans(spark, sf):
-    start = F.col("ts").cast("timestamp").cast("bigint") - ORIGIN
+    start = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ '2024-01-01 00:00:00', ts)")
     return table(spark, sf, "events").select(
         "event_id",
         F.concat(F.lit("u"), F.col("user_id")).alias("chrom"),

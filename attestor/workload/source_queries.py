@@ -15,7 +15,6 @@ from attestor.sources import genomics as G
 from attestor.sources import proteins as PR
 from attestor.sources import results as RES
 from attestor.workload.catalog import query, r6, table
-from attestor.workload.interval_queries import ORIGIN
 
 
 
@@ -117,7 +116,7 @@ SPAN = """sp AS (SELECT event_id, 'u' || user_id AS chrom, floor(epoch(ts))::BIG
 
 
 def _spans(spark, sf):
-    start = F.col("ts").cast("timestamp").cast("bigint") - ORIGIN
+    start = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ '2024-01-01 00:00:00', ts)")
     return table(spark, sf, "events").select(
         "event_id", F.concat(F.lit("u"), "user_id").alias("chrom"), start.alias("s"), (start + 1 + F.floor(F.col("value") * 600)).alias("e"), "event_type"
     )
