@@ -18,8 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestor.session import materialize
 from attestor.operators.ordering import running_totals, score_bucket
+from attestor.session import materialize
 
 
 def _zero() -> Column:
@@ -31,20 +31,35 @@ def nonzero(features: DataFrame) -> DataFrame:
     return features.where(F.col("act") != 0)
 
 
-def pool_counts(features: DataFrame, arms: dict[str, Column]) -> DataFrame:
+def pool_counts(features: DataFrame, arms: dict[str, Column] | None = None, *, member: Column | None = None) -> DataFrame:
     """Tie blocks ``(feature_idx, score, pool_<arm>)`` of the pool, combined map-side.
 
-    ``arms`` maps an arm name to a boolean over the feature row (usually a test of the
-    unit id), so this is a filter and one aggregation.
+    ``member`` and ``arms`` are booleans over the feature row, usually tests of the unit
+    id, so this is one filter and one aggregation. Without them every row is in ``all``.
     """
-    member = [cond.cast("bigint").alias(f"pool_{arm}") for arm, cond in arms.items()]
-    rows = nonzero(features).select("feature_idx", F.col("act").alias("score"), *member)
-    rows = rows.where(F.greatest(*[F.col(f"pool_{a}") for a in arms], _zero()) > 0)
+    arms = arms or {"all": F.lit(True)}
+    rows = nonzero(features)
+    if member is not None:
+        rows = rows.where(member)
+    flags = [cond.cast("bigint").alias(f"pool_{arm}") for arm, cond in arms.items()]
+    rows = rows.select("feature_idx", F.col("act").alias("score"), *flags)
     return materialize(
         rows.groupBy("feature_idx", "score").agg(*[F.sum(f"pool_{a}").alias(f"pool_{a}") for a in arms])
     )
 
 
+def split_pool_counts(features: DataFrame, pool) -> DataFrame:
+    """Pool tie blocks of the selection and held-out arms.
+
+    The id digest is computed once per row for the filter and once more for the rows that
+    pass; the second arm is the complement of the first.
+    """
+    held = features.where(pool.in_test(F.col("unit_id"))).select(
+        "feature_idx", "act", pool.in_held(F.col("unit_id")).alias("_held")
+    )
+    return pool_counts(held, {"select": ~F.col("_held"), "held": F.col("_held")})
+
+
 def member_blocks(features: DataFrame, members: DataFrame, keys: list[str], arms: list[str]) -> DataFrame:
     """Tie blocks of the concepts' own rows: positives and corrections per score."""
     columns = [f"{side}_{a}" for a in arms for side in ("pos", "neg")]
@@ -176,7 +191,7 @@ def whole_set_auroc(features: DataFrame, positives: DataFrame, n_units: int, key
     members = positives.select(
         *keys, "unit_id", F.lit(1).cast("bigint").alias("pos_all"), F.lit(-1).cast("bigint").alias("neg_all")
     )
-    pool = pool_counts(features, {"all": F.lit(True)})
+    pool = pool_counts(features)
     pairs = feature_auroc(features, pool, members, sizes, keys=keys, arms=["all"])
     return pairs.withColumnRenamed("raw_all", "raw_auroc").withColumn("auroc", reflect(F.col("raw_auroc")))
 
@@ -208,7 +223,7 @@ def average_precision(features: DataFrame, positives: DataFrame, n_units: int, k
     """
     keys = keys or ["concept_id"]
     scope = [*keys, "feature_idx"]
-    pool = pool_counts(features, {"all": F.lit(True)})
+    pool = pool_counts(features)
     above = running_totals(
         pool.withColumn("_b", score_bucket(F.col("score"))),
         by=["feature_idx"],

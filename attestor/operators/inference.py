@@ -15,6 +15,7 @@ from attestor.session import materialize
 
 Z95 = 1.959963984540054
 THEORETICAL_SLOPE = -0.5
+MAX_GROUPS = 200_000  # fitted groups whose two coefficients the driver may hold
 
 
 # ---------------------------------------------------------------- cluster bootstrap
@@ -105,7 +106,9 @@ def grouped_logit(collapsed: DataFrame, keys: list[str], *, max_iter: int = 50,
         F.sum(F.col("_r")), F.sum(F.col("_r") * F.col("lx")),
     ]
     names = ["s0", "s1", "s2", "r0", "r1"]
-    groups = [tuple(r) for r in base.select(*keys).distinct().collect()] if keys else [()]
+    groups = [tuple(r) for r in base.select(*keys).distinct().limit(MAX_GROUPS + 1).collect()] if keys else [()]
+    if len(groups) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} groups; fit fewer models or replicates at a time")
     beta = {g: np.zeros(2) for g in groups}
     info: dict = {}
     live = set(groups)
@@ -114,7 +117,7 @@ def grouped_logit(collapsed: DataFrame, keys: list[str], *, max_iter: int = 50,
             table = spark.createDataFrame(
                 [(*g, float(beta[g][0]), float(beta[g][1])) for g in live], f"{key_schema}, b0 double, b1 double"
             )
-            now = base.join(F.broadcast(table), keys)  # one row per live group
+            now = base.join(F.broadcast(table), keys)  # at most MAX_GROUPS rows
         else:
             now = base.withColumns({"b0": F.lit(float(beta[()][0])), "b1": F.lit(float(beta[()][1]))})
         mu = 1 / (1 + F.exp(-(F.col("b0") + F.col("b1") * F.col("lx"))))

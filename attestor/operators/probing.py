@@ -14,12 +14,11 @@ from pyspark.sql import functions as F
 from attestor.operators.auroc import (
     explicit_auroc,
     feature_auroc,
-    pool_counts,
     reflect,
+    split_pool_counts,
     untouched_best,
     whole_set_auroc,
 )
-from attestor.session import materialize
 from attestor.operators.splits import (
     Pool,
     make_pool,
@@ -29,6 +28,7 @@ from attestor.operators.splits import (
     split_positives,
     subsample_positives,
 )
+from attestor.session import materialize
 
 ARMS = ["select", "held"]
 
@@ -83,8 +83,7 @@ def prepare(features: DataFrame, units: DataFrame, config: ProbeConfig) -> Probe
     pool = make_pool(
         ranked, seed=config.seed, test_fraction=config.test_fraction, held_out_fraction=config.held_out_fraction
     )
-    part = pool.part(F.col("unit_id"))
-    return ProbeContext(features, ranked, pool, pool_counts(features, {a: part == a for a in ARMS}), config)
+    return ProbeContext(features, ranked, pool, split_pool_counts(features, pool), config)
 
 
 def probe_positives(

@@ -16,8 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestor.session import materialize
 from attestor.operators.ordering import RANK_BUCKET, hash_rank, order_hash, running_totals
+from attestor.session import materialize
 
 
 def half_up(value: Column) -> Column:
@@ -44,12 +44,21 @@ class Pool:
     held_key: str  # md5:id of the last held-out unit
     test_key: str
 
+    def _key(self, unit_id: Column) -> Column:
+        return F.concat_ws(":", order_hash(self.seed, unit_id), unit_id.cast("string"))
+
+    def in_test(self, unit_id: Column) -> Column:
+        """Is the unit in the test part (held-out or selection)? From the id alone."""
+        return self._key(unit_id) <= F.lit(self.test_key)
+
+    def in_held(self, unit_id: Column) -> Column:
+        return self._key(unit_id) <= F.lit(self.held_key)
+
     def part(self, unit_id: Column) -> Column:
         """'held', 'select' or 'train' from the id alone, so features need no join."""
-        key = F.concat_ws(":", order_hash(self.seed, unit_id), unit_id.cast("string"))
         return (
-            F.when(key <= F.lit(self.held_key), F.lit("held"))
-            .when(key <= F.lit(self.test_key), F.lit("select"))
+            F.when(self.in_held(unit_id), F.lit("held"))
+            .when(self.in_test(unit_id), F.lit("select"))
             .otherwise(F.lit("train"))
         )
 

@@ -261,7 +261,7 @@ def test_sweep_reader_and_registries(spark, tmp_path):
     row = {"go_id": "GO:A", "go_name": "a", "n_positives": 20, "n_total": 100, "single_feature_auroc": 0.8, "best_feature_idx": 5, "held_out_auroc": None, "auroc_inflation": 0.1}
     for point, text in (("mp20", json.dumps([row])), ("mp100", "[]"), ("mp50", "{broken")):
         (tmp_path / point).mkdir()
-        (tmp_path / point / "go_probing_results.json").write_text(text)
+        (tmp_path / point / "results.json").write_text(text)
     out = RES.read_sweep(spark, str(tmp_path), model="m")
     assert _rows(out, "model", "min_positives", "concept_id", "best_feature_idx") == [("m", 20, "GO:A", 5)]
     assert out.first()["held_out_auroc"] is None
