@@ -31,33 +31,42 @@ def nonzero(features: DataFrame) -> DataFrame:
     return features.where(F.col("act") != 0)
 
 
-def pool_counts(features: DataFrame, arms: dict[str, Column] | None = None, *, member: Column | None = None) -> DataFrame:
+def pool_counts(
+    features: DataFrame, arms: dict[str, Column] | None = None, *, pool_keys: list[str] | None = None
+) -> DataFrame:
     """Tie blocks ``(feature_idx, score, pool_<arm>)`` of the pool, combined map-side.
 
-    ``member`` and ``arms`` are booleans over the feature row, usually tests of the unit
-    id, so this is one filter and one aggregation. Without them every row is in ``all``.
+    ``arms`` are booleans over the feature row; without them every row is in ``all``.
     """
     arms = arms or {"all": F.lit(True)}
-    rows = nonzero(features)
-    if member is not None:
-        rows = rows.where(member)
     flags = [cond.cast("bigint").alias(f"pool_{arm}") for arm, cond in arms.items()]
-    rows = rows.select("feature_idx", F.col("act").alias("score"), *flags)
-    return materialize(
-        rows.groupBy("feature_idx", "score").agg(*[F.sum(f"pool_{a}").alias(f"pool_{a}") for a in arms])
-    )
+    keys = [*(pool_keys or []), "feature_idx"]
+    rows = nonzero(features).select(*keys, F.col("act").alias("score"), *flags)
+    return materialize(rows.groupBy(*keys, "score").agg(*[F.sum(f"pool_{a}").alias(f"pool_{a}") for a in arms]))
 
 
-def split_pool_counts(features: DataFrame, pool) -> DataFrame:
-    """Pool tie blocks of the selection and held-out arms.
+def split_pool_counts(features: DataFrame, pools: list, pool_keys: list[str] | None = None) -> DataFrame:
+    """Pool tie blocks of the selection and held-out arms, of one pool or several.
 
-    The id digest is computed once per row for the filter and once more for the rows that
-    pass; the second arm is the complement of the first.
+    Membership is a digest test on the id: once per row for the filter and once more for
+    the rows that pass; the second arm is the complement of the first. With several pools
+    (``pool_keys`` has one name) a row is copied to the pools it belongs to.
     """
-    held = features.where(pool.in_test(F.col("unit_id"))).select(
-        "feature_idx", "act", pool.in_held(F.col("unit_id")).alias("_held")
-    )
-    return pool_counts(held, {"select": ~F.col("_held"), "held": F.col("_held")})
+    unit = F.col("unit_id")
+    if not pool_keys:
+        (pool,) = pools
+        held = features.where(pool.in_test(unit)).select("feature_idx", "act", pool.in_held(unit).alias("_held"))
+    else:
+        (name,) = pool_keys
+        options = F.array(
+            *[
+                F.struct(F.lit(i).alias("no"), p.in_test(unit).alias("test"), p.in_held(unit).alias("held"))
+                for i, p in enumerate(pools)
+            ]
+        )
+        held = features.select("feature_idx", "act", F.explode(F.filter(options, lambda o: o["test"])).alias("_o"))
+        held = held.select(F.col("_o.no").alias(name), "feature_idx", "act", F.col("_o.held").alias("_held"))
+    return pool_counts(held, {"select": ~F.col("_held"), "held": F.col("_held")}, pool_keys=pool_keys)
 
 
 def member_blocks(features: DataFrame, members: DataFrame, keys: list[str], arms: list[str]) -> DataFrame:
@@ -69,8 +78,11 @@ def member_blocks(features: DataFrame, members: DataFrame, keys: list[str], arms
     )
 
 
-def ranked_blocks(pool: DataFrame, blocks: DataFrame, keys: list[str], arms: list[str]) -> DataFrame:
+def ranked_blocks(
+    pool: DataFrame, blocks: DataFrame, keys: list[str], arms: list[str], pool_keys: list[str] | None = None
+) -> DataFrame:
     """Member blocks with the negatives strictly below and tied, per arm."""
+    base_keys = [*(pool_keys or []), "feature_idx"]
     scope = [*keys, "feature_idx"]
     own = running_totals(
         blocks.withColumn("_b", score_bucket(F.col("score"))),
@@ -80,23 +92,23 @@ def ranked_blocks(pool: DataFrame, blocks: DataFrame, keys: list[str], arms: lis
         totals={f"_own_{a}": F.col(f"neg_{a}") for a in arms},
     ).drop("_b")
     # scores that occur only among members get an empty pool block, so the lookup is an equi-join
-    probes = blocks.select("feature_idx", "score", *[_zero().alias(f"pool_{a}") for a in arms])
-    merged = pool.unionByName(probes).groupBy("feature_idx", "score").agg(
+    probes = blocks.select(*base_keys, "score", *[_zero().alias(f"pool_{a}") for a in arms])
+    merged = pool.unionByName(probes).groupBy(*base_keys, "score").agg(
         *[F.sum(f"pool_{a}").alias(f"pool_{a}") for a in arms]
     )
     base = running_totals(
         merged.withColumn("_b", score_bucket(F.col("score"))),
-        by=["feature_idx"],
+        by=base_keys,
         bucket="_b",
         order=["score"],
         totals={f"_base_{a}": F.col(f"pool_{a}") for a in arms},
     ).drop("_b")
-    return own.join(base, ["feature_idx", "score"])
+    return own.join(base, [*base_keys, "score"])
 
 
-def pool_profile(pool: DataFrame, arms: list[str]) -> DataFrame:
+def pool_profile(pool: DataFrame, arms: list[str], pool_keys: list[str] | None = None) -> DataFrame:
     """Per feature: pool units with a value, and with a negative value, per arm."""
-    return pool.groupBy("feature_idx").agg(
+    return pool.groupBy(*(pool_keys or []), "feature_idx").agg(
         *[F.sum(f"pool_{a}").alias(f"_nz_{a}") for a in arms],
         *[F.sum(F.when(F.col("score") < 0, F.col(f"pool_{a}")).otherwise(_zero())).alias(f"_low_{a}") for a in arms],
     )
@@ -110,16 +122,19 @@ def feature_auroc(
     *,
     keys: list[str],
     arms: list[str],
+    pool_keys: list[str] | None = None,
 ) -> DataFrame:
     """Unreflected AUROC ``raw_<arm>`` of every (concept, feature) pair with a stored value.
 
     ``sizes`` has ``n_pos_<arm>`` and ``n_neg_<arm>`` per concept. NULL when a class is
-    empty. Pairs that do not appear have no stored value among the concept's members;
+    empty. ``pool_keys`` (a subset of ``keys``) names the columns that tell several pools
+    apart. Pairs that do not appear have no stored value among the concept's members;
     :func:`untouched_best` covers them.
     """
     scope = [*keys, "feature_idx"]
     blocks = materialize(member_blocks(features, members, keys, arms))
-    ranked = ranked_blocks(pool, blocks, keys, arms)
+    ranked = ranked_blocks(pool, blocks, keys, arms, pool_keys)
+    base_keys = [*(pool_keys or []), "feature_idx"]
     up, down = F.col("score") > 0, F.col("score") < 0
     sums: list[Column] = []
     for a in arms:
@@ -133,7 +148,7 @@ def feature_auroc(
             F.sum(F.when(down, neg).otherwise(_zero())).alias(f"_dlow_{a}"),
         ]
     pairs = ranked.groupBy(*scope).agg(*sums)
-    pairs = pairs.join(pool_profile(pool, arms), "feature_idx", "left").join(sizes, keys)
+    pairs = pairs.join(pool_profile(pool, arms, pool_keys), base_keys, "left").join(sizes, keys)
     out: list[Column] = []
     for a in arms:
         n_pos, n_neg = F.col(f"n_pos_{a}"), F.col(f"n_neg_{a}")
@@ -147,7 +162,14 @@ def feature_auroc(
 
 
 def untouched_best(
-    pairs: DataFrame, pool: DataFrame, sizes: DataFrame, *, keys: list[str], arms: list[str], select_arm: str
+    pairs: DataFrame,
+    pool: DataFrame,
+    sizes: DataFrame,
+    *,
+    keys: list[str],
+    arms: list[str],
+    select_arm: str,
+    pool_keys: list[str] | None = None,
 ) -> DataFrame:
     """Best feature among those with no stored value for a concept's members.
 
@@ -156,19 +178,20 @@ def untouched_best(
     missing from the concept's list. The gap is found by comparing list positions with
     global positions; no concept x feature grid is built.
     """
-    profile = pool_profile(pool, arms)
+    pool_keys = pool_keys or []
+    profile = pool_profile(pool, arms, pool_keys)
     tilt = F.abs(2 * F.col(f"_low_{select_arm}") - F.col(f"_nz_{select_arm}"))
-    order = Window.partitionBy(F.lit(1)).orderBy(tilt.desc(), F.col("feature_idx").asc())
+    order = Window.partitionBy(*(pool_keys or [F.lit(1)])).orderBy(tilt.desc(), F.col("feature_idx").asc())
     listed = profile.withColumn("_place", F.row_number().over(order))  # one row per dictionary feature
     within = Window.partitionBy(*keys).orderBy("_place")
     seen = (
         pairs.select(*keys, "feature_idx")
-        .join(listed.select("feature_idx", "_place"), "feature_idx")
+        .join(listed.select(*pool_keys, "feature_idx", "_place"), [*pool_keys, "feature_idx"])
         .withColumn("_at", F.row_number().over(within))
     )
     gap = seen.groupBy(*keys).agg((F.sum((F.col("_at") == F.col("_place")).cast("int")) + 1).alias("_place"))
     free = sizes.join(gap, keys, "left").withColumn("_place", F.coalesce(F.col("_place"), F.lit(1)).cast("int"))
-    picked = free.join(listed, "_place")
+    picked = free.join(listed, [*pool_keys, "_place"])
     out = []
     for a in arms:
         n_neg = F.col(f"n_neg_{a}")

@@ -22,6 +22,7 @@ from attestor.operators.auroc import (
 from attestor.operators.splits import (
     Pool,
     make_pool,
+    make_pools,
     permute_labels,
     rank_units,
     split_members,
@@ -68,22 +69,30 @@ class ProbeContext:
     pool: Pool
     pooled: DataFrame
     config: ProbeConfig
+    order_keys: tuple[str, ...] = ()  # ('repeat',) when every repeat has its own unit order
 
     @property
     def fractions(self) -> dict[str, float]:
         return {"test_fraction": self.config.test_fraction, "held_out_fraction": self.config.held_out_fraction}
 
 
-def prepare(features: DataFrame, units: DataFrame, config: ProbeConfig) -> ProbeContext:
+def prepare(features: DataFrame, units: DataFrame, config: ProbeConfig, *, repeats: int | None = None) -> ProbeContext:
     """Rank the units and count the pool's tie blocks: the only full pass over features.
 
-    Real labels, every permutation draw and every sweep point reuse the result.
+    Real labels, every permutation draw and every sweep point reuse the result. With
+    ``repeats`` each repeat has its own order and pool, all counted in the same pass.
     """
-    ranked = rank_units(units, config.seed)
-    pool = make_pool(
-        ranked, seed=config.seed, test_fraction=config.test_fraction, held_out_fraction=config.held_out_fraction
+    ranked = rank_units(units, config.seed, repeats=repeats)
+    pools = make_pools(
+        ranked,
+        seed=config.seed,
+        test_fraction=config.test_fraction,
+        held_out_fraction=config.held_out_fraction,
+        repeats=repeats,
     )
-    return ProbeContext(features, ranked, pool, split_pool_counts(features, pool), config)
+    order_keys = () if repeats is None else ("repeat",)
+    # all pools have the same cuts, so any of them describes the split by rank
+    return ProbeContext(features, ranked, pools[0], split_pool_counts(features, pools, list(order_keys)), config, order_keys)
 
 
 def probe_positives(
@@ -102,13 +111,15 @@ def probe_positives(
     keys = keys or ["concept_id"]
     pool, pooled, test = context.pool, context.pooled, context.config.test_fraction
     floor = context.config.min_positives if min_positives is None else min_positives
-    parts, cuts = split or split_positives(positives, context.ranked, pool, keys=keys, **context.fractions)
+    parts, cuts = split or split_positives(
+        positives, context.ranked, pool, keys=keys, order_keys=list(context.order_keys), **context.fractions
+    )
     cuts = cuts.where((F.col("n_pos") >= floor) & (F.col("n_pos") < pool.n_units - floor))
     best = _select_and_hold(context, pool, pooled, parts, cuts.where(F.col("held_neg") > 0), keys)
     if math.floor(test * floor + 0.5) < 2:
         # concepts too small for a held-out part select on the whole test part
         whole = pooled.select(
-            "feature_idx", "score", (F.col("pool_select") + F.col("pool_held")).alias("pool_select"),
+            *context.order_keys, "feature_idx", "score", (F.col("pool_select") + F.col("pool_held")).alias("pool_select"),
             F.lit(0).cast("bigint").alias("pool_held"),
         )
         undivided = replace(pool, held_cut=0, held_key="")
@@ -121,7 +132,8 @@ def _select_and_hold(
     context: ProbeContext, pool: Pool, pooled: DataFrame, parts: DataFrame, cuts: DataFrame, keys: list[str]
 ) -> DataFrame:
     parts = parts.join(cuts.select(*keys), keys, "left_semi")
-    members = split_members(parts, cuts, context.ranked, pool, keys)
+    order_keys = list(context.order_keys)
+    members = split_members(parts, cuts, context.ranked, pool, keys, order_keys)
     sizes = cuts.select(
         *keys,
         F.col("n_pos").alias("n_positives"),
@@ -131,8 +143,12 @@ def _select_and_hold(
         F.col("held_pos").alias("n_pos_held"),
         F.col("held_neg").alias("n_neg_held"),
     )
-    pairs = materialize(feature_auroc(context.features, pooled, members, sizes, keys=keys, arms=ARMS))
-    others = untouched_best(pairs, pooled, sizes, keys=keys, arms=ARMS, select_arm="select")
+    pairs = materialize(
+        feature_auroc(context.features, pooled, members, sizes, keys=keys, arms=ARMS, pool_keys=order_keys)
+    )
+    others = untouched_best(
+        pairs, pooled, sizes, keys=keys, arms=ARMS, select_arm="select", pool_keys=order_keys
+    )
     return best_feature(pairs.unionByName(others), keys)
 
 
@@ -356,16 +372,14 @@ def controlled_subsampling(
     if targets and (smallest or 0) < max(targets):
         raise ValueError(f"a concept has only {smallest} positives, cannot subsample {max(targets)}")
     drawn = subsample_positives(positives, targets=targets, repeats=repeats, seed=config.seed)
-    probed = None
-    for repeat in range(repeats):
-        seeded = ProbeConfig(**{**config.__dict__, "seed": f"{config.seed}:{repeat}"})
-        one = probe_positives(
-            prepare(features, units, seeded),
-            drawn.where(F.col("repeat") == repeat),
+    probed = materialize(
+        probe_positives(
+            prepare(features, units, config, repeats=repeats),
+            drawn,
             keys=["concept_id", "target", "repeat"],
             min_positives=min(targets),  # every draw has exactly its target's positives
         )
-        probed = one if probed is None else probed.unionByName(one)
+    )
     tail = (1.0 - confidence) / 2
     natural = positives.groupBy("concept_id").agg(F.count(F.lit(1)).alias("n_natural_positives"))
     summary = probed.groupBy("concept_id", "target").agg(

@@ -10,6 +10,7 @@ rows are ever materialised per concept; units x concepts never is.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from dataclasses import dataclass
 
@@ -72,25 +73,44 @@ def part_of(rank: Column, held_cut: Column, test_cut: Column) -> Column:
     )
 
 
-def rank_units(units: DataFrame, seed) -> DataFrame:
-    """(unit_id, unit_rank): position of every unit in the shared order."""
-    text_id = units.select("unit_id", F.col("unit_id").cast("string").alias("_sid"))
-    ranked = hash_rank(text_id, by=[], seed=seed, parts=["unit_id"], rank="unit_rank", ties=["_sid"])
+def rank_units(units: DataFrame, seed, *, repeats: int | None = None) -> DataFrame:
+    """(unit_id, unit_rank): position of every unit in the shared order.
+
+    With ``repeats`` there is one order per ``repeat``, seeded by ``seed:repeat``.
+    """
+    rows = units.select("unit_id", F.col("unit_id").cast("string").alias("_sid"))
+    by = []
+    if repeats is not None:
+        rows = rows.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+        by, seed = ["repeat"], F.concat_ws(":", F.lit(str(seed)), F.col("repeat").cast("string"))
+    ranked = hash_rank(rows, by=by, seed=seed, parts=["unit_id"], rank="unit_rank", ties=["_sid"])
     return materialize(ranked.drop("_sid"))
 
 
-def make_pool(ranked: DataFrame, *, seed, test_fraction: float, held_out_fraction: float) -> Pool:
-    """Fix the pool's cuts: one count and two single-row lookups."""
-    n = ranked.count()
+def make_pools(
+    ranked: DataFrame, *, seed, test_fraction: float, held_out_fraction: float, repeats: int | None = None
+) -> list[Pool]:
+    """Fix the cuts of each order's pool: one count and two single-row lookups per order."""
+    wanted = ranked if repeats is None else ranked.where(F.col("repeat") == 0)
+    n = wanted.count()
     test_cut = max(1, min(n - 1, math.floor(test_fraction * n + 0.5)))
     held_cut = max(1, min(test_cut - 1, math.floor(held_out_fraction * test_cut + 0.5))) if test_cut >= 2 else 0
-    found = {
-        row["unit_rank"]: f"{row['h']}:{row['unit_id']}"
-        for row in ranked.where(F.col("unit_rank").isin([held_cut, test_cut]))
-        .select("unit_rank", "unit_id", order_hash(seed, "unit_id").alias("h"))
-        .collect()
-    }
-    return Pool(str(seed), n, held_cut, test_cut, found.get(held_cut, ""), found[test_cut])
+    seeds = [str(seed)] if repeats is None else [f"{seed}:{r}" for r in range(repeats)]
+    number = F.lit(0) if repeats is None else F.col("repeat")
+    edges = ranked.where(F.col("unit_rank").isin([held_cut, test_cut])).select(
+        number.alias("no"), "unit_rank", F.col("unit_id").cast("string").alias("sid")
+    )
+    found = {(r["no"], r["unit_rank"]): r["sid"] for r in edges.collect()}
+
+    def key(no: int, cut: int) -> str:
+        sid = found.get((no, cut))
+        return "" if sid is None else f"{hashlib.md5(f'{seeds[no]}:{sid}'.encode()).hexdigest()}:{sid}"
+
+    return [Pool(s, n, held_cut, test_cut, key(i, held_cut), key(i, test_cut)) for i, s in enumerate(seeds)]
+
+
+def make_pool(ranked: DataFrame, *, seed, test_fraction: float, held_out_fraction: float) -> Pool:
+    return make_pools(ranked, seed=seed, test_fraction=test_fraction, held_out_fraction=held_out_fraction)[0]
 
 
 def split_positives(
@@ -101,6 +121,7 @@ def split_positives(
     keys: list[str],
     test_fraction: float,
     held_out_fraction: float,
+    order_keys: list[str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Stratified split of every concept, described by its positives only.
 
@@ -108,7 +129,7 @@ def split_positives(
     ``cuts`` has one row per concept with class sizes and the unit ranks at which its
     negatives stop being held-out and test.
     """
-    placed = materialize(positives.select(*keys, "unit_id").join(ranked, "unit_id"))
+    placed = materialize(positives.select(*keys, "unit_id").join(ranked, [*(order_keys or []), "unit_id"]))
     placed = placed.withColumn("_rb", F.floor((F.col("unit_rank") - 1) / RANK_BUCKET).cast("bigint"))
     placed = running_totals(
         placed, by=keys, bucket="_rb", order=["unit_rank"], totals={"pos_before": F.lit(1).cast("bigint")}
@@ -156,7 +177,9 @@ def split_positives(
     return parts, cuts
 
 
-def split_members(parts: DataFrame, cuts: DataFrame, ranked: DataFrame, pool: Pool, keys: list[str]) -> DataFrame:
+def split_members(
+    parts: DataFrame, cuts: DataFrame, ranked: DataFrame, pool: Pool, keys: list[str], order_keys: list[str] | None = None
+) -> DataFrame:
     """Rows in which a concept differs from the pool.
 
     ``pos_*`` marks the concept's own positives; ``neg_*`` corrects the pool's count of
@@ -191,7 +214,7 @@ def split_members(parts: DataFrame, cuts: DataFrame, ranked: DataFrame, pool: Po
                 stretch(F.col("held_cut"), pool.held_cut), stretch(F.col("test_cut"), pool.test_cut)
             )
         ).alias("unit_rank"),
-    ).join(ranked, "unit_rank")
+    ).join(ranked, [*(order_keys or []), "unit_rank"])
     band = band.join(parts.select(*keys, "unit_id"), [*keys, "unit_id"], "left_anti")
     actual = part_of(F.col("unit_rank"), F.col("held_cut"), F.col("test_cut"))
     zero = F.lit(0).cast("bigint")
