@@ -80,20 +80,18 @@ def d8(spark, sf):
 
 @query(
     "d9_stratified_split",
-    """WITH u AS (SELECT vec_id AS unit_id, (label = 3) AS y, md5('42:' || vec_id) AS h FROM embeddings),
-    r AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY h, unit_id) AS rk,
-                 count(*) OVER (PARTITION BY y) AS n FROM u),
+    """WITH u AS (SELECT vec_id % 3 AS concept_id, vec_id AS unit_id, (label = 3)::INT AS y, md5('42:' || vec_id) AS h FROM embeddings),
+    r AS (SELECT *, row_number() OVER (PARTITION BY concept_id, y ORDER BY h, unit_id) AS rk, count(*) OVER (PARTITION BY concept_id, y) AS n FROM u),
     t AS (SELECT *, greatest(1, least(n - 1, floor(0.2::DOUBLE * n + 0.5)))::BIGINT AS test FROM r),
     q AS (SELECT *, greatest(1, least(test - 1, floor(0.5::DOUBLE * test + 0.5)))::BIGINT AS held FROM t)
-    SELECT unit_id, y::INT AS y, CASE WHEN rk <= held THEN 'held' WHEN rk <= test THEN 'select' ELSE 'train' END AS part
-    FROM q""",
+    SELECT concept_id, unit_id, y, CASE WHEN rk <= held THEN 'held' WHEN rk <= test THEN 'select' ELSE 'train' END AS part FROM q""",
 )
 def d9(spark, sf):
     rows = unit_labels(spark, sf).select(
-        F.lit("three").alias("concept_id"), "unit_id", (F.col("concept_id") == 3).cast("int").alias("y")
+        (F.col("unit_id") % 3).alias("concept_id"), "unit_id", (F.col("concept_id") == 3).cast("int").alias("y")
     )
     out = S.stratified_assignment(rows, keys=["concept_id"], test_fraction=0.2, held_out_fraction=0.5, seed="42")
-    return out.select("unit_id", "y", "part")
+    return out.select("concept_id", "unit_id", "y", "part")
 
 
 # The exact stratified split of every concept, written densely for the SQL engine.
