@@ -221,7 +221,8 @@ def whole_set_auroc(features: DataFrame, positives: DataFrame, n_units: int, key
 
 def explicit_auroc(rows: DataFrame, keys: list[str]) -> DataFrame:
     """AUROC over rows that carry their own flags ``(keys, score, pos, neg)``."""
-    blocks = rows.groupBy(*keys, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    # the rows usually come out of joins, and ranking reads its input twice
+    blocks = materialize(rows.groupBy(*keys, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
     ranked = running_totals(
         blocks.withColumn("_b", score_bucket(F.col("score"))),
         by=keys,

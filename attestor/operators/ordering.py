@@ -59,7 +59,8 @@ def running_totals(
     """Add, per output name, the total of an expression over the strictly earlier rows.
 
     ``bucket`` must be monotone in ``order``. Windows span one bucket only; the second
-    level sees one row per (group, bucket).
+    level sees one row per (group, bucket). The input is read by both levels, so callers
+    materialize it when it is more than a scan or one aggregation.
     """
     turn = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     before = (Window.unboundedPreceding, -1)

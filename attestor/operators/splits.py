@@ -255,7 +255,7 @@ def permute_labels(labels: DataFrame, *, draws: int, seed) -> DataFrame:
     The i-th labeled unit of a fixed hash order receives the labels of the i-th unit of
     the draw's own order. Counts per concept and label co-occurrence are unchanged.
     """
-    units = labels.select("unit_id").distinct()
+    units = materialize(labels.select("unit_id").distinct())
     fixed = hash_rank(units, by=[], seed=f"{seed}:receiver", parts=["unit_id"], rank="slot")
     drawn = units.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     shuffled = hash_rank(drawn, by=["draw"], seed=f"{seed}:giver", parts=["draw", "unit_id"], rank="slot")

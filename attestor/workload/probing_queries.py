@@ -83,7 +83,7 @@ def d8(spark, sf):
     """WITH u AS (SELECT vec_id % 3 AS concept_id, vec_id AS unit_id, (label = 3)::INT AS y, md5('42:' || vec_id) AS h FROM embeddings),
     r AS (SELECT *, row_number() OVER (PARTITION BY concept_id, y ORDER BY h, unit_id) AS rk, count(*) OVER (PARTITION BY concept_id, y) AS n FROM u),
     t AS (SELECT *, greatest(1, least(n - 1, floor(0.2::DOUBLE * n + 0.5)))::BIGINT AS test FROM r),
-    q AS (SELECT *, greatest(1, least(test - 1, floor(0.5::DOUBLE * test + 0.5)))::BIGINT AS held FROM t)
+    q AS (SELECT *, CASE WHEN min(test) OVER (PARTITION BY concept_id) >= 2 THEN greatest(1, least(test - 1, floor(0.5::DOUBLE * test + 0.5))) ELSE 0 END::BIGINT AS held FROM t)
     SELECT concept_id, unit_id, y, CASE WHEN rk <= held THEN 'held' WHEN rk <= test THEN 'select' ELSE 'train' END AS part FROM q""",
 )
 def d9(spark, sf):

@@ -285,3 +285,28 @@ def test_small_concepts_select_on_the_whole_test_part(spark):
         raws = [brute_auroc([acts.get((u, f), 0.0) for u in pick], [u in mine for u in pick]) for f in range(d)]
         assert report[concept]["single_feature_auroc"] == pytest.approx(max(max(r, 1 - r) for r in raws), abs=1e-9)
         assert (report[concept]["held_out_auroc"] is None) == (len(mine) < 8)
+
+
+def test_multivariate_fit_matches_penalized_newton(spark):
+    rng = np.random.default_rng(21)
+    n, d = 240, 6
+    x = rng.normal(size=(n, d))
+    labels = {"t": set(np.where(x[:, 0] + x[:, 1] + 0.5 * rng.normal(size=n) > 0.5)[0].tolist()), "noise": set(rng.choice(n, 80, replace=False).tolist())}
+    vectors = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "unit_id long, vec array<double>")
+    table = spark.createDataFrame([(int(u), c) for c, us in labels.items() for u in us], "unit_id long, concept_id string")
+    out = {r["concept_id"]: r["multivariate_auroc"] for r in P.multivariate_auroc(vectors, table, ["t", "noise", "absent"], P.ProbeConfig()).collect()}
+    assert set(out) == {"t", "noise"} and out["t"] > 0.85
+    for concept, mine in labels.items():
+        part = brute_split(range(n), mine)
+        train = [u for u in range(n) if part[u] == "train"]
+        test = [u for u in range(n) if part[u] != "train"]
+        mean, sd = x[train].mean(0), x[train].std(0, ddof=1)
+        design = np.column_stack([np.ones(len(train)), (x[train] - mean) / sd])
+        y = np.array([u in mine for u in train], float)
+        penalty = np.diag([0.0] + [1 / 0.01] * d)
+        beta = np.zeros(d + 1)
+        for _ in range(50):
+            mu = 1 / (1 + np.exp(-design @ beta))
+            beta += np.linalg.solve(design.T @ (design * (mu * (1 - mu))[:, None]) + penalty, design.T @ (y - mu) - penalty @ beta)
+        score = ((x[test] - mean) / sd) @ beta[1:]
+        assert out[concept] == pytest.approx(brute_auroc(list(score), [u in mine for u in test]), abs=5e-3)
