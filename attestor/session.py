@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,11 +30,18 @@ def build_session(master: str = "local[8]", app: str = "attestor", shuffle_parti
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is configured (tests)."""
+    """The folder that all executors and the driver share, from ``spark.checkpoint.dir``.
+
+    Only a session on a local master may do without the setting, as in tests; it gets one
+    temporary folder. On a cluster a machine-local folder would lose rows, so that raises.
+    """
     global _LOCAL_FOLDER
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    master = spark.conf.get("spark.master", "")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
     if _LOCAL_FOLDER is None:
         _LOCAL_FOLDER = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return _LOCAL_FOLDER
