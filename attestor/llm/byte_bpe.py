@@ -55,8 +55,7 @@ class ByteBpe:
 
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.automaton = ahocorasick.Automaton()
-        #: The two tokens whose merge makes a token. Tokens that merging cannot make are not
-        #: in here and not in the automaton; they are only ever a whole piece.
+        #: The two tokens whose merge makes a token; none for single bytes.
         self.halves: dict[bytes, tuple[bytes, bytes] | None] = {}
         for token, rank in sorted(ranks.items(), key=lambda item: item[1]):
             parts = merged(ranks, token, rank) if len(token) > 1 else [token]
@@ -64,6 +63,10 @@ class ByteBpe:
                 self.halves[token] = tuple(parts) if len(parts) == 2 else None
                 self.automaton.add_word(token.decode("latin-1"), token)
         self.automaton.make_automaton()
+        #: Whether every token is made by merges of lower rank, as in any trained vocabulary,
+        #: and every byte is a token. Compatibility of neighbours decides only then; any
+        #: other table of ranks is merged by definition.
+        self.regular = len(self.halves) == len(ranks) and all(bytes([b]) in ranks for b in range(256))
         self.compatible: dict[tuple[bytes, bytes], bool] = {}
         self.short: dict[bytes, list[bytes]] = {}
         self.pieces: dict[str, list[int]] = {}
@@ -102,6 +105,8 @@ class ByteBpe:
         ranks, compatible, fits = self.ranks, self.compatible, self._fits
         if piece in ranks:
             return [ranks[piece]]
+        if not self.regular:
+            return [ranks[token] for token in merged(ranks, piece)]
         if len(compatible) >= MEMO:
             compatible.clear()
         size, longest = len(piece), [b""] * len(piece)

@@ -230,7 +230,8 @@ def personal_data(df: DataFrame, min_seeds: int = MIN_SEEDS, confidence: float =
     columns are not looked at.
     """
     rows = _extracted(df, None, min_seeds, confidence)
-    count = [F.size(F.filter("base", lambda m, i=i: m["kind"] == i)).cast("bigint").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    of_kind = lambda i: lambda m: m["kind"] == i
+    count = [F.size(F.filter("base", of_kind(i))).cast("bigint").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     ordered = F.array_sort("base")
     return rows.select("doc_id", *count, F.sha2(_written(ordered), 256).alias("base_sha256"), _written(_all_spans()).alias("spans"))
 

@@ -112,7 +112,9 @@ def _sent(fps: DataFrame, depth: int, radius: int) -> DataFrame:
 def _deeper(cells: DataFrame, depth: int, radius: int) -> DataFrame:
     """Send the records of cells with ``depth`` bits on to cells with ``STEP_BITS`` more."""
     new = depth + STEP_BITS
-    used = F.bit_count(F.shiftright(F.col("fp"), 64 - depth).bitwiseXOR(F.col("cell")))
+    # Shifts keep the sign, so only the low ``depth`` bits count.
+    apart = F.shiftright(F.col("fp"), 64 - depth).bitwiseXOR(F.col("cell"))
+    used = F.bit_count(apart.bitwiseAND(F.lit((1 << depth) - 1).cast("bigint")))
     masks = _flips(range(depth, new), radius)
     weigh = [bin(m & (2**64 - 1)).count("1") for m in masks]
     allowed = F.filter(
