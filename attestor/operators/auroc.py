@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestor.operators.ordering import running_totals, score_bucket
+from attestor.operators.ordering import running_totals, score_bucket, stable_rank
 from attestor.session import materialize
 
 
@@ -179,18 +179,20 @@ def untouched_best(
     global positions; no concept x feature grid is built.
     """
     pool_keys = pool_keys or []
-    profile = pool_profile(pool, arms, pool_keys)
     tilt = F.abs(2 * F.col(f"_low_{select_arm}") - F.col(f"_nz_{select_arm}"))
-    order = Window.partitionBy(*(pool_keys or [F.lit(1)])).orderBy(tilt.desc(), F.col("feature_idx").asc())
-    listed = profile.withColumn("_place", F.row_number().over(order))  # one row per dictionary feature
-    within = Window.partitionBy(*keys).orderBy("_place")
-    seen = (
-        pairs.select(*keys, "feature_idx")
-        .join(listed.select(*pool_keys, "feature_idx", "_place"), [*pool_keys, "feature_idx"])
-        .withColumn("_at", F.row_number().over(within))
+    profile = materialize(pool_profile(pool, arms, pool_keys).withColumn("_against", -tilt))
+    listed = running_totals(
+        profile.withColumn("_b", score_bucket(F.col("_against"))),
+        by=pool_keys,
+        bucket="_b",
+        order=["_against", "feature_idx"],
+        totals={"_place": F.lit(1).cast("bigint")},
     )
+    listed = materialize(listed.withColumn("_place", F.col("_place") + 1).drop("_b", "_against"))
+    touched = pairs.select(*keys, "feature_idx").join(listed.select(*pool_keys, "feature_idx", "_place"), [*pool_keys, "feature_idx"])
+    seen = stable_rank(materialize(touched), by=keys, key="_place", rank="_at", bucket=F.floor(F.col("_place") / 65536))
     gap = seen.groupBy(*keys).agg((F.sum((F.col("_at") == F.col("_place")).cast("int")) + 1).alias("_place"))
-    free = sizes.join(gap, keys, "left").withColumn("_place", F.coalesce(F.col("_place"), F.lit(1)).cast("int"))
+    free = sizes.join(gap, keys, "left").withColumn("_place", F.coalesce(F.col("_place"), F.lit(1)).cast("bigint"))
     picked = free.join(listed, [*pool_keys, "_place"])
     out = []
     for a in arms:
@@ -206,19 +208,94 @@ def reflect(raw: Column) -> Column:
     return F.coalesce(F.greatest(raw, 1 - raw), F.lit(0.5))
 
 
-def whole_set_auroc(features: DataFrame, positives: DataFrame, n_units: int, keys: list[str] | None = None) -> DataFrame:
-    """AUROC of every feature against every concept over all units, no split."""
-    keys = keys or ["concept_id"]
+def _whole_set(features: DataFrame, positives: DataFrame, n_units: int, keys: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs, pool, sizes) of a run over all units without a split."""
     counts = positives.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_pos_all"))
     sizes = counts.withColumn("n_neg_all", F.lit(n_units).cast("bigint") - F.col("n_pos_all"))
     members = positives.select(
         *keys, "unit_id", F.lit(1).cast("bigint").alias("pos_all"), F.lit(-1).cast("bigint").alias("neg_all")
     )
     pool = pool_counts(features)
-    pairs = feature_auroc(features, pool, members, sizes, keys=keys, arms=["all"])
+    return feature_auroc(features, pool, members, sizes, keys=keys, arms=["all"]), pool, sizes
+
+
+def whole_set_auroc(features: DataFrame, positives: DataFrame, n_units: int, keys: list[str] | None = None) -> DataFrame:
+    """AUROC of every stored (concept, feature) pair over all units, no split.
+
+    A feature without a stored value among a concept's positives has no row here;
+    :func:`full_auroc` writes all pairs, :func:`whole_set_best` and :func:`score_levels`
+    take them into account without doing so.
+    """
+    pairs, _, _ = _whole_set(features, positives, n_units, keys or ["concept_id"])
     return pairs.withColumnRenamed("raw_all", "raw_auroc").withColumn("auroc", reflect(F.col("raw_auroc")))
 
 
+def every_pair(profile: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Every feature of ``profile`` with every concept of ``sizes``, whose list goes to each task."""
+    listed = sizes.agg(F.collect_list(F.struct(*sizes.columns)).alias("c")).scalar()
+    return profile.withColumn("_c", F.explode(listed)).select(*profile.columns, *[F.col(f"_c.{c}").alias(c) for c in sizes.columns])
+
+
+def _untouched_raw(n_neg: Column, nz: Column, low: Column) -> Column:
+    """AUROC of a feature that is silent on all positives."""
+    return (low + (n_neg - nz) * 0.5) / F.nullif(n_neg, F.lit(0))
+
+
+def full_auroc(features: DataFrame, positives: DataFrame, n_units: int, keys: list[str] | None = None) -> DataFrame:
+    """AUROC of every concept with every feature that is ever stored: the explicit long form.
+
+    The result has concepts x features rows by definition; ask for it only to store it.
+    """
+    keys = keys or ["concept_id"]
+    pairs, pool, sizes = _whole_set(features, positives, n_units, keys)
+    grid = every_pair(pool_profile(pool, ["all"]), materialize(sizes))
+    joined = grid.join(pairs.select(*keys, "feature_idx", "raw_all"), [*keys, "feature_idx"], "left")
+    silent = F.when(F.col("n_pos_all") > 0, _untouched_raw(F.col("n_neg_all"), F.col("_nz_all"), F.col("_low_all")))
+    raw = F.coalesce("raw_all", silent)
+    return joined.select(*keys, "feature_idx", raw.alias("raw_auroc"), reflect(raw).alias("auroc"))
+
+
+def whole_set_best(features: DataFrame, positives: DataFrame, n_units: int, keys: list[str] | None = None) -> DataFrame:
+    """First feature with the highest reflected AUROC per concept, among all stored features."""
+    keys = keys or ["concept_id"]
+    pairs, pool, sizes = _whole_set(features, positives, n_units, keys)
+    pairs, sizes = materialize(pairs), materialize(sizes)
+    others = untouched_best(pairs, pool, sizes, keys=keys, arms=["all"], select_arm="all")
+    both = pairs.select(*keys, "feature_idx", "raw_all").unionByName(others.select(*keys, "feature_idx", "raw_all"))
+    score = reflect(F.col("raw_all"))
+    first = F.max(F.struct(F.round(score, 12).alias("a"), (-F.col("feature_idx")).alias("i"), score.alias("s"))).alias("_t")
+    return both.groupBy(*keys).agg(first).select(
+        *keys, (-F.col("_t.i")).alias("best_feature_idx"), F.col("_t.s").alias("single_feature_auroc")
+    )
+
+
+def score_levels(features: DataFrame, positives: DataFrame, n_units: int, keys: list[str]) -> DataFrame:
+    """``max_auroc`` and ``mean_auroc`` over all stored features, per key.
+
+    The sum over all features depends on a concept only through its number of negatives:
+    it is taken from the totals of the profile, and the features that the concept does
+    touch are exchanged for their real scores.
+    """
+    pairs, pool, sizes = _whole_set(features, positives, n_units, keys)
+    pairs, sizes = materialize(pairs), materialize(sizes)
+    tilt = F.abs(2 * F.col("_low_all") - F.col("_nz_all"))
+    profile = materialize(pool_profile(pool, ["all"]).select("feature_idx", tilt.alias("_tilt")))
+    silent = F.lit(0.5) + F.coalesce(F.col("_tilt") / (2 * F.nullif(F.col("n_neg_all"), F.lit(0))), F.lit(0.0))
+    touched = pairs.join(profile, "feature_idx").groupBy(*keys).agg(
+        F.max(reflect(F.col("raw_all"))).alias("_max"), F.sum(reflect(F.col("raw_all"))).alias("_sum"), F.sum(silent).alias("_silent")
+    )
+    others = untouched_best(pairs, pool, sizes, keys=keys, arms=["all"], select_arm="all")
+    others = others.select(*keys, reflect(F.col("raw_all")).alias("_other"))
+    totals = profile.agg(F.count(F.lit(1)).alias("d"), F.sum("_tilt").alias("t"))
+    ready = sizes.join(touched, keys, "left").join(others, keys, "left").withColumns(
+        {"_d": totals.select("d").scalar(), "_t": totals.select("t").scalar()}
+    )
+    everything = F.col("_d") * 0.5 + F.coalesce(F.col("_t") / (2 * F.nullif(F.col("n_neg_all"), F.lit(0))), F.lit(0.0))
+    zero = F.lit(0.0)
+    mean = (everything + F.coalesce("_sum", zero) - F.coalesce("_silent", zero)) / F.col("_d")
+    return ready.select(*keys, F.greatest("_max", "_other").alias("max_auroc"), mean.alias("mean_auroc"))
+
+
 def explicit_auroc(rows: DataFrame, keys: list[str]) -> DataFrame:
     """AUROC over rows that carry their own flags ``(keys, score, pos, neg)``."""
     # the rows usually come out of joins, and ranking reads its input twice
@@ -239,8 +316,11 @@ def explicit_auroc(rows: DataFrame, keys: list[str]) -> DataFrame:
     return sums.select(*keys, "n_pos", "n_neg", raw.alias("raw_auroc"))
 
 
-def average_precision(features: DataFrame, positives: DataFrame, n_units: int, keys: list[str] | None = None) -> DataFrame:
-    """Average precision of every stored (concept, feature) pair.
+def average_precision(
+    features: DataFrame, positives: DataFrame, n_units: int, keys: list[str] | None = None, *, every: bool = False
+) -> DataFrame:
+    """Average precision of every stored (concept, feature) pair; with ``every``, of every
+    concept with every stored feature.
 
     Tied scores are one threshold (the usual definition), which makes the result
     independent of row order.
@@ -293,22 +373,43 @@ def average_precision(features: DataFrame, positives: DataFrame, n_units: int, k
         F.col("_silent_tp") > 0,
         F.col("_silent_tp") * (F.col("_up_tp") + F.col("_silent_tp")) / (F.col("_up") + F.col("_silent")),
     ).otherwise(F.lit(0.0))
-    return summed.select(*scope, ((F.col("_ap") + zero_block) / F.col("n_pos")).alias("average_precision"))
+    told = summed.select(*scope, ((F.col("_ap") + zero_block) / F.col("n_pos")).alias("average_precision"))
+    if not every:
+        return told
+    # silent on all positives: they all stand in the zero block, behind the positive scores
+    behind = F.col("n_pos") / (F.col("_nz_all") - F.col("_low_all") + F.lit(n_units).cast("bigint") - F.col("_nz_all"))
+    grid = every_pair(profile, materialize(counts)).select(*scope, behind.alias("_silent_ap"))
+    return grid.join(told, scope, "left").select(*scope, F.coalesce("average_precision", "_silent_ap").alias("average_precision"))
 
 
 def threshold_metrics(
-    features: DataFrame, positives: DataFrame, n_units: int, *, threshold: float = 0.0, keys: list[str] | None = None
+    features: DataFrame,
+    positives: DataFrame,
+    n_units: int,
+    *,
+    threshold: float = 0.0,
+    keys: list[str] | None = None,
+    every: bool = False,
 ) -> DataFrame:
-    """F1 and Matthews correlation at ``score > threshold`` (threshold >= 0); 0 when undefined."""
+    """F1 and Matthews correlation at ``score > threshold`` (threshold >= 0); 0 when undefined.
+
+    Of pairs with a hit; with ``every``, of every concept with every stored feature.
+    """
     if threshold < 0:
         raise ValueError("absent values score 0, so the threshold must not be negative")
     keys = keys or ["concept_id"]
     scope = [*keys, "feature_idx"]
     fired = features.where(F.col("act") > F.lit(float(threshold)))
     hits = positives.join(fired, "unit_id").groupBy(*scope).agg(F.count(F.lit(1)).alias("tp"))
-    predicted = fired.groupBy("feature_idx").agg(F.count(F.lit(1)).alias("predicted"))
     counts = positives.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_pos"))
-    cells = hits.join(predicted, "feature_idx").join(counts, keys)
+    if every:
+        over = F.sum((F.col("act") > F.lit(float(threshold))).cast("bigint"))
+        predicted = nonzero(features).groupBy("feature_idx").agg(over.alias("predicted"))
+        grid = every_pair(predicted, materialize(counts))
+        cells = grid.join(hits, scope, "left").withColumn("tp", F.coalesce("tp", _zero()))
+    else:
+        predicted = fired.groupBy("feature_idx").agg(F.count(F.lit(1)).alias("predicted"))
+        cells = hits.join(predicted, "feature_idx").join(counts, keys)
     tp, fp = F.col("tp").cast("double"), (F.col("predicted") - F.col("tp")).cast("double")
     fn = (F.col("n_pos") - F.col("tp")).cast("double")
     tn = F.lit(float(n_units)) - tp - fp - fn

@@ -15,7 +15,6 @@ from attestor.session import materialize
 
 Z95 = 1.959963984540054
 THEORETICAL_SLOPE = -0.5
-MAX_GROUPS = 200_000  # fitted groups whose two coefficients the driver may hold
 
 
 # ---------------------------------------------------------------- cluster bootstrap
@@ -91,69 +90,65 @@ def collapse(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def grouped_logit(collapsed: DataFrame, keys: list[str], *, max_iter: int = 50, tol: float = 1e-10) -> dict:
+def grouped_logit(collapsed: DataFrame, keys: list[str], *, max_iter: int = 50, tol: float = 1e-10) -> DataFrame:
     """Newton fit of ``y ~ 1 + log(x)`` for every group at once.
 
-    Each iteration is one aggregation to five sums per group; the driver only solves
-    2 x 2 systems. Returns {key: (intercept, slope, inverse information)} with NaN for
-    singular groups.
+    Returns ``keys, b0, b1, i00, i01, i11``: coefficients and inverse information, NaN for
+    singular groups. Each step is one aggregation to five sums per group and a 2 x 2 solve in
+    columns; coefficients stay in a stored table, however many groups there are, and the
+    driver only learns whether any group still moves.
     """
-    spark = collapsed.sparkSession
-    base = materialize(collapsed)
-    key_schema = ", ".join(f"{k} {collapsed.schema[k].dataType.simpleString()}" for k in keys)
-    sums = [
-        F.sum(F.col("_w")), F.sum(F.col("_w") * F.col("lx")), F.sum(F.col("_w") * F.col("lx") * F.col("lx")),
-        F.sum(F.col("_r")), F.sum(F.col("_r") * F.col("lx")),
-    ]
-    names = ["s0", "s1", "s2", "r0", "r1"]
-    groups = [tuple(r) for r in base.select(*keys).distinct().limit(MAX_GROUPS + 1).collect()] if keys else [()]
-    if len(groups) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups; fit fewer models or replicates at a time")
-    beta = {g: np.zeros(2) for g in groups}
-    info: dict = {}
-    live = set(groups)
+    base = materialize(collapsed.withColumn("_g", F.lit(0)))
+    by = [*keys, "_g"]
+    zero, none = F.lit(0.0), F.lit(float("nan"))
+    start = {"b0": zero, "b1": zero, "i00": none, "i01": none, "i11": none, "live": F.lit(True)}
+    coef = materialize(base.select(*by).distinct().withColumns(start))
+    held = ["b0", "b1", "i00", "i01", "i11", "live"]
+    mu = 1 / (1 + F.exp(-(F.col("b0") + F.col("b1") * F.col("lx"))))
     for _ in range(max_iter):
-        if keys:
-            table = spark.createDataFrame(
-                [(*g, float(beta[g][0]), float(beta[g][1])) for g in live], f"{key_schema}, b0 double, b1 double"
-            )
-            now = base.join(F.broadcast(table), keys)  # at most MAX_GROUPS rows
-        else:
-            now = base.withColumns({"b0": F.lit(float(beta[()][0])), "b1": F.lit(float(beta[()][1]))})
-        mu = 1 / (1 + F.exp(-(F.col("b0") + F.col("b1") * F.col("lx"))))
-        now = now.withColumn("_mu", mu).withColumns(
+        now = base.join(coef.where("live"), by).withColumn("_mu", mu).withColumns(
             {"_w": F.col("n") * F.col("_mu") * (1 - F.col("_mu")), "_r": F.col("sy") - F.col("n") * F.col("_mu")}
         )
-        result = now.groupBy(*keys).agg(*[s.alias(n) for s, n in zip(sums, names)]).collect()
-        still = set()
-        for row in result:
-            g = tuple(row[k] for k in keys)
-            h = np.array([[row["s0"], row["s1"]], [row["s1"], row["s2"]]])
-            det = h[0, 0] * h[1, 1] - h[0, 1] ** 2
-            if not np.isfinite(det) or det <= 1e-12 * max(1.0, h[0, 0] * h[1, 1]):
-                beta[g], info[g] = np.full(2, np.nan), np.full((2, 2), np.nan)
-                continue
-            inverse = np.linalg.inv(h)
-            step = inverse @ np.array([row["r0"], row["r1"]])
-            info[g] = inverse
-            beta[g] = beta[g] + np.clip(step, -5, 5)
-            if np.max(np.abs(step)) > tol:
-                still.add(g)
-        live = still
-        if not live:
+        sums = now.groupBy(*by).agg(
+            F.first("b0").alias("b0"), F.first("b1").alias("b1"),
+            F.sum("_w").alias("s0"), F.sum(F.col("_w") * F.col("lx")).alias("s1"),
+            F.sum(F.col("_w") * F.col("lx") * F.col("lx")).alias("s2"),
+            F.sum("_r").alias("r0"), F.sum(F.col("_r") * F.col("lx")).alias("r1"),
+        )
+        s0, s1, s2, r0, r1 = (F.col(c) for c in ("s0", "s1", "s2", "r0", "r1"))
+        sized = sums.withColumn("det", s0 * s2 - s1 * s1)
+        det = F.col("det")
+        sized = sized.withColumn("good", F.coalesce(~F.isnan(det) & (det > 1e-12 * F.greatest(F.lit(1.0), s0 * s2)), F.lit(False)))
+        good = F.col("good")
+        solved = sized.withColumns({"d0": F.when(good, (s2 * r0 - s1 * r1) / det), "d1": F.when(good, (s0 * r1 - s1 * r0) / det)})
+        clip = lambda c: F.greatest(F.lit(-5.0), F.least(F.lit(5.0), F.col(c)))
+        moving = good & (F.greatest(F.abs("d0"), F.abs("d1")) > tol)
+        stepped = solved.select(
+            *by,
+            F.when(good, F.col("b0") + clip("d0")).otherwise(none).alias("b0"),
+            F.when(good, F.col("b1") + clip("d1")).otherwise(none).alias("b1"),
+            F.when(good, s2 / det).otherwise(none).alias("i00"),
+            F.when(good, -s1 / det).otherwise(none).alias("i01"),
+            F.when(good, s0 / det).otherwise(none).alias("i11"),
+            moving.alias("live"),
+        )
+        coef = materialize(stepped.unionByName(coef.where("not live").select(*by, *held)))
+        if coef.where("live").isEmpty():
             break
-    return {g: (float(beta[g][0]), float(beta[g][1]), info.get(g, np.full((2, 2), np.nan))) for g in groups}
+    return coef.drop("_g", "live")
 
 
-def _cluster_meat(rows: DataFrame, fits: dict, keys: list[str]) -> dict:
-    """Per group: outer products of per-cluster score sums, cluster and row counts."""
-    spark = rows.sparkSession
+def _one_fit(row) -> tuple[float, float, np.ndarray]:
+    return row["b0"], row["b1"], np.array([[row["i00"], row["i01"]], [row["i01"], row["i11"]]])
+
+
+def _cluster_meat(rows: DataFrame, fits: DataFrame, keys: list[str]) -> dict:
+    """Per model of the report: outer products of per-cluster score sums, cluster and row counts."""
+    coef = fits.select(*keys, "b0", "b1")
     if keys:
-        schema = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
-        table = spark.createDataFrame([(*g, f[0], f[1]) for g, f in fits.items()], f"{schema}, b0 double, b1 double")
-        scored = rows.join(F.broadcast(table), keys)  # one row per model
+        scored = rows.join(coef, keys)
     else:
-        scored = rows.withColumns({"b0": F.lit(fits[()][0]), "b1": F.lit(fits[()][1])})
+        scored = rows.withColumns({c: coef.select(c).scalar() for c in ("b0", "b1")})
     lx = F.log("x")
     residual = F.col("y") - 1 / (1 + F.exp(-(F.col("b0") + F.col("b1") * lx)))
     per_cluster = scored.groupBy(*keys, "cluster").agg(
@@ -172,8 +167,11 @@ def _cluster_meat(rows: DataFrame, fits: dict, keys: list[str]) -> dict:
     }
 
 
-def _resampled_slopes(rows: DataFrame, *, keys: list[str], draws: int, seed) -> dict:
-    """{b: {group: slope}} of cluster-resampled refits; degenerate replicates are skipped."""
+def _resampled_slopes(rows: DataFrame, *, keys: list[str], draws: int, seed) -> DataFrame:
+    """``keys, b, slope`` of cluster-resampled refits.
+
+    A replicate counts if its outcome varies and every group has a finite slope.
+    """
     cells = rows.groupBy(*keys, "cluster", "x", "y").agg(F.count(F.lit(1)).alias("w"))
     clusters = materialize(number_clusters(materialize(cells.select(*keys, "cluster").distinct()), keys=keys))
     drawn = cluster_draws(clusters, keys=keys, draws=draws, seed=seed)
@@ -181,24 +179,18 @@ def _resampled_slopes(rows: DataFrame, *, keys: list[str], draws: int, seed) ->
     numbered = cells.join(clusters.select(*keys, "cluster", "cluster_no"), [*keys, "cluster"])
     sample = weights.join(numbered, [*keys, "cluster_no"]).withColumn("w", F.col("w") * F.col("_times"))
     collapsed = materialize(collapse(sample, [*keys, "b"]))
-    varied = {
-        r["b"] for r in collapsed.groupBy("b").agg(F.min("y_min").alias("lo"), F.max("y_max").alias("hi")).collect()
-        if r["lo"] != r["hi"]
-    }
     fits = grouped_logit(collapsed, [*keys, "b"])
-    out: dict = {}
-    for key, (_, slope, _) in fits.items():
-        *group, b = key
-        if b in varied:
-            out.setdefault(b, {})[tuple(group)] = slope
-    n_groups = len({k[:-1] for k in fits})
-    return {b: s for b, s in out.items() if len(s) == n_groups and all(math.isfinite(v) for v in s.values())}
+    n_groups = fits.select(*keys).distinct().count() if keys else 1
+    varied = collapsed.groupBy("b").agg(F.min("y_min").alias("lo"), F.max("y_max").alias("hi")).where("lo <> hi")
+    finite = F.coalesce(~F.isnan("b1") & (F.abs("b1") < float("inf")), F.lit(False))
+    whole = fits.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.bool_and(finite).alias("ok")).where((F.col("n") == n_groups) & F.col("ok"))
+    usable = fits.join(whole.select("b"), "b", "left_semi").join(varied.select("b"), "b", "left_semi")
+    return materialize(usable.select(*keys, "b", F.col("b1").alias("slope")))
 
 
-def _interval(values: list[float], confidence: float) -> tuple[float, float]:
-    tail = 100 * (1 - confidence) / 2
-    lo, hi = np.percentile(values, [tail, 100 - tail])
-    return float(lo), float(hi)
+def _percentiles(value: str, confidence: float) -> list[Column]:
+    tail = (1 - confidence) / 2
+    return [F.percentile(value, tail).alias("lo"), F.percentile(value, 1 - tail).alias("hi"), F.count(F.lit(1)).alias("n")]
 
 
 def fit_verified_rate(rows: DataFrame, *, draws: int = 2000, confidence: float = 0.95, seed="42") -> DataFrame:
@@ -208,7 +200,8 @@ def fit_verified_rate(rows: DataFrame, *, draws: int = 2000, confidence: float =
     """
     rows = materialize(rows.select(F.col("x").cast("double"), F.col("y").cast("double"), "cluster"))
     fits = grouped_logit(collapse(rows.withColumn("w", F.lit(1)), []), [])
-    b0, b1, bread = fits[()]
+    fitted = fits.first()
+    b0, b1, bread = _one_fit(fitted) if fitted else (math.nan, math.nan, None)
     if not math.isfinite(b1):
         raise ValueError("singular fit: x does not vary, or there are no rows")
     meat, g, n = _cluster_meat(rows, fits, [])[()]
@@ -220,9 +213,9 @@ def fit_verified_rate(rows: DataFrame, *, draws: int = 2000, confidence: float =
     lo = hi = None
     successful = 0
     if draws > 0 and g >= 10:
-        slopes = [s[()] for s in _resampled_slopes(rows, keys=[], draws=draws, seed=seed).values()]
-        successful = len(slopes)
-        lo, hi = _interval(slopes, confidence) if slopes else (float("nan"), float("nan"))
+        told = _resampled_slopes(rows, keys=[], draws=draws, seed=seed).agg(*_percentiles("slope", confidence)).first()
+        successful = told["n"]
+        lo, hi = (told["lo"], told["hi"]) if successful else (float("nan"), float("nan"))
     doubled = 1 / (1 + math.exp(-(b0 + b1 * math.log(2)))) - 1 / (1 + math.exp(-b0))
     return rows.sparkSession.createDataFrame(
         [(b0, b1, se0, se1, b1 - z * se1, b1 + z * se1, p, lo, hi, successful, n, g, doubled)],
@@ -251,7 +244,8 @@ def fit_pooled_interaction(
     spark = rows.sparkSession
     rows = materialize(rows.select("model", F.col("x").cast("double"), F.col("y").cast("double"), "cluster"))
     fits = grouped_logit(collapse(rows.withColumn("w", F.lit(1)), ["model"]), ["model"])
-    models = sorted(k[0] for k in fits)
+    found = {r["model"]: _one_fit(r) for r in fits.collect()}  # one row per model of the report
+    models = sorted(found)
     if len(models) < 2:
         raise ValueError(f"a pooled fit needs at least two models, got {models}")
     if reference is not None and reference not in models:
@@ -265,7 +259,7 @@ def fit_pooled_interaction(
     factor = g_total / (g_total - 1) * (n_total - 1) / (n_total - n_params)
     slope, var = {}, {}
     for m in ordered:
-        _, slope[m], bread = fits[(m,)]
+        _, slope[m], bread = found[m]
         var[m] = float((factor * bread @ meats[(m,)][0] @ bread)[1, 1])
         if not (math.isfinite(var[m]) and var[m] >= 0 and math.isfinite(slope[m])):
             raise ValueError(f"clustered standard error of {m!r} is not finite: near-separated data")
@@ -288,17 +282,22 @@ def fit_pooled_interaction(
         contrast = weight * centered / np.sum(weight * centered**2)
         trend = float(contrast @ np.array([slope[m] for m in ordered]))
     boot: dict = {}
+    n_boot = 0
     if draws > 0 and all(meats[(m,)][1] >= 10 for m in ordered):
-        boot = _resampled_slopes(rows, keys=["model"], draws=draws, seed=seed)
+        resampled = _resampled_slopes(rows, keys=["model"], draws=draws, seed=seed)
+        boot = {r["model"]: (r["lo"], r["hi"], r["n"]) for r in resampled.groupBy("model").agg(*_percentiles("slope", confidence)).collect()}
+        n_boot = max((x[2] for x in boot.values()), default=0)
     if boot and contrast is not None:
-        values = np.array([float(contrast @ np.array([s[(m,)] for m in ordered])) for s in boot.values()])
-        trend_lo, trend_hi = _interval(list(values), confidence)
-        raw = 2 * min(float(np.mean(values <= 0)), float(np.mean(values >= 0)))
-        trend_p = min(1.0, max(raw, 1.0 / len(values)))
+        weights = spark.createDataFrame([(m, float(c)) for m, c in zip(ordered, contrast)], "model string, c double")
+        trends = resampled.join(weights, "model").groupBy("b").agg(F.sum(F.col("c") * F.col("slope")).alias("v"))
+        share = lambda cond: F.avg(cond.cast("double"))
+        told = trends.agg(*_percentiles("v", confidence), share(F.col("v") <= 0).alias("down"), share(F.col("v") >= 0).alias("up")).first()
+        trend_lo, trend_hi = told["lo"], told["hi"]
+        trend_p = min(1.0, max(2 * min(told["down"], told["up"]), 1.0 / told["n"]))
     records = []
     for m in ordered:
         se = math.sqrt(var[m])
-        lo, hi = _interval([s[(m,)] for s in boot.values()], confidence) if boot else (None, None)
+        lo, hi = boot[m][:2] if m in boot else (None, None)
         records.append(
             (m, slope[m], se, slope[m] - z * se, slope[m] + z * se,
              2 * (1 - tails.norm_cdf_value(abs(slope[m] / se))) if se > 0 else float("nan"), lo, hi, meats[(m,)][1])
@@ -309,7 +308,7 @@ def fit_pooled_interaction(
         " bootstrap_lo double, bootstrap_hi double, n_clusters bigint",
     )
     summary = spark.createDataFrame(
-        [(reference, wald, tails.chi2_sf_value(wald, len(others)), n_total, g_total, len(boot), trend, trend_lo, trend_hi, trend_p)],
+        [(reference, wald, tails.chi2_sf_value(wald, len(others)), n_total, g_total, n_boot, trend, trend_lo, trend_hi, trend_p)],
         "reference string, wald double, interaction_p double, n_rows bigint, n_clusters bigint, n_bootstrap int,"
         " trend_slope double, trend_lo double, trend_hi double, trend_p double",
     )

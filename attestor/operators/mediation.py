@@ -23,7 +23,6 @@ from attestor.operators.ordering import hash_int, order_hash
 from attestor.session import materialize
 
 RHO_GRID = [round(-0.9 + 0.05 * i, 2) for i in range(37)]
-MAX_LEVELS = 64
 
 
 # ---------------------------------------------------------------- inputs
@@ -101,9 +100,8 @@ def moments(
     numeric = numeric or []
     levels: list = []
     if category is not None:
-        levels = sorted(r[0] for r in rows.select(category).distinct().limit(MAX_LEVELS + 1).collect())
-        if len(levels) > MAX_LEVELS:
-            raise ValueError(f"{category} has more than {MAX_LEVELS} levels")
+        # a coding table: one column of the moment matrix per level
+        levels = sorted(r[0] for r in rows.select(category).distinct().collect() if r[0] is not None)
     values = [F.col(c).cast("double") for c in [*columns, *numeric]]
     values += [(F.col(category) == F.lit(v)).cast("double") for v in levels]
     names = [f"v{i}" for i in range(len(values))]

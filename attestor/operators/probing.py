@@ -15,9 +15,9 @@ from attestor.operators.auroc import (
     explicit_auroc,
     feature_auroc,
     reflect,
+    score_levels,
     split_pool_counts,
     untouched_best,
-    whole_set_auroc,
 )
 from attestor.operators.splits import (
     Pool,
@@ -39,7 +39,7 @@ class ProbeConfig:
     """Knobs of a probe run, with the defaults of a standard evaluation."""
 
     min_positives: int = 50
-    max_concepts: int = 500
+    max_concepts: int | None = None  # every eligible concept
     train_fraction: float = 0.8
     held_out_fraction: float = 0.5
     min_hard_negatives: int = 10
@@ -50,14 +50,12 @@ class ProbeConfig:
         return round(1.0 - self.train_fraction, 12)
 
 
-def eligible_concepts(labels: DataFrame, *, min_positives: int, max_concepts: int) -> DataFrame:
-    """Concepts with enough labels, most frequent first, capped; counts cover all labels."""
-    counts = labels.groupBy("concept_id").agg(F.count(F.lit(1)).alias("n_labels"))
-    return (
-        counts.where(F.col("n_labels") >= min_positives)
-        .orderBy(F.col("n_labels").desc(), F.col("concept_id").asc())
-        .limit(max_concepts)
-    )
+def eligible_concepts(labels: DataFrame, *, min_positives: int, max_concepts: int | None = None) -> DataFrame:
+    """Concepts with enough labels; counts cover all labels. A cap keeps the most frequent."""
+    counts = labels.groupBy("concept_id").agg(F.count(F.lit(1)).alias("n_labels")).where(F.col("n_labels") >= min_positives)
+    if max_concepts is None:
+        return counts
+    return counts.orderBy(F.col("n_labels").desc(), F.col("concept_id").asc()).limit(max_concepts)
 
 
 @dataclass(frozen=True)
@@ -394,20 +392,21 @@ def controlled_subsampling(
 
 
 def selection_inflation(features: DataFrame, positives: DataFrame, n_units: int) -> DataFrame:
-    """Mean over draws of the best feature's score minus the mean feature's score.
+    """Mean over draws of the best feature's score minus the mean feature's score, both over
+    all stored features, with spread and percentile interval of the best score.
 
     ``positives`` has (draw, concept_id, unit_id), usually permuted labels; the measured
     mean is the null level of the reflected score.
     """
-    pairs = whole_set_auroc(features, positives, n_units, keys=["draw", "concept_id"])
-    per_draw = pairs.groupBy("draw", "concept_id").agg(
-        F.max("auroc").alias("max_auroc"), F.avg("auroc").alias("mean_auroc")
-    )
+    per_draw = score_levels(features, positives, n_units, ["draw", "concept_id"])
     return per_draw.groupBy("concept_id").agg(
         F.count(F.lit(1)).alias("n_draws"),
         F.avg("max_auroc").alias("mean_of_max"),
         F.avg("mean_auroc").alias("mean_of_mean"),
         (F.avg("max_auroc") - F.avg("mean_auroc")).alias("inflation_above_null"),
+        F.stddev_samp("max_auroc").alias("sd_of_max"),
+        F.percentile("max_auroc", 0.025).alias("max_lo"),
+        F.percentile("max_auroc", 0.975).alias("max_hi"),
     )
 
 

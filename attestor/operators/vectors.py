@@ -63,33 +63,46 @@ def unit_rows(dictionary: DataFrame) -> DataFrame:
 
 
 class Dictionary:
-    """Model weights on the driver, cut in blocks small enough to broadcast.
+    """Model weights, read by the driver in blocks small enough to broadcast.
 
-    The weights are a model parameter, not data; their size is checked, and a dictionary
-    above the limit is applied block by block.
+    The weights are a model parameter, not data. Blocks are cut along the sorted feature
+    ids, whatever ids there are, and only one block is on the driver at a time; the driver
+    checks that the blocks add up to the table.
     """
 
     def __init__(self, table: DataFrame, b_dec: list[float], max_bytes: int = MAX_BROADCAST_BYTES):
-        shape = table.agg(F.count(F.lit(1)).alias("d"), F.max(F.size("w_enc")).alias("m")).first()
-        self.n_features, self.n_dims = int(shape["d"]), int(shape["m"])
+        self.n_dims = int(table.agg(F.max(F.size("w_enc")).alias("m")).first()["m"])
         self.b_dec = np.asarray(b_dec, dtype=float)
         per_feature = 16 * self.n_dims + 16
         self.block_rows = max(1, max_bytes // per_feature)
         self.table = table
+        self.ids = np.sort(table.select("feature_idx").toPandas()["feature_idx"].to_numpy())
+        self.n_features = len(self.ids)
+        if len(np.unique(self.ids)) != self.n_features:
+            raise ValueError("a feature id occurs more than once in the dictionary")
+
+    @property
+    def n_blocks(self) -> int:
+        return -(-self.n_features // self.block_rows)
+
+    def bounds(self) -> list[tuple[int, int]]:
+        """First and last feature id of every block."""
+        starts = range(0, self.n_features, self.block_rows)
+        return [(int(self.ids[a]), int(self.ids[min(a + self.block_rows, self.n_features) - 1])) for a in starts]
 
     def blocks(self) -> Iterator[dict]:
-        edges = range(0, self.n_features, self.block_rows)
-        for start in edges:
-            part = self.table.where(
-                (F.col("feature_idx") >= start) & (F.col("feature_idx") < start + self.block_rows)
-            ).orderBy("feature_idx")
-            rows = part.toPandas()
+        read = 0
+        for first, last in self.bounds():
+            rows = self.table.where(F.col("feature_idx").between(first, last)).orderBy("feature_idx").toPandas()
+            read += len(rows)
             yield {
                 "idx": rows["feature_idx"].to_numpy(dtype=np.int32),
                 "w_enc": np.stack(rows["w_enc"].map(np.asarray)).astype(float),
                 "b_enc": rows["b_enc"].to_numpy(dtype=float),
                 "w_dec": np.stack(rows["w_dec"].map(np.asarray)).astype(float),
             }
+        if read != self.n_features:
+            raise ValueError(f"the blocks hold {read} features, the dictionary {self.n_features}")
 
 
 def _top_k(h: np.ndarray, idx: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,11 +128,9 @@ def topk_encode(
     spark = vectors.sparkSession
     id_type = vectors.schema["unit_id"].dataType.simpleString()
     keep = None if features is None else np.asarray(sorted(features), dtype=np.int32)
-    blocks = list(dictionary.blocks())
-    merged = None
-    for block in blocks:
+    merged, single = None, dictionary.n_blocks == 1
+    for block in dictionary.blocks():
         shared = spark.sparkContext.broadcast({**block, "b_dec": dictionary.b_dec})
-        single = len(blocks) == 1
 
         def encode(batches: Iterator[pd.DataFrame], shared=shared, single=single) -> Iterator[pd.DataFrame]:
             w = shared.value
@@ -137,7 +148,7 @@ def topk_encode(
 
         part = vectors.select("unit_id", "vec").mapInPandas(encode, f"unit_id {id_type}, feature_idx int, act double")
         merged = part if merged is None else merged.unionByName(part)
-    if len(blocks) > 1:
+    if not single:
         best = Window.partitionBy("unit_id").orderBy(F.col("act").desc(), F.col("feature_idx"))
         merged = merged.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")
         if features is not None:
@@ -159,25 +170,31 @@ def decode(features: DataFrame, units: DataFrame, dictionary: Dictionary) -> Dat
         F.coalesce(F.col("active.feature_idx"), F.array().cast("array<int>")).alias("idx"),
         F.coalesce(F.col("active.act"), F.array().cast("array<double>")).alias("act"),
     )
-    blocks = [
-        spark.sparkContext.broadcast({"idx": b["idx"], "w_dec": b["w_dec"]}) for b in dictionary.blocks()
-    ]
     bias = dictionary.b_dec
+    parts, single = None, dictionary.n_blocks == 1
+    for block in dictionary.blocks():
+        shared = spark.sparkContext.broadcast({"idx": block["idx"], "w_dec": block["w_dec"]})
 
-    def rebuild(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = np.tile(bias, (len(batch), 1))
-            sizes = batch["idx"].map(len).to_numpy()
-            at = np.repeat(np.arange(len(batch)), sizes)
-            idx = np.concatenate([np.asarray(v, dtype=int) for v in batch["idx"]]) if len(batch) else np.array([], int)
-            act = np.concatenate([np.asarray(v, dtype=float) for v in batch["act"]]) if len(batch) else np.array([])
-            for block in blocks:
-                known, w = block.value["idx"], block.value["w_dec"]
+        def rebuild(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            known, w = shared.value["idx"], shared.value["w_dec"]
+            for batch in batches:
+                out = np.tile(bias, (len(batch), 1)) if single else np.zeros((len(batch), len(bias)))
+                sizes = batch["idx"].map(len).to_numpy()
+                at = np.repeat(np.arange(len(batch)), sizes)
+                idx = np.concatenate([np.asarray(v, dtype=int) for v in batch["idx"]]) if len(batch) else np.array([], int)
+                act = np.concatenate([np.asarray(v, dtype=float) for v in batch["act"]]) if len(batch) else np.array([])
                 mine = np.isin(idx, known)
                 np.add.at(out, at[mine], act[mine, None] * w[np.searchsorted(known, idx[mine])])
-            yield pd.DataFrame({"unit_id": batch["unit_id"], "vec": list(out)})
-
-    return rows.mapInPandas(rebuild, f"unit_id {id_type}, vec array<double>")
+                yield pd.DataFrame({"unit_id": batch["unit_id"], "vec": list(out)})
+
+        part = rows.mapInPandas(rebuild, f"unit_id {id_type}, vec array<double>")
+        parts = part if parts is None else parts.unionByName(part)
+    if single:
+        return parts
+    # each task holds one block; the blocks' shares of a unit are added up map-side
+    total = vector_to_array(Summarizer.sum(array_to_vector("vec")))
+    summed = parts.groupBy("unit_id").agg(total.alias("vec"))
+    return summed.withColumn("vec", F.zip_with("vec", F.array(*[F.lit(float(v)) for v in bias]), lambda x, y: x + y))
 
 
 def reconstruction_metrics(

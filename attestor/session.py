@@ -47,6 +47,13 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL_FOLDER
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, used once and deleted by :func:`release`."""
+    path = f"{shared_folder(spark).rstrip('/')}/attestor-{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write an intermediate result once as Parquet in the shared folder and read it back.
 
@@ -54,9 +61,8 @@ def materialize(df: DataFrame) -> DataFrame:
     the lineage, keeps column pruning for its readers, and tells the optimizer the true
     size, so a broadcast is only ever chosen on a measured size.
     """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/attestor-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, "table")
     df.write.mode("errorifexists").parquet(path)
-    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -165,24 +165,37 @@ def read_chain(spark: SparkSession, path: str) -> DataFrame:
 # ---------------------------------------------------------------- variant calls
 
 
-def _vcf_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(records, header): data lines as arrays, and the one-row sample list."""
-    lines = spark.read.text(path)
-    header = lines.where(F.col("value").startswith("#CHROM")).distinct().limit(2)
-    if header.count() != 1:
+def _vcf_samples(spark: SparkSession, path: str) -> DataFrame:
+    """One row with the sample names, read from the heads of the files.
+
+    The first line of a file that is no comment is its header or, in a later part of a
+    table written in parts, already data; so only the head of each file is read. All
+    headers must be equal.
+    """
+    headers = set()
+    for name in spark.read.text(path).inputFiles():
+        first = spark.read.text(name).where((F.col("value") != "") & ~F.col("value").startswith("##")).first()
+        if first is not None and first[0].startswith("#CHROM"):
+            headers.add(first[0])
+    if len(headers) != 1:
         raise ValueError(f"{path}: expected one header with sample names shared by all files")
-    samples = header.select(F.slice(F.split("value", "\t"), 10, 1000000).alias("samples"))
+    return spark.createDataFrame([(headers.pop().split("\t")[9:],)], "samples array<string>")
+
+
+def _vcf_records(spark: SparkSession, path: str) -> DataFrame:
+    """Data lines with their position and alleles; the calls stay unsplit in ``_line``."""
+    lines = spark.read.text(path)
     data = lines.where((F.col("value") != "") & ~F.col("value").startswith("#"))
-    c = F.split("value", "\t")
-    records = data.select(
-        prefixed_chrom(c[0]).alias("chrom"), c[1].cast("bigint").alias("pos"), c[3].alias("ref"), c[4].alias("alt"), c.alias("_c")
+    c = F.split("value", "\t", 6)
+    return data.select(
+        prefixed_chrom(c[0]).alias("chrom"), c[1].cast("bigint").alias("pos"), c[3].alias("ref"), c[4].alias("alt"),
+        F.col("value").alias("_line"),
     )
-    return records, samples
 
 
 def _explode_calls(records: DataFrame, samples: DataFrame, keep: list[str]) -> DataFrame:
-    calls = records.withColumn("_samples", samples.scalar())
-    calls = calls.withColumn("_calls", F.slice("_c", 10, 1000000))
+    calls = records.withColumn("_samples", samples.scalar()).withColumn("_c", F.split("_line", "\t"))
+    calls = calls.withColumn("_calls", F.slice("_c", F.lit(10), F.size("_c")))
     return calls.select(*keep, F.explode(F.arrays_zip("_samples", "_calls")).alias("_z")).select(
         *keep, F.col("_z._samples").alias("sample_id"), F.col("_z._calls").alias("call")
     )
@@ -191,9 +204,9 @@ def _explode_calls(records: DataFrame, samples: DataFrame, keep: list[str]) -> D
 def read_dosage(spark: SparkSession, path: str, positions: DataFrame) -> DataFrame:
     """Dosage of requested (chrom, pos) variants; one alternate allele only, indels kept.
 
-    Positions are matched before any sample column is exploded; missing calls are absent.
+    Positions are matched before any sample column is split; missing calls are absent.
     """
-    records, samples = _vcf_records(spark, path)
+    records, samples = _vcf_records(spark, path), _vcf_samples(spark, path)
     wanted = positions.select(prefixed_chrom(F.col("chrom").cast("string")).alias("chrom"), F.col("pos").cast("bigint").alias("pos")).distinct()
     single = F.expr("instr(alt, ',') = 0 AND alt <> '.'")
     chosen = records.where(single).join(wanted, ["chrom", "pos"], "left_semi")
@@ -206,12 +219,15 @@ def read_window_calls(spark: SparkSession, path: str, windows: DataFrame) -> Dat
     """Haplotype alleles of substitutions inside ``windows(locus, chrom, start, end)``.
 
     One pass for all windows. Windows without a variant keep a row with NULL ``pos``.
+    Only positions and alleles go through the interval join; the lines with the calls are
+    then picked by the stored hits, whose measured size decides how.
     """
-    records, samples = _vcf_records(spark, path)
+    records, samples = _vcf_records(spark, path), _vcf_samples(spark, path)
     snv = records.where((F.length("ref") == 1) & (F.length("alt") == 1) & (F.col("alt") != "."))
     spans = windows.select("locus", prefixed_chrom(F.col("chrom")).alias("chrom"), "start", "end")
-    hits = points_in_windows(snv, spans)
-    calls = _explode_calls(hits, samples, ["locus", "pos", "ref", "alt"])
+    sites = ["chrom", "pos", "ref", "alt"]
+    hits = materialize(points_in_windows(snv.select(*sites).distinct(), spans).select("locus", *sites))
+    calls = _explode_calls(snv.join(hits, sites), samples, ["locus", "pos", "ref", "alt"])
     alleles = F.split(F.split_part("call", F.lit(":"), F.lit(1)), r"[/|]")
     called = calls.withColumn("_a", alleles).where(
         (F.size("_a") == 2) & ~F.exists("_a", lambda a: ~a.rlike(r"^\d+$"))

@@ -21,12 +21,12 @@ def file_order(*, row: str = "_row") -> list[Column]:
 
 
 def read_fasta(
-    spark: SparkSession, path: str, *, max_length: int = 1024, max_records: int | None = None
+    spark: SparkSession, path: str, *, max_length: int | None = None, max_records: int | None = None
 ) -> DataFrame:
-    """(unit_id, sequence): records re-joined, residues sanitized, long ones dropped.
+    """(unit_id, sequence): records re-joined, residues sanitized.
 
     Records are split at a newline followed by '>', so a '>' inside a header is safe.
-    ``max_records`` keeps the first ones in file order.
+    ``max_length`` drops longer sequences; ``max_records`` keeps the first ones in file order.
     """
     raw = spark.read.option("lineSep", "\n>").text(path).select("value", *file_order())
     text = F.regexp_replace("value", "^>", "")
@@ -37,7 +37,9 @@ def read_fasta(
         accession(head).alias("unit_id"),
         sanitize_residues(F.regexp_replace(body, r"\s", "")).alias("sequence"),
         "_file", "_block", "_row",
-    ).where((F.length("sequence") > 0) & (F.length("sequence") <= max_length))
+    ).where(F.length("sequence") > 0)
+    if max_length is not None:
+        rows = rows.where(F.length("sequence") <= max_length)
     if max_records is not None:
         rows = rows.orderBy("_file", "_block", "_row").limit(max_records)
     return rows.select("unit_id", "sequence")
@@ -91,16 +93,16 @@ def _terms(spark: SparkSession, path: str) -> DataFrame:
         F.regexp_extract("s", r"(?m)^name: (.*?)\s*$", 1).alias("name"),
         F.regexp_extract_all("s", F.lit(r"(?m)^alt_id: (GO:\S+)"), 1).alias("alts"),
         F.regexp_extract_all("s", F.lit(r"(?m)^is_a: (GO:\S+)"), 1).alias("parents"),
-        "_row",
+        "_file", "_block", "_row",
     ).where(F.col("concept_id") != "")
 
 
 def read_concept_names(spark: SparkSession, path: str) -> DataFrame:
     """(concept_id, name) with alternative ids; a canonical entry wins over an alias."""
     terms = _terms(spark, path).where(F.col("name") != "")
-    own = terms.select("concept_id", "name", F.lit(0).alias("_p"), "_row")
-    alias = terms.select(F.explode("alts").alias("concept_id"), "name", F.lit(1).alias("_p"), "_row")
-    return own.unionByName(alias).groupBy("concept_id").agg(F.min_by("name", F.struct("_p", "_row")).alias("name"))
+    own = terms.select("concept_id", "name", F.lit(0).alias("_p"), "_file", "_block", "_row")
+    alias = terms.select(F.explode("alts").alias("concept_id"), "name", F.lit(1).alias("_p"), "_file", "_block", "_row")
+    return own.unionByName(alias).groupBy("concept_id").agg(F.min_by("name", F.struct("_p", "_file", "_block", "_row")).alias("name"))
 
 
 def read_concept_edges(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

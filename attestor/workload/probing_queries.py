@@ -69,13 +69,43 @@ def d7(spark, sf):
     QUALIFY row_number() OVER (PARTITION BY concept_id ORDER BY auroc DESC, feature_idx) = 1""",
 )
 def d8(spark, sf):
-    pairs = A.whole_set_auroc(dense_features(spark, sf), unit_labels(spark, sf), _n(spark, sf))
-    top = pairs.groupBy("concept_id").agg(
-        F.max(F.struct(F.round("auroc", 12).alias("a"), (-F.col("feature_idx")).alias("i"))).alias("t")
-    )
-    return top.select(
-        "concept_id", (-F.col("t.i")).alias("best_feature_idx"), r6(F.col("t.a"), "single_feature_auroc")
-    )
+    top = A.whole_set_best(dense_features(spark, sf), unit_labels(spark, sf), _n(spark, sf))
+    return top.select("concept_id", "best_feature_idx", r6(F.col("single_feature_auroc"), "single_feature_auroc"))
+
+
+# Few values per feature, of both signs; the twins fill the matrix up with zeros.
+SPARSE = """
+kept AS (SELECT vec_id AS unit_id, unnest(range(0, len(embedding)))::INT AS feature_idx, unnest(embedding)::DOUBLE AS act FROM embeddings),
+sparse AS (SELECT * FROM kept WHERE abs(act) > 0.34),
+dict AS (SELECT DISTINCT feature_idx FROM sparse),
+feats AS (SELECT e.vec_id AS unit_id, e.label, d.feature_idx, coalesce(s.act, 0) AS act
+          FROM embeddings e CROSS JOIN dict d LEFT JOIN sparse s ON s.unit_id = e.vec_id AND s.feature_idx = d.feature_idx),
+"""
+
+
+def sparse_features(spark, sf):
+    return dense_features(spark, sf).where(F.abs("act") > 0.34)
+
+
+@query(
+    "d6_full_sparse_auroc",
+    "WITH " + SPARSE + PAIR_RANKS + "SELECT concept_id, feature_idx, round(raw_auroc, 6) + 0.0 AS raw_auroc FROM raw",
+)
+def d6_full(spark, sf):
+    out = A.full_auroc(sparse_features(spark, sf), unit_labels(spark, sf), _n(spark, sf))
+    return out.select("concept_id", "feature_idx", r6(F.col("raw_auroc"), "raw_auroc"))
+
+
+@query(
+    "d8_sparse_best_feature",
+    "WITH " + SPARSE + PAIR_RANKS + """, best AS (SELECT concept_id, feature_idx,
+      round(greatest(raw_auroc, 1 - raw_auroc), 12) AS auroc FROM raw)
+    SELECT concept_id, feature_idx AS best_feature_idx, round(auroc, 6) + 0.0 AS single_feature_auroc FROM best
+    QUALIFY row_number() OVER (PARTITION BY concept_id ORDER BY auroc DESC, feature_idx) = 1""",
+)
+def d8_sparse(spark, sf):
+    top = A.whole_set_best(sparse_features(spark, sf), unit_labels(spark, sf), _n(spark, sf))
+    return top.select("concept_id", "best_feature_idx", r6(F.col("single_feature_auroc"), "single_feature_auroc"))
 
 
 @query(
@@ -355,21 +385,42 @@ def d17(spark, sf):
     )
 
 
-@query(
-    "d21_average_precision",
-    "WITH " + DENSE + """concepts AS (SELECT DISTINCT label AS concept_id FROM embeddings),
+AP = """concepts AS (SELECT DISTINCT label AS concept_id FROM embeddings),
     x AS (SELECT c.concept_id, feature_idx, act, (label = c.concept_id)::INT AS y FROM feats, concepts c),
     b AS (SELECT concept_id, feature_idx, act, sum(y) AS tp, count(*) AS n FROM x GROUP BY ALL),
     k AS (SELECT *, sum(tp) OVER w AS ctp, sum(n) OVER w AS cn, sum(tp) OVER (PARTITION BY concept_id, feature_idx) AS np
           FROM b WINDOW w AS (PARTITION BY concept_id, feature_idx ORDER BY act DESC))
     SELECT concept_id, feature_idx, round(sum(tp * (ctp / cn::DOUBLE)) / first(np), 6) + 0.0 AS average_precision
-    FROM k GROUP BY concept_id, feature_idx""",
-)
+    FROM k GROUP BY concept_id, feature_idx"""
+
+
+@query("d21_average_precision", "WITH " + DENSE + AP)
 def d21(spark, sf):
     ap = A.average_precision(dense_features(spark, sf), unit_labels(spark, sf), _n(spark, sf))
     return ap.select("concept_id", "feature_idx", r6(F.col("average_precision"), "average_precision"))
 
 
+@query("d21_sparse_average_precision", "WITH " + SPARSE + AP)
+def d21_sparse(spark, sf):
+    ap = A.average_precision(sparse_features(spark, sf), unit_labels(spark, sf), _n(spark, sf), every=True)
+    return ap.select("concept_id", "feature_idx", r6(F.col("average_precision"), "average_precision"))
+
+
+@query(
+    "d22_sparse_f1_mcc",
+    "WITH " + SPARSE + """concepts AS (SELECT DISTINCT label AS concept_id FROM embeddings),
+    x AS (SELECT c.concept_id, feature_idx, act > 0.1 AS p, label = c.concept_id AS y FROM feats, concepts c),
+    m AS (SELECT concept_id, feature_idx, count(*) FILTER (p AND y)::DOUBLE AS tp, count(*) FILTER (p AND NOT y)::DOUBLE AS fp,
+          count(*) FILTER (NOT p AND y)::DOUBLE AS fn, count(*) FILTER (NOT p AND NOT y)::DOUBLE AS tn FROM x GROUP BY ALL)
+    SELECT concept_id, feature_idx, round(2 * tp / (2 * tp + fp + fn), 6) + 0.0 AS f1,
+      CASE WHEN tp + fp = 0 THEN 0.0::DOUBLE ELSE round((tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 6) + 0.0 END AS mcc
+    FROM m""",
+)
+def d22_sparse(spark, sf):
+    out = A.threshold_metrics(sparse_features(spark, sf), unit_labels(spark, sf), _n(spark, sf), threshold=0.1, every=True)
+    return out.select("concept_id", "feature_idx", r6(F.col("f1"), "f1"), r6(F.col("mcc"), "mcc"))
+
+
 @query(
     "d22_f1_mcc",
     "WITH " + DENSE + """concepts AS (SELECT DISTINCT label AS concept_id FROM embeddings),
@@ -385,9 +436,7 @@ def d22(spark, sf):
     return out.select("concept_id", "feature_idx", r6(F.col("f1"), "f1"), r6(F.col("mcc"), "mcc"))
 
 
-@query(
-    "d23_selection_inflation",
-    "WITH " + DENSE + PERM.format(draws=3) + """tot AS (SELECT count(*)::DOUBLE AS n FROM embeddings),
+SELECTION = """tot AS (SELECT count(*)::DOUBLE AS n FROM embeddings),
     rk AS (SELECT unit_id, feature_idx, rank() OVER (PARTITION BY feature_idx ORDER BY act)
              + (count(*) OVER (PARTITION BY feature_idx, act) - 1) / 2.0 AS r FROM feats),
     pr AS (SELECT draw, concept_id, feature_idx, sum(r) AS rs, count(*)::DOUBLE AS np
@@ -395,14 +444,24 @@ def d22(spark, sf):
     a AS (SELECT draw, concept_id, (rs - np * (np + 1) / 2) / (np * (n - np)) AS raw FROM pr, tot),
     d AS (SELECT draw, concept_id, max(greatest(raw, 1 - raw)) AS mx, avg(greatest(raw, 1 - raw)) AS mn FROM a GROUP BY ALL)
     SELECT concept_id, count(*) AS n_draws, round(avg(mx), 6) AS mean_of_max, round(avg(mn), 6) AS mean_of_mean,
-      round(avg(mx) - avg(mn), 6) AS inflation_above_null FROM d GROUP BY concept_id""",
-)
+      round(avg(mx) - avg(mn), 6) AS inflation_above_null,
+      round(stddev_samp(mx), 6) AS sd_of_max, round(quantile_cont(mx, 0.025), 6) AS max_lo, round(quantile_cont(mx, 0.975), 6) AS max_hi FROM d GROUP BY concept_id"""
+
+
+@query("d23_selection_inflation", "WITH " + DENSE + PERM.format(draws=3) + SELECTION)
 def d23(spark, sf):
     moved = S.permute_labels(unit_labels(spark, sf), draws=3, seed="42")
     out = P.selection_inflation(dense_features(spark, sf), moved, _n(spark, sf))
     return out.select("concept_id", "n_draws", *[r6(F.col(c), c) for c in out.columns[2:]])
 
 
+@query("d23_sparse_selection_inflation", "WITH " + SPARSE + PERM.format(draws=3) + SELECTION)
+def d23_sparse(spark, sf):
+    moved = S.permute_labels(unit_labels(spark, sf), draws=3, seed="42")
+    out = P.selection_inflation(sparse_features(spark, sf), moved, _n(spark, sf))
+    return out.select("concept_id", "n_draws", *[r6(F.col(c), c) for c in out.columns[2:]])
+
+
 @query("d13_multivariate_auroc")
 def d13(spark, sf):
     labels = unit_labels(spark, sf)

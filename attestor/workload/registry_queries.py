@@ -9,7 +9,7 @@ from attestor.functions import stats as ST
 from attestor.operators import agreement as G
 from attestor.operators import inspect as I
 from attestor.operators import registry as R
-from attestor.session import shared_folder
+from attestor.session import fresh_path
 from attestor.sources import results as RES
 from attestor.workload.catalog import query, r6, table
 from attestor.workload.sweep_tables import REGISTRY, SWEEP, claimed_registry, registry, sweep
@@ -175,7 +175,7 @@ def a26(spark, sf):
 
 @query("a26_sheet_round_trip", "WITH " + REGISTRY + " SELECT feature_idx::INT AS feature_idx, status, claimed_concept AS justification FROM registry")
 def a26_round_trip(spark, sf):
-    path = f"{shared_folder(spark)}/sheet-{spark.sparkContext.applicationId}-{abs(hash(sf))}"
+    path = fresh_path(spark, "sheet")
     rows = registry(spark, sf)
     RES.write_sheet(rows.select("feature_idx", "status", F.lit("high").alias("confidence"), F.col("claimed_concept").alias("justification")), path)
     return RES.read_sheet(spark, path).select("feature_idx", "status", "justification")
@@ -186,7 +186,7 @@ def a26_round_trip(spark, sf):
     "WITH " + SWEEP + " SELECT model, min_positives, count(*) AS n_rows, round(sum(single_feature_auroc), 4) AS total FROM sweep GROUP BY ALL",
 )
 def a24(spark, sf):
-    path = f"{shared_folder(spark)}/report-{spark.sparkContext.applicationId}-{abs(hash(sf))}"
+    path = fresh_path(spark, "report")
     rows = sweep(spark, sf)
     RES.write_report(rows, path)
     RES.write_report(rows.where(F.col("model") == "A"), path)  # rerun of one model replaces only its rows
@@ -200,7 +200,7 @@ def a24(spark, sf):
     "WITH " + REGISTRY + " SELECT feature_idx::INT AS feature_idx, status, claimed_concept FROM registry",
 )
 def a22(spark, sf):
-    path = f"{shared_folder(spark)}/registry-{spark.sparkContext.applicationId}-{abs(hash(sf))}"
+    path = fresh_path(spark, "registry")
     RES.write_json(registry(spark, sf), path)
     return RES.read_registry(spark, path).select("feature_idx", "status", "claimed_concept")
 
@@ -222,7 +222,7 @@ def a23(spark, sf):
     SELECT feature_idx, match_rate, windows FROM m""",
 )
 def a25(spark, sf):
-    path = f"{shared_folder(spark)}/evidence-{spark.sparkContext.applicationId}-{abs(hash(sf))}"
+    path = fresh_path(spark, "evidence")
     # twenty evidence rows per feature, as in a top-k list
     verdicts = judgments(spark, sf).groupBy(F.floor(F.col("event_id") / 20).alias("feature_idx")).agg(
         F.avg((F.col("status") == "confirmed").cast("int")).alias("match_rate"),

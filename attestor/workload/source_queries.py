@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 from attestor.operators import genome as GN
 from attestor.operators import intervals as IV
 from attestor.operators import probing as P
-from attestor.session import materialize, shared_folder
+from attestor.session import fresh_path, materialize
 from attestor.sources import genomics as G
 from attestor.sources import proteins as PR
 from attestor.sources import results as RES
@@ -20,7 +19,7 @@ from attestor.workload.catalog import query, r6, table
 
 def as_text(df: DataFrame, line: Column, extension: str) -> str:
     """Write one line per row to a new folder of text files and return its path."""
-    path = f"{shared_folder(df.sparkSession)}/text-{uuid.uuid4().hex}-{extension}"
+    path = fresh_path(df.sparkSession, f"text-{extension}")
     df.select(line.alias("value")).write.text(path)
     return path
 
@@ -319,7 +318,7 @@ def a13(spark, sf):
     parts = table(spark, sf, "part")
     types = sorted(r[0] for r in parts.select("p_type").distinct().collect())
     wide = parts.groupBy(_cat("G", F.col("p_size")).alias("TargetID")).pivot("p_type", types).agg(F.round(F.avg("p_retailprice"), 4))
-    path = f"{shared_folder(spark)}/matrix-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "matrix")
     wide.write.option("header", True).option("sep", "\t").option("nullValue", "NA").csv(path)
     return G.read_expression(spark, path).where(F.col("value").isNotNull())
 
@@ -344,7 +343,7 @@ def a14(spark, sf):
 def a21(spark, sf):
     from attestor.workload.sweep_tables import sweep
 
-    root = f"{shared_folder(spark)}/sweep-{uuid.uuid4().hex}"
+    root = fresh_path(spark, "sweep")
     rows = sweep(spark, sf).select(
         "min_positives", F.col("concept_id").cast("string").alias("go_id"), "single_feature_auroc", F.col("best_feature_idx").cast("int").alias("best_feature_idx")
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from attestor.operators import auroc as A
 from attestor.operators import inspect as I
 from attestor.operators import vectors as V
-from attestor.session import materialize, shared_folder
+from attestor.session import fresh_path, materialize
 from attestor.sources import activations as ACT
 from attestor.workload.catalog import query, r6, table, unit_labels, vectors
 
@@ -57,6 +57,17 @@ def b22(spark, sf):
     return encoded(spark, sf).select("unit_id", "feature_idx", r6(F.col("act"), "act"))
 
 
+@query(
+    "b22_gapped_dictionary",
+    "WITH " + E + "z AS (SELECT 1) SELECT unit_id, (feature_idx * 37 + 5)::INT AS feature_idx, round(act, 6) + 0.0 AS act FROM enc",
+)
+def b22_gapped(spark, sf):
+    """The same dictionary under ids with gaps, applied in blocks of a few features."""
+    spaced = V.unit_rows(dictionary_table(spark)).withColumn("feature_idx", (F.col("feature_idx") * 37 + 5).cast("int"))
+    out = V.topk_encode(vectors(spark, sf), V.Dictionary(spaced, B_DEC, max_bytes=50_000), K)
+    return out.select("unit_id", "feature_idx", r6(F.col("act"), "act"))
+
+
 RECON = """
 wn AS (SELECT feature_idx, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) AS wd FROM dict),
 dec AS (SELECT unit_id, dim, sum(act * wv) AS s FROM (
@@ -244,7 +255,7 @@ def f9(spark, sf):
     round(list_sum(embedding::DOUBLE[]), 6) + 0.0 AS total FROM embeddings""",
 )
 def a17(spark, sf):
-    path = f"{shared_folder(spark)}/activations-{spark.sparkContext.applicationId}-{abs(hash(sf))}"
+    path = fresh_path(spark, "activations")
     rows = vectors(spark, sf).select(
         "unit_id", F.col("vec").cast("array<float>").alias("vec"), (F.col("unit_id") % 4).cast("int").alias("shard_id")
     )
