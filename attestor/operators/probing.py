@@ -189,13 +189,14 @@ def hard_negative_auroc(
     positives: DataFrame,
     split: tuple[DataFrame, DataFrame],
     best: DataFrame,
-    siblings: DataFrame,
+    edges: DataFrame,
     labels: DataFrame,
+    aliases: DataFrame | None = None,
 ) -> DataFrame:
     """Held-out score of the chosen feature against units that carry a sibling concept.
 
-    ``siblings`` has (concept_id, sibling_id). Only held-out units count, so labels are
-    cut to them before they are joined to siblings; the score is NULL below
+    ``edges`` has (child_id, parent_id). Only held-out units count, so labels are cut to
+    them before they meet the ontology, and that is cut to the probed concepts; the score is NULL below
     ``min_hard_negatives`` but the count is always reported.
     """
     keys = ["concept_id"]
@@ -204,7 +205,7 @@ def hard_negative_auroc(
     widest = cuts.agg(F.max("held_cut").alias("c")).scalar()
     held_units = context.ranked.where(F.col("unit_rank") <= widest)
     held_labels = labels.select("unit_id", "concept_id").join(held_units, "unit_id")
-    carriers = hard_negatives(held_labels, siblings, positives)
+    carriers = hard_negatives(held_labels, edges, positives, concepts=best, aliases=aliases)
     held_carriers = (
         carriers.join(held_units, "unit_id")
         .join(cuts.select("concept_id", "held_cut"), keys)
@@ -233,26 +234,47 @@ def hard_negative_auroc(
     )
 
 
+def parents_of(edges: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """(concept_id, parent_id). Aliases (alt_id, concept_id) inherit their concept's parents."""
+    own = edges.select(F.col("child_id").alias("concept_id"), "parent_id")
+    if aliases is not None:
+        named = aliases.select("alt_id", F.col("concept_id").alias("child_id"))
+        own = own.unionByName(edges.join(named, "child_id").select(F.col("alt_id").alias("concept_id"), "parent_id"))
+    return own.distinct()
+
+
 def siblings_of(edges: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """(concept_id, sibling_id): concepts sharing at least one direct parent.
 
     ``aliases`` (alt_id, concept_id) inherit their concept's parents but are nobody's child.
+    The pairs of a parent are many by definition; :func:`hard_negatives` does without them.
     """
     child = edges.select(F.col("child_id").alias("sibling_id"), "parent_id").distinct()
-    own = edges.select(F.col("child_id").alias("concept_id"), "parent_id")
-    if aliases is not None:
-        named = aliases.select("alt_id", F.col("concept_id").alias("child_id"))
-        own = own.unionByName(edges.join(named, "child_id").select(F.col("alt_id").alias("concept_id"), "parent_id"))
-    shared = own.distinct().join(child, "parent_id").where(F.col("concept_id") != F.col("sibling_id"))
+    shared = parents_of(edges, aliases).join(child, "parent_id").where(F.col("concept_id") != F.col("sibling_id"))
     return shared.select("concept_id", "sibling_id").distinct()
 
 
-def hard_negatives(labels: DataFrame, siblings: DataFrame, positives: DataFrame) -> DataFrame:
-    """(concept_id, unit_id) of units with a sibling's label that are not positives."""
-    carriers = siblings.join(
-        labels.select("unit_id", F.col("concept_id").alias("sibling_id")), "sibling_id"
-    ).select("concept_id", "unit_id")
-    return carriers.distinct().join(positives.select("concept_id", "unit_id"), ["concept_id", "unit_id"], "left_anti")
+def hard_negatives(
+    labels: DataFrame, edges: DataFrame, positives: DataFrame, *, concepts: DataFrame | None = None, aliases: DataFrame | None = None
+) -> DataFrame:
+    """(concept_id, unit_id) of units with a sibling's label that are not positives.
+
+    The ontology is cut to the parents of ``concepts`` (default: those with positives)
+    before labels are touched. A unit is then one row per parent with its first and last
+    label under it, which tells whether it has a label other than the concept's own; pairs
+    of siblings are never written.
+    """
+    wanted = (positives if concepts is None else concepts).select("concept_id").distinct()
+    parents = materialize(parents_of(edges, aliases).join(wanted, "concept_id", "left_semi"))
+    child = edges.join(parents.select("parent_id").distinct(), "parent_id", "left_semi").select(
+        F.col("child_id").alias("concept_id"), "parent_id"
+    ).distinct()
+    under = labels.select("unit_id", "concept_id").join(child, "concept_id").groupBy("parent_id", "unit_id").agg(
+        F.min("concept_id").alias("_lo"), F.max("concept_id").alias("_hi")
+    )
+    other = (F.col("_lo") != F.col("concept_id")) | (F.col("_hi") != F.col("concept_id"))
+    carriers = under.join(parents, "parent_id").where(other).select("concept_id", "unit_id").distinct()
+    return carriers.join(positives.select("concept_id", "unit_id"), ["concept_id", "unit_id"], "left_anti")
 
 
 def probe_concepts(
@@ -279,7 +301,7 @@ def probe_concepts(
     report = probe_positives(context, positives, split=split)
     if edges is not None:
         report = materialize(report)
-        hard = hard_negative_auroc(context, positives, split, report, siblings_of(edges, aliases), labels)
+        hard = hard_negative_auroc(context, positives, split, report, edges, labels, aliases)
         report = report.join(hard, "concept_id", "left")
     else:
         report = report.withColumns(

@@ -218,7 +218,7 @@ def _edges(spark, sf):
 )
 def c14(spark, sf):
     labels = table(spark, sf, "customer").select(F.col("c_custkey").alias("unit_id"), F.col("c_nationkey").alias("concept_id"))
-    hard = P.hard_negatives(labels, P.siblings_of(_edges(spark, sf)), labels)
+    hard = P.hard_negatives(labels, _edges(spark, sf), labels)
     return hard.groupBy("concept_id").agg(F.count(F.lit(1)).alias("n_hard_negatives"))
 
 

@@ -339,7 +339,7 @@ def b26(spark, sf):
 
 @query(
     "b19_judge_prompts",
-    """WITH l AS (SELECT conv_id AS feature_idx, turn, '- ' || conv_id || '/' || turn || ': "' || text || '" — GO annotations: ' ||
+    """WITH l AS (SELECT conv_id AS feature_idx, turn, '[record ' || conv_id || '/' || turn || '] ' || text || ' | said by = ' ||
         CASE WHEN turn % 3 = 0 THEN 'NONE' ELSE role || ' (turn ' || turn || ')' END AS line FROM conversations),
     b AS (SELECT feature_idx, string_agg(line, chr(10) ORDER BY turn, line) AS block FROM l GROUP BY 1)
     SELECT feature_idx, md5('R' || chr(10) || 'CLAIM:' || chr(10) || 'conversation ' || feature_idx || chr(10) || chr(10) || 'EVIDENCE:' || chr(10) || block || chr(10)) AS digest FROM b""",
@@ -352,7 +352,7 @@ def b19(spark, sf):
     lines = rows.select(
         F.col("conv_id").alias("feature_idx"),
         F.col("turn").alias("rank"),
-        PR.record_line(F.concat("conv_id", F.lit("/"), "turn"), F.col("text"), ids, names).alias("line"),
+        PR.record_line(F.concat("conv_id", F.lit("/"), "turn"), F.col("text"), ids, names, caption="said by").alias("line"),
     )
     claims = rows.select(F.col("conv_id").alias("feature_idx")).distinct()
     out = PR.assemble_prompts(claims, lines, claim=F.concat(F.lit("conversation "), F.col("feature_idx")), rules="R")
@@ -361,8 +361,8 @@ def b19(spark, sf):
 
 @query(
     "b19_text_prompts",
-    """WITH l AS (SELECT doc_id // 10 AS feature_idx, doc_id, '- Example ' || doc_id || ': documented profession(s): ' || CASE WHEN lang = 'fr' THEN 'NONE' ELSE lang || ', ' || source END
-        || chr(10) || '  Biography text: "' || text || '"' AS line FROM documents),
+    """WITH l AS (SELECT doc_id // 10 AS feature_idx, doc_id, '[text ' || doc_id || '] labels on record = ' || CASE WHEN lang = 'fr' THEN 'NONE' ELSE lang || ', ' || source END
+        || chr(10) || '| ' || text AS line FROM documents),
     b AS (SELECT feature_idx, string_agg(line, chr(10) ORDER BY doc_id) AS block FROM l GROUP BY 1)
     SELECT feature_idx, md5('R' || chr(10) || 'CLAIM:' || chr(10) || 'feature ' || feature_idx || chr(10) || chr(10) || 'EVIDENCE:' || chr(10) || block || chr(10)) AS digest FROM b""",
 )
