@@ -19,6 +19,7 @@ from attestor.operators.auroc import (
     split_pool_counts,
     untouched_best,
 )
+from attestor.operators.inference import bootstrap_mean
 from attestor.operators.splits import (
     Pool,
     make_pool,
@@ -32,6 +33,7 @@ from attestor.operators.splits import (
 from attestor.session import materialize
 
 ARMS = ["select", "held"]
+SUMMARY_THRESHOLDS = (0.65, 0.70, 0.75, 0.80)
 
 
 @dataclass(frozen=True)
@@ -287,10 +289,13 @@ def probe_concepts(
     edges: DataFrame | None = None,
     aliases: DataFrame | None = None,
     context: ProbeContext | None = None,
+    probed: DataFrame | None = None,
 ) -> DataFrame:
     """Full report: eligible concepts, best feature, held-out and hard-negative scores.
 
     The label source is an argument: proteins, windows and texts use the same call.
+    ``probed`` is a probe of the same labels that was run before, see
+    :func:`real_and_permuted`.
     """
     context = context or prepare(features, units, config or ProbeConfig())
     config = context.config
@@ -298,7 +303,7 @@ def probe_concepts(
     wanted = eligible_concepts(labels, min_positives=config.min_positives, max_concepts=config.max_concepts)
     positives = labels.join(wanted.select("concept_id"), "concept_id", "left_semi")
     split = split_positives(positives, context.ranked, context.pool, keys=["concept_id"], **context.fractions)
-    report = probe_positives(context, positives, split=split)
+    report = probe_positives(context, positives, split=split) if probed is None else probed
     if edges is not None:
         report = materialize(report)
         hard = hard_negative_auroc(context, positives, split, report, edges, labels, aliases)
@@ -316,10 +321,11 @@ def probe_concepts(
     return report.withColumn("concept_name", F.col("concept_id").cast("string"))
 
 
-def report_summary(report: DataFrame, *, threshold: float = 0.7) -> DataFrame:
-    """One row: concept counts, share above a score, means of every score."""
-    auroc = F.col("single_feature_auroc")
-    return report.agg(
+def report_summary(report: DataFrame, *, threshold: float = 0.7, draws: int = 2000, seed: str = "42") -> DataFrame:
+    """One row: concept counts, shares above scores, means and counts of every score, and the
+    interval of the mean inflation from resampling best features (``draws=0`` leaves it out)."""
+    auroc, hard = F.col("single_feature_auroc"), F.col("hard_negative_held_out_auroc")
+    out = report.agg(
         F.count(F.lit(1)).alias("n_concepts"),
         F.sum((auroc >= threshold).cast("bigint")).alias("n_above"),
         F.avg((auroc >= threshold).cast("double")).alias("fraction_above"),
@@ -327,21 +333,49 @@ def report_summary(report: DataFrame, *, threshold: float = 0.7) -> DataFrame:
         F.avg("held_out_auroc").alias("mean_held_out_auroc"),
         F.avg("auroc_inflation").alias("mean_auroc_inflation"),
         F.max(auroc).alias("max_single_feature_auroc"),
+        F.count("auroc_inflation").alias("n_held_out"),
+        F.count(hard).alias("n_hard_negative"),
+        F.avg(hard).alias("mean_hard_negative_auroc"),
+        *[F.avg((auroc >= t).cast("double")).alias(f"fraction_above_{round(100 * t)}") for t in SUMMARY_THRESHOLDS],
     )
+    if not draws:
+        return out
+    boot = materialize(
+        bootstrap_mean(
+            report.withColumn("_all", F.lit(0)), keys=["_all"], value="auroc_inflation", cluster="best_feature_idx", draws=draws, seed=seed
+        )
+    )
+    return out.select("*", *[boot.select(c).scalar().alias(f"inflation_{c}") for c in ("ci_lo", "ci_hi", "n_clusters")])
 
 
 def top_results(report: DataFrame, n: int) -> DataFrame:
     return report.orderBy(F.col("single_feature_auroc").desc(), F.col("concept_id").asc()).limit(n)
 
 
+def _permuted(context: ProbeContext, labels: DataFrame, draws: int) -> DataFrame:
+    """(draw, concept_id, unit_id) of eligible concepts under permuted labels."""
+    config = context.config
+    inside = labels.select("unit_id", "concept_id").distinct().join(context.ranked.select("unit_id"), "unit_id", "left_semi")
+    wanted = eligible_concepts(inside, min_positives=config.min_positives, max_concepts=config.max_concepts)
+    moved = permute_labels(inside, draws=draws, seed=config.seed)
+    return moved.join(wanted.select("concept_id"), "concept_id", "left_semi")
+
+
 def permuted_probe(context: ProbeContext, labels: DataFrame, *, draws: int) -> DataFrame:
     """Probe every permutation draw in one job; the draw is a key, the ranking is shared."""
+    return probe_positives(context, _permuted(context, labels, draws), keys=["draw", "concept_id"])
+
+
+def real_and_permuted(context: ProbeContext, labels: DataFrame, *, draws: int) -> tuple[DataFrame, DataFrame]:
+    """(real, permuted) probes from one run in which the real labels are draw -1."""
     config = context.config
-    labels = labels.select("unit_id", "concept_id").distinct().join(context.ranked.select("unit_id"), "unit_id", "left_semi")
-    moved = permute_labels(labels, draws=draws, seed=config.seed)
-    wanted = eligible_concepts(labels, min_positives=config.min_positives, max_concepts=config.max_concepts)
-    moved = moved.join(wanted.select("concept_id"), "concept_id", "left_semi")
-    return probe_positives(context, moved, keys=["draw", "concept_id"])
+    distinct = labels.select("unit_id", "concept_id").distinct()
+    wanted = eligible_concepts(distinct, min_positives=config.min_positives, max_concepts=config.max_concepts)
+    real = distinct.join(wanted.select("concept_id"), "concept_id", "left_semi")
+    columns = ["draw", "concept_id", "unit_id"]
+    positives = real.withColumn("draw", F.lit(-1)).select(*columns).unionByName(_permuted(context, labels, draws).select(*columns))
+    probed = materialize(probe_positives(context, materialize(positives), keys=["draw", "concept_id"]))
+    return probed.where("draw = -1").drop("draw"), probed.where("draw >= 0")
 
 
 def decompose(real: DataFrame, permuted: DataFrame) -> DataFrame:

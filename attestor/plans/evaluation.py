@@ -44,10 +44,14 @@ def evaluate(
 ) -> dict[str, DataFrame]:
     """Report, summary, and the permuted-label decomposition when asked for."""
     context = P.prepare(features, units, config)
-    report = materialize(P.probe_concepts(features, units, labels, names=names, edges=edges, context=context))
-    out = {"report": report, "summary": P.report_summary(report)}
+    real = null = None
     if n_permutations > 0:
-        null = P.permuted_probe(context, labels, draws=n_permutations)
+        real, null = P.real_and_permuted(context, labels, draws=n_permutations)
+    report = materialize(
+        P.probe_concepts(features, units, labels, names=names, edges=edges, context=context, probed=real)
+    )
+    out = {"report": report, "summary": P.report_summary(report)}
+    if null is not None:
         out["decomposition"] = P.decompose_draws(report, null)
     return out
 

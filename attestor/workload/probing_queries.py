@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from attestor.operators import auroc as A
 from attestor.operators import probing as P
 from attestor.operators import splits as S
+from attestor.session import materialize
 from attestor.workload.catalog import dense_features, query, r6, table, unit_labels, vectors
+from attestor.workload.inference_queries import boot_sql
 
 CONFIG = P.ProbeConfig(min_positives=10, min_hard_negatives=3)
 
@@ -221,11 +223,28 @@ def d12(spark, sf):
     round(avg((single_feature_auroc >= 0.7)::INT), 6) + 0.0 AS fraction_above,
     round(avg(single_feature_auroc), 6) AS mean_single_feature_auroc, round(avg(held_out_auroc), 6) AS mean_held_out_auroc,
     round(avg(single_feature_auroc - held_out_auroc), 6) + 0.0 AS mean_auroc_inflation,
-    round(max(single_feature_auroc), 6) AS max_single_feature_auroc FROM rep""",
+    round(max(single_feature_auroc), 6) AS max_single_feature_auroc, count(held_out_auroc) AS n_held_out,
+    round(avg((single_feature_auroc >= 0.65)::INT), 6) + 0.0 AS fraction_above_65, round(avg((single_feature_auroc >= 0.70)::INT), 6) + 0.0 AS fraction_above_70,
+    round(avg((single_feature_auroc >= 0.75)::INT), 6) + 0.0 AS fraction_above_75, round(avg((single_feature_auroc >= 0.80)::INT), 6) + 0.0 AS fraction_above_80
+    FROM rep""",
 )
 def d16(spark, sf):
-    s = P.report_summary(_report(spark, sf), threshold=0.7)
-    return s.select("n_concepts", "n_above", *[r6(F.col(c), c) for c in s.columns[2:]])
+    s = P.report_summary(_report(spark, sf), threshold=0.7, draws=0).drop("n_hard_negative", "mean_hard_negative_auroc")
+    counts = ["n_concepts", "n_above", "n_held_out"]
+    return s.select(*counts, *[r6(F.col(c), c) for c in s.columns if c not in counts])
+
+
+@query(
+    "d16_inflation_interval",
+    REAL + ", inf AS (SELECT 1 AS one, best_feature_idx, single_feature_auroc - held_out_auroc AS auroc_inflation FROM rep),"
+    + boot_sql("inf", ["one"], "auroc_inflation", 50)
+    + " SELECT round(ci_lo, 6) + 0.0 AS ci_lo, round(ci_hi, 6) + 0.0 AS ci_hi, n_clusters FROM boot",
+)
+def d16_interval(spark, sf):
+    s = P.report_summary(materialize(_report(spark, sf)), draws=50)
+    return s.select(
+        r6(F.col("inflation_ci_lo"), "ci_lo"), r6(F.col("inflation_ci_hi"), "ci_hi"), F.col("inflation_n_clusters").alias("n_clusters")
+    )
 
 
 @query(
@@ -294,8 +313,7 @@ def _perm_report(draws: int) -> str:
 def _real_and_permuted(spark, sf, draws):
     features, labels = dense_features(spark, sf), unit_labels(spark, sf)
     context = P.prepare(features, labels.select("unit_id"), CONFIG)
-    real = P.probe_concepts(features, labels.select("unit_id"), labels, context=context)
-    return real, P.permuted_probe(context, labels, draws=draws)
+    return P.real_and_permuted(context, labels, draws=draws)
 
 
 @query(
