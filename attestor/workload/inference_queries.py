@@ -478,7 +478,21 @@ def b17(spark, sf):
     )
 
 
-@query("b28_distribution_tails")
+def phi_sql(x: str, steps: int = 1000) -> str:
+    """Normal distribution function by Simpson's rule, independent of the library's."""
+    node = f"exp(-pow(({x}) * i / {steps}.0::DOUBLE, 2) / 2)"
+    weight = f"CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return f"(0.5::DOUBLE + ({x}) / {3 * steps}.0::DOUBLE * list_sum(list_transform(range(0, {steps + 1}), lambda i: ({weight}) * {node})) / sqrt(2 * pi()))"
+
+
+# Closed forms of the t distribution with five and of chi-square with three degrees of freedom.
+@query(
+    "b28_distribution_tails",
+    f"""WITH c AS (SELECT c_custkey, c_acctbal::DOUBLE / 2000 AS z, atan(c_acctbal::DOUBLE / 2000 / sqrt(5)) AS th, sqrt(abs(c_acctbal::DOUBLE / 2000)) AS r FROM customer)
+    SELECT c_custkey, round({phi_sql("z")}, 8) AS norm_cdf,
+      round(0.5::DOUBLE - (th + sin(th) * (cos(th) + 2.0::DOUBLE / 3 * pow(cos(th), 3))) / pi(), 8) AS t_sf,
+      round(2 * (1 - {phi_sql("r")}) + r * sqrt(2 / pi()) * exp(-r * r / 2), 8) AS chi2_sf FROM c""",
+)
 def b28(spark, sf):
     z = (F.col("c_acctbal") / 2000).alias("z")
     return table(spark, sf, "customer").select("c_custkey", z).select(
@@ -489,7 +503,18 @@ def b28(spark, sf):
     )
 
 
-@query("d47_power")
+def max_sql(d: str) -> str:
+    a = f"sqrt(2 * ln(2.0::DOUBLE * {d}))"
+    return f"({a} - (ln(ln(2.0::DOUBLE * {d})) + ln(4 * pi())) / (2 * {a}) + 0.5772156649015329::DOUBLE / {a})"
+
+
+@query(
+    "d47_power",
+    "WITH " + SWEEP + f""", pc AS (SELECT model, best_feature_idx, avg(auroc_inflation) AS m FROM sweep WHERE auroc_inflation IS NOT NULL GROUP BY ALL),
+    ar AS (SELECT model, avg(m) * 0.05 AS effect, stddev_samp(m) AS sd, count(*) AS n FROM pc GROUP BY 1),
+    z AS (SELECT model, n, effect / (sd * sqrt(2.0::DOUBLE / n)) - 1.959963984540054::DOUBLE AS up, -effect / (sd * sqrt(2.0::DOUBLE / n)) - 1.959963984540054::DOUBLE AS down FROM ar)
+    SELECT model, n, round({phi_sql("up")} + {phi_sql("down")}, 6) + 0.0 AS power, round({max_sql("(2 * n)")} / {max_sql("n")}, 6) AS ratio_doubled FROM z""",
+)
 def d47(spark, sf):
     ratio = N.inflation_ratio(F.col("n"), 2 * F.col("n"))
     return _arm_power(spark, sf).select("model", "n", r6(F.col("power"), "power"), r6(ratio, "ratio_doubled"))

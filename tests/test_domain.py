@@ -182,6 +182,33 @@ def test_topk_encoding_blocks_and_relu(spark):
     assert m["dead_fraction"] == pytest.approx(np.mean((z > 0).mean(0) < 1e-3)) and m["mean_l0"] == pytest.approx((z > 0).sum(1).mean())
 
 
+def test_dictionary_blocks_keep_gapped_ids(spark):
+    rng = np.random.default_rng(8)
+    ids = [0, 1, 2, 500, 9000, 9001, 70000]
+    w = rng.normal(size=(len(ids), 4))
+    rows = [(i, [float(x) for x in v], 0.1, [float(x) for x in v]) for i, v in zip(ids, w, strict=True)]
+    table = spark.createDataFrame(rows, "feature_idx int, w_enc array<double>, b_enc double, w_dec array<double>")
+    units = spark.createDataFrame([(u, [float(x) for x in rng.normal(size=4)]) for u in range(9)], "unit_id long, vec array<double>")
+    whole = V.Dictionary(table, [0.0] * 4)
+    small = V.Dictionary(table, [0.0] * 4, max_bytes=160)
+    assert whole.n_blocks == 1 and small.n_blocks == 4
+    assert [i for b in small.blocks() for i in b["idx"].tolist()] == ids
+    get = lambda df: {(r.unit_id, r.feature_idx): round(r.act, 9) for r in df.collect()}
+    features = V.topk_encode(units, whole, 3)
+    assert get(features) == get(V.topk_encode(units, small, 3))
+    decoded = [{r.unit_id: np.round(r.vec, 9).tolist() for r in V.decode(features, units, d).collect()} for d in (whole, small)]
+    assert decoded[0] == decoded[1]
+    with pytest.raises(ValueError):
+        V.Dictionary(table.unionByName(table), [0.0] * 4)
+
+
+def test_prompts_keep_the_top_lines(spark):
+    claims = spark.createDataFrame([(1,), (2,)], "feature_idx int")
+    lines = spark.createDataFrame([(1, r, f"line {r}") for r in range(5)], "feature_idx int, rank int, line string")
+    out = {r.feature_idx: r.prompt for r in PR.assemble_prompts(claims, lines, claim=F.lit("c"), rules="R", top_k=2).collect()}
+    assert "line 1" in out[1] and "line 2" not in out[1] and "NONE" in out[2]
+
+
 def test_token_pooling(spark):
     rows = [("a", i, False, [float(i), 1.0]) for i in range(5)] + [("a", 5, True, [99.0, 99.0])] + [("b", 0, False, [1.0, 1.0]), ("b", 1, False, [3.0, 3.0])]
     tokens = spark.createDataFrame(rows, "unit_id string, pos int, is_pad boolean, vec array<double>")

@@ -188,6 +188,53 @@ def test_average_precision_and_threshold_metrics(spark):
         assert cells[f]["mcc"] == pytest.approx((tp * tn - fp * fn) / math.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)))
 
 
+def test_untouched_features_count(spark):
+    """Features that never fire on a concept's positives still take part in best, mean and metrics."""
+    rng = random.Random(31)
+    n, d = 40, 7
+    acts = {(u, f): rng.choice([-1.5, 0.5, 1.0, 2.0]) for u in range(n) for f in range(d) if rng.random() < 0.12}
+    positives = {(draw, c): set(rng.sample(range(n), 6)) for draw in range(3) for c in ("a", "b")}
+    seen = sorted({f for _, f in acts})
+    features = spark.createDataFrame([(u, f, v) for (u, f), v in acts.items()], "unit_id long, feature_idx int, act double")
+    rows = [(k[0], k[1], u) for k, us in positives.items() for u in us]
+    table = spark.createDataFrame(rows, "draw int, concept_id string, unit_id long")
+    scores = {}
+    for k, mine in positives.items():
+        raws = [brute_auroc([acts.get((u, f), 0.0) for u in range(n)], [u in mine for u in range(n)]) for f in seen]
+        scores[k] = [max(r, 1 - r) for r in raws]
+    for r in A.score_levels(features, table, n, ["draw", "concept_id"]).collect():
+        mine = scores[r["draw"], r["concept_id"]]
+        assert r["max_auroc"] == pytest.approx(max(mine)) and r["mean_auroc"] == pytest.approx(sum(mine) / len(mine))
+    for r in A.whole_set_best(features, table, n, ["draw", "concept_id"]).collect():
+        mine = scores[r["draw"], r["concept_id"]]
+        assert r["single_feature_auroc"] == pytest.approx(max(mine))
+        assert seen.index(r["best_feature_idx"]) == min(i for i, v in enumerate(mine) if v > max(mine) - 1e-11)
+    full = A.full_auroc(features, table, n, ["draw", "concept_id"]).collect()
+    assert len(full) == len(positives) * len(seen)
+    for r in full:
+        assert r["auroc"] == pytest.approx(scores[r["draw"], r["concept_id"]][seen.index(r["feature_idx"])])
+    for r in A.threshold_metrics(features, table, n, keys=["draw", "concept_id"], every=True).collect():
+        mine = positives[r["draw"], r["concept_id"]]
+        fired = {u for u in range(n) if acts.get((u, r["feature_idx"]), 0.0) > 0}
+        tp, fp, fn = len(fired & mine), len(fired - mine), len(mine - fired)
+        tn = n - tp - fp - fn
+        base = math.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))
+        assert r["mcc"] == pytest.approx((tp * tn - fp * fn) / base if base else 0.0)
+
+
+def test_hard_negatives_equal_sibling_pairs(spark):
+    rng = random.Random(5)
+    edges = spark.createDataFrame(sorted({(f"c{rng.randrange(12)}", f"p{rng.randrange(4)}") for _ in range(25)}), "child_id string, parent_id string")
+    aliases = spark.createDataFrame([("alt", "c1")], "alt_id string, concept_id string")
+    labels = spark.createDataFrame(sorted({(rng.randrange(30), f"c{rng.randrange(12)}") for _ in range(60)} | {(3, "alt")}), "unit_id long, concept_id string")
+    positives = labels.where("concept_id in ('c1', 'c2', 'alt') and unit_id % 3 <> 0")
+    pairs = P.siblings_of(edges, aliases).join(labels.select("unit_id", F.col("concept_id").alias("sibling_id")), "sibling_id")
+    want = {(r.concept_id, r.unit_id) for r in pairs.join(positives.select("concept_id").distinct(), "concept_id").collect()}
+    want -= {(r.concept_id, r.unit_id) for r in positives.collect()}
+    got = P.hard_negatives(labels, edges, positives, aliases=aliases).collect()
+    assert {(r.concept_id, r.unit_id) for r in got} == want and len(got) == len(want)
+
+
 def test_permutation_keeps_counts_and_cooccurrence(spark):
     rng = random.Random(2)
     labels = [(u, c) for u in range(120) for c in "abc" if rng.random() < 0.3]
