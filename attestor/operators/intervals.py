@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestor.functions.text import parse_window_id, stable_gene_id, window_id
+from attestor.session import materialize
 
+BROADCAST_ROWS = 50_000  # binned intervals that may be sent to every task
 LEVEL_BITS = 2  # bins of the next level are 4 times wider
 
 
@@ -52,14 +54,18 @@ def overlap_join(
     bin_size: int = 256,
     left_cols: tuple[str, str, str] = ("chrom", "start", "end"),
     right_cols: tuple[str, str, str] = ("chrom", "start", "end"),
+    left_length: int | None = None,
 ) -> DataFrame:
     """Every overlapping pair of half-open intervals once; columns of both sides.
 
     Columns of ``right`` other than its interval must not clash with ``left``; its
     interval comes back as ``r_start``, ``r_end``. Empty or reversed intervals never
-    overlap. The join is asked for as a sort-merge join: size estimates do not see the
-    exploded bins, so a broadcast would not rest on a checked size, and AQE splits
-    crowded bins of a sort-merge join at run time.
+    overlap. ``left_length`` is the length of all left intervals, if they have one, as
+    points do; the left side is then read once.
+
+    The binned right side is stored. Up to ``BROADCAST_ROWS`` rows of it, counted, are sent
+    to the left side, which is then not shuffled. Otherwise a sort-merge join is asked for:
+    size estimates do not see exploded bins, and AQE splits crowded bins of such a join.
     """
     lc, ls, le = left_cols
     rc, rs, re_ = right_cols
@@ -73,16 +79,22 @@ def overlap_join(
     own = _level(F.col("_e") - F.col("_s"), bin_size)
     lf, rf = lf.withColumn("_own", own), rf.withColumn("_own", own)
     # a few levels per side, whatever the number of intervals
-    lf_levels = lf.agg(F.collect_set("_own").alias("levels"))
-    rf_levels = rf.agg(F.collect_set("_own").alias("levels"))
-    lb = _bins(lf, rf_levels, bin_size, own_role="A", strict=True).select(
-        *left.columns, "_chrom", "_s", "_e", "_w", "_bin", F.col("_at.level").alias("_level"), F.col("_at.role").alias("_role")
-    )
+    if left_length is None:
+        lf_levels = lf.agg(F.collect_set("_own").alias("levels"))
+    else:
+        one = F.array(_level(F.lit(left_length).cast("bigint"), bin_size))
+        lf_levels = left.sparkSession.range(1).select(one.alias("levels"))
     rb = _bins(rf, lf_levels, bin_size, own_role="B", strict=False).select(
         *extra, "_chrom", F.col("_s").alias("r_start"), F.col("_e").alias("r_end"), "_bin",
         F.col("_at.level").alias("_level"), F.col("_at.role").alias("_role"),
     )
-    joined = lb.hint("merge").join(rb, ["_chrom", "_level", "_role", "_bin"])
+    rb = materialize(rb)
+    rf_levels = rb.where(F.col("_role") == "B").agg(F.collect_set("_level").alias("levels"))
+    lb = _bins(lf, rf_levels, bin_size, own_role="A", strict=True).select(
+        *left.columns, "_chrom", "_s", "_e", "_w", "_bin", F.col("_at.level").alias("_level"), F.col("_at.role").alias("_role")
+    )
+    keys = ["_chrom", "_level", "_role", "_bin"]
+    joined = lb.join(F.broadcast(rb), keys) if rb.count() <= BROADCAST_ROWS else lb.hint("merge").join(rb, keys)
     hit = (
         (F.col("_s") < F.col("r_end"))
         & (F.col("_e") > F.col("r_start"))
@@ -120,7 +132,7 @@ def overlapping_genes(windows: DataFrame, genes: DataFrame) -> DataFrame:
 def points_in_windows(points: DataFrame, windows: DataFrame) -> DataFrame:
     """Points ``(chrom, pos, ...)`` (1-based) inside half-open windows; overlapping windows all match."""
     placed = points.withColumn("_s", F.col("pos") - 1).withColumn("_e", F.col("pos"))
-    out = overlap_join(placed, windows, left_cols=("chrom", "_s", "_e"))
+    out = overlap_join(placed, windows, left_cols=("chrom", "_s", "_e"), left_length=1)
     return out.drop("_s", "_e", "r_start", "r_end")
 
 

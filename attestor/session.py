@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 import tempfile
 import uuid
@@ -50,6 +52,8 @@ def shared_folder(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, used once and deleted by :func:`release`."""
     path = f"{shared_folder(spark).rstrip('/')}/attestor-{name}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_release_at_exit)
     _WRITTEN.append(path)
     return path
 
@@ -66,11 +70,22 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _release_at_exit() -> None:
+    """Intermediates of this process are of no use after it; a stopped session leaves them."""
+    with contextlib.suppress(Exception):
+        if (spark := SparkSession.getActiveSession()) is not None:
+            release(spark)
+
+
 def release(spark: SparkSession) -> int:
-    """Delete the intermediate tables this process wrote; call once results are stored."""
+    """Delete the intermediate tables this process wrote; call once results are stored.
+
+    Uses the JVM's file systems, so it needs a classic session, not Spark Connect.
+    """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     removed = 0
     while _WRITTEN:
         path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
         removed += int(path.getFileSystem(conf).delete(path, True))
+    atexit.unregister(_release_at_exit)
     return removed

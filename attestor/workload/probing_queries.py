@@ -52,7 +52,7 @@ def d6(spark, sf):
     "round(raw_auroc, 6) + 0.0 AS raw_auroc FROM raw WHERE feature_idx = 5",
 )
 def d7(spark, sf):
-    one = dense_features(spark, sf).where(F.col("feature_idx") == 5)
+    one = vectors(spark, sf).select("unit_id", F.lit(5).alias("feature_idx"), F.get("vec", F.lit(5)).alias("act"))
     pairs = A.whole_set_auroc(one, unit_labels(spark, sf), _n(spark, sf))
     return pairs.select(
         "concept_id",

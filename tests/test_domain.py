@@ -16,7 +16,9 @@ from attestor.operators import vectors as V
 from attestor.sources import activations as ACT
 
 
-def test_overlap_join_equals_nested_loop(spark):
+@pytest.mark.parametrize("broadcast_rows", [0, 50_000])
+def test_overlap_join_equals_nested_loop(spark, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(IV, "BROADCAST_ROWS", broadcast_rows)
     rng = random.Random(11)
     left = [(i, rng.choice("ab"), s, s + rng.choice([1, 50, 4000, 90000])) for i, s in enumerate(rng.randrange(0, 300000) for _ in range(150))]
     right = [(i, rng.choice("ab"), s, s + rng.choice([1, 300, 5000, 2_200_000, 17])) for i, s in enumerate(rng.randrange(0, 300000) for _ in range(150))]
