@@ -6,13 +6,14 @@ counts are vectorized over all rows of a batch. A null text is an empty text eve
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20  # text bytes handled at once; one longer text is a slice of its own
+SLICE_BYTES = 2 << 20  # text bytes handled at once; one longer text is a slice of its own
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -96,26 +97,33 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class IdCache:
-    """Ids of segments as little-endian unsigned 32-bit bytes, for at most ``limit`` segments.
+    """Ids of segments as little-endian unsigned 32-bit bytes.
 
     ``encode`` maps the bytes of one segment to its ids; ``fold`` may first replace bytes of
-    the texts by others that give the same ids. A full cache is emptied: it only
-    saves time, results never depend on it.
+    the texts by others that give the same ids. At most ``limit`` segments are remembered, in
+    two halves: a full half becomes the old one, which is dropped when the next is full, and
+    what is used again moves to the young half. That only saves time; results never depend
+    on it.
     """
 
-    def __init__(self, encode, fold=None, limit: int = 600_000):
-        self.encode, self.fold, self.limit, self.known = encode, fold, limit, {}
+    def __init__(self, encode, fold=None, limit: int = 500_000):
+        self.encode, self.fold, self.half = encode, fold, limit // 2
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def ids(self, different: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the different segments end to end, and how many each has."""
-        known = self.known
-        if len(known) + len(different) > self.limit:
-            known.clear()
+        if len(self.young) >= self.half:
+            self.old, self.young = self.young, {}
+        young, old, encode = self.young, self.old, self.encode
         found = []
         for segment in different:
-            ids = known.get(segment)
+            ids = young.get(segment)
             if ids is None:
-                ids = known[segment] = np.asarray(self.encode(segment), "<u4").tobytes()
+                ids = old.get(segment)
+                if ids is None:
+                    ids = array("I", encode(segment)).tobytes()
+                young[segment] = ids
             found.append(ids)
         return np.frombuffer(b"".join(found), "<u4"), np.array([len(x) >> 2 for x in found], np.int64)
 

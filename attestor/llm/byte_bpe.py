@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from attestor.llm.batches import IdCache, slices, text_bytes
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MEMO = 1 << 20  # remembered pairs
-PIECES = 200_000  # remembered pieces
+MEMO = 1 << 19  # remembered pairs
+PIECES = 50_000  # remembered pieces
 
 
 def load_ranks(path: str) -> dict[bytes, int]:

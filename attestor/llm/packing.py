@@ -36,8 +36,8 @@ class WordIds:
     """Ids of white-space separated words, equal to those of the tokenizer file.
 
     The tokenizer drops white space, so words are independent. A word of plain letters is
-    lower-cased and split into the tokenizer's pieces here, and its model is asked once for
-    each piece; any other word goes through the whole tokenizer.
+    lower-cased and split into the tokenizer's pieces here, and its model is asked for each
+    piece; any other word goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -50,35 +50,33 @@ class WordIds:
         self.bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.plain = regex.compile("[\\n\\x20-\\x7eÀ-ÿ]*")
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-        self.known: dict[str, list[int]] = {}
 
     def _piece(self, piece: str) -> list[int]:
-        ids = self.known.get(piece)
-        if ids is None:
-            if len(self.known) >= 200_000:
-                self.known.clear()
-            mapped = piece if piece.isascii() else "".join(x for x, _ in self.bytes_of.pre_tokenize_str(piece))
-            ids = self.known[piece] = [t.id for t in self.model.tokenize(mapped)]
-        return ids
+        mapped = piece if piece.isascii() else "".join(x for x, _ in self.bytes_of.pre_tokenize_str(piece))
+        return [t.id for t in self.model.tokenize(mapped)]
 
     def __call__(self, segment: bytes) -> list[int]:
         text = segment.decode("utf-8", "replace")
         if not self.plain.fullmatch(text):
             return self.tokenizer.encode(text, add_special_tokens=False).ids
-        pieces = self.pieces.findall(text.lower())
-        return self._piece(pieces[0]) if len(pieces) == 1 else [i for p in pieces for i in self._piece(p)]
+        word = text.strip(" \n").lower()
+        if word.isascii() and word.isalpha():
+            return self._piece(word)
+        return [i for piece in self.pieces.findall(word) for i in self._piece(piece)]
 
 
 def lower_plain(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Lower-case A-Z in texts of ASCII and U+00C0..U+00FF, where the tokenizer's
-    normalization is just that; other texts stay as they are."""
+    """Lower-case A-Z and make line feeds spaces in texts of ASCII and U+00C0..U+00FF, where
+    the tokenizer's normalization is just that; other texts stay as they are."""
     plain = data < 0x80
     lead = data[:-1] == 0xC3
     plain[:-1] |= lead
     plain[1:] |= lead
     odd = np.concatenate([[0], np.cumsum(~plain)])[offsets]
     wide = np.repeat(np.diff(odd) == 0, np.diff(offsets))
-    return np.where(wide & (data >= 0x41) & (data <= 0x5A), data | 0x20, data)
+    folded = np.where(wide & (data >= 0x41) & (data <= 0x5A), data | 0x20, data)
+    folded[wide & (data == 0x0A)] = 0x20
+    return folded
 
 
 _TOOLS: dict[str, IdCache] = {}  # one per Python worker: loading the file takes a while

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestor.llm.batches import slices
+from attestor.llm.carry import packed, unpacked
 from attestor.session import materialize
 
 KINDS = ("email", "ip", "card", "phone")
@@ -140,15 +141,14 @@ def contexts(text: str, start: int, end: int) -> list[str]:
 _MARK = "array<struct<kind:int,start:int,stop:int,value:string,patterns:array<string>,seed:boolean>>"
 
 
-def scan(df: DataFrame, carry: list[str] | None = None) -> DataFrame:
+def scan(df: DataFrame, carry: bool = False) -> DataFrame:
     """``doc_id, marks`` per row: base spans (seeds) and candidates with their contexts.
 
-    ``carry`` columns come along as struct ``carried`` with fields ``c0, c1, ...``.
+    With ``carry`` also ``_text`` and ``carried``.
     """
-    names = carry or []
-    carried = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)]) if names else F.lit(None).cast("int")
-    source = df.select("doc_id", F.col("text").alias("_text"), carried.alias("carried"))
-    schema = source.drop("_text").withColumn("marks", F.lit(None).cast(_MARK)).schema
+    source = packed(df, carry)
+    kept = ["doc_id", "_text", "carried"] if carry else ["doc_id"]
+    schema = source.select(*kept).withColumn("marks", F.lit(None).cast(_MARK)).schema
     entry = pa.struct([
         ("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()),
         ("value", pa.string()), ("patterns", pa.list_(pa.string())), ("seed", pa.bool_()),
@@ -168,7 +168,7 @@ def scan(df: DataFrame, carry: list[str] | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
             found = pa.array([marks(t) for t in batch.column("_text").to_pylist()], pa.list_(entry))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("carried"), found], ["doc_id", "carried", "marks"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), found], [*kept, "marks"])
 
     return source.mapInArrow(run, schema)
 
@@ -199,7 +199,7 @@ def confident_patterns(marks: DataFrame, rounds: int = ROUNDS, min_seeds: int =
     return patterns.where(F.col("confidence") >= confidence)
 
 
-def _extracted(df: DataFrame, carry: list[str] | None, min_seeds: int, confidence: float) -> DataFrame:
+def _extracted(df: DataFrame, carry: bool, min_seeds: int, confidence: float) -> DataFrame:
     """Rows with their number, base spans ``base`` and added spans ``added`` (may be null)."""
     rows = materialize(scan(df, carry).withColumn("_row", F.monotonically_increasing_id()))
     flat = rows.select("_row", F.explode("marks").alias("m")).select("_row", "m.*")
@@ -208,7 +208,7 @@ def _extracted(df: DataFrame, carry: list[str] | None, min_seeds: int, confidenc
     hits = seen.join(trusted, ["pattern", "kind"], "left_semi")
     added = hits.groupBy("_row").agg(F.collect_set(F.struct("kind", "start", "stop")).alias("added"))
     base = F.transform(F.filter("marks", lambda m: m["seed"]), lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["stop"].alias("stop")))
-    return rows.select("_row", "doc_id", "carried", base.alias("base")).join(added, "_row", "left")
+    return rows.withColumn("base", base).drop("marks").join(added, "_row", "left")
 
 
 def _written(spans) -> F.Column:
@@ -229,7 +229,7 @@ def personal_data(df: DataFrame, min_seeds: int = MIN_SEEDS, confidence: float =
     count once as instances of a pattern; an empty table gives an empty result; other
     columns are not looked at.
     """
-    rows = _extracted(df, None, min_seeds, confidence)
+    rows = _extracted(df, False, min_seeds, confidence)
     of_kind = lambda i: lambda m: m["kind"] == i
     count = [F.size(F.filter("base", of_kind(i))).cast("bigint").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     ordered = F.array_sort("base")
@@ -243,10 +243,8 @@ def redacted(df: DataFrame, min_seeds: int = MIN_SEEDS, confidence: float = CONF
     ``n_chars`` is set to the new length; other columns stay as they are, and so do texts
     without spans and null texts.
     """
-    columns = df.columns
-    rows = _extracted(df, columns, min_seeds, confidence)
-    text = f"c{columns.index('text')}"
-    source = rows.select(F.col(f"carried.{text}").alias("_text"), _all_spans().alias("_spans"), "carried")
+    rows = _extracted(df, True, min_seeds, confidence)
+    source = rows.select("_text", _all_spans().alias("_spans"), "carried")
 
     def clean(value: str | None, spans: list[dict]) -> str | None:
         if not spans:
@@ -264,8 +262,5 @@ def redacted(df: DataFrame, min_seeds: int = MIN_SEEDS, confidence: float = CONF
             yield pa.RecordBatch.from_arrays([batch.column("carried"), pa.array([clean(*p) for p in pairs], pa.string())], ["carried", "_text"])
 
     done = source.mapInArrow(run, source.select("carried", "_text").schema)
-    new = {"text": F.col("_text"), "n_chars": F.char_length("_text")}
-    kinds = dict(df.dtypes)
-    return done.select(*[
-        new[c].cast(kinds[c]).alias(c) if c in new else F.col(f"carried.c{i}").alias(c) for i, c in enumerate(columns)
-    ])
+    kind = dict(df.dtypes).get("n_chars", "bigint")
+    return done.select(*unpacked(df.columns, {"n_chars": F.char_length("_text").cast(kind)}))

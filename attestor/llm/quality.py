@@ -18,10 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestor.llm.batches import slices, text_bytes
+from attestor.llm.carry import packed, unpacked
 
 TRAIN_ROWS = 6000  # documents the scorer is fitted on: those first in the order of a checksum
 BUCKETS = 1024
 THRESHOLD = 0.5
+SLICE_BYTES = 1 << 20  # the features of a byte take some tens of bytes while they are made
 
 #: Frequent function words of the four languages.
 FUNCTION_WORDS = (
@@ -176,7 +178,7 @@ def fit(df: DataFrame, train_rows: int = TRAIN_ROWS) -> QualityModel:
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(3 ** len(LABELLERS), np.int64)
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", SLICE_BYTES):
             total += np.bincount(_code(_read(batch.column("_text"))[0]), minlength=len(total))
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["code", "n"])
@@ -188,7 +190,7 @@ def fit(df: DataFrame, train_rows: int = TRAIN_ROWS) -> QualityModel:
         return QualityModel({}, np.zeros(BUCKETS + 1))
 
     def samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", SLICE_BYTES):
             read = _read(batch.column("_text"))
             target = [posteriors[c] for c in _code(read[0]).tolist()]
             rows = pa.array([x.tobytes() for x in read[1].astype(np.float32)], pa.binary())
@@ -201,22 +203,22 @@ def fit(df: DataFrame, train_rows: int = TRAIN_ROWS) -> QualityModel:
 
 
 def score(df: DataFrame, model: QualityModel, carry: bool = False) -> DataFrame:
-    """``doc_id, posterior, score`` of every row of ``df``; with ``carry`` all its columns, too,
-    as struct ``carried`` with fields ``c0, c1, ...``."""
-    carried = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(df.columns)]) if carry else F.lit(None).cast("int")
-    source = df.select("doc_id", F.col("text").alias("_text"), carried.alias("carried"))
+    """``doc_id, posterior, score`` of every row of ``df``; with ``carry`` also ``_text`` and
+    ``carried`` (see ``carry``)."""
+    source = packed(df, carry)
+    kept = ["doc_id", "_text", "carried"] if carry else ["doc_id"]
     empty = F.lit(0.0)
-    schema = source.drop("_text").withColumns({"posterior": empty, "score": empty}).schema
+    schema = source.select(*kept).withColumns({"posterior": empty, "score": empty}).schema
     weights, posteriors = model.weights, model.posteriors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.full(3 ** len(LABELLERS), 0.5)
         table[list(posteriors)] = list(posteriors.values())
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", SLICE_BYTES):
             votes, features = _read(batch.column("_text"))
             value = 1 / (1 + np.exp(-(features @ weights[:-1] + weights[-1])))
-            known = [batch.column("doc_id"), batch.column("carried"), pa.array(table[_code(votes)]), pa.array(value)]
-            yield pa.RecordBatch.from_arrays(known, ["doc_id", "carried", "posterior", "score"])
+            known = [*(batch.column(c) for c in kept), pa.array(table[_code(votes)]), pa.array(value)]
+            yield pa.RecordBatch.from_arrays(known, [*kept, "posterior", "score"])
 
     return source.mapInArrow(run, schema)
 
@@ -229,10 +231,10 @@ def classified(df: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = T
     the prior and the bias. Repeated rows get equal results; an empty table gives an empty
     result; other columns are not looked at.
     """
-    return score(df, fit(df, train_rows)).drop("carried").withColumn("kept", F.col("score") >= threshold)
+    return score(df, fit(df, train_rows)).withColumn("kept", F.col("score") >= threshold)
 
 
 def accepted(df: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``df`` that the classifier keeps, with all their columns."""
     kept = score(df, fit(df, train_rows), carry=True).where(F.col("score") >= threshold)
-    return kept.select(*[F.col(f"carried.c{i}").alias(c) for i, c in enumerate(df.columns)])
+    return kept.select(*unpacked(df.columns))

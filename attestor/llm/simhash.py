@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestor.llm.batches import slices, text_bytes
+from attestor.llm.carry import packed, unpacked
 from attestor.llm.components import components
 from attestor.session import materialize
 
@@ -79,19 +80,17 @@ def _fingerprints(column: pa.Array, shingle: int) -> np.ndarray:
     return out
 
 
-def fingerprints(df: DataFrame, shingle: int = SHINGLE, carry: list[str] | None = None) -> DataFrame:
-    """``doc_id, fp`` (a signed 64-bit view of the fingerprint), and the columns in ``carry``
-    as struct ``carried`` with fields ``c0, c1, ...``, for every row of ``df(doc_id, text, ...)``.
-    """
-    names = carry or []
-    carried = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)]) if names else F.lit(None).cast("int")
-    source = df.select(F.col("doc_id"), F.col("text").alias("_text"), carried.alias("carried"))
-    schema = source.drop("_text").withColumn("fp", F.lit(0).cast("bigint")).schema
+def fingerprints(df: DataFrame, shingle: int = SHINGLE, carry: bool = False) -> DataFrame:
+    """``doc_id, fp`` (a signed 64-bit view of the fingerprint) for every row of
+    ``df(doc_id, text, ...)``; with ``carry`` also ``_text`` and ``carried``."""
+    source = packed(df, carry)
+    kept = ["doc_id", "_text", "carried"] if carry else ["doc_id"]
+    schema = source.select(*kept).withColumn("fp", F.lit(0).cast("bigint")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
             fp = pa.array(_fingerprints(batch.column("_text"), shingle).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("carried"), fp], ["doc_id", "carried", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), fp], [*kept, "fp"])
 
     return source.mapInArrow(run, schema)
 
@@ -227,7 +226,7 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, cell_bits: int = CEL
             return found.unionByName(cells.join(low, "cell").where("fp <> b").select(F.col("fp").alias("a"), "b"))
 
 
-def near_groups(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, carry: list[str] | None = None) -> DataFrame:
+def near_groups(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, carry: bool = False) -> DataFrame:
     """``doc_id, fingerprint, component_id, kept`` for every row of ``df(doc_id, text, ...)``.
 
     The fingerprint is 16 lower-case hexadecimal digits; ``component_id`` is the smallest
@@ -235,8 +234,8 @@ def near_groups(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, car
     (null if no row of the component has a ``doc_id``). One row of each component is
     ``kept``: that with the smallest ``doc_id``, one of several such rows. A text without
     words has fingerprint zero and links like any other; null texts are empty. An empty
-    table gives an empty result. Columns named in ``carry`` come back in struct
-    ``carried``; other columns are not looked at.
+    table gives an empty result; other columns are not looked at, but with ``carry`` they
+    come along in ``_text`` and ``carried``.
     """
     rows = materialize(fingerprints(df, shingle, carry).withColumn("_row", F.monotonically_increasing_id()))
     order = lambda doc, row: F.struct(doc.isNull().alias("n"), doc.alias("doc"), row.alias("row"))
@@ -252,12 +251,10 @@ def near_groups(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, car
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.col("_best.doc").alias("component_id"),
         (F.col("_best.row") == F.col("_row")).alias("kept"),
-        *(["carried"] if carry else []),
+        *(["_text", "carried"] if carry else []),
     )
 
 
 def deduplicated(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """The row that stays of every group of near-duplicates, with all its columns."""
-    columns = df.columns
-    kept = near_groups(df, shingle, radius, carry=columns).where("kept")
-    return kept.select(*[F.col(f"carried.c{i}").alias(c) for i, c in enumerate(columns)])
+    return near_groups(df, shingle, radius, carry=True).where("kept").select(*unpacked(df.columns))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from attestor.llm import byte_bpe
 from attestor.llm.batches import slices, text_bytes
-from attestor.session import materialize, shared_folder
+from attestor.session import fresh_path, materialize
 
 BLOCK_TOKENS = 1 << 20
 END_ID = 50256
@@ -38,7 +38,7 @@ def write_token_files(df: DataFrame, ranks_path: str, end_id: int = END_ID, widt
     Files go to the shared folder under names of their own, and only files of tasks that
     ended are returned, so a task that is run again leaves at most an unused file.
     """
-    folder = f"{shared_folder(df.sparkSession).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    folder = fresh_path(df.sparkSession, "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = byte_bpe.tool(ranks_path)[1]
