@@ -66,7 +66,7 @@ def materialize(df: DataFrame) -> DataFrame:
     size, so a broadcast is only ever chosen on a measured size.
     """
     path = fresh_path(df.sparkSession, "table")
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
