@@ -104,40 +104,57 @@ def _annotated(df: DataFrame, carry: list[str]) -> DataFrame:
     )
 
 
-def exact_groups(df: DataFrame, block: int = BLOCK, carry: list[str] | None = None) -> DataFrame:
+def _resolved(rows: DataFrame, block: int) -> DataFrame:
+    """``_row, _best, _size`` of the annotated rows that may have an equal: the struct of the
+    row that stays and the size of the group."""
+    open_rows = rows.where(F.col("_norm").isNotNull())
+    names = identities(open_rows.select("_row", "_norm"), block)
+    named = materialize(open_rows.select("_row", "_doc", "_points").join(names, "_row"))
+    best = F.min(F.struct(-F.col("_points"), F.col("_doc").isNull(), F.col("_doc"), F.col("_row"))).alias("_best")
+    groups = materialize(named.groupBy("level", "name").agg(best, F.count(F.lit(1)).alias("_size")))
+    return materialize(named.select("_row", "level", "name").join(groups, ["level", "name"]).select("_row", "_best", "_size"))
+
+
+def exact_groups(df: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row per row of ``df(doc_id, text, ...)`` with the row that stands for its text.
 
     Texts are equal when identical after deleting white space. Of equal texts the row with
     the most code points in the original text stays, then the smallest ``doc_id`` (a null
     ``doc_id`` comes last), then one of several identical rows. Returns ``doc_id, keep_id,
-    group_size, kept, text_sha256`` and, as struct ``carried`` with fields ``c0, c1, ...``,
-    the columns named in ``carry``. Null texts are empty texts, and all of them are equal;
+    group_size, kept, text_sha256``. Null texts are empty texts, and all of them are equal;
     an empty table gives an empty result; further columns of ``df`` are not looked at.
     """
-    rows = _annotated(df, carry or [])
-    open_rows = rows.where(F.col("_norm").isNotNull())
-    names = identities(open_rows.select("_row", "_norm"), block)
-    named = materialize(open_rows.select("_row", "_doc", "_points").join(names, "_row"))
-    best = F.min(F.struct(-F.col("_points"), F.col("_doc").isNull(), F.col("_doc"), F.col("_row"))).alias("_best")
-    groups = materialize(named.groupBy("level", "name").agg(best, F.count(F.lit(1)).alias("_size")))
-    resolved = named.select("_row", "level", "name").join(groups, ["level", "name"]).select("_row", "_best", "_size")
-    out = rows.drop("_norm").join(resolved, "_row", "left")
-    alone = F.col("_best").isNull()
-    return out.select(
+    rows = _annotated(df, [])
+    alone = rows.where(F.col("_norm").isNull()).select(
         F.col("_doc").alias("doc_id"),
-        F.when(alone, F.col("_doc")).otherwise(F.col("_best._doc")).alias("keep_id"),
-        F.coalesce("_size", F.lit(1)).cast("bigint").alias("group_size"),
-        F.coalesce(F.col("_best._row") == F.col("_row"), F.lit(True)).alias("kept"),
+        F.col("_doc").alias("keep_id"),
+        F.lit(1).cast("bigint").alias("group_size"),
+        F.lit(True).alias("kept"),
         F.col("_sha").alias("text_sha256"),
-        *([F.col("_carry").alias("carried")] if carry else []),
+    )
+    shared = rows.where(F.col("_norm").isNotNull()).drop("_norm").join(_resolved(rows, block), "_row")
+    return alone.unionByName(
+        shared.select(
+            F.col("_doc").alias("doc_id"),
+            F.col("_best._doc").alias("keep_id"),
+            F.col("_size").alias("group_size"),
+            (F.col("_best._row") == F.col("_row")).alias("kept"),
+            F.col("_sha").alias("text_sha256"),
+        )
     )
 
 
 def deduplicated(df: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The rows of ``df`` that stay, with all their columns."""
+    """The rows of ``df`` that stay, with all their columns.
+
+    Rows are taken out by the stored list of those that go, so texts are only shuffled if
+    that list is long.
+    """
     columns = df.columns
-    kept = exact_groups(df, block, carry=columns).where("kept")
-    return kept.select(*[F.col(f"carried.c{i}").alias(c) for i, c in enumerate(columns)])
+    rows = _annotated(df, columns)
+    gone = materialize(_resolved(rows, block).where(F.col("_best._row") != F.col("_row")).select("_row"))
+    kept = rows.join(gone, "_row", "left_anti")
+    return kept.select(*[F.col(f"_carry.c{i}").alias(c) for i, c in enumerate(columns)])
 
 
 ORACLE = """

@@ -206,7 +206,7 @@ def _extracted(df: DataFrame, carry: bool, min_seeds: int, confidence: float) ->
     trusted = confident_patterns(flat, min_seeds=min_seeds, confidence=confidence)
     seen = flat.where("not seed and kind >= 0").select("_row", "kind", "start", "stop", F.explode("patterns").alias("pattern"))
     hits = seen.join(trusted, ["pattern", "kind"], "left_semi")
-    added = hits.groupBy("_row").agg(F.collect_set(F.struct("kind", "start", "stop")).alias("added"))
+    added = materialize(hits.groupBy("_row").agg(F.collect_set(F.struct("kind", "start", "stop")).alias("added")))
     base = F.transform(F.filter("marks", lambda m: m["seed"]), lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["stop"].alias("stop")))
     return rows.withColumn("base", base).drop("marks").join(added, "_row", "left")
 

@@ -226,7 +226,19 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, cell_bits: int = CEL
             return found.unionByName(cells.join(low, "cell").where("fp <> b").select(F.col("fp").alias("a"), "b"))
 
 
-def near_groups(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, carry: bool = False) -> DataFrame:
+def _told(rows: DataFrame, radius: int) -> DataFrame:
+    """``fp, _best``: for every fingerprint of ``rows(doc_id, fp, _row)`` the first row of its
+    component, as struct of ``n`` (no id), ``doc`` and ``row``."""
+    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("doc"), F.col("_row").alias("row"))
+    first = materialize(rows.groupBy("fp").agg(F.min(order).alias("_first")))
+    links = components(fingerprint_links(first.select("fp"), radius))
+    rooted = first.join(links.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = materialize(rooted)
+    best = materialize(rooted.groupBy("root").agg(F.min("_first").alias("_best")))
+    return materialize(rooted.select("fp", "root").join(best, "root").select("fp", "_best"))
+
+
+def near_groups(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """``doc_id, fingerprint, component_id, kept`` for every row of ``df(doc_id, text, ...)``.
 
     The fingerprint is 16 lower-case hexadecimal digits; ``component_id`` is the smallest
@@ -234,27 +246,24 @@ def near_groups(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, car
     (null if no row of the component has a ``doc_id``). One row of each component is
     ``kept``: that with the smallest ``doc_id``, one of several such rows. A text without
     words has fingerprint zero and links like any other; null texts are empty. An empty
-    table gives an empty result; other columns are not looked at, but with ``carry`` they
-    come along in ``_text`` and ``carried``.
+    table gives an empty result; other columns are not looked at.
     """
-    rows = materialize(fingerprints(df, shingle, carry).withColumn("_row", F.monotonically_increasing_id()))
-    order = lambda doc, row: F.struct(doc.isNull().alias("n"), doc.alias("doc"), row.alias("row"))
-    first = rows.groupBy("fp").agg(F.min(order(F.col("doc_id"), F.col("_row"))).alias("_first"))
-    first = materialize(first)
-    links = components(fingerprint_links(first.select("fp"), radius))
-    rooted = first.join(links.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = materialize(rooted)
-    best = materialize(rooted.groupBy("root").agg(F.min("_first").alias("_best")))
-    told = materialize(rooted.select("fp", "root").join(best, "root").select("fp", "_best"))
-    return rows.join(told, "fp").select(
+    rows = materialize(fingerprints(df, shingle).withColumn("_row", F.monotonically_increasing_id()))
+    return rows.join(_told(rows, radius), "fp").select(
         "doc_id",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.col("_best.doc").alias("component_id"),
         (F.col("_best.row") == F.col("_row")).alias("kept"),
-        *(["_text", "carried"] if carry else []),
     )
 
 
 def deduplicated(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The row that stays of every group of near-duplicates, with all its columns."""
-    return near_groups(df, shingle, radius, carry=True).where("kept").select(*unpacked(df.columns))
+    """The row that stays of every group of near-duplicates, with all its columns.
+
+    Rows are taken out by the stored list of those that go, so texts are only shuffled if
+    that list is long.
+    """
+    rows = materialize(fingerprints(df, shingle, carry=True).withColumn("_row", F.monotonically_increasing_id()))
+    slim = rows.select("doc_id", "fp", "_row")
+    gone = slim.join(_told(slim, radius), "fp").where(F.col("_best.row") != F.col("_row")).select("_row")
+    return rows.join(materialize(gone), "_row", "left_anti").select(*unpacked(df.columns))
