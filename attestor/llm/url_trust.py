@@ -10,13 +10,14 @@ Links are reduced to weighted host edges with map-side combine before anything i
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestor.session import materialize
 
 DAMPING = 0.85
-ROUNDS = 20
 TOLERANCE = 1e-6
 FACTOR = 1.0
 
@@ -60,13 +61,21 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.where("src <> dst and dst <> ''").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def enough_rounds(damping: float = DAMPING, tolerance: float = TOLERANCE) -> int:
+    """Rounds after which two vectors of sum one change by less than ``tolerance`` together:
+    each round scales the change, at first ``2 * damping`` at most for either, by ``damping``."""
+    return max(1, 2 + math.ceil(math.log(tolerance / 4) / math.log(damping)))
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
     """``host, trust, distrust`` from ``edges(src, dst, n)`` and ``seeds(host, trusted, blocked)``.
 
     Both start vectors add up to one, if they have any host. What reaches a host without
     onward links is lost, as no walk goes on from there. Stops when the two vectors together
-    change by less than ``tolerance``.
+    change by less than ``tolerance``, which they do after :func:`enough_rounds`; ``rounds``
+    is for tests.
     """
+    rounds = rounds or enough_rounds(damping, tolerance)
     edges = materialize(edges)
     leaving = materialize(edges.groupBy("src").agg(F.sum("n").alias("_out")))
     entering = materialize(edges.groupBy("dst").agg(F.sum("n").alias("_in")))
@@ -96,7 +105,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     return scores
 
 
-def judged(df: DataFrame, rules=RULES, damping: float = DAMPING, rounds: int = ROUNDS, factor: float = FACTOR) -> DataFrame:
+def judged(df: DataFrame, rules=RULES, damping: float = DAMPING, rounds: int | None = None, factor: float = FACTOR) -> DataFrame:
     """``page_id, host, path, rule, verdict`` for every row of ``df(page_id, url, html, ...)``.
 
     A url that is null or has no ``://`` has empty host and path; no rule fits it, and it is
