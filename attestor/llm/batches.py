@@ -7,7 +7,7 @@ counts are vectorized over all rows of a batch. A null text is an empty text eve
 from __future__ import annotations
 
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +42,28 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, bounds - bounds[0]
 
 
+def runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[object, Iterator[tuple]]]:
+    """Groups of a stream sorted by its first column, each as an iterator over the other columns.
+
+    Rows are read as they are asked for; what a caller leaves of a group is skipped.
+    """
+    rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    held = next(rows, None)
+
+    def own(key) -> Iterator[tuple]:
+        nonlocal held
+        while held is not None and held[0] == key:
+            yield held[1:]
+            held = next(rows, None)
+
+    while held is not None:
+        key = held[0]
+        group = own(key)
+        yield key, group
+        for _ in group:
+            pass
+
+
 OTHER, LETTER, DIGIT, SIGN, APOSTROPHE, GAP = range(6)
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[0x21:0x7F] = SIGN

@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestor.llm import block_names, byte_bpe, packing, pii, quality, simhash, token_scan, url_trust, vptree, wrappers
+from attestor.llm import (
+    block_names,
+    byte_bpe,
+    chat,
+    packing,
+    pii,
+    quality,
+    repair,
+    simhash,
+    token_scan,
+    url_trust,
+    vptree,
+    whitening,
+    wrappers,
+)
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
@@ -60,6 +74,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_names.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op11_incremental_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(chat.with_planted(_table(spark, sf_dir, "conversations")))
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired_digests(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_personal_data": op2_personal_data,
@@ -71,6 +97,9 @@ QUERIES = {
     "op8_vantage_point_trees": op8_vantage_point_trees,
     "op9_simhash": op9_simhash,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_incremental_whitening": op11_incremental_whitening,
+    "op12_chat_format": op12_chat_format,
+    "op13_structure_repair": op13_structure_repair,
 }
 
 ORACLES = {"op8_vantage_point_trees": vptree.ORACLE, "op10_exact_dedup": block_names.ORACLE}
