@@ -58,7 +58,7 @@ def _section(rows: list[tuple[str, int]], exits: list[int]) -> tuple[list[int],
     ``4 i + q`` stands before row ``i`` in state ``q``. A letter is empty where no tight path
     leads on.
     """
-    size = len(rows)
+    size, base = len(rows), min(exits)  # prices start at what every path has to pay behind the section
     goal = STATES * (size + 1)
     arcs: list[list[tuple[int, int, str]]] = [[] for _ in range(goal + 1)]
     for i in range(size + 1):
@@ -67,7 +67,7 @@ def _section(rows: list[tuple[str, int]], exits: list[int]) -> tuple[list[int],
             if i < size:
                 own += [(cost, STATES * (i + 1) + to, letter) for letter, cost, to in _arcs(rows[i], q)]
             elif exits[q] < _FAR:
-                own.append((exits[q], goal, ""))
+                own.append((exits[q] - base, goal, ""))
             own.append((INSERT, STATES * i + AFTER[q], "I"))
     price = [0] * (goal + 1)
     for entrance in range(STATES):
@@ -91,7 +91,7 @@ def _section(rows: list[tuple[str, int]], exits: list[int]) -> tuple[list[int],
                 if tight:
                     leads[node] = True
                     letters[node] = min(tight)[0] or "."
-    return price[:STATES], letters[: STATES * size + STATES]
+    return [p + base for p in price[:STATES]], letters[: STATES * size + STATES]
 
 
 def cheapest_edits(rows: bytes) -> tuple[str, int]:
