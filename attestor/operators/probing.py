@@ -4,10 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, replace
-from functools import reduce
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +17,7 @@ from attestor.operators.auroc import (
     untouched_best,
 )
 from attestor.operators.inference import bootstrap_mean
+from attestor.operators.linear_probe import FIT_ROWS, linear_models, model_auroc
 from attestor.operators.splits import (
     Pool,
     make_pool,
@@ -46,6 +44,10 @@ class ProbeConfig:
     held_out_fraction: float = 0.5
     min_hard_negatives: int = 10
     seed: str = "42"
+    multivariate: bool = False  # also fit and score a linear model of all features per concept
+    regularization: float = 0.01
+    max_iter: int = 500
+    fit_rows: int = FIT_ROWS
 
     @property
     def test_fraction(self) -> float:
@@ -315,6 +317,13 @@ def probe_concepts(
                 "n_hard_negatives": F.lit(None).cast("bigint"),
             }
         )
+    if config.multivariate:
+        fitted = multivariate_auroc(context, split).select("concept_id", "multivariate_auroc", F.col("reason").alias("multivariate_reason"))
+        report = report.join(fitted, "concept_id", "left")
+    else:
+        report = report.withColumns(
+            {"multivariate_auroc": F.lit(None).cast("double"), "multivariate_reason": F.lit("not asked for")}
+        )
     if names is not None:
         report = report.join(names.select("concept_id", F.col("name").alias("_name")), "concept_id", "left")
         return report.withColumn("concept_name", F.coalesce("_name", "concept_id")).drop("_name")
@@ -336,6 +345,7 @@ def report_summary(report: DataFrame, *, threshold: float = 0.7, draws: int = 20
         F.count("auroc_inflation").alias("n_held_out"),
         F.count(hard).alias("n_hard_negative"),
         F.avg(hard).alias("mean_hard_negative_auroc"),
+        F.avg("multivariate_auroc").alias("mean_multivariate_auroc"),
         *[F.avg((auroc >= t).cast("double")).alias(f"fraction_above_{round(100 * t)}") for t in SUMMARY_THRESHOLDS],
     )
     if not draws:
@@ -467,72 +477,29 @@ def selection_inflation(features: DataFrame, positives: DataFrame, n_units: int)
 
 
 def multivariate_auroc(
-    vectors: DataFrame,
-    labels: DataFrame,
-    concepts: list,
-    config: ProbeConfig,
-    *,
-    regularization: float = 0.01,
-    max_iter: int = 500,
-    parallelism: int = 4,
+    context: ProbeContext, split: tuple[DataFrame, DataFrame], *, min_positives: int | None = None
 ) -> DataFrame:
-    """L2 logistic fit on standardized features, scored on the test part.
+    """``concept_id, multivariate_auroc, n_fit, converged, reason`` of every splittable concept.
 
-    One distributed fit per concept (``concepts`` is capped by the caller); NaN when the
-    fit fails. ``vectors`` has (unit_id, vec ARRAY<DOUBLE>).
+    A penalized logistic fit over all features, standardized on the train part, is scored on
+    the test part of the same split as the single features. The score is NULL, with a reason,
+    where no fit exists.
     """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import StandardScaler
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    spark = vectors.sparkSession
-    ranked = rank_units(vectors.select("unit_id"), config.seed)
-    pool = make_pool(
-        ranked, seed=config.seed, test_fraction=config.test_fraction, held_out_fraction=config.held_out_fraction
+    config = context.config
+    floor = config.min_positives if min_positives is None else min_positives
+    parts, cuts = split
+    cuts = cuts.where((F.col("n_pos") >= floor) & (F.col("n_pos") < context.pool.n_units - floor))
+    kept = (parts.join(cuts.select("concept_id"), "concept_id", "left_semi"), cuts)
+    models = materialize(
+        linear_models(
+            context.features,
+            context.ranked,
+            kept,
+            context.pool.n_units,
+            strength=config.regularization,
+            max_iter=config.max_iter,
+            fit_rows=config.fit_rows,
+        )
     )
-    keys = ["concept_id"]
-    fractions = {"test_fraction": config.test_fraction, "held_out_fraction": config.held_out_fraction}
-    concept_type = labels.schema["concept_id"].dataType.simpleString()
-    wanted = spark.createDataFrame([(c,) for c in concepts], f"concept_id {concept_type}")
-    positives = labels.select("concept_id", "unit_id").distinct().join(wanted, "concept_id", "left_semi")
-    parts, cuts = split_positives(positives, ranked, pool, keys=keys, **fractions)
-    table = materialize(vectors.join(ranked, "unit_id"))
-    test_cuts = {r["concept_id"]: r["test_cut"] for r in cuts.collect()}
-    fitted = [c for c in concepts if c in test_cuts]
-
-    def fit(concept) -> DataFrame:
-        mine = parts.where(F.col("concept_id") == F.lit(concept)).select("unit_id", "part")
-        rows = table.join(mine, "unit_id", "left").select(
-            array_to_vector(F.col("vec").cast("array<double>")).alias("vector"),
-            F.col("part").isNotNull().cast("double").alias("label"),
-            F.coalesce(F.col("part") != "train", F.col("unit_rank") <= test_cuts[concept]).alias("is_test"),
-        ).persist()
-        try:
-            train = rows.where(~F.col("is_test"))
-            scaler = StandardScaler(inputCol="vector", outputCol="features", withMean=True, withStd=True).fit(train)
-            scaled = scaler.transform(train).select("features", "label")
-            model = LogisticRegression(
-                maxIter=max_iter,
-                regParam=1.0 / (regularization * train.count()),
-                elasticNetParam=0.0,
-                standardization=False,
-            ).fit(scaled)
-            scored = model.transform(scaler.transform(rows.where("is_test"))).select(
-                F.lit(concept).alias("concept_id"),
-                vector_to_array("probability")[1].alias("score"),
-                F.col("label").cast("bigint").alias("pos"),
-                (1 - F.col("label")).cast("bigint").alias("neg"),
-            )
-            return materialize(
-                explicit_auroc(scored, keys).select("concept_id", F.col("raw_auroc").alias("multivariate_auroc"))
-            )
-        except Exception:  # noqa: BLE001 - a failed fit is reported as NaN, not dropped
-            return spark.createDataFrame([(concept, float("nan"))], f"concept_id {concept_type}, multivariate_auroc double")
-        finally:
-            rows.unpersist()
-
-    with ThreadPool(processes=min(parallelism, max(1, len(fitted)))) as threads:
-        results = threads.map(inheritable_thread_target(spark)(fit), fitted)
-    if not results:
-        return wanted.limit(0).withColumn("multivariate_auroc", F.lit(None).cast("double"))
-    return reduce(DataFrame.unionByName, results)
+    scores = model_auroc(context.features, context.ranked, kept, models)
+    return models.select("concept_id", "n_fit", "converged", "reason").join(scores, "concept_id", "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from attestor.operators import auroc as A
@@ -170,17 +172,51 @@ def split_sql(positives: str, keys: list[str]) -> str:
 REAL_POSITIVES = "SELECT label AS concept_id, vec_id AS unit_id FROM embeddings"
 REAL = "WITH " + DENSE + split_sql(REAL_POSITIVES, ["concept_id"])
 
+# One penalized logistic fit per concept on standardized vectors, by accelerated gradient steps
+# of all concepts at once (lists are vectors), then the rank-sum score of its test rows.
+MULTIVARIATE = """,
+xs AS (SELECT p.concept_id, p.unit_id, p.y::INT AS y, p.part, e.embedding::DOUBLE[] AS x FROM parts p JOIN embeddings e ON e.vec_id = p.unit_id),
+st AS (SELECT concept_id, list(m ORDER BY j) AS m, list(s ORDER BY j) AS s, any_value(n) AS n FROM (
+         SELECT concept_id, j, avg(x[j]) AS m, stddev_pop(x[j]) AS s, count(*) AS n FROM xs, unnest(range(1, 65)) AS d(j)
+         WHERE part = 'train' GROUP BY concept_id, j) GROUP BY concept_id),
+zs AS MATERIALIZED (SELECT xs.concept_id, unit_id, y, part, list_transform(range(1, 65), lambda j: (x[j] - m[j]) / s[j]) AS z FROM xs JOIN st USING (concept_id)),
+zt AS MATERIALIZED (SELECT concept_id, unit_id, y, z FROM zs WHERE part = 'train'),
+size AS (SELECT concept_id, 1 + 0.0025::DOUBLE * count(*) * 64 AS l, 0.0025::DOUBLE * count(*) AS lb FROM zt GROUP BY concept_id),
+fit AS (
+  SELECT 0 AS it, concept_id, list_transform(range(64), lambda j: 0.0::DOUBLE) AS w, list_transform(range(64), lambda j: 0.0::DOUBLE) AS v,
+         0.0::DOUBLE AS b, 0.0::DOUBLE AS vb FROM size
+  UNION ALL
+  SELECT it + 1, concept_id, nw, list_transform(range(1, 65), lambda j: nw[j] + 0.8 * (nw[j] - w[j])), nb, nb + 0.8 * (nb - b)
+  FROM (
+    SELECT concept_id, any_value(it) AS it, any_value(w) AS w, any_value(b) AS b,
+           list(vj - (vj + 0.01 * g) / l ORDER BY j) AS nw, any_value(vb - 0.01 * se / lb) AS nb
+    FROM (
+      SELECT concept_id, j, any_value(it) AS it, any_value(w) AS w, any_value(b) AS b, any_value(v[j]) AS vj, any_value(vb) AS vb,
+             sum(e * z[j]) AS g, sum(e) AS se
+      FROM (SELECT f.*, z, 1 / (1 + exp(-(list_dot_product(z, v) + vb))) - y AS e FROM fit f JOIN zt USING (concept_id)) r, unnest(range(1, 65)) AS d(j)
+      GROUP BY concept_id, j) q JOIN size USING (concept_id)
+    GROUP BY concept_id)
+  WHERE it < 200),
+mv AS (
+  SELECT concept_id, (sum(ar) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0)
+           / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0))::DOUBLE AS multivariate_auroc
+  FROM (SELECT concept_id, y, rank() OVER (PARTITION BY concept_id ORDER BY sc) + (count(*) OVER (PARTITION BY concept_id, sc) - 1) / 2.0 AS ar
+        FROM (SELECT concept_id, y, round(list_dot_product(z, w), 10) AS sc FROM zs JOIN (SELECT * FROM fit WHERE it = 200) USING (concept_id) WHERE part <> 'train'))
+  GROUP BY concept_id)
+"""
+RECURSIVE = REAL.replace("WITH", "WITH RECURSIVE", 1)
+
 REPORT_COLUMNS = """concept_id, n_positives, n_total, best_feature_idx,
  round(single_feature_auroc, 6) + 0.0 AS single_feature_auroc, round(held_out_auroc, 6) + 0.0 AS held_out_auroc,
  round(single_feature_auroc - held_out_auroc, 6) + 0.0 AS auroc_inflation"""
 
 
-def _report(spark, sf):
+def _report(spark, sf, config=CONFIG):
     features, labels = dense_features(spark, sf), unit_labels(spark, sf)
-    return P.probe_concepts(features, labels.select("unit_id"), labels, CONFIG)
+    return P.probe_concepts(features, labels.select("unit_id"), labels, config)
 
 
-def _report_columns(report):
+def _report_columns(report, extra=()):
     return report.select(
         "concept_id",
         "n_positives",
@@ -189,9 +225,29 @@ def _report_columns(report):
         r6(F.col("single_feature_auroc"), "single_feature_auroc"),
         r6(F.col("held_out_auroc"), "held_out_auroc"),
         r6(F.col("auroc_inflation"), "auroc_inflation"),
+        *extra,
     )
 
 
+@query("d13_multivariate_auroc", RECURSIVE + MULTIVARIATE + "SELECT concept_id, round(multivariate_auroc, 6) + 0.0 AS multivariate_auroc FROM mv")
+def d13(spark, sf):
+    features, labels = dense_features(spark, sf), unit_labels(spark, sf)
+    context = P.prepare(features, labels.select("unit_id"), CONFIG)
+    split = S.split_positives(labels, context.ranked, context.pool, keys=["concept_id"], **context.fractions)
+    return P.multivariate_auroc(context, split).select("concept_id", r6(F.col("multivariate_auroc"), "multivariate_auroc"))
+
+
+@query(
+    "d14_multivariate_report",
+    RECURSIVE + MULTIVARIATE + "SELECT " + REPORT_COLUMNS + """, round(multivariate_auroc, 6) + 0.0 AS multivariate_auroc,
+    NULL::VARCHAR AS multivariate_reason FROM rep JOIN mv USING (concept_id)""",
+)
+def d14_multivariate(spark, sf):
+    report = _report(spark, sf, replace(CONFIG, multivariate=True))
+    extra = [r6(F.col("multivariate_auroc"), "multivariate_auroc"), "multivariate_reason"]
+    return _report_columns(report, extra)
+
+
 @query("d14_probe_report", REAL + "SELECT " + REPORT_COLUMNS + " FROM rep")
 def d14(spark, sf):
     return _report_columns(_report(spark, sf))
@@ -229,7 +285,7 @@ def d12(spark, sf):
     FROM rep""",
 )
 def d16(spark, sf):
-    s = P.report_summary(_report(spark, sf), threshold=0.7, draws=0).drop("n_hard_negative", "mean_hard_negative_auroc")
+    s = P.report_summary(_report(spark, sf), threshold=0.7, draws=0).drop("n_hard_negative", "mean_hard_negative_auroc", "mean_multivariate_auroc")
     counts = ["n_concepts", "n_above", "n_held_out"]
     return s.select(*counts, *[r6(F.col(c), c) for c in s.columns if c not in counts])
 
@@ -480,8 +536,3 @@ def d23_sparse(spark, sf):
     return out.select("concept_id", "n_draws", *[r6(F.col(c), c) for c in out.columns[2:]])
 
 
-@query("d13_multivariate_auroc")
-def d13(spark, sf):
-    labels = unit_labels(spark, sf)
-    concepts = [r[0] for r in P.eligible_concepts(labels, min_positives=10, max_concepts=500).collect()]
-    return P.multivariate_auroc(vectors(spark, sf).select("unit_id", "vec"), labels, concepts, CONFIG)

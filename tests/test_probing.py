@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from attestor.operators import auroc as A
 from attestor.operators import inspect as I
 from attestor.operators import ordering as O
+from attestor.operators import linear_probe
 from attestor.operators import probing as P
 from attestor.operators import splits as S
 
@@ -334,26 +335,84 @@ def test_small_concepts_select_on_the_whole_test_part(spark):
         assert (report[concept]["held_out_auroc"] is None) == (len(mine) < 8)
 
 
-def test_multivariate_fit_matches_penalized_newton(spark):
+def newton(x, y, strength=0.01):
+    """Dense penalized fit on standardized columns; weights on the scale of the columns."""
+    mean, sd = x.mean(0), x.std(0)
+    sd = np.where(sd > 0, sd, np.inf)
+    design = np.column_stack([np.ones(len(x)), (x - mean) / sd])
+    penalty = np.diag([0.0] + [1 / strength] * x.shape[1])
+    beta = np.zeros(x.shape[1] + 1)
+    for _ in range(60):
+        mu = 1 / (1 + np.exp(-design @ beta))
+        beta += np.linalg.solve(design.T @ (design * (mu * (1 - mu))[:, None]) + penalty, design.T @ (y - mu) - penalty @ beta)
+    return beta[1:] / sd
+
+
+def multivariate(spark, features, n, labels, config):
+    table = spark.createDataFrame([(int(u), c) for c, us in labels.items() for u in us], "unit_id long, concept_id string")
+    context = P.prepare(features, spark.range(n).withColumnRenamed("id", "unit_id"), config)
+    split = S.split_positives(table, context.ranked, context.pool, keys=["concept_id"], **context.fractions)
+    return context, split, {r["concept_id"]: r for r in P.multivariate_auroc(context, split).collect()}
+
+
+@pytest.mark.parametrize("density", [1.0, 0.25])
+def test_multivariate_fit_matches_penalized_newton(spark, density):
+    """Features of very different size, one constant, one seen in the test part only, silent units."""
     rng = np.random.default_rng(21)
     n, d = 240, 6
-    x = rng.normal(size=(n, d))
-    labels = {"t": set(np.where(x[:, 0] + x[:, 1] + 0.5 * rng.normal(size=n) > 0.5)[0].tolist()), "noise": set(rng.choice(n, 80, replace=False).tolist())}
-    vectors = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "unit_id long, vec array<double>")
-    table = spark.createDataFrame([(int(u), c) for c, us in labels.items() for u in us], "unit_id long, concept_id string")
-    out = {r["concept_id"]: r["multivariate_auroc"] for r in P.multivariate_auroc(vectors, table, ["t", "noise", "absent"], P.ProbeConfig()).collect()}
-    assert set(out) == {"t", "noise"} and out["t"] > 0.85
-    for concept, mine in labels.items():
-        part = brute_split(range(n), mine)
-        train = [u for u in range(n) if part[u] == "train"]
-        test = [u for u in range(n) if part[u] != "train"]
-        mean, sd = x[train].mean(0), x[train].std(0, ddof=1)
-        design = np.column_stack([np.ones(len(train)), (x[train] - mean) / sd])
-        y = np.array([u in mine for u in train], float)
-        penalty = np.diag([0.0] + [1 / 0.01] * d)
-        beta = np.zeros(d + 1)
-        for _ in range(50):
-            mu = 1 / (1 + np.exp(-design @ beta))
-            beta += np.linalg.solve(design.T @ (design * (mu * (1 - mu))[:, None]) + penalty, design.T @ (y - mu) - penalty @ beta)
-        score = ((x[test] - mean) / sd) @ beta[1:]
-        assert out[concept] == pytest.approx(brute_auroc(list(score), [u in mine for u in test]), abs=5e-3)
+    x = rng.normal(size=(n, d)) * 10.0 ** np.arange(-3, 3) + (5.0 if density == 1 else 0.0)
+    x *= rng.random((n, d)) < density
+    x[:, 5] = 3.0 if density == 1 else 0.0
+    signal = x[:, 0] * 1e3 + x[:, 1] * 1e2
+    labels = {
+        "t": set(np.where(signal + 0.5 * rng.normal(size=n) > np.median(signal) + 0.3)[0].tolist()),
+        "noise": set(rng.choice(n, 80, replace=False).tolist()),
+        "rare": {3},
+    }
+    part = brute_split(range(n), labels["t"])
+    first_test = min(u for u in range(n) if part[u] != "train")
+    rows = [(i, f, float(x[i, f])) for i in range(n) for f in range(d) if x[i, f]] + [(first_test, 9, 1e6)]
+    features = spark.createDataFrame(rows, "unit_id long, feature_idx int, act double")
+    _, _, out = multivariate(spark, features, n, labels, P.ProbeConfig(min_positives=2))
+    assert set(out) == {"t", "noise"} and out["t"]["multivariate_auroc"] > 0.7
+    for concept in out:
+        part = brute_split(range(n), labels[concept])
+        train, test = [u for u in range(n) if part[u] == "train"], [u for u in range(n) if part[u] != "train"]
+        w = newton(x[train], np.array([u in labels[concept] for u in train], float))
+        want = brute_auroc([round(float(v), 10) for v in x[test] @ w], [u in labels[concept] for u in test])
+        if concept == "t" or part[first_test] != "train":  # elsewhere the odd feature is in the fit
+            assert out[concept]["multivariate_auroc"] == pytest.approx(want, abs=1e-9)
+        assert (out[concept]["n_fit"], out[concept]["converged"], out[concept]["reason"]) == (len(train), True, None)
+
+
+def test_multivariate_bound_and_reasons(spark):
+    rng = np.random.default_rng(3)
+    n = 600
+    x = rng.normal(size=(n, 2))
+    features = spark.createDataFrame([(i, f, float(x[i, f])) for i in range(n) for f in range(2)], "unit_id long, feature_idx int, act double")
+    labels = {"t": set(np.where(x[:, 0] > 0.2)[0].tolist())}
+    config = P.ProbeConfig(min_positives=2, fit_rows=100)
+    context, split, out = multivariate(spark, features, n, labels, config)
+    assert out["t"]["n_fit"] == 100 and out["t"]["multivariate_auroc"] > 0.97
+    sets = linear_probe._fit_sets(*split, context.ranked, n, 100).groupBy("y").agg(F.sum("weight").alias("w")).collect()
+    part = brute_split(range(n), labels["t"])
+    train = [u for u in range(n) if part[u] == "train"]
+    sizes = {1.0: sum(u in labels["t"] for u in train), 0.0: sum(u not in labels["t"] for u in train)}
+    assert {r.y: pytest.approx(r.w) for r in sets} == sizes
+    _, _, out = multivariate(spark, features, n, labels, P.ProbeConfig(min_positives=2, max_iter=1))
+    assert (out["t"]["converged"], out["t"]["reason"]) == (False, "no convergence") and out["t"]["multivariate_auroc"] > 0.9
+    plan = P.multivariate_auroc(context, split)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_report_with_multivariate_score(spark):
+    rng = np.random.default_rng(4)
+    n = 200
+    x = rng.normal(size=(n, 3))
+    features = spark.createDataFrame([(i, f, float(x[i, f])) for i in range(n) for f in range(3)], "unit_id long, feature_idx int, act double")
+    labels = spark.createDataFrame([(i, "t") for i in range(n) if x[i].sum() > 0], "unit_id long, concept_id string")
+    units = spark.range(n).withColumnRenamed("id", "unit_id")
+    row = P.probe_concepts(features, units, labels, P.ProbeConfig(min_positives=5, multivariate=True)).first()
+    assert row.multivariate_auroc > 0.95 > row.single_feature_auroc and row.multivariate_reason is None
+    row = P.probe_concepts(features, units, labels, P.ProbeConfig(min_positives=5)).first()
+    assert row.multivariate_auroc is None and row.multivariate_reason == "not asked for"
