@@ -8,7 +8,6 @@ map-side and never gathered. What reaches Python is one small matrix per locus.
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -169,6 +168,12 @@ MEDIATION_SCHEMA = (
 )
 
 
+FIT_SCHEMA = (
+    "n_obs bigint, beta double, delta double, acme double, ade double, total double, proportion double, mediator_sd double,"
+    " sigma_1 double, sigma_2 double, var_beta double, var_ade double, cov_effects double, var_delta double"
+)
+
+
 def mediation(
     rows: DataFrame,
     *,
@@ -180,9 +185,10 @@ def mediation(
 ) -> DataFrame:
     """Effects of ``t`` on ``y`` through ``m`` for every group at once.
 
-    Point estimates are products of coefficients; intervals and p-values come from
-    ``n_rep`` draws of the estimated coefficients. Draws are seeded by the group key, so
-    a retried task gives the same numbers.
+    Point estimates are products of coefficients. Intervals and p-values come from ``n_rep``
+    draws of the estimated coefficients: normals that are hashes of the group and the draw,
+    correlated by a 2 x 2 Cholesky factor, all inside one row, so nothing is shuffled and any
+    engine can replay them. They are NaN where a coefficient has no variance estimate.
     """
     base = moments(rows, keys=keys, columns=["t", "m", "y"], numeric=numeric, category=category)
 
@@ -191,32 +197,15 @@ def mediation(
         b1, c1, rss1, _ = _ols(s, n, 1, [0, *extra])
         b2, c2, rss2, _ = _ols(s, n, 2, [0, 1, *extra])
         beta, ade, delta = float(b1[0]), float(b2[0]), float(b2[1])
-        acme, total = beta * delta, beta * delta + ade
-        rng = np.random.default_rng([seed, zlib.crc32(repr(key).encode())])
-        spread = c2[:2, :2]
-        if np.all(np.isfinite(spread)) and math.isfinite(c1[0, 0]):
-            beta_draw = rng.normal(beta, math.sqrt(max(0.0, c1[0, 0])), n_rep)
-            root, vectors = np.linalg.eigh(spread)
-            noise = rng.standard_normal((n_rep, 2)) * np.sqrt(np.clip(root, 0, None))
-            out_draw = np.array([ade, delta]) + noise @ vectors.T
-            sims = {"acme": beta_draw * out_draw[:, 1], "ade": out_draw[:, 0]}
-            sims["total"] = sims["acme"] + sims["ade"]
-        else:
-            sims = {k: np.full(n_rep, np.nan) for k in ("acme", "ade", "total")}
-
-        def interval(name):
-            lo, hi = np.percentile(sims[name], [2.5, 97.5])
-            p = 2 * min(float(np.mean(sims[name] > 0)), float(np.mean(sims[name] < 0)))
-            return float(lo), float(hi), p
-
-        record = [n, beta, delta]
-        for name, estimate in (("acme", acme), ("ade", ade), ("total", total)):
-            record += [estimate, *interval(name)]
-        proportion = acme / total if total != 0 else float("nan")
+        total = beta * delta + ade
+        proportion = beta * delta / total if total != 0 else float("nan")
         dof = max(1, n - 1)
-        return [(*record, proportion, math.sqrt(max(0.0, s[1, 1])), math.sqrt(rss1 / dof), math.sqrt(rss2 / dof))]
+        spread = (float(c1[0, 0]), float(c2[0, 0]), float(c2[0, 1]), float(c2[1, 1]))
+        scales = (math.sqrt(max(0.0, s[1, 1])), math.sqrt(rss1 / dof), math.sqrt(rss2 / dof))
+        return [(n, beta, delta, beta * delta, ade, total, proportion, *scales, *spread)]
 
-    out = _solve(base, keys, MEDIATION_SCHEMA, solver)
+    solved = _solve(base, keys, FIT_SCHEMA, solver)
+    out = _simulated(solved, keys, n_rep, seed).select(*keys, *[c.split()[0] for c in MEDIATION_SCHEMA.split(", ")])
     return out.withColumns(
         {
             "acme_reportable": acme_reportable(F.col("mediator_sd")),
@@ -225,6 +214,47 @@ def mediation(
     )
 
 
+def _simulated(fits: DataFrame, keys: list[str], n_rep: int, seed) -> DataFrame:
+    """Add ``*_lo, *_hi, *_p`` of the three effects from draws of the coefficients."""
+
+    def normal(name: str, draw: Column) -> Column:
+        return hash_noise(*keys, draw, seed=f"{seed}:{name}")
+
+    def root(value: Column) -> Column:
+        return F.sqrt(F.greatest(value, F.lit(0.0)))
+
+    first = root(F.col("var_ade"))
+    across = F.when(first > 0, F.col("cov_effects") / first).otherwise(0.0)
+    fits = fits.withColumns({"_l00": first, "_l10": across, "_l11": root(F.col("var_delta") - across * across), "_sb": root(F.col("var_beta"))})
+
+    def draw(i: Column) -> Column:
+        z = normal("ade", i)
+        direct = F.col("ade") + F.col("_l00") * z
+        through = (F.col("beta") + F.col("_sb") * normal("beta", i)) * (F.col("delta") + F.col("_l10") * z + F.col("_l11") * normal("delta", i))
+        return F.struct(through.alias("acme"), direct.alias("ade"), (through + direct).alias("total"))
+
+    finite = F.lit(True)
+    for c in ("var_beta", "var_ade", "cov_effects", "var_delta"):
+        finite = finite & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    drawn = fits.withColumn("_draws", F.transform(F.sequence(F.lit(0), F.lit(n_rep - 1)), draw))
+    nan = F.lit(float("nan"))
+    added = {}
+    for name in ("acme", "ade", "total"):
+        values = F.col(f"_sorted_{name}")
+        drawn = drawn.withColumn(f"_sorted_{name}", F.array_sort(F.col("_draws").getField(name)))
+
+        def at(q: float, values=values) -> Column:
+            place = q * (n_rep - 1)
+            low, high = F.get(values, F.lit(math.floor(place))), F.get(values, F.lit(min(n_rep - 1, math.floor(place) + 1)))
+            return low + (high - low) * (place - math.floor(place))
+
+        above, below = (F.size(F.filter(values, test)) / n_rep for test in (lambda v: v > 0, lambda v: v < 0))
+        added[f"{name}_lo"] = F.when(finite, at(0.025)).otherwise(nan)
+        added[f"{name}_hi"] = F.when(finite, at(0.975)).otherwise(nan)
+        added[f"{name}_p"] = F.when(finite, 2 * F.least(above, below)).otherwise(nan)
+    return drawn.withColumns(added)
+
+
 def negative_control(rows: DataFrame, *, keys: list[str], seed: int = 42, **options) -> DataFrame:
     """Mediation with an uninformative mediator; no effect should be found."""
     noisy = rows.withColumn("m", hash_noise(*keys, "sample_id", seed=seed))

@@ -62,10 +62,37 @@ def d49_covariates(spark, sf):
     return out.select("locus", "n_obs", *[(F.round(c, 5) + 0.0).alias(c) for c in ("acme", "ade", "total")])
 
 
-@query("d49_mediation_intervals")
+def _normal(name: str) -> str:
+    u, v = (f"(('0x' || substr(md5('42:{name}:{x}:' || locus || ':' || i), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296" for x in "uv")
+    return f"sqrt(-2 * ln({u})) * cos(2 * pi() * ({v}))"
+
+
+INTERVALS = f""",
+lv AS (SELECT locus, count(DISTINCT superpopulation) AS g, sqrt(var_pop(m)) AS mediator_sd FROM r GROUP BY 1),
+cf AS (SELECT cc.locus, tm / tt AS beta, (my * tt - tm * ty) / (tt * mm - tm * tm) AS delta, (ty * mm - tm * my) / (tt * mm - tm * tm) AS ade,
+         tt * mm - tm * tm AS det, n, g, mediator_sd, tt, tm, mm, ty, my, yy FROM cc JOIN lv USING (locus)),
+vr AS (SELECT *, (mm - tm * tm / tt) / (n - 1 - g) / tt AS vb, (yy - ade * ty - delta * my) / (n - 2 - g) AS s2 FROM cf),
+ch AS (SELECT *, sqrt(s2 * mm / det) AS l00, -s2 * tm / det / sqrt(s2 * mm / det) AS l10 FROM vr),
+dz AS (SELECT locus, mediator_sd, beta, vb, delta, ade, l00, l10, sqrt(greatest(s2 * tt / det - l10 * l10, 0)) AS l11,
+         {_normal('beta')} AS zb, {_normal('ade')} AS za, {_normal('delta')} AS zd FROM ch, unnest(range(0, 1000)) AS q(i)),
+sim AS (SELECT locus, mediator_sd, (beta + sqrt(vb) * zb) * (delta + l10 * za + l11 * zd) AS acme, ade + l00 * za AS ade FROM dz),
+iv AS (SELECT locus, any_value(mediator_sd) AS mediator_sd,
+         quantile_cont(acme, 0.025) AS acme_lo, quantile_cont(acme, 0.975) AS acme_hi, 2 * least(avg((acme > 0)::INT), avg((acme < 0)::INT)) AS acme_p,
+         quantile_cont(ade, 0.025) AS ade_lo, quantile_cont(ade, 0.975) AS ade_hi, 2 * least(avg((ade > 0)::INT), avg((ade < 0)::INT)) AS ade_p,
+         quantile_cont(acme + ade, 0.025) AS total_lo, quantile_cont(acme + ade, 0.975) AS total_hi,
+         2 * least(avg((acme + ade > 0)::INT), avg((acme + ade < 0)::INT)) AS total_p FROM sim GROUP BY locus)
+"""
+BOUNDS = [f"{e}_{b}" for e in ("acme", "ade", "total") for b in ("lo", "hi", "p")]
+
+
+@query(
+    "d49_mediation_intervals",
+    "WITH " + MED + "," + CENTERED.format(m="m") + INTERVALS + "SELECT locus, " + ", ".join(f"round({b}, 5) + 0.0 AS {b}" for b in BOUNDS)
+    + ", mediator_sd > 1e-8 AS acme_reportable, NOT (total_lo <= 0 AND total_hi >= 0) AS proportion_reportable FROM iv",
+)
 def d49_intervals(spark, sf):
     out = M.mediation(rows(spark, sf), keys=["locus"], category="superpopulation", n_rep=1000)
-    return out.select("locus", "acme_lo", "acme_hi", "acme_p", "total_lo", "total_hi", "acme_reportable", "proportion_reportable")
+    return out.select("locus", *[(F.round(b, 5) + 0.0).alias(b) for b in BOUNDS], "acme_reportable", "proportion_reportable")
 
 
 NOISE = "noisy AS (SELECT * REPLACE (sqrt(-2 * ln((('0x' || substr(md5('42:u:' || locus || ':' || sample_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)) * cos(2 * pi() * ((('0x' || substr(md5('42:v:' || locus || ':' || sample_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)) AS m) FROM r)"
