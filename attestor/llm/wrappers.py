@@ -1,22 +1,26 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host are aligned, as trees of their block elements, with reference pages of the
-host by simple tree matching, each page with the one it matches best. A node whose text is the same on (nearly) all pages of a reference is
-template; a slot whose text varies is content. Elements that are never part of an article
-by their meaning, such as menus, footers, forms and scripts, are left out beforehand, and
-an ``article`` or ``main`` element bounds the content where a page has one.
+Pages of one host are aligned, as trees of their block elements, with a reference page of the
+host by simple tree matching: the one of a few references that shares most elements with the
+page. A slot is a node of the reference and a place in it. A slot that holds one text on
+(nearly) all pages that have the element around it is template; a slot whose text varies is
+content. Elements that are never part of an article by their meaning, such as menus, footers,
+forms and scripts, are left out beforehand, and an ``article`` or ``main`` element bounds the
+content where a page has one.
 
 A page is parsed once, in Spark tasks. Its blocks are stored with the slot they align with;
 which slots are template is an aggregation over all pages of a host, and taking those
-blocks out again is a join. Only a few bounded trees per host are sent to the pages.
+blocks out again is a join. Only a few trees per host are sent to the pages.
 """
 
 from __future__ import annotations
 
-import re
+import sys
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -25,11 +29,13 @@ from pyspark.sql import functions as F
 from attestor.llm.url_trust import host_of
 from attestor.session import materialize
 
-MIN_BODIES = 20  # different pages of a host before a constant slot counts as template
+MIN_BODIES = 2  # different pages around a constant slot before it counts as template
+ARTICLE_BODIES = 20  # the same for a slot inside an article or main element
 SHARE = 0.95  # of them that must have the slot
+COPIED = 0.7  # fewer than ARTICLE_BODIES pages with more of their text constant are copies of each other
 REFERENCES = 3  # pages that may stand for a host, as its pages need not be all of one kind
-REFERENCE_NODES = 2000  # block elements of the tree that stands for a host
-DYNAMIC_CELLS = 4096  # larger pairs of child lists are matched in one sweep
+REFERENCE_PAGES = 20  # pages of a host for each of them
+TABLE_CELLS = 1 << 22  # larger tables are halved until they fit; the result is the same
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _BLOCK = frozenset(
@@ -39,25 +45,27 @@ _BLOCK = frozenset(
 )
 _CLOSES_P = _BLOCK - {"body", "html"}
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "p": {"p"}}
-# Elements, roles and usual class or id words of what is not the article.
+# Elements, roles and usual whole class names or ids of what is not the article.
 _HIDDEN = frozenset(
-    "head title script style noscript template iframe object svg canvas audio video form button select textarea "
+    "head title script style noscript template iframe object svg canvas audio video button select textarea "
     "nav menu aside footer dialog".split()
 )
-_HIDDEN_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
+_HIDDEN_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar".split())
 _HIDDEN_NAMES = frozenset(
-    "ad ads advert adverts advertisement banner sponsor sponsored promo sidebar aside menu nav navbar navigation "
-    "breadcrumb breadcrumbs header masthead footer cookie cookies consent gdpr notice notices alert popup modal "
-    "newsletter subscribe share sharing social comment comments disqus replies respond related form search".split()
+    "ad ads advert adverts advertisement ad-banner ad-container ad-slot banner sponsor sponsored promo sidebar side-bar "
+    "aside menu main-menu nav navbar nav-menu navigation main-nav main-navigation site-nav breadcrumb breadcrumbs header "
+    "site-header page-header masthead footer site-footer page-footer cookie cookies cookie-banner cookie-notice "
+    "cookie-consent consent gdpr notice notices alert popup modal newsletter newsletter-signup subscribe share sharing "
+    "share-buttons social social-links social-share comment comments comment-list comments-area comment-respond disqus "
+    "disqus_thread replies respond related related-posts related-articles form search search-form widget widget-area".split()
 )
-_NAME = re.compile(r"[A-Za-z]+")
 
 
 class Node:
-    __slots__ = ("label", "children", "number")
+    __slots__ = ("label", "children", "number", "kind")
 
     def __init__(self, label: str, number: int):
-        self.label, self.children, self.number = label, [], number
+        self.label, self.children, self.number, self.kind = label, [], number, -1
 
 
 class _Reader(HTMLParser):
@@ -67,18 +75,18 @@ class _Reader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("", 0)
         self.count = 1
-        self.stack: list[tuple[str, Node, bool, bool]] = [("", self.root, False, False)]  # tag, node, hidden, article
+        # tag, node, inside an article, left out, left out since the article began, in a form
+        self.stack: list[tuple] = [("", self.root, False, False, False, False)]
         self.depth: dict[str, int] = {}
         self.words: list[str] = []
-        self.blocks: list[tuple[int, bool, str]] = []  # node, inside an article, text
+        self.blocks: list[tuple[int, str, bool, bool, bool, bool]] = []  # node, text and the flags above
 
     def flush(self) -> None:
         text = " ".join("".join(self.words).split())
         self.words = []
         if text:
-            _, node, hidden, article = self.stack[-1]
-            if not hidden:
-                self.blocks.append((node.number, article, text))
+            _, node, *flags = self.stack[-1]
+            self.blocks.append((node.number, text, *flags))
 
     def handle_starttag(self, tag: str, attrs) -> None:
         if tag == "br" or tag in _VOID:
@@ -92,20 +100,25 @@ class _Reader(HTMLParser):
                 self.close_to({"p"}, _CLOSES_P - {"p"})
             if tag in _SAME:
                 self.close_to(_SAME[tag], {"ul", "ol", "dl", "table", "div", "article", "section"})
-        _, parent, hidden, article = self.stack[-1]
-        given = {k: v or "" for k, v in attrs}
-        names = set(_NAME.findall(f"{given.get('class', '')} {given.get('id', '')}".lower()))
-        bare = tag in ("html", "body", "article", "main")
-        shut = tag in _HIDDEN or (tag == "header" and not article) or "hidden" in given
-        shut = shut or given.get("role", "").lower() in _HIDDEN_ROLES or (not bare and bool(names & _HIDDEN_NAMES))
+        _, parent, article, out, inner, form = self.stack[-1]
+        shut, given = tag in _HIDDEN or (tag == "header" and not article), {}
+        if attrs:
+            given = {k: v or "" for k, v in attrs}
+            if "hidden" in given or given.get("role", "").lower() in _HIDDEN_ROLES:
+                shut = True
+            elif tag not in ("html", "body", "article", "main"):
+                names = f"{given.get('class', '')} {given.get('id', '')}".lower().split()
+                shut = shut or any(n in _HIDDEN_NAMES for n in names)
         node = parent
         if tag in _BLOCK or shut:
-            if shut and not hidden:
+            if shut and not out:
                 self.flush()
             node = Node(f"{tag}.{given.get('class', '')[:32]}", self.count)
             self.count += 1
             parent.children.append(node)
-        self.stack.append((tag, node, hidden or shut, article or tag in ("article", "main")))
+        if not article and tag in ("article", "main"):
+            article, inner = True, False
+        self.stack.append((tag, node, article, out or shut, inner or shut, form or tag == "form"))
         self.depth[tag] = self.depth.get(tag, 0) + 1
 
     def pop(self) -> None:
@@ -136,21 +149,33 @@ class _Reader(HTMLParser):
         self.words.append(data)
 
 
-def read_page(html: str | None) -> tuple[Node, list[tuple[int, str]]]:
-    """Tree of a page and its candidate blocks ``(node, text)``: those inside its ``article``
-    or ``main`` elements, or all that are not left out if it has no text in such an element."""
+def _without_forms(blocks: list[tuple]) -> list[tuple]:
+    """Blocks outside forms; all of them if forms hold most of their text, as a form may
+    wrap a whole page."""
+    inside = sum(len(b[1]) for b in blocks if b[5])
+    return blocks if 2 * inside > sum(len(b[1]) for b in blocks) else [b for b in blocks if not b[5]]
+
+
+def read_page(html: str | None) -> tuple[Node, list[tuple[int, str, bool]]]:
+    """Tree of a page and its candidate blocks ``(node, text, inside an article)``.
+
+    These are the blocks of its ``article`` or ``main`` elements, or all that are not left out
+    if it has no text in such an element. What is around an article leaves it out only if
+    another article stands elsewhere.
+    """
     reader = _Reader()
     reader.feed(html or "")
     reader.close()
     reader.flush()
-    inside = [(n, t) for n, article, t in reader.blocks if article]
-    return reader.root, inside or [(n, t) for n, _, t in reader.blocks]
+    inside = _without_forms([b for b in reader.blocks if b[2] and not b[4]])
+    found = [b for b in inside if not b[3]] or inside or _without_forms([b for b in reader.blocks if not b[3]])
+    return reader.root, [b[:3] for b in found]
 
 
-def write_tree(root: Node, most: int = REFERENCE_NODES) -> str:
-    """Lines of depth and label in document order, for at most ``most`` elements."""
+def write_tree(root: Node) -> str:
+    """Lines of depth and label in document order."""
     out, todo = [], [(root, 0)]
-    while todo and len(out) < most:
+    while todo:
         node, depth = todo.pop()
         out.append(f"{depth} {node.label}")
         todo += [(c, depth + 1) for c in reversed(node.children)]
@@ -169,55 +194,122 @@ def load_tree(text: str) -> Node:
     return path[0]
 
 
-def align(page: Node, reference: Node) -> dict[int, int]:
-    """Number in ``reference`` of every matched node of ``page``, by simple tree matching:
-    roots match if their labels are equal, and child lists are matched in order for the
-    largest number of matched nodes."""
-    sizes: dict[tuple[int, int], int] = {}
-    tables: dict[tuple[int, int], list[list[int]] | None] = {}
+def _in_order(root: Node) -> list[Node]:
+    """All nodes, parents first."""
+    nodes = [root]
+    for node in nodes:
+        nodes += node.children
+    return nodes
+
+
+class Kinds:
+    """Numbers of subtrees: equal subtrees have the same one. ``sizes`` counts their nodes."""
+
+    def __init__(self):
+        self.known: dict[tuple, int] = {}
+        self.sizes: list[int] = []
+
+    def name(self, nodes: list[Node]) -> None:
+        for node in reversed(nodes):
+            key = (node.label, *[c.kind for c in node.children])
+            kind = self.known.get(key)
+            if kind is None:
+                kind = self.known[key] = len(self.sizes)
+                self.sizes.append(1 + sum(self.sizes[c.kind] for c in node.children))
+            node.kind = kind
+
+
+class Reference:
+    """A reference page: its tree, how often it has each label, and the parent of each node."""
+
+    def __init__(self, text: str):
+        self.root = load_tree(text)
+        self.nodes = _in_order(self.root)
+        self.labels = Counter(n.label for n in self.nodes)
+        self.parent = {c.number: n.number for n in self.nodes for c in n.children}
+        self.inner = {n.number for n in self.nodes if n.children} | {0}
+
+    def likeness(self, labels: Counter) -> int:
+        return sum(min(n, self.labels[k]) for k, n in labels.items())
+
 
-    def size(a: Node, b: Node, depth: int) -> int:
+class _Matching:
+    """Simple tree matching of a page and a reference whose subtrees are numbered alike."""
+
+    def __init__(self, sizes: list[int]):
+        self.sizes = sizes
+        self.scores: dict[tuple[int, int], int] = {}
+
+    def score(self, a: Node, b: Node) -> int:
+        """Largest number of matched nodes, roots included; 0 if the roots differ in label."""
         if a.label != b.label:
             return 0
-        key = (a.number, b.number)
-        if key in sizes:
-            return sizes[key]
-        n, m = len(a.children), len(b.children)
-        if not n or not m or depth > 200:
-            best, table = 0, [[0] * (m + 1) for _ in range(n + 1)] if depth <= 200 and n * m == 0 else None
-        elif n * m <= DYNAMIC_CELLS:
-            table = [[0] * (m + 1)]
-            for x in a.children:
-                above, row = table[-1], [0]
-                for j, y in enumerate(b.children):
-                    row.append(max(above[j + 1], row[j], above[j] + size(x, y, depth + 1)))
-                table.append(row)
-            best = table[n][m]
-        else:
-            best, table = sum(size(x, y, depth + 1) for x, y in sweep(a, b)), None
-        sizes[key], tables[key] = best + 1, table
-        return best + 1
-
-    def sweep(a: Node, b: Node) -> Iterator[tuple[Node, Node]]:
+        if a.kind == b.kind:  # equal subtrees match whole
+            return self.sizes[a.kind]
+        if not a.children or not b.children:
+            return 1
+        key = (a.kind, b.kind)
+        found = self.scores.get(key)
+        if found is None:
+            head, tail, xs, ys = self.trimmed(a, b)
+            found = 1 + head + tail + (int(self.last_row(xs, ys)[-1]) if xs and ys else 0)
+            self.scores[key] = found
+        return found
+
+    def trimmed(self, a: Node, b: Node) -> tuple[int, int, list[Node], list[Node]]:
+        """Scores of the equal children at both ends, and the children between them.
+
+        An equal pair scores the most that either side can, so matching it loses nothing.
+        """
+        xs, ys = a.children, b.children
+        most = min(len(xs), len(ys))
+        i = 0
+        while i < most and xs[i].kind == ys[i].kind:
+            i += 1
         j = 0
-        for x in a.children:
-            k = next((k for k in range(j, min(j + 16, len(b.children))) if b.children[k].label == x.label), None)
-            if k is not None:
-                yield x, b.children[k]
-                j = k + 1
-
-    found: dict[int, int] = {}
-    todo = [(page, reference, 0)]
-    while todo:
-        a, b, depth = todo.pop()
-        if not size(a, b, depth):
-            continue
-        found[a.number] = b.number
-        table = tables[a.number, b.number]
-        if table is None:
-            todo += [(x, y, depth + 1) for x, y in sweep(a, b)] if depth <= 200 else []
-            continue
-        i, j = len(a.children), len(b.children)
+        while j < most - i and xs[-1 - j].kind == ys[-1 - j].kind:
+            j += 1
+        ends = xs[:i], xs[len(xs) - j :]
+        return *(sum(self.sizes[x.kind] for x in e) for e in ends), xs[i : len(xs) - j], ys[i : len(ys) - j]
+
+    def gains(self, xs: list[Node], ys: list[Node]) -> Iterator[np.ndarray]:
+        """Scores of each of ``xs`` with all ``ys``; children of one kind are scored once."""
+        kinds = {y.kind: y for y in ys}
+        place = {k: i for i, k in enumerate(kinds)}
+        where = np.array([place[y.kind] for y in ys])
+        rows: dict[int, np.ndarray] = {}
+        for x in xs:
+            if x.kind not in rows:
+                rows[x.kind] = np.array([self.score(x, y) for y in kinds.values()])[where]
+            yield rows[x.kind]
+
+    def rows(self, xs: list[Node], ys: list[Node]) -> Iterator[np.ndarray]:
+        """Rows of the table of best scores of the first children of both lists."""
+        row = np.zeros(len(ys) + 1, np.int64)
+        yield row
+        for gain in self.gains(xs, ys):
+            best = row.copy()
+            np.maximum(best[1:], row[:-1] + gain, out=best[1:])
+            row = np.maximum.accumulate(best)
+            yield row
+
+    def last_row(self, xs: list[Node], ys: list[Node]) -> np.ndarray:
+        for row in self.rows(xs, ys):
+            pass
+        return row
+
+    def pairs(self, xs: list[Node], ys: list[Node]) -> list[tuple[Node, Node]]:
+        """Matched children of two lists that are best in sum."""
+        if not xs or not ys:
+            return []
+        if len(xs) > 1 and len(xs) * len(ys) > TABLE_CELLS:
+            half = len(xs) // 2
+            ahead = self.last_row(xs[:half], ys)
+            behind = self.last_row(xs[half:][::-1], ys[::-1])[::-1]
+            cut = int(np.argmax(ahead + behind))
+            return self.pairs(xs[:half], ys[:cut]) + self.pairs(xs[half:], ys[cut:])
+        table = list(self.rows(xs, ys))
+        out, i, j = [], len(xs), len(ys)
         while i and j:
             if table[i][j] == table[i - 1][j]:
                 i -= 1
@@ -225,17 +317,47 @@ def align(page: Node, reference: Node) -> dict[int, int]:
                 j -= 1
             else:
                 i, j = i - 1, j - 1
-                todo.append((a.children[i], b.children[j], depth + 1))
+                out.append((xs[i], ys[j]))
+        return out
+
+
+def align(page: Node, reference: Node, kinds: Kinds | None = None) -> dict[int, int]:
+    """Number in ``reference`` of every matched node of ``page``, by simple tree matching:
+    roots match if their labels are equal, and child lists are matched in order for the
+    largest number of matched nodes. ``kinds`` has named both trees already."""
+    if kinds is None:
+        kinds = Kinds()
+        kinds.name(_in_order(reference))
+        kinds.name(_in_order(page))
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))  # trees may be deep
+    matching = _Matching(kinds.sizes)
+    found: dict[int, int] = {}
+    todo = [(page, reference)] if page.label == reference.label else []
+    while todo:
+        a, b = todo.pop()
+        found[a.number] = b.number
+        if a.kind == b.kind:
+            todo += zip(a.children, b.children, strict=True)
+        elif a.children and b.children:
+            _, _, xs, ys = matching.trimmed(a, b)
+            head = next((i for i, (x, y) in enumerate(zip(a.children, b.children, strict=False)) if x.kind != y.kind), min(len(a.children), len(b.children)))
+            tail = len(a.children) - head - len(xs)
+            todo += zip(a.children[:head], b.children[:head], strict=True)
+            todo += zip(a.children[len(a.children) - tail :], b.children[len(b.children) - tail :], strict=True)
+            todo += [(x, y) for x, y in matching.pairs(xs, ys) if x.label == y.label]
     return found
 
 
 def _references(pages: DataFrame) -> DataFrame:
     """``host, trees``: trees of at most ``REFERENCES`` pages per host, the first ones in the
-    order of a checksum within as many classes of it."""
+    order of a checksum within as many classes of it; one for each ``REFERENCE_PAGES`` pages,
+    so that enough pages share a reference."""
     key = F.xxhash64("page_id", "html")
     keyed = pages.where("host <> ''").select("host", "page_id", "html", key.alias("_h"))
-    first = keyed.groupBy("host", F.pmod("_h", F.lit(REFERENCES))).agg(F.min("_h").alias("_h"))
-    chosen = materialize(first.select(F.col("host"), "_h"))
+    first = keyed.groupBy("host", F.pmod("_h", F.lit(REFERENCES))).agg(F.min("_h").alias("_h"), F.count(F.lit(1)).alias("n"))
+    hosts = first.groupBy("host").agg(F.sort_array(F.collect_list("_h")).alias("_all"), F.sum("n").alias("n"))
+    wanted = F.slice("_all", 1, F.greatest(F.lit(1), F.floor(F.col("n") / REFERENCE_PAGES)).cast("int"))
+    chosen = materialize(hosts.select("host", F.explode(wanted).alias("_h")))
     rows = keyed.join(chosen, ["host", "_h"]).dropDuplicates(["host", "_h"]).select("host", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,59 +369,87 @@ def _references(pages: DataFrame) -> DataFrame:
     return materialize(trees.agg(F.array_sort(F.collect_set("tree")).alias("trees")))
 
 
+_ENTRY = "array<struct<node:bigint,place:bigint,parent:bigint,article:boolean,sum:bigint,text:string>>"
+
+
 def _blocks(pages: DataFrame) -> DataFrame:
-    """Replace html by ``blocks``, the text blocks in order with slot and checksum, and ``ref``,
-    the reference that the slots belong to."""
-    kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
-    schema = f"page_id {kinds['page_id']}, url {kinds['url']}, host string, ref int, body bigint, blocks array<struct<slot:bigint,sum:bigint,text:string>>"
-    entry = pa.list_(pa.struct([("slot", pa.int64()), ("sum", pa.int64()), ("text", pa.string())]))
+    """Replace html by ``blocks``, the text blocks in order with slot and checksum, ``ref``, the
+    reference that the slots belong to, and ``nodes``, its inner nodes that the page has."""
+    kinds_ = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
+    schema = f"page_id {kinds_['page_id']}, url {kinds_['url']}, host string, ref int, body bigint, nodes array<bigint>, blocks {_ENTRY}"
+    entry = pa.list_(pa.struct([("node", pa.int64()), ("place", pa.int64()), ("parent", pa.int64()), ("article", pa.bool_()), ("sum", pa.int64()), ("text", pa.string())]))
     digest = lambda t: xxhash.xxh64_intdigest(t.encode("utf-8", "replace")) - (1 << 63)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded: dict[str, list[Node]] = {}
+        loaded: dict[str, tuple[Kinds, list[Reference]]] = {}
         for batch in batches:
-            out, bodies, refs = [], [], []
-            for html, host, trees in zip(*(batch.column(c).to_pylist() for c in ("html", "host", "trees")), strict=True):
+            out, bodies, refs, seen = [], [], [], []
+            trees = batch.column("trees")
+            for i, (html, host) in enumerate(zip(batch.column("html").to_pylist(), batch.column("host").to_pylist(), strict=True)):
                 root, blocks = read_page(html)
-                slots, ref = {}, 0
-                if trees and blocks:
+                slots, ref, parents, inner = {}, 0, {}, set()
+                if blocks and trees[i].is_valid:
                     if host not in loaded:
-                        if len(loaded) >= 1000:
+                        if len(loaded) >= 200:
                             loaded.clear()
-                        loaded[host] = [load_tree(t) for t in trees]
-                    matched = [align(root, tree) for tree in loaded[host]]
-                    ref = max(range(len(matched)), key=lambda i: (len(matched[i]), -i))
-                    slots = matched[ref]
+                        kinds, known = Kinds(), [Reference(t) for t in trees[i].as_py()]
+                        for r in known:
+                            kinds.name(r.nodes)
+                        loaded[host] = kinds, known
+                    kinds, known = loaded[host]
+                    nodes = _in_order(root)
+                    labels = Counter(n.label for n in nodes)
+                    ref = max(range(len(known)), key=lambda k: (known[k].likeness(labels), -k))
+                    kinds.name(nodes)
+                    slots, parents, inner = align(root, known[ref].root, kinds), known[ref].parent, known[ref].inner
+                    if len(kinds.sizes) > 100_000:  # kinds of pages seen before are not needed again
+                        del loaded[host]
                 used: dict[int, int] = {}
                 rows = []
-                for node, text in blocks:
+                for node, text, article in blocks:
                     place = used[node] = used.get(node, -1) + 1
-                    slot = slots[node] * 1024 + place if node in slots and place < 1024 else -1
-                    rows.append({"slot": slot, "sum": digest(text), "text": text})
+                    slot = slots.get(node, -1)
+                    rows.append({"node": slot, "place": place, "parent": parents.get(slot, 0), "article": article, "sum": digest(text), "text": text})
                 out.append(rows)
                 refs.append(ref)
-                bodies.append(digest("\n".join(t for _, t in blocks)))
+                seen.append(sorted(inner.intersection(slots.values())))
+                bodies.append(digest("\n".join(b[1] for b in blocks)))
             columns = [batch.column(c) for c in ("page_id", "url", "host")]
-            columns += [pa.array(refs, pa.int32()), pa.array(bodies, pa.int64()), pa.array(out, entry)]
-            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "host", "ref", "body", "blocks"])
+            columns += [pa.array(refs, pa.int32()), pa.array(bodies, pa.int64()), pa.array(seen, pa.list_(pa.int64())), pa.array(out, entry)]
+            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "host", "ref", "body", "nodes", "blocks"])
 
     return materialize(pages.mapInArrow(run, schema))
 
 
-def template_slots(blocks: DataFrame, min_bodies: int = MIN_BODIES, share: float = SHARE) -> DataFrame:
+def template_slots(blocks: DataFrame, min_bodies: int = MIN_BODIES, share: float = SHARE, article_bodies: int = ARTICLE_BODIES) -> DataFrame:
     """``host, ref, slots``: slots that hold one text on at least ``share`` of the different
-    pages of a reference, if it has at least ``min_bodies``. Copies of a page count once."""
-    pair = F.transform("blocks", lambda b: F.struct(b["slot"].alias("slot"), b["sum"].alias("sum")))
-    once = blocks.where("host <> ''").groupBy("host", "ref", "body").agg(F.min(pair).alias("b"))
-    once = materialize(once)
-    bodies = once.groupBy("host", "ref").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_bodies)
-    seen = once.select("host", "ref", F.explode("b").alias("s")).select("host", "ref", "s.*").where("slot >= 0")
-    held = seen.groupBy("host", "ref", "slot").agg(F.count(F.lit(1)).alias("m"), F.min("sum").alias("lo"), F.max("sum").alias("hi"))
-    fixed = held.where("lo = hi").join(bodies, ["host", "ref"]).where(F.col("m") >= share * F.col("n"))
-    return materialize(fixed.groupBy("host", "ref").agg(F.collect_set("slot").alias("slots")))
-
-
-def extracted(df: DataFrame, min_bodies: int = MIN_BODIES, share: float = SHARE) -> DataFrame:
+    pages that have the element around them, if these are enough. Copies of a page count once.
+
+    Inside an ``article`` or ``main`` element ``article_bodies`` pages are enough, elsewhere
+    ``min_bodies``; but where fewer than ``article_bodies`` pages have more than ``COPIED`` of their text in
+    such slots, they are near copies of each other and keep it.
+    """
+    pair = F.transform("blocks", lambda b: F.struct(b["node"], b["place"], b["parent"], b["article"], b["sum"], F.char_length(b["text"]).alias("size")))
+    once = blocks.where("host <> ''").groupBy("host", "ref", "body").agg(F.min(F.struct("nodes", pair.alias("b"))).alias("p"))
+    once = materialize(once.select("host", "ref", "p.nodes", "p.b"))
+    around = once.select("host", "ref", F.explode("nodes").alias("parent")).groupBy("host", "ref", "parent").agg(F.count(F.lit(1)).alias("n"))
+    seen = once.select("host", "ref", F.explode("b").alias("s")).select("host", "ref", "s.*").where("node >= 0")
+    held = seen.groupBy("host", "ref", "node", "place").agg(
+        F.count(F.lit(1)).alias("m"), F.min("sum").alias("lo"), F.max("sum").alias("hi"),
+        F.max("parent").alias("parent"), F.bool_or("article").alias("article"), F.sum("size").alias("size"),
+    )
+    enough = F.when(F.col("article"), article_bodies).otherwise(min_bodies)
+    fixed = held.join(around, ["host", "ref", "parent"]).where((F.col("m") >= share * F.col("n")) & (F.col("m") >= enough))
+    fixed = materialize(fixed.where("lo = hi").select("host", "ref", "node", "place", "size"))
+    whole = held.groupBy("host", "ref").agg(F.sum("size").alias("all"))
+    pages = once.groupBy("host", "ref").agg(F.count(F.lit(1)).alias("pages"))
+    slots = fixed.groupBy("host", "ref").agg(F.collect_set(F.struct("node", "place")).alias("slots"), F.sum("size").alias("constant"))
+    slots = slots.join(whole, ["host", "ref"]).join(pages, ["host", "ref"])
+    templated = (F.col("pages") >= article_bodies) | (F.col("constant") <= COPIED * F.col("all"))
+    return materialize(slots.where(templated).select("host", "ref", "slots"))
+
+
+def extracted(df: DataFrame, min_bodies: int = MIN_BODIES, share: float = SHARE, article_bodies: int = ARTICLE_BODIES) -> DataFrame:
     """``page_id, url, text, n_chars`` for every row of ``df(page_id, url, html, ...)``.
 
     White space inside a block becomes one space, blocks are joined by a line feed in page
@@ -309,8 +459,9 @@ def extracted(df: DataFrame, min_bodies: int = MIN_BODIES, share: float = SHARE)
     """
     pages = df.select("page_id", "url", host_of(F.col("url")).alias("host"), "html")
     blocks = _blocks(pages.join(_references(pages), "host", "left").select("page_id", "url", "host", "html", "trees"))
-    fixed = template_slots(blocks, min_bodies, share)
+    fixed = template_slots(blocks, min_bodies, share, article_bodies)
     told = blocks.join(fixed, ["host", "ref"], "left")
-    kept = F.filter("blocks", lambda b: ~F.coalesce(F.array_contains("slots", b["slot"]), F.lit(False)))
+    slot = lambda b: F.struct(b["node"].alias("node"), b["place"].alias("place"))
+    kept = F.filter("blocks", lambda b: ~F.coalesce(F.array_contains("slots", slot(b)), F.lit(False)))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
     return told.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("bigint"))
