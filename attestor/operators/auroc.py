@@ -420,3 +420,75 @@ def threshold_metrics(
         F.when(f1_base > 0, 2 * tp / f1_base).otherwise(0.0).alias("f1"),
         F.when(mcc_base > 0, (tp * tn - fp * fn) / mcc_base).otherwise(0.0).alias("mcc"),
     )
+
+
+def _first_untouched(touched: DataFrame, profile: DataFrame, concepts: DataFrame, keys: list[str]) -> DataFrame:
+    """Per concept the columns of the first feature of ``profile``, in the order of its
+    ``_order`` and index, that ``touched(keys, feature_idx)`` does not list; none if it lists all.
+
+    A concept's own places in that order are compared with their ranks; the first gap is the
+    answer, so concepts x features is never built.
+    """
+    listed = running_totals(
+        profile.withColumn("_b", score_bucket(F.col("_order"))), by=[], bucket="_b", order=["_order", "feature_idx"],
+        totals={"_place": F.lit(1).cast("bigint")},
+    )
+    listed = materialize(listed.withColumn("_place", F.col("_place") + 1).drop("_b", "_order"))
+    placed = materialize(touched.select(*keys, "feature_idx").join(listed.select("feature_idx", "_place"), "feature_idx"))
+    seen = stable_rank(placed, by=keys, key="_place", rank="_at", bucket=F.floor(F.col("_place") / 65536))
+    gap = seen.groupBy(*keys).agg((F.sum((F.col("_at") == F.col("_place")).cast("int")) + 1).alias("_place"))
+    free = concepts.join(gap, keys, "left").withColumn("_place", F.coalesce(F.col("_place"), F.lit(1)).cast("bigint"))
+    return free.join(listed, "_place").drop("_place", "feature_idx")
+
+
+def precision_levels(features: DataFrame, positives: DataFrame, n_units: int, keys: list[str]) -> DataFrame:
+    """``max_value`` and ``mean_value`` of average precision over all stored features, per key.
+
+    The positives of a silent feature all stand in its zero block, behind its positive
+    scores, so its value is n_pos / (units - units with a negative score): one number per
+    feature, whose total covers the features a concept never touches.
+    """
+    told = materialize(average_precision(features, positives, n_units, keys))
+    behind = F.coalesce(F.try_divide(F.lit(1.0), F.lit(n_units).cast("bigint") - F.col("_low_all")), F.lit(0.0))
+    profile = materialize(
+        pool_profile(pool_counts(features), ["all"]).select("feature_idx", behind.alias("_behind"), (-F.col("_low_all")).alias("_order"))
+    )
+    concepts = materialize(positives.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_pos")))
+    value = F.col("average_precision")
+    touched = told.join(profile, "feature_idx").groupBy(*keys).agg(
+        F.max(value).alias("_max"), F.sum(value).alias("_sum"), F.sum("_behind").alias("_own")
+    )
+    free = _first_untouched(told, profile, concepts.select(*keys), keys).select(*keys, F.col("_behind").alias("_free"))
+    totals = profile.agg(F.count(F.lit(1)).alias("d"), F.sum("_behind").alias("t"))
+    ready = concepts.join(touched, keys, "left").join(free, keys, "left")
+    ready = ready.withColumns({"_d": totals.select("d").scalar(), "_t": totals.select("t").scalar()})
+    zero = F.lit(0.0)
+    mean = (F.coalesce("_sum", zero) + F.col("n_pos") * (F.col("_t") - F.coalesce("_own", zero))) / F.col("_d")
+    return ready.select(*keys, F.greatest("_max", F.col("n_pos") * F.col("_free")).alias("max_value"), mean.alias("mean_value"))
+
+
+def threshold_levels(
+    features: DataFrame, positives: DataFrame, n_units: int, keys: list[str], *, metric: str, threshold: float = 0.0
+) -> DataFrame:
+    """``max_value`` and ``mean_value`` of ``f1`` or ``mcc`` over all stored features, per key.
+
+    Without a hit F1 is 0, and the correlation is -sqrt(n_pos / n_neg) times a number of the
+    feature, sqrt(p / (units - p)) for p predictions; the best such feature predicts least.
+    """
+    told = materialize(threshold_metrics(features, positives, n_units, threshold=threshold, keys=keys))
+    over = F.sum((F.col("act") > F.lit(float(threshold))).cast("bigint"))
+    profile = nonzero(features).groupBy("feature_idx").agg(over.alias("_order"))
+    odds = F.sqrt(F.coalesce(F.try_divide(F.col("_order").cast("double"), (n_units - F.col("_order")).cast("double")), F.lit(0.0)))
+    profile = materialize(profile.withColumn("_odds", odds if metric == "mcc" else F.lit(0.0)))
+    concepts = materialize(positives.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_pos")))
+    touched = told.join(profile, "feature_idx").groupBy(*keys).agg(
+        F.max(metric).alias("_max"), F.sum(metric).alias("_sum"), F.sum("_odds").alias("_own")
+    )
+    free = _first_untouched(told, profile, concepts.select(*keys), keys).select(*keys, F.col("_odds").alias("_free"))
+    totals = profile.agg(F.count(F.lit(1)).alias("d"), F.sum("_odds").alias("t"))
+    ready = concepts.join(touched, keys, "left").join(free, keys, "left")
+    ready = ready.withColumns({"_d": totals.select("d").scalar(), "_t": totals.select("t").scalar()})
+    zero = F.lit(0.0)
+    scale = F.sqrt(F.coalesce(F.try_divide(F.col("n_pos").cast("double"), (n_units - F.col("n_pos")).cast("double")), zero))
+    mean = (F.coalesce("_sum", zero) - scale * (F.col("_t") - F.coalesce("_own", zero))) / F.col("_d")
+    return ready.select(*keys, F.greatest("_max", -scale * F.col("_free")).alias("max_value"), mean.alias("mean_value"))

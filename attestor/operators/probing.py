@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from attestor.operators.auroc import (
     explicit_auroc,
     feature_auroc,
+    precision_levels,
     reflect,
     score_levels,
     split_pool_counts,
+    threshold_levels,
     untouched_best,
 )
 from attestor.operators.inference import bootstrap_mean
@@ -457,22 +459,37 @@ def controlled_subsampling(
     return summary.join(natural, "concept_id")
 
 
-def selection_inflation(features: DataFrame, positives: DataFrame, n_units: int) -> DataFrame:
+METRICS = ("auroc", "average_precision", "f1", "mcc")
+
+
+def selection_inflation(
+    features: DataFrame, positives: DataFrame, n_units: int, *, metric: str = "auroc", threshold: float = 0.0
+) -> DataFrame:
     """Mean over draws of the best feature's score minus the mean feature's score, both over
     all stored features, with spread and percentile interval of the best score.
 
     ``positives`` has (draw, concept_id, unit_id), usually permuted labels; the measured
-    mean is the null level of the reflected score.
+    mean is the null level of the score. ``metric`` is one of ``METRICS``; ``threshold`` is
+    that of ``f1`` and ``mcc``. Features that a concept never touches count with their exact
+    scores; no concept x feature grid is built.
     """
-    per_draw = score_levels(features, positives, n_units, ["draw", "concept_id"])
+    keys = ["draw", "concept_id"]
+    if metric == "auroc":
+        per_draw = score_levels(features, positives, n_units, keys).withColumnsRenamed({"max_auroc": "max_value", "mean_auroc": "mean_value"})
+    elif metric == "average_precision":
+        per_draw = precision_levels(features, positives, n_units, keys)
+    elif metric in METRICS:
+        per_draw = threshold_levels(features, positives, n_units, keys, metric=metric, threshold=threshold)
+    else:
+        raise ValueError(f"unknown metric {metric!r}")
     return per_draw.groupBy("concept_id").agg(
         F.count(F.lit(1)).alias("n_draws"),
-        F.avg("max_auroc").alias("mean_of_max"),
-        F.avg("mean_auroc").alias("mean_of_mean"),
-        (F.avg("max_auroc") - F.avg("mean_auroc")).alias("inflation_above_null"),
-        F.stddev_samp("max_auroc").alias("sd_of_max"),
-        F.percentile("max_auroc", 0.025).alias("max_lo"),
-        F.percentile("max_auroc", 0.975).alias("max_hi"),
+        F.avg("max_value").alias("mean_of_max"),
+        F.avg("mean_value").alias("mean_of_mean"),
+        (F.avg("max_value") - F.avg("mean_value")).alias("inflation_above_null"),
+        F.stddev_samp("max_value").alias("sd_of_max"),
+        F.percentile("max_value", 0.025).alias("max_lo"),
+        F.percentile("max_value", 0.975).alias("max_hi"),
     )
 
 

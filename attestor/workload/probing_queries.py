@@ -536,3 +536,42 @@ def d23_sparse(spark, sf):
     return out.select("concept_id", "n_draws", *[r6(F.col(c), c) for c in out.columns[2:]])
 
 
+# Every (draw, concept, feature) triple with its three scores, then the levels of each score.
+METRIC_SELECTION = """tot AS (SELECT count(*)::DOUBLE AS n FROM embeddings),
+    dc AS (SELECT DISTINCT draw, concept_id FROM moved),
+    x AS (SELECT dc.draw, dc.concept_id, f.feature_idx, f.act, (m.unit_id IS NOT NULL)::INT AS y
+          FROM dc CROSS JOIN feats f LEFT JOIN moved m ON m.draw = dc.draw AND m.concept_id = dc.concept_id AND m.unit_id = f.unit_id),
+    b AS (SELECT draw, concept_id, feature_idx, act, sum(y) AS tp, count(*) AS n FROM x GROUP BY ALL),
+    k AS (SELECT *, sum(tp) OVER w AS ctp, sum(n) OVER w AS cn, sum(tp) OVER (PARTITION BY draw, concept_id, feature_idx) AS np
+          FROM b WINDOW w AS (PARTITION BY draw, concept_id, feature_idx ORDER BY act DESC)),
+    ap AS (SELECT 'average_precision' AS metric, draw, concept_id, feature_idx, sum(tp * (ctp / cn::DOUBLE)) / first(np) AS v FROM k GROUP BY ALL),
+    t4 AS (SELECT draw, concept_id, feature_idx, count(*) FILTER (act > 0.1 AND y = 1)::DOUBLE AS tp, count(*) FILTER (act > 0.1 AND y = 0)::DOUBLE AS fp,
+             count(*) FILTER (act <= 0.1 AND y = 1)::DOUBLE AS fn, count(*) FILTER (act <= 0.1 AND y = 0)::DOUBLE AS tn FROM x GROUP BY ALL),
+    f1 AS (SELECT 'f1' AS metric, draw, concept_id, feature_idx, 2 * tp / (2 * tp + fp + fn) AS v FROM t4),
+    mcc AS (SELECT 'mcc' AS metric, draw, concept_id, feature_idx,
+              CASE WHEN tp + fp = 0 OR tn + fn = 0 THEN 0.0::DOUBLE ELSE (tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)) END AS v FROM t4),
+    d AS (SELECT metric, draw, concept_id, max(v) AS mx, avg(v) AS mn FROM (SELECT * FROM ap UNION ALL SELECT * FROM f1 UNION ALL SELECT * FROM mcc) GROUP BY ALL)
+    SELECT metric, concept_id, count(*) AS n_draws, round(avg(mx), 6) + 0.0 AS mean_of_max, round(avg(mn), 6) + 0.0 AS mean_of_mean,
+      round(avg(mx) - avg(mn), 6) + 0.0 AS inflation_above_null, round(stddev_samp(mx), 6) + 0.0 AS sd_of_max,
+      round(quantile_cont(mx, 0.025), 6) + 0.0 AS max_lo, round(quantile_cont(mx, 0.975), 6) + 0.0 AS max_hi FROM d GROUP BY metric, concept_id"""
+
+
+def _metric_inflation(spark, sf, features):
+    moved = materialize(S.permute_labels(unit_labels(spark, sf), draws=3, seed="42"))
+    levels = [
+        P.selection_inflation(features, moved, _n(spark, sf), metric=m, threshold=0.1).withColumn("metric", F.lit(m))
+        for m in P.METRICS[1:]
+    ]
+    out = levels[0].unionByName(levels[1]).unionByName(levels[2])
+    numbers = [c for c in out.columns if c not in ("metric", "concept_id", "n_draws")]
+    return out.select("metric", "concept_id", "n_draws", *[r6(F.col(c), c) for c in numbers])
+
+
+@query("d23_metric_inflation", "WITH " + DENSE + PERM.format(draws=3) + METRIC_SELECTION)
+def d23_metrics(spark, sf):
+    return _metric_inflation(spark, sf, dense_features(spark, sf))
+
+
+@query("d23_sparse_metric_inflation", "WITH " + SPARSE + PERM.format(draws=3) + METRIC_SELECTION)
+def d23_sparse_metrics(spark, sf):
+    return _metric_inflation(spark, sf, sparse_features(spark, sf))

@@ -416,3 +416,45 @@ def test_report_with_multivariate_score(spark):
     assert row.multivariate_auroc > 0.95 > row.single_feature_auroc and row.multivariate_reason is None
     row = P.probe_concepts(features, units, labels, P.ProbeConfig(min_positives=5)).first()
     assert row.multivariate_auroc is None and row.multivariate_reason == "not asked for"
+
+
+def brute_scores(scores, ys, threshold):
+    """Average precision with tied thresholds, F1 and correlation of one feature."""
+    n_pos, ap = sum(ys), 0.0
+    for s in sorted(set(scores), reverse=True):
+        above = [y for v, y in zip(scores, ys, strict=True) if v >= s]
+        ap += sum(y for v, y in zip(scores, ys, strict=True) if v == s) * sum(above) / len(above)
+    tp = sum(v > threshold and y for v, y in zip(scores, ys, strict=True))
+    fp = sum(v > threshold and not y for v, y in zip(scores, ys, strict=True))
+    fn, tn = n_pos - tp, len(ys) - n_pos - fp
+    base = math.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))
+    return ap / n_pos, 2 * tp / max(1, 2 * tp + fp + fn), (tp * tn - fp * fn) / base if base else 0.0
+
+
+def test_selection_extremes_of_every_metric(spark):
+    """Concepts that touch few, all or none of the features; the best one may be untouched."""
+    rng = random.Random(8)
+    n, d = 40, 9
+    acts = {(u, f): rng.choice([-1.0, 0.2, 0.5, 1.0]) for u in range(n) for f in range(d) if rng.random() < 0.15}
+    acts |= {(u, 9): -2.0 for u in range(10, 38)} | {(u, 10): 0.05 for u in range(20, 22)}
+    touching = {u for u, _ in acts}
+    draws = {(0, "mixed"): set(rng.sample(range(n), 6)), (0, "low"): {0, 1, 2}, (1, "none"): set(range(n)) - touching or {39}, (1, "wide"): set(range(0, n, 2))}
+    features = spark.createDataFrame([(u, f, a) for (u, f), a in acts.items()], "unit_id long, feature_idx int, act double")
+    table = spark.createDataFrame([(g, c, u) for (g, c), us in draws.items() for u in us], "draw int, concept_id string, unit_id long")
+    keys = ["draw", "concept_id"]
+    got = [
+        {tuple(r[k] for k in keys): r for r in levels.collect()}
+        for levels in (
+            A.precision_levels(features, table, n, keys),
+            A.threshold_levels(features, table, n, keys, metric="f1", threshold=0.1),
+            A.threshold_levels(features, table, n, keys, metric="mcc", threshold=0.1),
+        )
+    ]
+    for key, mine in draws.items():
+        grid = [brute_scores([acts.get((u, f), 0.0) for u in range(n)], [u in mine for u in range(n)], 0.1) for f in sorted({f for _, f in acts})]
+        for metric in range(3):
+            values = [g[metric] for g in grid]
+            assert got[metric][key]["max_value"] == pytest.approx(max(values), abs=1e-12)
+            assert got[metric][key]["mean_value"] == pytest.approx(sum(values) / len(values), abs=1e-12)
+    with pytest.raises(ValueError):
+        P.selection_inflation(features, table, n, metric="accuracy")
