@@ -90,52 +90,93 @@ def collapse(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def grouped_logit(collapsed: DataFrame, keys: list[str], *, max_iter: int = 50, tol: float = 1e-10) -> DataFrame:
-    """Newton fit of ``y ~ 1 + log(x)`` for every group at once.
+CELLS_IN_A_ROW = 4096  # distinct x of a group that may stand in one row; more are summed by Spark
 
-    Returns ``keys, b0, b1, i00, i01, i11``: coefficients and inverse information, NaN for
-    singular groups. Each step is one aggregation to five sums per group and a 2 x 2 solve in
-    columns; coefficients stay in a stored table, however many groups there are, and the
-    driver only learns whether any group still moves.
-    """
-    base = materialize(collapsed.withColumn("_g", F.lit(0)))
-    by = [*keys, "_g"]
+
+def _step(b0: Column, b1: Column, s0: Column, s1: Column, s2: Column, r0: Column, r1: Column, tol: float) -> Column:
+    """Next coefficients of a Newton step from the five sums, as a struct like ``_START``."""
+    det = s0 * s2 - s1 * s1
+    good = F.coalesce(~F.isnan(det) & (det > 1e-12 * F.greatest(F.lit(1.0), s0 * s2)), F.lit(False))
+    d0, d1 = (s2 * r0 - s1 * r1) / det, (s0 * r1 - s1 * r0) / det
+    clip = lambda c: F.greatest(F.lit(-5.0), F.least(F.lit(5.0), c))
+    none = F.lit(float("nan"))
+    fields = {"b0": b0 + clip(d0), "b1": b1 + clip(d1), "i00": s2 / det, "i01": -s1 / det, "i11": s0 / det}
+    moving = good & (F.greatest(F.abs(d0), F.abs(d1)) > tol)
+    return F.struct(*[F.when(good, v).otherwise(none).alias(k) for k, v in fields.items()], moving.alias("live"))
+
+
+def _start() -> Column:
     zero, none = F.lit(0.0), F.lit(float("nan"))
-    start = {"b0": zero, "b1": zero, "i00": none, "i01": none, "i11": none, "live": F.lit(True)}
-    coef = materialize(base.select(*by).distinct().withColumns(start))
-    held = ["b0", "b1", "i00", "i01", "i11", "live"]
-    mu = 1 / (1 + F.exp(-(F.col("b0") + F.col("b1") * F.col("lx"))))
+    return F.struct(zero.alias("b0"), zero.alias("b1"), *[none.alias(c) for c in ("i00", "i01", "i11")], F.lit(True).alias("live"))
+
+
+def _sums(mu: Column, n: Column, sy: Column, lx: Column) -> dict[str, Column]:
+    weight, residual = n * mu * (1 - mu), sy - n * mu
+    return {"s0": weight, "s1": weight * lx, "s2": weight * lx * lx, "r0": residual, "r1": residual * lx}
+
+
+def _fit_cells(cells: DataFrame, keys: list[str], max_iter: int, tol: float) -> DataFrame:
+    """All Newton steps of every group inside its row: ``cells`` is the array of its distinct x."""
+    zeros = F.struct(*[F.lit(0.0).alias(c) for c in ("s0", "s1", "s2", "r0", "r1")])
+
+    def step(now: Column, _: Column) -> Column:
+        def add(total: Column, cell: Column) -> Column:
+            mu = 1 / (1 + F.exp(-(now["b0"] + now["b1"] * cell["lx"])))
+            new = _sums(mu, cell["n"], cell["sy"], cell["lx"])
+            return F.struct(*[(total[k] + v).alias(k) for k, v in new.items()])
+
+        def finish(t: Column) -> Column:
+            return _step(now["b0"], now["b1"], t["s0"], t["s1"], t["s2"], t["r0"], t["r1"], tol)
+
+        return F.when(now["live"], F.aggregate("cells", zeros, add, finish)).otherwise(now)
+
+    return cells.select(*keys, F.aggregate(F.sequence(F.lit(1), F.lit(max_iter)), _start(), step).alias("_f"))
+
+
+def _fit_tables(base: DataFrame, keys: list[str], max_iter: int, tol: float) -> DataFrame:
+    """The same steps for groups of any size: an aggregation each, coefficients in stored tables."""
+    base = materialize(base.withColumn("_g", F.lit(0)))
+    by = [*keys, "_g"]
+    coef = materialize(base.select(*by).distinct().withColumn("_f", _start()))
     for _ in range(max_iter):
-        now = base.join(coef.where("live"), by).withColumn("_mu", mu).withColumns(
-            {"_w": F.col("n") * F.col("_mu") * (1 - F.col("_mu")), "_r": F.col("sy") - F.col("n") * F.col("_mu")}
-        )
-        sums = now.groupBy(*by).agg(
-            F.first("b0").alias("b0"), F.first("b1").alias("b1"),
-            F.sum("_w").alias("s0"), F.sum(F.col("_w") * F.col("lx")).alias("s1"),
-            F.sum(F.col("_w") * F.col("lx") * F.col("lx")).alias("s2"),
-            F.sum("_r").alias("r0"), F.sum(F.col("_r") * F.col("lx")).alias("r1"),
-        )
-        s0, s1, s2, r0, r1 = (F.col(c) for c in ("s0", "s1", "s2", "r0", "r1"))
-        sized = sums.withColumn("det", s0 * s2 - s1 * s1)
-        det = F.col("det")
-        sized = sized.withColumn("good", F.coalesce(~F.isnan(det) & (det > 1e-12 * F.greatest(F.lit(1.0), s0 * s2)), F.lit(False)))
-        good = F.col("good")
-        solved = sized.withColumns({"d0": F.when(good, (s2 * r0 - s1 * r1) / det), "d1": F.when(good, (s0 * r1 - s1 * r0) / det)})
-        clip = lambda c: F.greatest(F.lit(-5.0), F.least(F.lit(5.0), F.col(c)))
-        moving = good & (F.greatest(F.abs("d0"), F.abs("d1")) > tol)
-        stepped = solved.select(
-            *by,
-            F.when(good, F.col("b0") + clip("d0")).otherwise(none).alias("b0"),
-            F.when(good, F.col("b1") + clip("d1")).otherwise(none).alias("b1"),
-            F.when(good, s2 / det).otherwise(none).alias("i00"),
-            F.when(good, -s1 / det).otherwise(none).alias("i01"),
-            F.when(good, s0 / det).otherwise(none).alias("i11"),
-            moving.alias("live"),
-        )
-        coef = materialize(stepped.unionByName(coef.where("not live").select(*by, *held)))
-        if coef.where("live").isEmpty():
+        mu = 1 / (1 + F.exp(-(F.col("_f.b0") + F.col("_f.b1") * F.col("lx"))))
+        parts = _sums(mu, F.col("n"), F.col("sy"), F.col("lx"))
+        now = base.join(coef.where("_f.live"), by)
+        sums = now.groupBy(*by).agg(F.first("_f").alias("_f"), *[F.sum(v).alias(k) for k, v in parts.items()])
+        stepped = sums.select(*by, _step(F.col("_f.b0"), F.col("_f.b1"), *[F.col(k) for k in parts], tol).alias("_f"))
+        coef = materialize(stepped.unionByName(coef.where("not _f.live")))
+        if coef.where("_f.live").isEmpty():
             break
-    return coef.drop("_g", "live")
+    return coef.drop("_g")
+
+
+def grouped_logit(collapsed: DataFrame, keys: list[str], *, max_iter: int = 50, tol: float = 1e-10) -> DataFrame:
+    """Newton fit of ``y ~ 1 + log(x)`` for every group at once.
+
+    Returns ``keys, b0, b1, i00, i01, i11, converged``: coefficients and inverse information,
+    NaN for singular groups; ``converged`` is false for these and where a step still moved
+    after ``max_iter``. A group of at most ``CELLS_IN_A_ROW`` distinct x runs all its steps
+    in one expression over its row; groups with more reduce each step to five sums in an
+    aggregation, so none is ever gathered.
+    """
+    base = materialize(collapsed.select(*keys, F.col("lx"), F.col("n").cast("double").alias("n"), F.col("sy").cast("double").alias("sy")))
+    sizes = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cells"))
+    sizes = sizes if keys else sizes.where("_cells > 0")
+    widest = sizes.agg(F.max("_cells")).first()[0] or 0
+    cell = F.collect_list(F.struct("lx", "n", "sy")).alias("cells")
+    if widest <= CELLS_IN_A_ROW:
+        rows = base.groupBy(*keys).agg(cell)
+        fits = _fit_cells(rows if keys else rows.where(F.size("cells") > 0), keys, max_iter, tol)
+    elif not keys:
+        fits = _fit_tables(base, keys, max_iter, tol)
+    else:
+        small = sizes.where(F.col("_cells") <= CELLS_IN_A_ROW).select(*keys)
+        rows = base.join(small, keys, "left_semi").groupBy(*keys).agg(cell)
+        large = _fit_tables(base.join(small, keys, "left_anti"), keys, max_iter, tol)
+        fits = _fit_cells(rows, keys, max_iter, tol).unionByName(large)
+    fits = materialize(fits)
+    settled = ~F.col("_f.live") & ~F.isnan("_f.b1")
+    return fits.select(*keys, *[F.col(f"_f.{c}").alias(c) for c in ("b0", "b1", "i00", "i01", "i11")], settled.alias("converged"))
 
 
 def _one_fit(row) -> tuple[float, float, np.ndarray]:
@@ -212,16 +253,18 @@ def fit_verified_rate(rows: DataFrame, *, draws: int = 2000, confidence: float =
     p = 2 * (1 - tails.norm_cdf_value(abs(b1 / se1))) if se1 > 0 else float("nan")
     lo = hi = None
     successful = 0
-    if draws > 0 and g >= 10:
+    reason = "not asked for" if draws <= 0 else "fewer than ten clusters" if g < 10 else None
+    if reason is None:
         told = _resampled_slopes(rows, keys=[], draws=draws, seed=seed).agg(*_percentiles("slope", confidence)).first()
         successful = told["n"]
         lo, hi = (told["lo"], told["hi"]) if successful else (float("nan"), float("nan"))
+        reason = None if successful else "no usable draw"
     doubled = 1 / (1 + math.exp(-(b0 + b1 * math.log(2)))) - 1 / (1 + math.exp(-b0))
     return rows.sparkSession.createDataFrame(
-        [(b0, b1, se0, se1, b1 - z * se1, b1 + z * se1, p, lo, hi, successful, n, g, doubled)],
+        [(b0, b1, se0, se1, b1 - z * se1, b1 + z * se1, p, lo, hi, successful, n, g, doubled, bool(fitted["converged"]), reason)],
         "intercept double, slope double, intercept_se double, slope_se double, slope_lo double, slope_hi double,"
         " slope_p double, bootstrap_lo double, bootstrap_hi double, n_bootstrap int, n_rows bigint, n_clusters bigint,"
-        " effect_per_doubling double",
+        " effect_per_doubling double, converged boolean, bootstrap_reason string",
     )
 
 
@@ -244,7 +287,8 @@ def fit_pooled_interaction(
     spark = rows.sparkSession
     rows = materialize(rows.select("model", F.col("x").cast("double"), F.col("y").cast("double"), "cluster"))
     fits = grouped_logit(collapse(rows.withColumn("w", F.lit(1)), ["model"]), ["model"])
-    found = {r["model"]: _one_fit(r) for r in fits.collect()}  # one row per model of the report
+    fitted = fits.collect()  # one row per model of the report
+    found, converged = {r["model"]: _one_fit(r) for r in fitted}, {r["model"]: r["converged"] for r in fitted}
     models = sorted(found)
     if len(models) < 2:
         raise ValueError(f"a pooled fit needs at least two models, got {models}")
@@ -283,10 +327,12 @@ def fit_pooled_interaction(
         trend = float(contrast @ np.array([slope[m] for m in ordered]))
     boot: dict = {}
     n_boot = 0
-    if draws > 0 and all(meats[(m,)][1] >= 10 for m in ordered):
+    reason = "not asked for" if draws <= 0 else "fewer than ten clusters" if any(meats[(m,)][1] < 10 for m in ordered) else None
+    if reason is None:
         resampled = _resampled_slopes(rows, keys=["model"], draws=draws, seed=seed)
         boot = {r["model"]: (r["lo"], r["hi"], r["n"]) for r in resampled.groupBy("model").agg(*_percentiles("slope", confidence)).collect()}
         n_boot = max((x[2] for x in boot.values()), default=0)
+        reason = None if boot else "no usable draw"
     if boot and contrast is not None:
         weights = spark.createDataFrame([(m, float(c)) for m, c in zip(ordered, contrast)], "model string, c double")
         trends = resampled.join(weights, "model").groupBy("b").agg(F.sum(F.col("c") * F.col("slope")).alias("v"))
@@ -300,12 +346,12 @@ def fit_pooled_interaction(
         lo, hi = boot[m][:2] if m in boot else (None, None)
         records.append(
             (m, slope[m], se, slope[m] - z * se, slope[m] + z * se,
-             2 * (1 - tails.norm_cdf_value(abs(slope[m] / se))) if se > 0 else float("nan"), lo, hi, meats[(m,)][1])
+             2 * (1 - tails.norm_cdf_value(abs(slope[m] / se))) if se > 0 else float("nan"), lo, hi, meats[(m,)][1], converged[m], reason)
         )
     slopes = spark.createDataFrame(
         records,
         "model string, slope double, slope_se double, slope_lo double, slope_hi double, slope_p double,"
-        " bootstrap_lo double, bootstrap_hi double, n_clusters bigint",
+        " bootstrap_lo double, bootstrap_hi double, n_clusters bigint, converged boolean, bootstrap_reason string",
     )
     summary = spark.createDataFrame(
         [(reference, wald, tails.chi2_sf_value(wald, len(others)), n_total, g_total, n_boot, trend, trend_lo, trend_hi, trend_p)],

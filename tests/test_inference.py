@@ -210,3 +210,31 @@ def test_theory_slope_and_power(spark):
     out = spark.range(1).select(*[c.alias(k) for k, c in columns.items()], N.inflation_ratio(F.lit(1280), F.lit(5120)).alias("r")).first()
     assert out["required_clusters"] == pytest.approx(251.16, abs=0.1) and out["power"] == pytest.approx(0.8, abs=0.01)
     assert 1.05 < out["r"] < 1.15
+
+
+def test_newton_in_rows_and_in_tables_agree(spark, monkeypatch):
+    """Groups of few and many x, a singular one, one still moving at the end, an empty table."""
+    rng = np.random.default_rng(12)
+    rows = [("few", float(x), float(y)) for x, y in zip(rng.integers(1, 9, 80), rng.random(80), strict=True)]
+    rows += [("many", float(x), float(y)) for x, y in zip(rng.random(60) * 50 + 1, rng.integers(0, 2, 60), strict=True)]
+    rows += [("flat", 2.0, 1.0), ("flat", 2.0, 0.0), ("parted", 1.0, 0.0), ("parted", 2.0, 0.0), ("parted", 3.0, 1.0), ("parted", 4.0, 1.0)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "g string, x double, y double, w int")
+    fits = []
+    for most in (4096, 20, 0):
+        monkeypatch.setattr(N, "CELLS_IN_A_ROW", most)
+        fits.append({r.g: r for r in N.grouped_logit(N.collapse(df, ["g"]), ["g"], max_iter=12).collect()})
+    for other in fits[1:]:
+        for g, r in fits[0].items():
+            assert r.converged == other[g].converged
+            np.testing.assert_allclose([r.b0, r.b1, r.i11], [other[g].b0, other[g].b1, other[g].i11], rtol=1e-8, equal_nan=True)
+    assert {g: r.converged for g, r in fits[0].items()} == {"few": True, "many": True, "flat": False, "parted": False}
+    assert N.grouped_logit(N.collapse(df.limit(0), ["g"]), ["g"]).count() == 0
+    assert N.grouped_logit(N.collapse(df.where("g = 'few'"), []), []).first().b1 == pytest.approx(fits[0]["few"].b1)
+
+
+def test_missing_intervals_have_a_reason(spark):
+    rows = [(float(1 + i % 4), float(i % 2), i % 6) for i in range(40)]
+    df = spark.createDataFrame(rows, "x double, y double, cluster int")
+    told = N.fit_verified_rate(df, draws=20).first()
+    assert told.converged and told.bootstrap_lo is None and told.bootstrap_reason == "fewer than ten clusters"
+    assert N.fit_verified_rate(df, draws=0).first().bootstrap_reason == "not asked for"
