@@ -187,22 +187,34 @@ def genomic_verdicts(
 
     ``claims`` has one (feature_idx, gene_id) row per claim, duplicates counted as passed,
     and a NULL gene for a feature without claims; ``evidence`` has the top windows
-    (feature_idx, window_id). Unparsable window ids are dropped.
+    (feature_idx, window_id, optionally rank). Unparsable window ids are dropped.
+
+    ``evidence`` of the result lists every ranked window with all genes that it overlaps,
+    claimed or not, so that a status can be checked; windows without a gene stay. Windows
+    are in the order of their rank, else of their id.
     """
     place = parse_window_id(F.col("window_id"))
-    spans = evidence.select("feature_idx", "window_id", place.alias("p")).where(F.col("p").isNotNull())
-    spans = spans.select("feature_idx", "window_id", F.element_at(F.split("p.chrom", ":"), -1).alias("chrom"), "p.start", "p.end")
+    rank = F.col("rank").cast("bigint") if "rank" in evidence.columns else F.lit(0).cast("bigint")
+    spans = evidence.select("feature_idx", "window_id", rank.alias("_rank"), place.alias("p")).where(F.col("p").isNotNull())
+    spans = materialize(
+        spans.select("feature_idx", "window_id", "_rank", F.element_at(F.split("p.chrom", ":"), -1).alias("chrom"), "p.start", "p.end")
+    )
     counts = claims.groupBy("feature_idx").agg(F.count("gene_id").alias("n_claims"))
     wanted = claims.where(F.col("gene_id").isNotNull()).select(
         "feature_idx", stable_gene_id(F.col("gene_id")).alias("_stable")
     ).distinct()
-    hits = overlap_join(spans, genes.select(stable_gene_id(F.col("gene_id")).alias("_stable"), "chrom", "start", "end"))
+    known = genes.select("gene_id", stable_gene_id(F.col("gene_id")).alias("_stable"), "chrom", "start", "end")
+    hits = materialize(overlap_join(spans.drop("_rank"), known).select("feature_idx", "window_id", "gene_id", "_stable"))
+    found = hits.groupBy("feature_idx", "window_id").agg(F.array_sort(F.collect_set("gene_id")).alias("genes"))
+    told = spans.select("feature_idx", "window_id", "_rank").join(found, ["feature_idx", "window_id"], "left")
+    listed = F.array_sort(F.collect_list(F.struct("_rank", "window_id", F.coalesce("genes", F.array().cast("array<string>")).alias("genes"))))
+    shown = told.groupBy("feature_idx").agg(F.transform(listed, lambda w: F.struct(w["window_id"].alias("window_id"), w["genes"].alias("genes"))).alias("evidence"))
     matched = hits.join(wanted, ["feature_idx", "_stable"], "left_semi").select("feature_idx", "window_id").distinct()
     per_feature = spans.groupBy("feature_idx").agg(F.count(F.lit(1)).alias("n_windows"))
     matches = matched.groupBy("feature_idx").agg(
         F.count(F.lit(1)).alias("_m"), F.array_sort(F.collect_list("window_id")).alias("_matched")
     )
-    rows = counts.join(per_feature, "feature_idx", "left").join(matches, "feature_idx", "left")
+    rows = counts.join(per_feature, "feature_idx", "left").join(matches, "feature_idx", "left").join(shown, "feature_idx", "left")
     n_claims = F.col("n_claims")
     m, n = F.coalesce("_m", F.lit(0)), F.coalesce("n_windows", F.lit(0))
     rate = F.coalesce(F.try_divide(m, n), F.lit(0.0))
@@ -229,6 +241,7 @@ def genomic_verdicts(
         F.when(unchecked, F.lit(0.0)).otherwise(rate).alias("match_rate"),
         m.alias("n_windows_matched"),
         F.when(unchecked, none).otherwise(F.coalesce("_matched", none)).alias("matched_windows"),
+        F.coalesce("evidence", F.array().cast("array<struct<window_id:string,genes:array<string>>>")).alias("evidence"),
     )
 
 

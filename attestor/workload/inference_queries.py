@@ -8,6 +8,7 @@ from attestor.functions import stats as ST
 from attestor.functions import tails
 from attestor.operators import inference as N
 from attestor.operators import registry as R
+from attestor.session import materialize
 from attestor.workload.catalog import query, r6, table
 from attestor.workload.sweep_tables import (
     CLAIMED,
@@ -95,11 +96,13 @@ def d44(spark, sf):
 
 @query(
     "c20_arm_comparison",
-    ARMS + """ SELECT min_positives, NOT (a.ci_hi < b.ci_lo OR b.ci_hi < a.ci_lo) AS ci_overlap, b.mean > a.mean AS b_higher
-    FROM arms a JOIN arms b USING (min_positives) WHERE a.arm = 'A' AND b.arm = 'N'""",
+    ARMS + """ SELECT b.arm AS other, min_positives, NOT (a.ci_hi < b.ci_lo OR b.ci_hi < a.ci_lo) AS ci_overlap, b.mean > a.mean AS b_higher
+    FROM arms a JOIN arms b USING (min_positives) WHERE a.arm = 'A' AND b.arm <> 'A'""",
 )
 def c20(spark, sf):
-    return R.compare_arms(_arms(spark, sf), "A", "N").select("min_positives", "ci_overlap", "b_higher")
+    arms = materialize(_arms(spark, sf))
+    told = [R.compare_arms(arms, "A", m).select(F.lit(m).alias("other"), "min_positives", "ci_overlap", "b_higher") for m in ("N", "R")]
+    return told[0].unionByName(told[1])
 
 
 @query(

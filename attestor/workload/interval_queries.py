@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from attestor.operators import intervals as IV
 from attestor.operators import probing as P
+from attestor.session import fresh_path
+from attestor.sources import results as RES
 from attestor.workload.catalog import query, r6, table
 
+MAX_CLAIMS = 67  # about as many as features have on average at sf0.01
 DAY = 86400  # seconds; the origin is 2024-01-01
 
 EV = """
@@ -40,12 +43,12 @@ def windows(spark, sf):
 
 
 def genes(spark, sf):
-    return spans(spark, sf).where(F.col("event_type") == "purchase").select(
+    return spans(spark, sf).select(
         F.concat(F.lit("G"), F.col("event_id"), F.lit(".3")).alias("gene_id"), "chrom", "start", "end"
     )
 
 
-GENE = """gene AS (SELECT 'G' || event_id || '.3' AS gene_id, chrom, s, e FROM ev WHERE event_type = 'purchase'),
+GENE = """gene AS (SELECT 'G' || event_id || '.3' AS gene_id, chrom, s, e FROM ev),
 """
 
 
@@ -127,7 +130,7 @@ def c6(spark, sf):
 CLAIM = """
 top AS (SELECT window_id, w.chrom, count(*) AS c FROM win w JOIN ev ON ev.chrom = w.chrom AND w.s <= ev.s AND ev.s < w.e GROUP BY ALL),
 evid AS (SELECT chrom AS feature_idx, window_id FROM top QUALIFY row_number() OVER (PARTITION BY chrom ORDER BY c DESC, window_id) <= 10),
-claims AS (SELECT chrom AS feature_idx, gene_id FROM gene WHERE s % 5 = 0),
+claims AS (SELECT 'u' || (substr(chrom, 2)::BIGINT + substr(split_part(gene_id, '.', 1), 2)::BIGINT % 12) AS feature_idx, gene_id FROM gene),
 nc AS (SELECT feature_idx, count(*) AS n_claims FROM claims GROUP BY ALL),
 m AS (SELECT DISTINCT ev2.feature_idx, ev2.window_id FROM evid ev2 JOIN win w USING (window_id)
       JOIN gene g ON g.chrom = w.chrom AND w.s < g.e AND w.e > g.s
@@ -147,41 +150,76 @@ def _claims_and_evidence(spark, sf):
     evidence = counted.withColumn("r", F.row_number().over(order)).where(F.col("r") <= 10).select(
         F.col("chrom").alias("feature_idx"), "window_id"
     )
-    claims = genes(spark, sf).where(F.col("start") % 5 == 0).select(F.col("chrom").alias("feature_idx"), "gene_id")
+    # every gene is claimed once, by the feature of its own chromosome or of one of the next eleven
+    number = F.expr("cast(substr(substring_index(gene_id, '.', 1), 2) as bigint)")
+    owner = F.expr("cast(substr(chrom, 2) as bigint)") + number % 12
+    claims = genes(spark, sf).select(F.concat(F.lit("u"), owner).alias("feature_idx"), "gene_id")
     return claims, evidence
 
 
 @query(
     "d37_genomic_verdicts",
     "WITH " + EV + GENE + CLAIM + """SELECT feature_idx, n_claims, k AS n_windows_matched,
-      CASE WHEN n_claims > 5 THEN 'spurious' WHEN k / n::DOUBLE >= 0.5 THEN 'confirmed' WHEN k > 0 THEN 'plausible' ELSE 'spurious' END AS status,
-      round(CASE WHEN n_claims > 5 THEN 0 ELSE coalesce(k / n::DOUBLE, 0) END, 6) + 0.0 AS match_rate FROM v""",
+      CASE WHEN n_claims > 67 THEN 'spurious' WHEN k / n::DOUBLE >= 0.5 THEN 'confirmed' WHEN k > 0 THEN 'plausible' ELSE 'spurious' END AS status,
+      round(CASE WHEN n_claims > 67 THEN 0 ELSE coalesce(k / n::DOUBLE, 0) END, 6) + 0.0 AS match_rate FROM v""",
 )
 def d37(spark, sf):
     claims, evidence = _claims_and_evidence(spark, sf)
-    out = IV.genomic_verdicts(claims, evidence, genes(spark, sf))
+    out = IV.genomic_verdicts(claims, evidence, genes(spark, sf), max_claims=MAX_CLAIMS)
     return out.select("feature_idx", "n_claims", "n_windows_matched", "status", r6(F.col("match_rate"), "match_rate"))
 
 
+EVIDENCE = """, wg AS (SELECT e.feature_idx, e.window_id, coalesce(string_agg(DISTINCT gene_id, '|' ORDER BY gene_id), '') AS genes
+      FROM evid e JOIN win w USING (window_id) LEFT JOIN gene g ON g.chrom = w.chrom AND w.s < g.e AND w.e > g.s GROUP BY ALL),
+    shown AS (SELECT feature_idx, string_agg(window_id || '=' || genes, ';' ORDER BY window_id) AS evidence FROM wg GROUP BY ALL)
+"""
+
+
+def _shown(evidence):
+    return F.array_join(F.transform(evidence, lambda w: F.concat(w["window_id"], F.lit("="), F.array_join(w["genes"], "|"))), ";").alias("evidence")
+
+
+@query(
+    "d37_window_evidence",
+    "WITH " + EV + GENE + CLAIM + EVIDENCE + "SELECT feature_idx, coalesce(evidence, '') AS evidence FROM nc LEFT JOIN shown USING (feature_idx)",
+)
+def d37_evidence(spark, sf):
+    claims, evidence = _claims_and_evidence(spark, sf)
+    return IV.genomic_verdicts(claims, evidence, genes(spark, sf), max_claims=MAX_CLAIMS).select("feature_idx", _shown(F.col("evidence")))
+
+
+@query(
+    "a25_evidence_per_window",
+    "WITH " + EV + GENE + CLAIM + EVIDENCE + """SELECT feature_idx, round(CASE WHEN n_claims > 67 THEN 0 ELSE coalesce(k / n::DOUBLE, 0) END, 4) + 0.0 AS match_rate,
+      coalesce(evidence, '') AS evidence FROM v LEFT JOIN shown USING (feature_idx)""",
+)
+def a25_windows(spark, sf):
+    path = fresh_path(spark, "evidence")
+    claims, evidence = _claims_and_evidence(spark, sf)
+    RES.write_evidence(IV.genomic_verdicts(claims, evidence, genes(spark, sf), max_claims=MAX_CLAIMS), path)
+    schema = "feature_idx STRING, match_rate DOUBLE, evidence ARRAY<STRUCT<window_id: STRING, genes: ARRAY<STRING>>>"
+    return spark.read.schema(schema).json(path).select("feature_idx", "match_rate", _shown(F.col("evidence")))
+
+
 @query(
     "c15_evidence_in_claimed_genes",
     "WITH " + EV + GENE + CLAIM + "SELECT feature_idx, coalesce(string_agg(window_id, '|' ORDER BY window_id), '') AS matched_windows "
-    "FROM (SELECT feature_idx FROM v WHERE n_claims <= 5) LEFT JOIN m USING (feature_idx) GROUP BY feature_idx",
+    "FROM (SELECT feature_idx FROM v WHERE n_claims <= 67) LEFT JOIN m USING (feature_idx) GROUP BY feature_idx",
 )
 def c15(spark, sf):
     claims, evidence = _claims_and_evidence(spark, sf)
-    out = IV.genomic_verdicts(claims, evidence, genes(spark, sf)).where(F.col("n_claims") <= 5)
+    out = IV.genomic_verdicts(claims, evidence, genes(spark, sf), max_claims=MAX_CLAIMS).where(F.col("n_claims") <= MAX_CLAIMS)
     return out.select("feature_idx", F.array_join("matched_windows", "|").alias("matched_windows"))
 
 
 @query(
     "d5_status_tally",
-    "WITH " + EV + GENE + CLAIM + """SELECT CASE WHEN n_claims > 5 THEN 'spurious' WHEN k / n::DOUBLE >= 0.5 THEN 'confirmed'
+    "WITH " + EV + GENE + CLAIM + """SELECT CASE WHEN n_claims > 67 THEN 'spurious' WHEN k / n::DOUBLE >= 0.5 THEN 'confirmed'
       WHEN k > 0 THEN 'plausible' ELSE 'spurious' END AS status, count(*) AS n FROM v GROUP BY ALL""",
 )
 def d5_status(spark, sf):
     claims, evidence = _claims_and_evidence(spark, sf)
-    out = IV.genomic_verdicts(claims, evidence, genes(spark, sf))
+    out = IV.genomic_verdicts(claims, evidence, genes(spark, sf), max_claims=MAX_CLAIMS)
     return out.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -242,7 +242,7 @@ def b27(spark, sf):
 ALIGN = """
 loci AS (SELECT 'v' || p_partkey || '_' || p_brand AS locus, p_partkey AS variant_id, p_brand AS gene_id FROM part),
 dos AS (SELECT l_partkey AS variant_id, l_suppkey AS sample_id, min(l_linenumber % 3)::DOUBLE AS t FROM lineitem GROUP BY 1, 2),
-ex AS (SELECT p_brand AS gene_id, l_suppkey AS sample_id, avg(l_discount) AS y FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_brand <> 'Brand#7' AND l_returnflag = 'A' GROUP BY 1, 2),
+ex AS (SELECT p_brand AS gene_id, l_suppkey AS sample_id, avg(l_discount) AS y FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_brand <> 'Brand#7' GROUP BY 1, 2),
 al AS (SELECT locus, gene_id, sample_id, t, y FROM loci JOIN dos USING (variant_id) JOIN ex USING (gene_id, sample_id))"""
 
 
@@ -258,7 +258,7 @@ def _aligned(spark, sf):
     )
     brand = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("gene_id"))
     expression = (
-        lines.where(F.col("l_returnflag") == "A").join(brand.where(F.col("gene_id") != "Brand#7"), "l_partkey")
+        lines.join(brand.where(F.col("gene_id") != "Brand#7"), "l_partkey")
         .groupBy("gene_id", F.col("l_suppkey").alias("sample_id")).agg(F.avg("l_discount").alias("value"))
     )
     return M.align_samples(loci, dosage, expression), loci, dosage

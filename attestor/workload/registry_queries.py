@@ -399,7 +399,7 @@ def b20(spark, sf):
 
 @query(
     "f10_candidate_evidence",
-    """WITH claims AS (SELECT l_suppkey AS feature_idx, count(DISTINCT l_returnflag) AS n_claims FROM lineitem WHERE l_linenumber = 7 GROUP BY 1),
+    """WITH claims AS (SELECT l_suppkey AS feature_idx, count(DISTINCT l_returnflag) AS n_claims FROM lineitem GROUP BY 1),
     fx AS (SELECT l_suppkey AS feature_idx, l_orderkey AS unit_id, max(l_quantity) AS act FROM lineitem GROUP BY ALL)
     SELECT feature_idx, unit_id, act, (row_number() OVER w)::INT AS rank, n_claims FROM fx JOIN claims USING (feature_idx)
     WINDOW w AS (PARTITION BY feature_idx ORDER BY act DESC, unit_id) QUALIFY row_number() OVER w <= 5""",
@@ -410,7 +410,7 @@ def f10(spark, sf):
         F.max("l_quantity").alias("act")
     )
     units = table(spark, sf, "orders").select(F.col("o_orderkey").alias("unit_id"))
-    report = lines.where(F.col("l_linenumber") == 7).select(
+    report = lines.select(
         F.col("l_suppkey").alias("best_feature_idx"), F.col("l_returnflag").alias("concept_id")
     )
     out = I.candidate_evidence(features, units, report, k=5)
@@ -419,14 +419,14 @@ def f10(spark, sf):
 
 @query(
     "g5_concatenated_models",
-    "SELECT 'A' AS model, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' UNION ALL SELECT 'N', count(*) FROM lineitem WHERE l_returnflag = 'N'",
+    "SELECT l_returnflag AS model, count(*) AS n FROM lineitem GROUP BY 1",
 )
 def g5(spark, sf):
     rows = sweep(spark, sf)
-    both = rows.where(F.col("model") == "A").unionByName(rows.where(F.col("model") == "N"))
-    return both.groupBy("model").agg(F.count(F.lit(1)).alias("n"))
+    every = [rows.where(F.col("model") == m) for m in ("A", "N", "R")]
+    return every[0].unionByName(every[1]).unionByName(every[2]).groupBy("model").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("d5_claims_per_feature", "SELECT l_suppkey AS feature_idx, count(DISTINCT l_partkey) AS n_claims FROM lineitem WHERE l_linenumber = 1 AND l_suppkey IN (SELECT s_suppkey FROM supplier) GROUP BY 1")
+@query("d5_claims_per_feature", "SELECT l_suppkey AS feature_idx, count(DISTINCT l_partkey) AS n_claims FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier) GROUP BY 1")
 def d5_claims(spark, sf):
     return claimed_registry(spark, sf).groupBy("feature_idx").agg(F.count(F.lit(1)).alias("n_claims"))

@@ -52,15 +52,14 @@ def registry(spark, sf):
     )
 
 
-# a feature claims the parts it supplied as a first line item
-CLAIMED = """claimed AS (SELECT DISTINCT l_suppkey AS feature_idx, l_partkey AS concept_id FROM lineitem WHERE l_linenumber = 1)"""
+# a feature claims the parts it supplied
+CLAIMED = """claimed AS (SELECT DISTINCT l_suppkey AS feature_idx, l_partkey AS concept_id FROM lineitem)"""
 
 
 def claimed_registry(spark, sf):
     """One row per claim; the list column holds that claim alone."""
     claims = (
         table(spark, sf, "lineitem")
-        .where(F.col("l_linenumber") == 1)
         .select(F.col("l_suppkey").alias("feature_idx"), F.array("l_partkey").alias("claimed"))
         .distinct()
     )

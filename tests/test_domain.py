@@ -55,6 +55,11 @@ def test_genomic_verdicts(spark):
     assert {k: v["status"] for k, v in out.items()} == {1: "confirmed", 2: "plausible", 3: "spurious", 4: "unverifiable", 5: "spurious"}
     assert out[1]["match_rate"] == 1.0 and out[2]["match_rate"] == pytest.approx(1 / 3)
     assert out[5]["match_rate"] == 0.0 and out[5]["n_claims"] == 6 and out[5]["n_windows_matched"] == 1
+    shown = {f: [(w["window_id"], w["genes"]) for w in r["evidence"]] for f, r in out.items()}
+    assert shown[2] == [("c:0-100", ["G1.1"]), ("c:20000-20100", []), ("c:30000-30100", [])] and shown[4] == [] and shown[5] == [("c:0-100", ["G1.1"])]
+    ranked = evidence.where("feature_idx = 1").withColumn("rank", -F.substring("window_id", 3, 1).cast("int"))
+    row = IV.genomic_verdicts(claims, ranked, genes).where("feature_idx = 1").first()
+    assert [w["window_id"] for w in row["evidence"]] == ["c:900-1000", "c:200-300", "c:0-100"]
 
 
 def test_tiling(spark):
