@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +46,8 @@ class WordIds:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Strings with an id of their own wherever they stand; segments never hold one whole.
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.plain = regex.compile("[\\n\\x20-\\x7eÀ-ÿ]*")
@@ -88,6 +90,16 @@ def _tool(path: str) -> IdCache:
     return _TOOLS[path]
 
 
+def _with_special(tool: IdCache, texts: pa.Array) -> dict[int, bytes]:
+    """Ids of the texts that hold a special string, by row; the tokenizer sees them whole."""
+    found = None
+    for content in tool.encode.special:
+        hit = pc.match_substring(texts, content)
+        found = hit if found is None else pc.or_(found, hit)
+    rows = [] if found is None else np.flatnonzero(pc.fill_null(found, False).to_numpy(zero_copy_only=False)).tolist()
+    return {i: np.array(tool.encode.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u4").tobytes() for i in rows}
+
+
 def token_pieces(df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Pieces of at most ``capacity`` tokens: ``doc_id, piece, start, length, ids_crc32``."""
 
@@ -96,9 +108,11 @@ def token_pieces(df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, e
         end = np.array([end_id], "<u4").tobytes()
         for batch in slices(batches, "_text"):
             flat, bounds = tool.texts(*text_bytes(batch.column("_text")))
+            special = _with_special(tool, batch.column("_text"))
             which, piece, start, length, crc = [], [], [], [], []
             for i in range(batch.num_rows):
-                ids = flat[bounds[i] : bounds[i + 1]].tobytes() + end
+                ids = special.get(i, None)
+                ids = (flat[bounds[i] : bounds[i + 1]].tobytes() if ids is None else ids) + end
                 for n, at in enumerate(range(0, len(ids), 4 * capacity)):
                     cut = ids[at : at + 4 * capacity]
                     which.append(i), piece.append(n), start.append(at >> 2), length.append(len(cut) >> 2), crc.append(zlib.crc32(cut))
