@@ -38,6 +38,9 @@ def write_token_files(df: DataFrame, ranks_path: str, end_id: int = END_ID, widt
     Files go to the shared folder under names of their own, and only files of tasks that
     ended are returned, so a task that is run again leaves at most an unused file.
     """
+    ranks = set(byte_bpe.load_ranks(ranks_path).values())
+    if max([end_id, *ranks]) >= 256**width or end_id in ranks:
+        raise ValueError(f"ids up to {max([end_id, *ranks])} and end id {end_id} do not fit {width} bytes, or the end id is a token")
     folder = fresh_path(df.sparkSession, "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
