@@ -3,10 +3,11 @@
 Fixed patterns find the *base* spans of four kinds; they are the seeds and always stay.
 The words around a seed induce lexical patterns. Everything else that looks like an
 identifier but fits no base pattern is a candidate, and the patterns it occurs in are
-recorded in the same way. On the graph of patterns and instances, Spark scores in turns:
-a pattern of a kind is as good as the share of its instances that are (believed to be) of
-that kind, and an instance is believed as far as any of its patterns is good. Candidates
-that occur in a pattern of high confidence and enough different seeds become spans.
+recorded in the same way. On the graph of patterns and instances, Spark scores in turns,
+until the scores stand still: a pattern of a kind is as good as the share of its instances
+that are (believed to be) of that kind, and an instance is believed as far as any of its
+patterns is good. Candidates that occur in a pattern of high confidence and enough different
+seeds become spans, however many they are.
 
 Only identifier-like occurrences enter the graph, each with a bounded context. Patterns and
 instances are aggregated with map-side combine; nothing is gathered per pattern.
@@ -29,8 +30,8 @@ from attestor.session import materialize
 KINDS = ("email", "ip", "card", "phone")
 MIN_SEEDS = 5  # different seeds that a pattern must have
 CONFIDENCE = 0.9
-ROUNDS = 3
-NEAR = 64  # characters looked at for the words of a context
+TOLERANCE = 1e-3  # scores that move less stand still
+NEAR = 64  # characters first looked at for the words of a context; longer words go by their checksum
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
@@ -123,18 +124,41 @@ def candidate_spans(text: str, base: list[Span]) -> list[tuple[int, int, int]]:
 
 
 def _word(text: str, at: int, after: int) -> tuple[int, int]:
-    """Bounds of the word around a position, at most 256 characters to the left."""
-    left = max(after, at - 256)
-    before = [m.end() for m in _GAP.finditer(text, left, at)]
+    """Bounds of the word around a position, not to begin before ``after``."""
+    step, right = 64, at
+    while True:
+        left = max(after, right - step)
+        before = [m.end() for m in _GAP.finditer(text, left, right)]
+        if before or left == after:
+            break
+        right, step = left, 2 * step
     end = _GAP.search(text, at)
     return (before[-1] if before else left), (end.start() if end else len(text))
 
 
+def _context_words(text: str, start: int, end: int, first: bool) -> list[str]:
+    """Whole words of a stretch next to a span: the first one, or the last two."""
+    near = NEAR
+    while True:
+        a, b = (start, min(end, start + near)) if first else (max(start, end - near), end)
+        words = text[a:b].split()
+        whole = (b == end or len(words) > 1) if first else (a == start or len(words) > 2)
+        if whole:
+            break
+        near *= 4
+    words = words[:1] if first else words[-2:]
+    words = [_DIGITS.sub("0", w.lower()) for w in words]
+    return [w if len(w) <= NEAR else hashlib.md5(w.encode()).hexdigest() for w in words]
+
+
 def contexts(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns of a span: the two words before it, and one word on either side."""
-    left = _DIGITS.sub("0", text[max(0, start - NEAR) : start].lower()).split()[-2:]
-    right = _DIGITS.sub("0", text[end : end + NEAR].lower()).split()[:1]
-    out = [" ".join(left) + " _"] if len(left) == 2 else []
+    """Lexical patterns of a span: one and two words before it, one behind it, one on either side."""
+    left, right = _context_words(text, 0, start, False), _context_words(text, end, len(text), True)
+    out = [f"{left[-1]} _"] if left else []
+    if len(left) == 2:
+        out.append(" ".join(left) + " _")
+    if right:
+        out.append(f"_ {right[0]}")
     return [*out, f"{left[-1]} _ {right[0]}"] if left and right else out
 
 
@@ -173,30 +197,46 @@ def scan(df: DataFrame, carry: bool = False) -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
-def confident_patterns(marks: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, confidence: float = CONFIDENCE) -> DataFrame:
-    """``pattern, kind, confidence`` of the patterns to be trusted, from ``marks(kind, value, patterns, seed)``."""
+def pattern_scores(marks: DataFrame, min_seeds: int = MIN_SEEDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """``pattern, kind, n_seeds, confidence`` of all patterns with enough different seeds.
+
+    Confidence is the believed share of a pattern's instances; a seed is believed, a candidate
+    with 1 - product(1 - confidence) over its patterns of its kind. A candidate that occurs
+    in one pattern only is believed as the pattern itself is, so it drops out of the share
+    and the rest decides; that leaves few rounds for the others. Scores only rise, so the
+    rounds end.
+    """
     edges = marks.select(F.explode("patterns").alias("pattern"), "kind", "value", "seed")
     edges = edges.groupBy("pattern", "kind", "value").agg(F.max("seed").alias("seed"))
     # A pattern without enough seeds is never trusted, so its edges say nothing.
     seeds = edges.where("seed").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("n_seeds"))
     seeds = materialize(seeds.where(F.col("n_seeds") >= min_seeds))
     edges = materialize(edges.join(seeds.select("pattern").distinct(), "pattern", "left_semi"))
-    totals = materialize(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")))
-    belief = edges.groupBy("kind", "value").agg(F.max(F.col("seed").cast("double")).alias("belief"))
-    patterns = None
-    for turn in range(rounds):
-        scored = edges.where("kind >= 0").join(belief, ["kind", "value"])
-        sums = scored.groupBy("pattern", "kind").agg(F.sum("belief").alias("s"))
-        patterns = materialize(
-            sums.join(totals, "pattern").join(seeds, ["pattern", "kind"]).select("pattern", "kind", (F.col("s") / F.col("n")).alias("confidence"))
-        )
-        if turn + 1 < rounds:
-            heard = edges.join(patterns, ["pattern", "kind"], "left").groupBy("kind", "value")
-            doubt = F.exp(F.sum(F.log(F.greatest(1 - F.coalesce("confidence", F.lit(0.0)), F.lit(1e-9)))))
-            belief = materialize(heard.agg(F.max("seed").alias("seed"), (1 - doubt).alias("b")).select(
-                "kind", "value", F.when(F.col("seed"), F.lit(1.0)).otherwise(F.col("b")).alias("belief")
-            ))
-    return patterns.where(F.col("confidence") >= confidence)
+    # Patterns of a kind that an instance has, and whether it is a seed in any of them.
+    trusted = edges.join(seeds.select("pattern", "kind"), ["pattern", "kind"], "left_semi")
+    known = trusted.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("degree"), F.max("seed").alias("sure"))
+    edges_ = materialize(trusted.join(known, ["kind", "value"]).select("pattern", "kind", "value", "sure", (~F.col("sure") & (F.col("degree") == 1)).alias("own")))
+    totals = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+    sums = edges_.groupBy("pattern", "kind").agg(F.sum(F.col("own").cast("bigint")).alias("own"), F.sum(F.col("sure").cast("bigint")).alias("sure"))
+    base = materialize(seeds.join(sums, ["pattern", "kind"]).join(totals, "pattern").select("pattern", "kind", "n_seeds", "sure", (F.col("n") - F.col("own")).alias("rest")))
+    shared = materialize(edges_.where("not sure and not own").select("pattern", "kind", "value"))
+    scores = materialize(base.select("pattern", "kind", "n_seeds", (F.col("sure") / F.col("rest")).alias("confidence")))
+    while not shared.isEmpty():
+        heard = shared.join(scores.select("pattern", "kind", "confidence"), ["pattern", "kind"]).groupBy("kind", "value")
+        belief = heard.agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))).alias("b"))
+        gained = shared.join(belief, ["kind", "value"]).groupBy("pattern", "kind").agg(F.sum("b").alias("b"))
+        risen = base.join(gained, ["pattern", "kind"], "left").join(scores.select("pattern", "kind", F.col("confidence").alias("was")), ["pattern", "kind"])
+        fresh = (F.col("sure") + F.coalesce("b", F.lit(0.0))) / F.col("rest")
+        told = materialize(risen.select("pattern", "kind", "n_seeds", fresh.alias("confidence"), "was"))
+        scores = told.drop("was")
+        if told.where(F.col("confidence") - F.col("was") > tolerance).isEmpty():
+            break
+    return scores
+
+
+def confident_patterns(marks: DataFrame, min_seeds: int = MIN_SEEDS, confidence: float = CONFIDENCE) -> DataFrame:
+    """``pattern, kind`` of the patterns to be trusted, from ``marks(kind, value, patterns, seed)``."""
+    return pattern_scores(marks, min_seeds).where(F.col("confidence") >= confidence)
 
 
 def _extracted(df: DataFrame, carry: bool, min_seeds: int, confidence: float) -> DataFrame:

@@ -148,8 +148,8 @@ def test_packing(spark, corpus):
     from tokenizers import Tokenizer
 
     tool = Tokenizer.from_file(WORDS)
-    tool.encode_special_tokens = True
-    texts = TEXTS + corpus[:60]
+    texts = TEXTS + ["foo <|endoftext|> bar", "<|startoftext|>", "a<|endoftext|><|endoftext|>b" * 90, "<|ENDOFTEXT|> <|endoftext", "word " * 600 + "<|startoftext|>é"]
+    texts += corpus[:60]
     rows = packing.packed_documents(docs(spark, texts), WORDS, capacity=512).collect()
     want = []
     for i, t in enumerate(texts):
