@@ -128,8 +128,17 @@ def _assign(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, "id bigint, v array<double>, cell int, away double")
 
 
+def _few_of_each(rows: DataFrame, k: int) -> DataFrame:
+    """Rows that can be among the ``k`` nearest of any query: of equal vectors those with the
+    ``k + 1`` smallest ids (one may be the query's own), and ``k`` rows of an id at most."""
+    same = Window.partitionBy("v", "id").orderBy("id")
+    rows = rows.withColumn("_r", F.row_number().over(same)).where(F.col("_r") <= k).drop("_r")
+    equal = Window.partitionBy("v").orderBy("id")
+    return rows.withColumn("_r", F.dense_rank().over(equal)).where(F.col("_r") <= k + 1).drop("_r")
+
+
 def _searched(index: DataFrame, sent: DataFrame, dim: int, k: int, factor: float) -> DataFrame:
-    """``query_id, vec_id, score`` of up to ``k`` rows for every query sent to a shard."""
+    """``q, query_id, vec_id, score`` of up to ``k`` rows for every query sent to a shard."""
     sent = materialize(sent)
     blocks = sent.select(F.col("cell").alias("_cell"), F.col("salt").alias("_salt"), F.col("block").alias("_block")).distinct()
     shards = index.join(blocks, (F.col("cell") == F.col("_cell")) & (F.col("salt") == F.col("_salt")))
@@ -137,23 +146,25 @@ def _searched(index: DataFrame, sent: DataFrame, dim: int, k: int, factor: float
 
     def run(shard: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if len(shard) == 0 or len(asked) == 0:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
+            return pd.DataFrame({"q": [], "query_id": [], "vec_id": [], "score": []}).astype({"q": "int64", "query_id": "int64", "vec_id": "int64"})
         ids = np.concatenate([np.frombuffer(x, np.int64) for x in shard["ids"]])
         points = np.concatenate([np.frombuffer(x, np.float64) for x in shard["points"]]).reshape(-1, dim)
         own, queries = asked["id"].to_numpy(), np.stack(asked["v"].to_numpy())
         near, who = Tree(ids, points).search(own, queries, k, factor, asked["radius"].to_numpy())
         query, place = np.nonzero(np.isfinite(near))
-        return pd.DataFrame({"query_id": own[query], "vec_id": who[query, place], "score": near[query, place]})
+        return pd.DataFrame({"q": asked["q"].to_numpy()[query], "query_id": own[query], "vec_id": who[query, place], "score": near[query, place]})
 
     keys = ["cell", "salt", "block"]
-    return shards.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(run, "query_id bigint, vec_id bigint, score double")
+    return shards.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(run, "q bigint, query_id bigint, vec_id bigint, score double")
 
 
 def nearest(df: DataFrame, every: int = 100, k: int = NEIGHBOURS, factor: float = 1.0, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest rows of ``df(vec_id, embedding, ...)``
     to each row whose id is divisible by ``every``, nearest first, ties to the smaller id.
 
-    Rows with the query's own id are no candidates. Rows without an id, and null, zero or
+    Every such row is a query of its own with its own ranks, also where rows share an id. Rows
+    with the query's own id are no candidates; other rows are, repeated ones repeatedly, but of
+    equal vectors only the few that can be among the nearest are indexed. Rows without an id, and null, zero or
     not wholly finite vectors take no part; neither do vectors whose length differs from
     that of the vector with the smallest id. A query with fewer candidates gets all of
     them; an empty table gives an empty result; other columns are not looked at.
@@ -168,7 +179,7 @@ def nearest(df: DataFrame, every: int = 100, k: int = NEIGHBOURS, factor: float
     wanted = int(min(MAX_PIVOTS, max(1, first["n"] // shard_rows)))
     chosen = rows.orderBy(F.xxhash64("id"), "id").limit(wanted).collect()
     pivots = np.array([r["v"] for r in chosen])
-    placed = materialize(_assign(rows, pivots))
+    placed = materialize(_assign(_few_of_each(rows, k), pivots))
     cells = {r["cell"]: (r["n"], r["reach"]) for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("reach")).collect()}
     salts = {c: -(-n // shard_rows) for c, (n, _) in cells.items()}
     salt = F.pmod(F.xxhash64("id"), F.element_at(F.create_map(*[F.lit(x) for c in salts.items() for x in c]), F.col("cell")).cast("bigint")).cast("int")
@@ -180,9 +191,9 @@ def nearest(df: DataFrame, every: int = 100, k: int = NEIGHBOURS, factor: float
         return pd.DataFrame({"cell": pdf["cell"].iloc[:1], "salt": pdf["salt"].iloc[:1], "ids": [pdf["id"].to_numpy().tobytes()], "points": [points.tobytes()]})
 
     index = materialize(salted.select("id", "v", "cell", "salt").groupBy("cell", "salt").applyInPandas(store, "cell int, salt int, ids binary, points binary"))
-    queries = placed.where(F.col("id") % every == 0).select("id", "v", "cell")
-    n_blocks = -(-queries.count() // BLOCK_QUERIES)
-    queries = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, n_blocks))).cast("int"))
+    asked = materialize(_assign(rows.where(F.col("id") % every == 0), pivots).drop("away").withColumn("q", F.monotonically_increasing_id()))
+    n_blocks = -(-asked.count() // BLOCK_QUERIES)
+    queries = asked.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(max(1, n_blocks))).cast("int"))
 
     def shards_of(cell: int) -> list[tuple[int, int]]:
         return [(cell, s) for s in range(salts.get(cell, 0))]
@@ -200,18 +211,18 @@ def nearest(df: DataFrame, every: int = 100, k: int = NEIGHBOURS, factor: float
                     for c, s in (x for c in reach for x in shards_of(c)):
                         take.append(i), cell.append(c), salt_no.append(s)
                 picked = pa.array(take, pa.int64())
-                columns = [batch.column(c).take(picked) for c in ("id", "v", "block", "radius")]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(cell, pa.int32()), pa.array(salt_no, pa.int32())], ["id", "v", "block", "radius", "cell", "salt"])
+                columns = [batch.column(c).take(picked) for c in ("q", "id", "v", "block", "radius")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(cell, pa.int32()), pa.array(salt_no, pa.int32())], ["q", "id", "v", "block", "radius", "cell", "salt"])
 
         return run
 
-    routed = "id bigint, v array<double>, block int, radius double, cell int, salt int"
-    fields = ["id", "v", "cell", "block", "radius"]
+    routed = "q bigint, id bigint, v array<double>, block int, radius double, cell int, salt int"
+    fields = ["q", "id", "v", "cell", "block", "radius"]
     at_home = materialize(_searched(index, queries.withColumn("radius", F.lit(float("inf"))).select(*fields).mapInArrow(route(True), routed), dim, k, factor))
-    ordered = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    ordered = Window.partitionBy("q").orderBy("score", "vec_id")
     home = at_home.withColumn("rank", F.row_number().over(ordered)).where(F.col("rank") <= k)
-    radius = materialize(home.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("radius")))
-    abroad = queries.join(radius, "id", "left").withColumn("radius", F.coalesce("radius", F.lit(float("inf"))))
+    radius = materialize(home.where(F.col("rank") == k).select("q", F.col("score").alias("radius")))
+    abroad = queries.join(radius, "q", "left").withColumn("radius", F.coalesce("radius", F.lit(float("inf"))))
     elsewhere = _searched(index, abroad.select(*fields).mapInArrow(route(False), routed), dim, k, factor)
     both = at_home.unionByName(elsewhere)
     return both.withColumn("rank", F.row_number().over(ordered)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
