@@ -45,7 +45,7 @@ def _names(distinct: DataFrame, keys: list[str]) -> DataFrame:
 def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Replace ``keys`` of every row by their name."""
     names = materialize(_names(rows.select(*keys).distinct(), keys))
-    return rows.join(names, keys).select("_row", "_pos", "name")
+    return materialize(rows.join(names, keys).select("_row", "_pos", "_last", "name"))
 
 
 def identities(texts: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -54,27 +54,22 @@ def identities(texts: DataFrame, block: int = BLOCK) -> DataFrame:
     Returns ``_row, level, name``: two rows agree in level and name exactly when their
     texts are equal. An empty text is one empty block. ``_row`` must be unique.
     """
-    size = F.char_length("_norm")
-    pieces = F.greatest(F.ceil(size / block), F.lit(1)).cast("int")
-    at = F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1))
-    cut = texts.select("_row", "_norm", pieces.alias("_pieces")).select("_row", at.alias("_pos"), "_norm")
-    blocks = cut.select("_row", "_pos", F.expr(f"substring(_norm, _pos * {block} + 1, {block})").alias("_block"))
-    current = materialize(_named(blocks, ["_block"]))
-    done, level = [], 0
-    while True:
-        widths = current.groupBy("_row").agg(F.max("_pos").alias("_last"))
-        longest = widths.agg(F.max("_last")).first()[0]
-        if not longest:
-            done.append(current.select("_row", F.lit(level).alias("level"), "name"))
-            break
+    # One pass over a text gives all its blocks; cutting them one by one would walk it anew each time.
+    parts = F.regexp_extract_all("_norm", F.lit(f"(?s).{{1,{block}}}"), F.lit(0))
+    parts = F.when(F.col("_norm") == "", F.array(F.lit(""))).otherwise(parts)
+    cut = texts.select("_row", parts.alias("_parts")).select("_row", (F.size("_parts") - 1).alias("_last"), F.posexplode("_parts").alias("_pos", "_block"))
+    current = _named(cut, ["_block"])
+    longest = current.agg(F.max("_last")).first()[0] or 0
+    done = []
+    for level in range(longest.bit_length() + 1):
         # A row with one name left keeps it; the rest is paired.
-        half = F.expr("_pos div 2").cast("int").alias("_pos")
+        done.append(current.where("_last = 0").select("_row", F.lit(level).alias("level"), "name"))
+        if level == longest.bit_length():
+            break
+        halves = [F.expr(f"{c} div 2").cast("int").alias(c) for c in ("_pos", "_last")]
         sides = [F.max(F.when(F.col("_pos") % 2 == s, F.col("name"))).alias(n) for s, n in ((0, "_left"), (1, "_right"))]
-        marked = current.join(widths, "_row")
-        done.append(marked.where("_last = 0").select("_row", F.lit(level).alias("level"), "name"))
-        pairs = marked.where("_last > 0").groupBy("_row", half).agg(*sides)
-        pairs = materialize(pairs.withColumn("_right", F.coalesce("_right", F.lit(-1))))
-        current, level = materialize(_named(pairs, ["_left", "_right"])), level + 1
+        pairs = current.where("_last > 0").groupBy("_row", *halves).agg(*sides)
+        current = _named(materialize(pairs.withColumn("_right", F.coalesce("_right", F.lit(-1)))), ["_left", "_right"])
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
