@@ -1,18 +1,22 @@
 """Nearest neighbours with vantage-point trees per shard.
 
-Vectors are dealt to the nearest of some pivots, and cells with many rows are split into
-shards of a bounded size; every row is indexed, in exactly one shard, and each shard is one
-vantage-point tree. A query first searches the cell it lies in, which gives it a radius, and
-then only the shards whose ball reaches into that radius. In a tree, a side is left out if
-the triangle inequality shows that it is farther than the radius, relaxed by ``factor``: a
-side is skipped when its bound times the factor exceeds the radius. Factor one is exact.
-
-Queries are grouped in blocks, and one task works on one shard and one block.
+Vectors are dealt to the nearest of some pivots; a cell with more rows than a shard gets pivots
+of its own among its rows, and so on, until cells are shards. Every row is indexed, in exactly
+one shard, and each shard is one vantage-point tree. A query first goes down to the shard it
+lies in, which gives it a radius, and then down again into every cell whose members can be
+within that radius. In a tree, a side is left out if the triangle inequality shows that it is
+farther than the radius, relaxed by ``factor``: a side is skipped when its bound times the
+factor exceeds the radius. Factor one is exact.
+
+The pivots of the first level are on the driver; those of deeper levels stand in a stored
+table, one row per cell. Queries of a shard are cut into blocks, and one task works on one
+shard and one block.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -26,7 +30,9 @@ NEIGHBOURS = 10
 SHARD_ROWS = 4096
 LEAF_ROWS = 64
 BLOCK_QUERIES = 1024
-MAX_PIVOTS = 256  # bounds what the driver and every task hold of the pivots
+MAX_PIVOTS = 256  # of one cell; bounds what the driver and a task hold of the pivots
+MAX_LEVELS = 6  # deeper cells, of rows that no pivot tells apart, are cut by hash
+CHUNK_ROWS = 32768  # rows of a cell that one task deals to its pivots
 SLACK = 1e-9
 
 
@@ -114,18 +120,191 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
+def _bounds(far: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Least distance from queries to the members of cells, by the distances ``far`` to the pivots.
+
+    Members lie between ``low`` and ``high`` from their pivot and are nearer to it than to
+    another one, so half of what a pivot is farther than the nearest is a bound as well.
+    """
+    ball = np.maximum(far - high, low - far)
+    return np.maximum(ball, (far - far.min(axis=1, keepdims=True)) / 2)
+
+
+def _dealt(ids: pa.Array, v: pa.Array, pivots: np.ndarray, base: int) -> pa.RecordBatch:
+    """Rows with the nearest pivot's ``cell``, its number in the parent and the distance ``away``."""
+    far = distances(_matrix(v, pivots.shape[1]), pivots)
+    local = far.argmin(axis=1)
+    columns = [ids, v, pa.array(base + local, pa.int64()), pa.array(local, pa.int32()), pa.array(far[np.arange(len(local)), local])]
+    return pa.RecordBatch.from_arrays(columns, ["id", "v", "cell", "local", "away"])
+
+
+DEALT = "id bigint, v array<double>, cell bigint, local int, away double"
+DEALT_ARROW = pa.schema([("id", pa.int64()), ("v", pa.list_(pa.float64())), ("cell", pa.int64()), ("local", pa.int32()), ("away", pa.float64())])
+
+
 def _assign(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Add the nearest pivot as ``cell`` and the distance to it as ``away``."""
+    """Deal all rows to the cells 1, 2, .. of the root."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                far = distances(_matrix(batch.column("v"), pivots.shape[1]), pivots)
-                cell = far.argmin(axis=1)
-                columns = [batch.column("id"), batch.column("v"), pa.array(cell, pa.int32()), pa.array(far[np.arange(len(cell)), cell])]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "v", "cell", "away"])
+                yield _dealt(batch.column("id"), batch.column("v"), pivots, 1)
+
+    return rows.select("id", "v").mapInArrow(run, DEALT)
+
+
+def _joined(column: pa.ChunkedArray) -> pa.Array:
+    column = column.combine_chunks()
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
+
+def _assign_below(rows: DataFrame, nodes: DataFrame, fan: int) -> DataFrame:
+    """Deal the rows of split cells to their children, in chunks of bounded size.
+
+    The children of a cell have the numbers from ``fan * cell + 1`` on.
+    """
+    parts = nodes.select("cell", F.ceil(F.col("n") / CHUNK_ROWS).cast("int").alias("parts"))
+    chunks = rows.join(parts, "cell").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    pivots = nodes.join(parts, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("chunk"), "pivots")
+
+    def run(key, members: pa.Table, node: pa.Table) -> pa.Table:
+        if members.num_rows == 0 or node.num_rows == 0:
+            return pa.Table.from_batches([], DEALT_ARROW)
+        ids, v = _joined(members.column("id")), _joined(members.column("v"))
+        centres = np.array(node.column("pivots")[0].as_py())
+        return pa.Table.from_batches([_dealt(ids, v, centres, fan * key[0].as_py() + 1)])
+
+    left = chunks.select("cell", "chunk", "id", "v").groupBy("cell", "chunk")
+    return left.cogroup(pivots.groupBy("cell", "chunk")).applyInArrow(run, DEALT)
+
+
+def _pivots_of(rows: DataFrame, sizes: DataFrame, shard_rows: int, fan: int) -> DataFrame:
+    """``cell, n, pivots`` of the cells with more than ``shard_rows`` rows."""
+    wanted = F.least(F.lit(fan).cast("bigint"), F.ceil(F.col("n") / shard_rows))
+    large = sizes.where(F.col("n") > shard_rows).withColumn("wanted", wanted)
+    order = Window.partitionBy("cell").orderBy(F.xxhash64("cell", "id"), "id")
+    first = rows.join(large, "cell").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= fan).where("_r <= wanted")
+    gathered = first.groupBy("cell").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("_r", "v"))).alias("_p"))
+    return gathered.select("cell", "n", F.transform("_p", lambda p: p["v"]).alias("pivots"))
+
+
+def _balls(dealt: DataFrame, fan: int) -> DataFrame:
+    """``parent, balls``: number, least and largest distance of the members of each child."""
+    child = dealt.groupBy("cell", "local").agg(F.min("away").alias("low"), F.max("away").alias("high"))
+    parent = F.expr(f"(cell - 1) div {fan}").alias("parent")
+    return child.groupBy(parent).agg(F.collect_list(F.struct("local", "low", "high")).alias("balls"))
+
+
+@dataclass
+class Index:
+    """Pivots and reaches of the first level, of deeper levels as tables, and the shards."""
+
+    dim: int
+    pivots: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    levels: list[DataFrame]  # cell, pivots, balls
+    sizes: DataFrame  # cell, n, salts
+    shards: DataFrame  # cell, salt, ids, points
+    fan: int
+
+
+def _limits(balls, fan: int) -> tuple[np.ndarray, np.ndarray]:
+    low, high = np.full(fan, np.inf), np.full(fan, -np.inf)  # children without members are never reached
+    for ball in balls:
+        low[ball["local"]], high[ball["local"]] = ball["low"], ball["high"]
+    return low, high
+
+
+def build(rows: DataFrame, dim: int, k: int, shard_rows: int = SHARD_ROWS, fan: int = MAX_PIVOTS) -> Index:
+    """Index of ``rows(id, v)``, at most ``fan`` pivots a cell."""
+    n = rows.count()
+    wanted = int(min(fan, max(1, n // shard_rows)))
+    chosen = rows.orderBy(F.xxhash64("id"), "id").limit(wanted).collect()
+    pivots = np.array([r["v"] for r in chosen])
+    placed = materialize(_assign(_few_of_each(rows, k), pivots))
+    top = _balls(placed, fan).first()
+    low, high = _limits(top["balls"], len(pivots))
+    leaves, levels = [], []
+    for _ in range(MAX_LEVELS - 1):
+        sizes = materialize(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")))
+        if sizes.where(F.col("n") > shard_rows).isEmpty():
+            break
+        nodes = materialize(_pivots_of(placed, sizes, shard_rows, fan))
+        leaves.append(placed.join(nodes.select("cell"), "cell", "left_anti"))
+        placed = materialize(_assign_below(placed, nodes, fan))
+        balls = _balls(placed, fan).withColumnRenamed("parent", "cell")
+        levels.append(materialize(nodes.drop("n").join(balls, "cell")))
+    members = leaves[0] if leaves else placed
+    for more in [*leaves[1:], placed] if leaves else []:
+        members = members.unionByName(more)
+    sizes = members.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    sizes = materialize(sizes.withColumn("salts", F.ceil(F.col("n") / shard_rows).cast("int")))
+    salted = members.join(sizes, "cell").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
+
+    def store(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        points = np.stack(pdf["v"].to_numpy()).astype(np.float64)
+        return pd.DataFrame({"cell": pdf["cell"].iloc[:1], "salt": pdf["salt"].iloc[:1], "ids": [pdf["id"].to_numpy().tobytes()], "points": [points.tobytes()]})
+
+    shards = salted.select("id", "v", "cell", "salt").groupBy("cell", "salt").applyInPandas(store, "cell bigint, salt int, ids binary, points binary")
+    return Index(dim, pivots, low, high, levels, sizes, materialize(shards), fan)
+
+
+ROUTED = "q bigint, id bigint, v array<double>, radius double, home bigint, cell bigint"
+ROUTED_ARROW = pa.schema([("q", pa.int64()), ("id", pa.int64()), ("v", pa.list_(pa.float64())), ("radius", pa.float64()), ("home", pa.int64()), ("cell", pa.int64())])
+
 
-    return rows.mapInArrow(run, "id bigint, v array<double>, cell int, away double")
+def _reached(batch, pivots: np.ndarray, low: np.ndarray, high: np.ndarray, base: int, factor: float) -> pa.RecordBatch:
+    """Queries with the cells they go to: those within their radius, or the nearest if they have none."""
+    far = distances(_matrix(_plain(batch.column("v")), pivots.shape[1]), pivots)
+    radius = _plain(batch.column("radius")).to_numpy(zero_copy_only=False)
+    low, high = low[: len(pivots)], high[: len(pivots)]
+    reach = _bounds(far, low, high) * factor <= radius[:, None] * (1 + SLACK) + SLACK
+    first = np.isnan(radius)
+    reach[first] = False
+    reach[first, np.where(np.isfinite(low), far, np.inf)[first].argmin(axis=1)] = True
+    take, cell = np.nonzero(reach & np.isfinite(low))
+    columns = [_plain(batch.column(c)).take(pa.array(take)) for c in ("q", "id", "v", "radius", "home")]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(base + cell, pa.int64())], ["q", "id", "v", "radius", "home", "cell"])
+
+
+def _plain(column) -> pa.Array:
+    return _joined(column) if isinstance(column, pa.ChunkedArray) else column
+
+
+def _route(index: Index, queries: DataFrame, factor: float) -> DataFrame:
+    """``q, id, v, radius, home, cell``: queries at the shard cells they must see.
+
+    A query with a NaN ``radius`` goes to the one cell it lies in.
+    """
+    pivots, nearest_of, farthest_of, fan = index.pivots, index.low, index.high, index.fan
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield _reached(batch, pivots, nearest_of, farthest_of, 1, factor)
+
+    at = queries.select("q", "id", "v", "radius", "home").mapInArrow(run, ROUTED)
+    done = None
+    for nodes in index.levels:
+        at = materialize(at)
+        settled = at.join(nodes.select("cell"), "cell", "left_anti")
+        done = settled if done is None else done.unionByName(settled)
+        below = at.join(nodes.select("cell"), "cell", "left_semi")
+        parts = below.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).cast("int").alias("parts"))
+        below = below.join(parts, "cell").withColumn("chunk", F.pmod(F.xxhash64("q"), F.col("parts")).cast("int")).drop("parts")
+        spread = nodes.join(parts, "cell").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
+        def down(key, asked: pa.Table, node: pa.Table) -> pa.Table:
+            if asked.num_rows == 0 or node.num_rows == 0:
+                return pa.Table.from_batches([], ROUTED_ARROW)
+            base = fan * key[0].as_py() + 1
+            low, high = _limits(node.column("balls")[0].as_py(), fan)
+            return pa.Table.from_batches([_reached(asked, np.array(node.column("pivots")[0].as_py()), low, high, base, factor)])
+
+        at = below.groupBy("cell", "chunk").cogroup(spread.groupBy("cell", "chunk")).applyInArrow(down, ROUTED)
+    return at if done is None else done.unionByName(at)
 
 
 def _few_of_each(rows: DataFrame, k: int) -> DataFrame:
@@ -137,12 +316,14 @@ def _few_of_each(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("_r", F.dense_rank().over(equal)).where(F.col("_r") <= k + 1).drop("_r")
 
 
-def _searched(index: DataFrame, sent: DataFrame, dim: int, k: int, factor: float) -> DataFrame:
+def _searched(index: Index, routed: DataFrame, k: int, factor: float) -> DataFrame:
     """``q, query_id, vec_id, score`` of up to ``k`` rows for every query sent to a shard."""
-    sent = materialize(sent)
-    blocks = sent.select(F.col("cell").alias("_cell"), F.col("salt").alias("_salt"), F.col("block").alias("_block")).distinct()
-    shards = index.join(blocks, (F.col("cell") == F.col("_cell")) & (F.col("salt") == F.col("_salt")))
-    shards = shards.select("cell", "salt", F.col("_block").alias("block"), "ids", "points")
+    salts = index.sizes.select("cell", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    sent = materialize(routed.join(salts, "cell"))
+    blocks = sent.groupBy("cell", "salt").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("blocks"))
+    asked = sent.join(blocks, ["cell", "salt"]).withColumn("block", F.pmod(F.xxhash64("q"), F.col("blocks")).cast("int")).drop("blocks")
+    shards = index.shards.join(blocks, ["cell", "salt"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    dim = index.dim
 
     def run(shard: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if len(shard) == 0 or len(asked) == 0:
@@ -150,15 +331,34 @@ def _searched(index: DataFrame, sent: DataFrame, dim: int, k: int, factor: float
         ids = np.concatenate([np.frombuffer(x, np.int64) for x in shard["ids"]])
         points = np.concatenate([np.frombuffer(x, np.float64) for x in shard["points"]]).reshape(-1, dim)
         own, queries = asked["id"].to_numpy(), np.stack(asked["v"].to_numpy())
-        near, who = Tree(ids, points).search(own, queries, k, factor, asked["radius"].to_numpy())
+        radius = asked["radius"].fillna(np.inf).to_numpy()
+        near, who = Tree(ids, points).search(own, queries, k, factor, radius)
         query, place = np.nonzero(np.isfinite(near))
         return pd.DataFrame({"q": asked["q"].to_numpy()[query], "query_id": own[query], "vec_id": who[query, place], "score": near[query, place]})
 
     keys = ["cell", "salt", "block"]
-    return shards.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(run, "q bigint, query_id bigint, vec_id bigint, score double")
+    return shards.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(run, "q bigint, query_id bigint, vec_id bigint, score double")
+
 
+def _at_home(index: Index, rows: DataFrame, every: int) -> DataFrame:
+    """The query rows, numbered, in the one cell each lies in."""
+    none = F.lit(float("nan"))
+    asked = rows.where(F.col("id") % every == 0).withColumn("q", F.monotonically_increasing_id())
+    asked = materialize(asked.withColumns({"radius": none, "home": F.lit(0).cast("bigint")}))
+    return materialize(_route(index, asked, 1.0).withColumn("home", F.col("cell")))
+
+
+def _abroad(index: Index, home: DataFrame, found: DataFrame, k: int, factor: float) -> DataFrame:
+    """The queries at all other cells within the distance of their ``k``-th row so far."""
+    ordered = Window.partitionBy("q").orderBy("score", "vec_id")
+    kth = found.withColumn("_r", F.row_number().over(ordered)).where(F.col("_r") == k).select("q", F.col("score").alias("_s"))
+    asked = home.join(kth, "q", "left").withColumn("radius", F.coalesce("_s", F.lit(float("inf"))))
+    return _route(index, asked, factor).where("cell <> home")
 
-def nearest(df: DataFrame, every: int = 100, k: int = NEIGHBOURS, factor: float = 1.0, shard_rows: int = SHARD_ROWS) -> DataFrame:
+
+def nearest(
+    df: DataFrame, every: int = 100, k: int = NEIGHBOURS, factor: float = 1.0, shard_rows: int = SHARD_ROWS, fan: int = MAX_PIVOTS
+) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest rows of ``df(vec_id, embedding, ...)``
     to each row whose id is divisible by ``every``, nearest first, ties to the smaller id.
 
@@ -169,65 +369,30 @@ def nearest(df: DataFrame, every: int = 100, k: int = NEIGHBOURS, factor: float
     that of the vector with the smallest id. A query with fewer candidates gets all of
     them; an empty table gives an empty result; other columns are not looked at.
     """
-    spark = df.sparkSession
     rows = _clean(df)
-    first = rows.agg(F.min(F.struct("id", F.size("v").alias("dim"))).alias("f"), F.count(F.lit(1)).alias("n")).first()
-    if not first["n"]:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    dim = first["f"]["dim"]
-    rows = rows.where(F.size("v") == dim)
-    wanted = int(min(MAX_PIVOTS, max(1, first["n"] // shard_rows)))
-    chosen = rows.orderBy(F.xxhash64("id"), "id").limit(wanted).collect()
-    pivots = np.array([r["v"] for r in chosen])
-    placed = materialize(_assign(_few_of_each(rows, k), pivots))
-    cells = {r["cell"]: (r["n"], r["reach"]) for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("reach")).collect()}
-    salts = {c: -(-n // shard_rows) for c, (n, _) in cells.items()}
-    salt = F.pmod(F.xxhash64("id"), F.element_at(F.create_map(*[F.lit(x) for c in salts.items() for x in c]), F.col("cell")).cast("bigint")).cast("int")
-    salted = placed.withColumn("salt", salt)
-
-    def store(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        points = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-        return pd.DataFrame({"cell": pdf["cell"].iloc[:1], "salt": pdf["salt"].iloc[:1], "ids": [pdf["id"].to_numpy().tobytes()], "points": [points.tobytes()]})
-
-    index = materialize(salted.select("id", "v", "cell", "salt").groupBy("cell", "salt").applyInPandas(store, "cell int, salt int, ids binary, points binary"))
-    asked = materialize(_assign(rows.where(F.col("id") % every == 0), pivots).drop("away").withColumn("q", F.monotonically_increasing_id()))
-    n_blocks = -(-asked.count() // BLOCK_QUERIES)
-    queries = asked.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(max(1, n_blocks))).cast("int"))
-
-    def shards_of(cell: int) -> list[tuple[int, int]]:
-        return [(cell, s) for s in range(salts.get(cell, 0))]
-
-    def route(home: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows == 0:
-                    continue
-                mine, radius = batch.column("cell").to_numpy(), batch.column("radius").to_numpy()
-                take, cell, salt_no = [], [], []
-                far = None if home else distances(_matrix(batch.column("v"), dim), pivots)
-                for i in range(len(mine)):
-                    reach = [int(mine[i])] if home else [c for c, (_, r) in cells.items() if c != mine[i] and (far[i, c] - r) * factor <= radius[i] * (1 + SLACK) + SLACK]
-                    for c, s in (x for c in reach for x in shards_of(c)):
-                        take.append(i), cell.append(c), salt_no.append(s)
-                picked = pa.array(take, pa.int64())
-                columns = [batch.column(c).take(picked) for c in ("q", "id", "v", "block", "radius")]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(cell, pa.int32()), pa.array(salt_no, pa.int32())], ["q", "id", "v", "block", "radius", "cell", "salt"])
-
-        return run
-
-    routed = "q bigint, id bigint, v array<double>, block int, radius double, cell int, salt int"
-    fields = ["q", "id", "v", "cell", "block", "radius"]
-    at_home = materialize(_searched(index, queries.withColumn("radius", F.lit(float("inf"))).select(*fields).mapInArrow(route(True), routed), dim, k, factor))
+    first = rows.agg(F.min(F.struct("id", F.size("v").alias("dim"))).alias("f")).first()["f"]
+    if first is None:
+        return df.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    rows = rows.where(F.size("v") == first["dim"])
+    index = build(rows, first["dim"], k, shard_rows, fan)
+    home = _at_home(index, rows, every)
+    found = materialize(_searched(index, home, k, factor))
+    both = found.unionByName(_searched(index, _abroad(index, home, found, k, factor), k, factor))
     ordered = Window.partitionBy("q").orderBy("score", "vec_id")
-    home = at_home.withColumn("rank", F.row_number().over(ordered)).where(F.col("rank") <= k)
-    radius = materialize(home.where(F.col("rank") == k).select("q", F.col("score").alias("radius")))
-    abroad = queries.join(radius, "q", "left").withColumn("radius", F.coalesce("radius", F.lit(float("inf"))))
-    elsewhere = _searched(index, abroad.select(*fields).mapInArrow(route(False), routed), dim, k, factor)
-    both = at_home.unionByName(elsewhere)
     return both.withColumn("rank", F.row_number().over(ordered)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def rows_in_reach(df: DataFrame, every: int = 100, k: int = NEIGHBOURS, shard_rows: int = SHARD_ROWS, fan: int = MAX_PIVOTS) -> DataFrame:
+    """``q, n``: rows of the shards that each query of an exact search is sent to (for tuning)."""
+    rows = _clean(df)
+    dim = rows.select(F.size("v").alias("dim")).first()["dim"]
+    index = build(rows, dim, k, shard_rows, fan)
+    home = _at_home(index, rows, every)
+    found = materialize(_searched(index, home, k, 1.0))
+    visits = home.select("q", "cell").unionByName(_abroad(index, home, found, k, 1.0).select("q", "cell"))
+    return visits.join(index.sizes, "cell").groupBy("q").agg(F.sum("n").alias("n"))
+
+
 ORACLE = """
 WITH v AS (
   SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
