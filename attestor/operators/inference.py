@@ -33,6 +33,44 @@ def cluster_draws(clusters: DataFrame, *, keys: list[str], draws: int, seed) ->
     return slots.select(*keys, "b", pick.alias("cluster_no"))
 
 
+DRAWN_IN_ROW = 1 << 20  # clusters (or cells) of a group that may travel as one array
+SLICES = 64  # parts of the draws of a group, each of which carries that array once
+
+
+def drawn_loads(clusters: DataFrame, *, keys: list[str], draws: int, seed) -> DataFrame:
+    """``keys, b, _drawn``: the loads ``_load`` of the K clusters drawn in replicate ``b``.
+
+    The draws are those of ``cluster_draws``. What is shuffled is the array of loads, once for
+    each slice of the draws; every drawn load is looked up in the row of its replicate.
+    """
+    in_order = F.array_sort(F.collect_list(F.struct("cluster_no", "_load")))
+    packed = clusters.groupBy(*keys).agg(F.transform(in_order, lambda c: c["_load"]).alias("_loads")).where(F.size("_loads") > 0)
+    slices = min(SLICES, draws)
+    spread = int(clusters.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number is not coalesced
+    sliced = packed.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).repartition(spread, *keys, "_slice")
+    rows = sliced.withColumn("b", F.explode(F.sequence(F.col("_slice"), F.lit(draws - 1), F.lit(slices))))
+    k = F.size("_loads").cast("bigint")
+
+    def load(j: Column) -> Column:
+        return F.get("_loads", F.pmod(hash_int(order_hash(seed, F.col("b"), j)), k).cast("int"))
+
+    return rows.select(*keys, "b", F.transform(F.sequence(F.lit(0).cast("bigint"), k - 1), load).alias("_drawn"))
+
+
+def _drawn_means(clusters: DataFrame, *, keys: list[str], draws: int, seed) -> DataFrame:
+    """``keys, b, _mean`` of every replicate; groups with too many clusters for a row are joined."""
+    loads = clusters.withColumn("_load", F.struct(F.col("_s").cast("double").alias("s"), F.col("_n").alias("n")))
+    drawn = drawn_loads(loads.where(F.col("k") <= DRAWN_IN_ROW), keys=keys, draws=draws, seed=seed)
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("bigint").alias("n"))
+    add = lambda t, c: F.struct((t["s"] + c["s"]).alias("s"), (t["n"] + c["n"]).alias("n"))
+    means = drawn.select(*keys, "b", F.aggregate("_drawn", zero, add, lambda t: t["s"] / t["n"]).alias("_mean"))
+    large = clusters.where(F.col("k") > DRAWN_IN_ROW)
+    if large.isEmpty():
+        return means
+    joined = cluster_draws(large, keys=keys, draws=draws, seed=seed).join(large.select(*keys, "cluster_no", "_s", "_n"), [*keys, "cluster_no"])
+    return means.unionByName(joined.groupBy(*keys, "b").agg((F.sum("_s").cast("double") / F.sum("_n")).alias("_mean")))
+
+
 def number_clusters(clusters: DataFrame, *, keys: list[str]) -> DataFrame:
     """Add ``cluster_no`` (0-based, by numeric id or hash order) and the group's cluster count ``k``."""
     if clusters.schema["cluster"].dataType.simpleString() == "string":
@@ -56,12 +94,7 @@ def bootstrap_mean(
         F.sum(value).alias("_s"), F.count(F.lit(1)).alias("_n")
     )
     clusters = materialize(number_clusters(materialize(clusters), keys=keys))
-    drawn = cluster_draws(clusters, keys=keys, draws=draws, seed=seed)
-    means = (
-        drawn.join(clusters.select(*keys, "cluster_no", "_s", "_n"), [*keys, "cluster_no"])
-        .groupBy(*keys, "b")
-        .agg((F.sum("_s") / F.sum("_n")).alias("_mean"))
-    )
+    means = _drawn_means(clusters, keys=keys, draws=draws, seed=seed)
     tail = (1.0 - confidence) / 2
     interval = means.groupBy(*keys).agg(
         F.percentile("_mean", tail).alias("ci_lo"),
@@ -208,6 +241,23 @@ def _cluster_meat(rows: DataFrame, fits: DataFrame, keys: list[str]) -> dict:
     }
 
 
+def _drawn_cells(cells: DataFrame, clusters: DataFrame, *, keys: list[str], draws: int, seed) -> DataFrame:
+    """Collapsed rows of every replicate; a task sums its replicates before anything is shuffled."""
+    sizes = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cells"))
+    cells = _attach(cells, sizes, keys)
+    small, large = cells.where(F.col("_cells") <= DRAWN_IN_ROW), cells.where(F.col("_cells") > DRAWN_IN_ROW)
+    loads = small.groupBy(*keys, "cluster_no").agg(F.collect_list(F.struct("x", "y", "w")).alias("_load"))
+    drawn = drawn_loads(loads, keys=keys, draws=draws, seed=seed)
+    sample = drawn.select(*keys, "b", F.explode(F.flatten("_drawn")).alias("_c")).select(*keys, "b", "_c.*")
+    out = collapse(sample, [*keys, "b"])
+    if large.isEmpty():
+        return out
+    those = clusters.join(large.select(*keys, "cluster_no").distinct(), [*keys, "cluster_no"], "left_semi")
+    weights = cluster_draws(those, keys=keys, draws=draws, seed=seed).groupBy(*keys, "b", "cluster_no").agg(F.count(F.lit(1)).alias("_times"))
+    joined = weights.join(large.select(*keys, "cluster_no", "x", "y", "w"), [*keys, "cluster_no"])
+    return out.unionByName(collapse(joined.withColumn("w", F.col("w") * F.col("_times")), [*keys, "b"]))
+
+
 def _resampled_slopes(rows: DataFrame, *, keys: list[str], draws: int, seed) -> DataFrame:
     """``keys, b, slope`` of cluster-resampled refits.
 
@@ -215,11 +265,8 @@ def _resampled_slopes(rows: DataFrame, *, keys: list[str], draws: int, seed) ->
     """
     cells = rows.groupBy(*keys, "cluster", "x", "y").agg(F.count(F.lit(1)).alias("w"))
     clusters = materialize(number_clusters(materialize(cells.select(*keys, "cluster").distinct()), keys=keys))
-    drawn = cluster_draws(clusters, keys=keys, draws=draws, seed=seed)
-    weights = drawn.groupBy(*keys, "b", "cluster_no").agg(F.count(F.lit(1)).alias("_times"))
-    numbered = cells.join(clusters.select(*keys, "cluster", "cluster_no"), [*keys, "cluster"])
-    sample = weights.join(numbered, [*keys, "cluster_no"]).withColumn("w", F.col("w") * F.col("_times"))
-    collapsed = materialize(collapse(sample, [*keys, "b"]))
+    numbered = materialize(cells.join(clusters, [*keys, "cluster"]))
+    collapsed = materialize(_drawn_cells(numbered, clusters, keys=keys, draws=draws, seed=seed))
     fits = grouped_logit(collapsed, [*keys, "b"])
     n_groups = fits.select(*keys).distinct().count() if keys else 1
     varied = collapsed.groupBy("b").agg(F.min("y_min").alias("lo"), F.max("y_max").alias("hi")).where("lo <> hi")
