@@ -24,6 +24,38 @@ def test_tails_match_known_values():
         assert T.chi2_sf_value(x, df) == pytest.approx(p, abs=1e-9)
 
 
+def test_tail_batches_equal_single_values():
+    rng = np.random.default_rng(4)
+    n = 400
+    df = np.concatenate([rng.integers(1, 40, n), rng.integers(200, 5000, 40)]).astype(float)
+    t = np.concatenate([rng.normal(size=n) * 4, rng.normal(size=40)])
+    p = np.concatenate([rng.uniform(1e-9, 1, n), [0.5, 1e-7, 1 - 1e-7], rng.uniform(0.4, 0.6, 37)])
+    x = np.abs(t) * df / 2
+    close = lambda got, want: np.testing.assert_allclose(got, want, rtol=1e-10, atol=1e-13)
+    close(T._t_sf_batch(t, df), [T.t_sf_value(*v) for v in zip(t, df)])
+    close(T._chi2_batch(x, df), [T.chi2_sf_value(*v) for v in zip(x, df)])
+    close(T._cdf_batch(t), [T.norm_cdf_value(v) for v in t])
+    np.testing.assert_allclose(T._ppf_batch(p), [T.norm_ppf_value(v) for v in p], rtol=1e-9, atol=1e-12)
+    np.testing.assert_allclose(T._t_ppf_batch(p, df), [T.t_ppf_value(*v) for v in zip(p, df)], rtol=1e-7, atol=1e-12)
+    far = T._t_ppf_batch(np.array([1e-12]), np.array([300.0]))  # the single value loses digits in 1 - p here
+    close(T._t_sf_batch(-far, np.array([300.0])) * 1e12, [1.0])
+    assert np.isnan(T._cdf_batch(np.array([np.nan, np.inf]))).all()
+    assert list(T._ppf_batch(np.array([0.0, 1.0]))) == [-np.inf, np.inf] and np.isnan(T._ppf_batch(np.array([-1.0]))).all()
+    assert len(T._chi2_batch(np.array([]), np.array([]))) == 0
+
+
+def test_sql_forms_equal_the_columns(spark):
+    T.register_sql(spark)
+    df = spark.createDataFrame([(0.7, 12.0, 80.0), (0.5, 3.0, 3.0), (0.99, 1.0, 500.0)], "a double, p double, n double")
+    same = df.select(
+        F.expr("auroc_variance(a, p, n)").alias("v1"), ST.auroc_variance(F.col("a"), F.col("p"), F.col("n")).alias("v2"),
+        F.expr("expected_max_inflation(a, n)").alias("e1"), ST.expected_max_inflation(F.col("a"), F.col("n")).alias("e2"),
+        F.expr("logistic_prediction(a, p, n)").alias("l1"), ST.logistic_prediction(F.col("a"), F.col("p"), F.col("n")).alias("l2"),
+    )
+    for r in same.collect():
+        assert (r["v1"], r["e1"], r["l1"]) == pytest.approx((r["v2"], r["e2"], r["l2"]))
+
+
 def test_tail_columns_keep_nulls(spark):
     df = spark.createDataFrame([(0.0, 5), (None, 5), (2.0, 0)], "z double, df int")
     out = df.select(T.norm_cdf(F.col("z")).alias("n"), T.t_sf(F.col("z"), F.col("df")).alias("t")).collect()
@@ -238,3 +270,44 @@ def test_missing_intervals_have_a_reason(spark):
     told = N.fit_verified_rate(df, draws=20).first()
     assert told.converged and told.bootstrap_lo is None and told.bootstrap_reason == "fewer than ten clusters"
     assert N.fit_verified_rate(df, draws=0).first().bootstrap_reason == "not asked for"
+
+
+def test_draws_in_rows_and_joined_draws_agree(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    data = [("ab"[i % 2], int(rng.integers(0, 15)) if i % 3 else 99, float(rng.normal()), float(rng.integers(1, 5)), float(i % 5 < 2)) for i in range(400)]
+    rows = spark.createDataFrame(data, "model string, cluster int, v double, x double, y double").repartition(3)
+
+    def both():
+        means = N.bootstrap_mean(rows, keys=["model"], value="v", cluster="cluster", draws=40).orderBy("model").collect()
+        whole = N.bootstrap_mean(rows, keys=[], value="v", cluster="cluster", draws=40).collect()
+        slopes = N._resampled_slopes(rows, keys=["model"], draws=20, seed="1").orderBy("model", "b").collect()
+        return [*means, *whole], slopes
+
+    in_rows = both()
+    monkeypatch.setattr(N, "DRAWN_IN_ROW", 0)
+    joined = both()
+    for got, want in zip(in_rows, joined):
+        assert len(got) == len(want) > 0
+        for g, w in zip(got, want):
+            assert g.asDict() == {k: pytest.approx(v) if isinstance(v, float) else v for k, v in w.asDict().items()}
+
+
+def test_replicates_are_summed_before_they_are_shuffled(spark):
+    clusters = spark.range(500).selectExpr("'m' AS model", "CAST(id AS INT) AS cluster_no", "id AS k", "CAST(id AS DOUBLE) AS _s", "1L AS _n")
+    means = N._drawn_means(clusters.withColumn("k", F.lit(500)), keys=["model"], draws=300, seed="1").groupBy("model").agg(F.count("_mean"))
+    means.collect()
+    plan = means._jdf.queryExecution().executedPlan()
+    written = 0
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+            continue
+        if node.nodeName().endswith("QueryStage"):
+            todo.append(node.plan())
+            continue
+        if node.metrics().contains("shuffleRecordsWritten"):
+            written += node.metrics().apply("shuffleRecordsWritten").value()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    assert 0 < written < 2000  # 500 clusters, 64 slices and sums; not 500 x 300 draws
