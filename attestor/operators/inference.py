@@ -596,18 +596,32 @@ def usable_points(points: DataFrame) -> DataFrame:
     return points.where(F.col("duplicate_of").isNull() & (F.col("mean") > 0))
 
 
+def _told(fit: DataFrame, needed: int, what: str) -> DataFrame:
+    """Add ``reason`` to a fit; one with too few points or a constant x has no numbers."""
+    n = F.coalesce("n_points", F.lit(0).cast("bigint"))
+    reason = F.when(n < needed, F.lit(f"fewer than {needed} {what}")).when(F.col("slope").isNull(), F.lit("x does not vary"))
+    fit = fit.withColumns({"n_points": n, "reason": reason})
+    numbers = ("slope", "intercept", "r_squared", "slope_se", "ci_lo", "ci_hi", "p_value")
+    return fit.withColumns({c: F.when(F.col("reason").isNull(), F.col(c)) for c in numbers})
+
+
 def log_log_fits(points: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(per-model fits with >= 3 points, pooled fit) of log mean on log sweep point."""
+    """(fit per model, pooled fit) of log mean on log sweep point.
+
+    ``reason`` says why a fit is not usable: a line needs three points whose x varies. Its
+    numbers are NULL then, but the model keeps its row.
+    """
     usable = usable_points(points)
     x, y = F.log(F.col("min_positives").cast("double")), F.log("mean")
     covers = (F.col("ci_lo") <= THEORETICAL_SLOPE) & (F.col("ci_hi") >= THEORETICAL_SLOPE)
-    per_model = simple_ols(usable, x=x, y=y, keys=["model"]).where(F.col("n_points") >= 3)
-    pooled = simple_ols(usable, x=x, y=y)
-    return per_model.withColumn("covers_theory", covers), pooled.withColumn("covers_theory", covers)
+    models = points.select("model").distinct()
+    per_model = models.join(simple_ols(usable, x=x, y=y, keys=["model"]), "model", "left")
+    return tuple(_told(fit, 3, "points").withColumn("covers_theory", covers) for fit in (per_model, simple_ols(usable, x=x, y=y)))
 
 
 def pool_route(fits: DataFrame, *, keys: list[str] | None = None) -> DataFrame:
-    """Random-effects slope over per-model fits, standard errors recovered from the intervals."""
+    """Random-effects slope over usable per-model fits, standard errors recovered from the intervals."""
+    fits = fits.where("reason IS NULL") if "reason" in fits.columns else fits
     critical = tails.t_ppf(F.lit(0.975), F.col("n_points") - 2)
     staged = fits.withColumn("_t", critical)
     studies = staged.withColumns(
@@ -698,14 +712,17 @@ def inflation_ratio(d1: Column, d2: Column) -> Column:
 
 
 def evidence_depth(annotations: DataFrame, *, experimental: list[str], min_terms: int = 10) -> DataFrame:
-    """Regress the experimental share of each concept's annotations on log(count)."""
+    """Regress the experimental share of each concept's annotations on log(count).
+
+    One row; below ``min_terms`` concepts it has a ``reason`` and no numbers.
+    """
     per_concept = annotations.groupBy("concept_id").agg(
         F.count_distinct("unit_id").alias("n_positive"),
         F.avg(F.col("evidence").isin(experimental).cast("double")).alias("share"),
     )
     fit = simple_ols(per_concept, x=F.log(F.col("n_positive").cast("double")), y=F.col("share"))
     mean = per_concept.agg(F.avg("share").alias("m")).scalar()
-    return fit.where(F.col("n_points") >= min_terms).withColumn("mean_share", mean)
+    return _told(fit, min_terms, "terms").withColumn("mean_share", mean)
 
 
 def parse_stored_effects(rows: DataFrame) -> DataFrame:

@@ -355,7 +355,7 @@ def b19(spark, sf):
         PR.record_line(F.concat("conv_id", F.lit("/"), "turn"), F.col("text"), ids, names, caption="said by").alias("line"),
     )
     claims = rows.select(F.col("conv_id").alias("feature_idx")).distinct()
-    out = PR.assemble_prompts(claims, lines, claim=F.concat(F.lit("conversation "), F.col("feature_idx")), rules="R")
+    out = PR.assemble_prompts(claims, lines, claim=F.concat(F.lit("conversation "), F.col("feature_idx")), rules="R", top_k=None)  # every turn
     return out.select("feature_idx", F.md5("prompt").alias("digest"))
 
 
@@ -373,7 +373,7 @@ def b19_text(spark, sf):
         "feature_idx", F.col("doc_id").alias("rank"), PR.text_line(F.col("doc_id").cast("string"), listed, F.col("text")).alias("line")
     )
     claims = docs.select("feature_idx").distinct()
-    out = PR.assemble_prompts(claims, lines, claim=F.concat(F.lit("feature "), F.col("feature_idx")), rules="R")
+    out = PR.assemble_prompts(claims, lines, claim=F.concat(F.lit("feature "), F.col("feature_idx")), rules="R", top_k=None)  # every text
     return out.select("feature_idx", F.md5("prompt").alias("digest"))
 
 

@@ -311,3 +311,19 @@ def test_replicates_are_summed_before_they_are_shuffled(spark):
             written += node.metrics().apply("shuffleRecordsWritten").value()
         todo += [node.children().apply(i) for i in range(node.children().size())]
     assert 0 < written < 2000  # 500 clusters, 64 slices and sums; not 500 x 300 draws
+
+
+def test_unusable_fits_keep_a_row_with_a_reason(spark):
+    rows = [("full", 10 * 2**i, 0.5 / 2**i, None) for i in range(4)] + [("short", 10, 0.2, None), ("short", 20, 0.1, None)]
+    rows += [("negative", 10 * i, -0.1, None) for i in (1, 2, 3)] + [("flat", 10, 0.1 * i, None) for i in (1, 2, 3)]
+    points = spark.createDataFrame(rows, "model string, min_positives int, mean double, duplicate_of int")
+    fits, pooled = N.log_log_fits(points)
+    got = {r["model"]: (r["n_points"], r["reason"], r["slope"] is None) for r in fits.collect()}
+    assert got == {
+        "full": (4, None, False), "short": (2, "fewer than 3 points", True),
+        "negative": (0, "fewer than 3 points", True), "flat": (3, "x does not vary", True),
+    }
+    assert pooled.first()["reason"] is None
+    notes = spark.createDataFrame([(1, 1, "A"), (1, 2, "B")], "concept_id int, unit_id int, evidence string")
+    told = N.evidence_depth(notes, experimental=["A"]).first()
+    assert (told["n_points"], told["reason"], told["slope"], told["mean_share"]) == (1, "fewer than 10 terms", None, 0.5)
