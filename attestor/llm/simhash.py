@@ -40,6 +40,15 @@ CELL_ROWS = 50_000
 RUN_ROWS = 200_000  # records that a task works on at once
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes (unsigned 64-bit)."""
+    votes = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        part = hashes[at : at + (1 << 16)].astype(">u8")
+        votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * votes > len(hashes)).tobytes(), "big")
+
+
 def fingerprint_of(words: bytes, starts: np.ndarray, ends: np.ndarray, shingle: int = SHINGLE) -> int:
     """Fingerprint of space-joined lower-case words with the given bounds."""
     if len(starts) == 0:
@@ -49,11 +58,7 @@ def fingerprint_of(words: bytes, starts: np.ndarray, ends: np.ndarray, shingle:
     hashes = np.fromiter(
         (digest(words[a:b], SEED) for a, b in zip(starts.tolist(), last.tolist(), strict=False)), np.uint64, len(last)
     )
-    votes = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        part = hashes[at : at + (1 << 16)].astype(">u8")
-        votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * votes > len(hashes)).tobytes(), "big")
+    return majority(hashes)
 
 
 def _fingerprints(column: pa.Array, shingle: int) -> np.ndarray:
@@ -144,11 +149,15 @@ def _roots(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def linked_in_cells(cells: np.ndarray, fps: np.ndarray, depth: int, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+def linked_in_cells(
+    cells: np.ndarray, fps: np.ndarray, depth: int, radius: int = RADIUS, chained: bool = True
+) -> tuple[np.ndarray, np.ndarray]:
     """Links between fingerprints (unsigned) that meet in whole cells of ``depth`` bits.
 
     The variants of a cell agree in their leading bits; the others are derived here. Most
-    variants occur once, so only values that occur again are traced to their owners.
+    variants occur once, so only values that occur again are traced to their owners. With
+    ``chained`` every fingerprint is linked once, to the smallest one it reaches; without, to
+    the smallest one of each variant, which is never more than ``2 * radius`` bits away.
     """
     different, record = np.unique(fps, return_inverse=True)
     shift = np.uint64(64 - depth)
@@ -175,13 +184,17 @@ def linked_in_cells(cells: np.ndarray, fps: np.ndarray, depth: int, radius: int
     smallest = np.full(len(again), len(different))
     np.minimum.at(smallest, slot, who)
     near = np.bitwise_count(different[who] ^ different[smallest[slot]]) <= 2 * radius
+    if not chained:
+        met = np.unique(who[near] * len(different) + smallest[slot][near])
+        who, lead = met // len(different), met % len(different)
+        return different[who[who != lead]], different[lead[who != lead]]
     root = _roots(len(different), who[near], smallest[slot][near])
     moved = root != np.arange(len(root))
     return different[moved], different[root[moved]]
 
 
-def _links(cells: DataFrame, depth: int, radius: int) -> DataFrame:
-    """``a, b`` links found in small cells; at most one per fingerprint and run of cells.
+def _links(cells: DataFrame, depth: int, radius: int, chained: bool) -> DataFrame:
+    """``a, b`` links found in small cells; if ``chained`` at most one per fingerprint and run of cells.
 
     A task reads its cells in order and works on runs of whole cells, so it holds one run
     and at most one cell more.
@@ -194,7 +207,7 @@ def _links(cells: DataFrame, depth: int, radius: int) -> DataFrame:
             cell, fp = (np.concatenate(x) for x in zip(*held, strict=True))
             cut = len(cell) if upto is None else int(np.searchsorted(cell, upto))
             held[:] = [(cell[cut:], fp[cut:])] if cut < len(cell) else []
-            a, b = linked_in_cells(cell[:cut], fp[:cut].view(np.uint64), depth, radius) if cut else (fp[:0], fp[:0])
+            a, b = linked_in_cells(cell[:cut], fp[:cut].view(np.uint64), depth, radius, chained) if cut else (fp[:0], fp[:0])
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
         for batch in batches:
@@ -207,16 +220,19 @@ def _links(cells: DataFrame, depth: int, radius: int) -> DataFrame:
     return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a bigint, b bigint")
 
 
-def fingerprint_links(fps: DataFrame, radius: int = RADIUS, cell_bits: int = CELL_BITS, cell_rows: int = CELL_ROWS) -> DataFrame:
+def fingerprint_links(
+    fps: DataFrame, radius: int = RADIUS, cell_bits: int = CELL_BITS, cell_rows: int = CELL_ROWS, chained: bool = True
+) -> DataFrame:
     """Links ``a, b`` that connect distinct fingerprints ``fps(fp)`` exactly as all pairs at
-    most ``2 * radius`` bits apart would."""
+    most ``2 * radius`` bits apart would. Without ``chained`` every link is itself such a pair,
+    of a fingerprint and the smallest one that has the same variant; pairs may be repeated."""
     cells, depth, found = _sent(fps, cell_bits, radius), cell_bits, None
     while True:
         sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"))
         large = materialize(sizes.where(F.col("_n") > cell_rows).select("cell"))
         crowded = not large.isEmpty()
         small = cells.join(large, "cell", "left_anti") if crowded else cells
-        part = _links(small, depth, radius)
+        part = _links(small, depth, radius, chained)
         found = part if found is None else found.unionByName(part)
         if not crowded:
             return found
