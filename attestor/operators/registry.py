@@ -7,20 +7,24 @@ from pyspark.sql import functions as F
 
 from attestor.functions.stats import status_target
 from attestor.operators.ordering import hash_rank
+from attestor.session import tasks_for
 
 
 def sweep_rows(sweep: DataFrame, registry: DataFrame, *, keys: list[str] | None = None) -> DataFrame:
     """Sweep rows whose concept the registry claims for that feature, with numeric target.
 
     ``keys=['model']`` gives the pooled form: the model is part of the join key. Rows
-    without a status on the scale are excluded, never counted as zero.
+    without a status on the scale are excluded, never counted as zero. Both sides are dealt by
+    the join key into tasks counted by the rows of ``sweep``, which is read twice.
     """
     keys = keys or []
+    on = [*keys, "best_feature_idx", "concept_id"]
+    tasks = tasks_for(sweep)
     # one row per claim, so the claim is part of the join key and no list travels with the rows
     claims = registry.select(
         *keys, F.col("feature_idx").alias("best_feature_idx"), "status", F.explode("claimed").alias("concept_id")
-    ).distinct()
-    joined = sweep.join(claims, [*keys, "best_feature_idx", "concept_id"])
+    ).repartition(tasks, *on).distinct()
+    joined = sweep.select(*on, "min_positives").repartition(tasks, *on).join(claims, on)
     out = joined.withColumn("target", status_target(F.col("status"))).where(F.col("target").isNotNull())
     return out.select(*keys, "min_positives", "concept_id", F.col("best_feature_idx").alias("feature_idx"), "target")
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from attestor.session import tasks_for
 from attestor.workload.catalog import table
 
 POINTS = [10, 20, 50, 100, 150, 200, 300]
@@ -58,12 +59,9 @@ CLAIMED = """claimed AS (SELECT DISTINCT l_suppkey AS feature_idx, l_partkey AS
 
 def claimed_registry(spark, sf):
     """One row per claim; the list column holds that claim alone."""
-    claims = (
-        table(spark, sf, "lineitem")
-        .select(F.col("l_suppkey").alias("feature_idx"), F.array("l_partkey").alias("claimed"))
-        .distinct()
-    )
-    return registry(spark, sf).join(claims, "feature_idx")
+    lines = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("feature_idx"), F.col("l_partkey").alias("concept_id"))
+    claims = lines.repartition(tasks_for(lines), "feature_idx", "concept_id").distinct()
+    return registry(spark, sf).join(claims.select("feature_idx", F.array("concept_id").alias("claimed")), "feature_idx")
 
 
 def with_duplicate_point(rows):
