@@ -40,11 +40,14 @@ def run_locus_study(
     """One row per (locus, arm) with effects, sensitivity, control, baselines and FDR.
 
     ``sample_features`` has (locus, sample_id, feature_idx, m), silent features absent.
-    Loci that cannot be analysed come back with ``skip_reason`` and NULL results.
+    Loci that cannot be analysed come back with ``skip_reason`` and NULL results. The tables of
+    loci and arms are stored first: their size is then known, and where they are small no
+    sample is shuffled to meet them.
     """
+    loci = materialize(loci.select("locus", "variant_id", "gene_id"))
+    arms = materialize(arm_features(loci, naive, registry))
     rows, skipped = M.align_samples(loci, dosage, expression)
-    rows = materialize(M.add_ancestry(rows, panel))
-    arms = arm_features(loci, naive, registry)
+    rows = materialize(M.add_ancestry(rows.select("locus", "sample_id", "t", "y"), panel))
     unnamed = loci.join(naive.select("gene_id"), "gene_id", "left_anti").select(
         "locus", F.lit("no naive feature for gene").alias("skip_reason")
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from attestor.functions import stats as ST
 from attestor.operators import mediation as M
+from attestor.session import materialize
 from attestor.workload.catalog import query, r6, table
 
 MED = """
@@ -345,10 +346,11 @@ def d57(spark, sf):
     from attestor.plans.locus_study import run_locus_study
 
     base = rows(spark, sf)
-    loci = base.select("locus").distinct().select("locus", F.col("locus").alias("variant_id"), F.col("locus").alias("gene_id"))
+    loci = materialize(base.select("locus").distinct()).select("locus", F.col("locus").alias("variant_id"), F.col("locus").alias("gene_id"))
     dosage = base.select(F.col("locus").alias("variant_id"), "sample_id", F.col("t").alias("dosage"))
     expression = base.select(F.col("locus").alias("gene_id"), "sample_id", F.col("y").alias("value"))
-    panel = base.select("sample_id", "superpopulation").distinct()
+    # dealt out by sample alone, as the join with the panel needs it
+    panel = base.select("sample_id", "superpopulation").repartition("sample_id").distinct()
     number = F.regexp_extract("locus", r"(\d+)", 1).cast("int")
     features = base.select("locus", "sample_id", (number % 7).alias("feature_idx"), "m")
     naive = loci.select("gene_id", (F.regexp_extract("gene_id", r"(\d+)", 1).cast("int") % 7).alias("feature_idx"))
